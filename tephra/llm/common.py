@@ -166,3 +166,55 @@ def runs(key: np.ndarray) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+# --- files in the shared folder ----------------------------------------------------------------
+
+
+def _local(uri: str) -> str | None:
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return uri if "://" not in uri else None
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, write: Callable) -> None:
+    """write(stream) into uri, which appears only when whole: a task that is lost or runs twice leaves no part of a file."""
+    import os
+
+    temp = f"{uri}.{uuid.uuid4().hex}.tmp"
+    if (path := _local(temp)) is not None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as out:
+            write(out)
+        os.replace(path, _local(uri))
+    else:
+        store, path = _store(temp)
+        with store.open_output_stream(path) as out:
+            write(out)
+        store.move(path, _store(uri)[1])
+
+
+def open_file(uri: str):
+    """uri as a file that can be read and sought."""
+    if (path := _local(uri)) is not None:
+        return open(path, "rb")
+    store, path = _store(uri)
+    return store.open_input_file(path)
+
+
+def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
+    """(uri, bytes) of the files in a folder, or of the one file, by name."""
+    from pyarrow import fs
+
+    local = _local(uri)
+    store, path = (fs.LocalFileSystem(), local) if local is not None else _store(uri)
+    info = store.get_file_info(path)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+    head = "file://" if local is not None else uri[: uri.index("://") + 3] + (uri.split("://", 1)[1].split("/", 1)[0] if not uri.startswith("file") else "")
+    return sorted((head + x.path if local is not None else f"{head}/{x.path.lstrip('/')}", x.size) for x in found if x.is_file and x.path.endswith(suffix))
