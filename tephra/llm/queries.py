@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, tokenstore
+from . import pieces, quality, sharding, tokenstore, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 40, seed=17)
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return dealt.select("doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_pages(table(spark, sf_dir, "pages"))
+    back = warc.read_warc(spark, folder, payload=False)
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) as long)")  # noqa: E731  behind urn:page:
+    return back.select(page("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -33,4 +46,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((list_sum(
+    list_transform(range(5), lambda j: cast((strpos('0123456789abcdef', substr(hex, cast(5 * (i // 4) + j + 1 as int), 1)) - 1) as bigint) << cast(16 - 4 * j as int)))
+    >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '')"""
+
+SQL: dict[str, str] = {
+    "op5_warc": f"""
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as hex from pages),
+        m as (select *, max(page_id) over (partition by hex, n) as first from p)
+        select page_id, cast(n as bigint) as payload_bytes, {_BASE32} as payload_digest,
+               case when page_id is null or page_id <> first then 'revisit' else 'response' end as record_type,
+               case when page_id is null or page_id <> first then first end as refers_to
+        from m""",
+}

@@ -1,0 +1,48 @@
+from collections import Counter
+
+import numpy as np
+
+from tephra.llm import sharding
+
+
+def test_sizes_and_slots_over_odd_rows(spark, odd_docs):
+    df = odd_docs.withColumnRenamed("raw", "shard").withColumnRenamed("ids", "slot")
+    got = sharding.shuffle_into_shards(df, 7, seed=1, rows_per_source=5, rows_per_block=3)
+    rows = got.collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in odd_docs.collect())
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    for s in range(7):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
+    again = sharding.shuffle_into_shards(df.repartition(5), 7, seed=1, rows_per_source=5, rows_per_block=3).collect()
+    assert Counter(map(str, again)) == Counter(map(str, rows))
+
+
+def test_fewer_rows_than_shards_and_none(spark, no_docs):
+    rows = sharding.shuffle_into_shards(spark.range(3), 10).collect()
+    assert sorted(r.shard for r in rows) == [0, 1, 2] and {r.slot for r in rows} == {0}
+    assert sharding.shuffle_into_shards(no_docs, 10).collect() == []
+
+
+def test_matrix_has_its_margins_and_the_right_mean():
+    counts, sizes = [5, 0, 17, 30], sharding.shard_sizes(52, 5)
+    drawn = np.array([sharding.communication_matrix(counts, sizes, seed) for seed in range(3000)])
+    assert (drawn.sum(2) == counts).all() and (drawn.sum(1) == sizes).all()
+    assert abs(drawn.mean(0) - np.outer(counts, sizes) / 52).max() < 0.1
+    # variance of a hypergeometric count
+    share = sizes[0] / 52
+    assert abs(drawn[:, 3, 0].var() - 30 * share * (1 - share) * 22 / 51) < 0.15
+
+
+def test_huge_tables_keep_their_margins():
+    counts, sizes = [10**9, 3 * 10**9, 5], sharding.shard_sizes(4 * 10**9 + 5, 40)
+    drawn = sharding.communication_matrix(counts, sizes, 3)
+    assert (drawn.sum(1) == counts).all() and (drawn.sum(0) == sizes).all() and drawn.min() >= 0
+
+
+def test_places_are_uniform(spark):
+    rows = sharding.shuffle_into_shards(spark.range(4000), 4, seed=5, rows_per_source=300, rows_per_block=200).collect()
+    early = Counter(r.shard for r in rows if r.id < 2000)
+    assert all(400 < early[s] < 600 for s in range(4))
+    low = [r.id for r in rows if r.slot < 250]
+    assert 1800 < np.mean(low) < 2200
