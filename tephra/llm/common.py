@@ -218,3 +218,47 @@ def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
     found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
     head = "file://" if local is not None else uri[: uri.index("://") + 3] + (uri.split("://", 1)[1].split("/", 1)[0] if not uri.startswith("file") else "")
     return sorted((head + x.path if local is not None else f"{head}/{x.path.lstrip('/')}", x.size) for x in found if x.is_file and x.path.endswith(suffix))
+
+
+# --- packed shuffles ---------------------------------------------------------------------------
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by the upper half of a 64-bit hash."""
+    return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+
+
+def packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket: its number, and its part of every column as raw bytes."""
+    order = np.argsort(bucket, kind="stable")
+    cut = runs(bucket[order])
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if len(order) else []
+    data = {"bucket": pa.array(bucket[order[cut[:-1]]] if spans else [], pa.int32())}
+    for name, column in columns.items():
+        column = column[order]
+        data[name] = pa.array([column[a:b].tobytes() for a, b in spans], pa.binary())
+    return pa.RecordBatch.from_pydict(data)
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    """The columns of packed rows, each put together again."""
+    parts: dict[str, list[bytes]] = {k: [] for k in kinds}
+    for batch in batches:
+        for k in kinds:
+            parts[k].extend(batch.column(k).to_pylist())
+    return {k: np.frombuffer(b"".join(v), kinds[k]) for k, v in parts.items()}
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """Every bucket in a task of its own."""
+    return df.repartitionById(buckets, F.col("bucket"))
+
+
+def by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The values of each row key, as bytes."""
+    order = np.argsort(row, kind="stable")
+    row, value = row[order], value[order]
+    cut = runs(row)
+    if not len(row):
+        return row, []
+    return row[cut[:-1]], [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
