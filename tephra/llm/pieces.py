@@ -22,7 +22,7 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class PieceModel:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import ahocorasick
         import sentencepiece
 
@@ -41,6 +41,7 @@ class PieceModel:
             raise ValueError("a piece goes on after white space: texts can't be cut there")
         if sp.normalize("é Ω  a") != f"{SPACE}é{SPACE}Ω{SPACE * 2}a" or min(self.byte) <= 0:
             raise ValueError("only models with the identity normaliser, a dummy prefix and byte pieces are read")
+        self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1:
@@ -51,16 +52,16 @@ class PieceModel:
 
     def _merged(self, symbols: str) -> list[str]:
         """The definition, for a few characters: join the pair of the best score, leftmost first, until none is a piece."""
-        parts, score = list(symbols), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score, low = list(symbols), self.score.get, float("-inf")
+        joint = [score(x + y, low) for x, y in zip(parts, parts[1:])]
+        while joint and (best := max(joint)) > low:
+            k = joint.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del joint[k]
+            if k:
+                joint[k - 1] = score(parts[k - 1] + parts[k], low)
+            if k < len(joint):
+                joint[k] = score(parts[k] + parts[k + 1], low)
         return parts
 
     def _stay(self, left: str, right: str) -> bool:
@@ -96,8 +97,19 @@ class PieceModel:
         return out
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.ids(chunk)
-        made = self.known[chunk] = (" ".join(map(str, ids)).encode(), b"".join([self.value[k] for k in ids]))
+        """Cut where two characters are together in no piece, as before an end mark: the parts are encoded, and kept, one by one."""
+        inner = self.inner
+        cuts = [0, *[k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in inner], len(chunk)]
+        if len(cuts) > 2:
+            parts = [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+            made = [self.known.get(p) or self._part(p) for p in parts]
+            self.known[chunk] = whole = (b" ".join([m[0] for m in made]), b"".join([m[1] for m in made]))
+            return whole
+        return self._part(chunk)
+
+    def _part(self, part: str) -> tuple[bytes, bytes]:
+        ids = self.ids(part)
+        made = self.known[part] = (" ".join(map(str, ids)).encode(), b"".join([self.value[k] for k in ids]))
         return made
 
     @staticmethod
