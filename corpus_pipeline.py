@@ -1,10 +1,79 @@
-"""A training-data pipeline: quality rules, near copies, repeated passages, benchmark passages, token ids."""
+"""A training-data pipeline: quality rules, near copies, repeated passages, benchmark passages, token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs. All but
+the last return the columns of documents; n_chars is kept true to the text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tephra.llm import common, decontaminate, jaccard, pieces, quality, repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _row(df: DataFrame) -> DataFrame:
+    """With a number of its own for each row, so that repeated ids stay apart: a stage's input is a table, read the same way each time."""
+    return df.withColumn("__row", F.xxhash64("doc_id", "text"))
+
+
+def _replaced(docs: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """docs with the texts of new (__row, column)."""
+    joined = _row(docs).join(new.dropDuplicates(["__row"]), "__row").withColumn("text", F.col(column))
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail a rule are taken out; documents that the base rules or the loss of text reject go."""
+    found = quality.assess(_row(docs), id_col="__row").where("kept").select(F.col("doc_id").alias("__row"), "cleaned")
+    return _replaced(docs, found, "cleaned")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of Jaccard links stays: the one of the least id. Documents without words are no copies."""
+    found = common.written(jaccard.components_of(docs), "pipeline-components")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur elsewhere are taken out; documents that lose all words go."""
+    found = repeats.remove_repeats(_row(docs), 35, id_col="__row").where("n_words > n_removed").select(F.col("doc_id").alias("__row"), "kept")
+    return _replaced(docs, found, "kept")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontaminate.find_leaks(_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return _row(docs).join(leaks, "__row", "left_anti").select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) by the public piece vocabulary, with an end id."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", token_ids),
+]
+
+#: SQL can't express the line rules, the walks and the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between them a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.written(docs, "pipeline")
+    return docs
