@@ -9,7 +9,7 @@ one segment, indexed with its one-deletion neighbourhood (and the two-deletion o
 
 Segments that very many sets index anyway lead to stars instead of pairs: each set meets the segment's leader only. Sets that a star
 leaves outside the segment's main component are compared, in blocks, with all sets of such segments, by an inverted index. Every
-candidate is verified on the whole sets.
+candidate is verified on the whole sets; candidates whose parity sketches differ in more places than linked sets can are left out before.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,16 +197,34 @@ def _counted(batches, s: Similarity):
         yield from tell()
 
 
-_COLUMNS = "bucket int, sig binary, node binary, n binary, kind int"
+_COLUMNS = "bucket int, sig binary, node binary, n binary, at binary, kind int"
 
 
 def _block(bucket, kind: int, sig, node, n):
     batch = packed(bucket, {"sig": sig, "node": node, "n": n.astype(np.uint32)})
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([kind] * batch.num_rows, pa.int32())], names=[*batch.schema.names, "kind"])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([b""] * batch.num_rows, pa.binary()), pa.array([kind] * batch.num_rows, pa.int32())], names=[*batch.schema.names, "at", "kind"])
+
+
+def _compact(sig: np.ndarray, node: np.ndarray, n: np.ndarray, buckets: int):
+    """Rows of kind 0: 4 bytes of each signature (the bucket has its upper bits; a chance match costs a verification), and the place of
+    its set, 2 or 4 bytes, in the row's table of sets."""
+    key = mix(sig)
+    bucket = bucket_of(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cut = runs(bucket[order])
+    key, node, n = key[order], node[order], n[order].astype(np.uint32)
+    cols: list[list] = [[] for _ in range(6)]
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        name, first, at = np.unique(node[i:j], return_index=True, return_inverse=True)
+        wide = len(name) > 1 << 16
+        row = (int(bucket[order[i]]), key[i:j].astype(np.uint32).tobytes(), name.tobytes(), n[i:j][first].tobytes(), at.astype(np.uint32 if wide else np.uint16).tobytes(), 3 if wide else 0)
+        for c, v in zip(cols, row, strict=True):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (0, 5) else pa.binary()) for k, c in enumerate(cols)], names=["bucket", "sig", "node", "n", "at", "kind"])
 
 
 def _indexed(batches, s: Similarity, frequent, buckets: int):
-    """Kind 0: (signature, set) of signatures that aren't frequent. Kind 1: (set, leader) of frequent ones. Kind 2: (frequent signature, set)."""
+    """Kinds 0 and 3: (signature, set) of signatures that aren't frequent. Kind 1: (set, leader) of frequent ones. Kind 2: (frequent signature, set)."""
     frequent = frequent.value
     hot_sig, lead, lead_n = frequent["sig"], frequent["lead"], frequent["lead_n"]
     held: list[tuple] = []
@@ -216,7 +235,7 @@ def _indexed(batches, s: Similarity, frequent, buckets: int):
         first = np.unique(mix(sig) ^ cls.astype(U), return_index=True)[1]  # copies once
         sig, cls, n, hot = sig[first], cls[first], n[first], hot[first]
         cold = ~hot
-        yield _block(bucket_of(mix(sig[cold]), buckets), 0, sig[cold], cls[cold], n[cold])
+        yield _compact(sig[cold], cls[cold], n[cold], buckets)
         if hot.any():
             sig, cls, n = sig[hot], cls[hot], n[hot]
             at = np.searchsorted(hot_sig, sig)
@@ -241,21 +260,25 @@ def _indexed(batches, s: Similarity, frequent, buckets: int):
 def _met(batches, s: Similarity):
     """A bucket's pairs (a, b, null), and memberships (null, b, signature) of frequent signatures."""
     names = ["a", "b", "sig"]
-    cold = []
+    cold: list[tuple] = []
+    bucket = 0
     pairs: list[np.ndarray] = []
     members: list[np.ndarray] = []
     for batch in batches:
         kind = np.array(batch.column("kind").to_pylist())
-        cold.append(batch.filter(pa.array(kind == 0)))
+        for k in np.flatnonzero((kind == 0) | (kind == 3)).tolist():
+            one = {c: batch.column(c)[k].as_py() for c in ("sig", "node", "n", "at", "bucket")}
+            at, bucket = np.frombuffer(one["at"], np.uint32 if kind[k] else np.uint16), one["bucket"]
+            cold.append((np.frombuffer(one["sig"], np.uint32), np.frombuffer(one["node"], np.int64)[at], np.frombuffer(one["n"], np.uint32)[at]))
         x = unpacked([batch.filter(pa.array(kind == 1))], {"sig": np.int64, "node": np.int64}) if (kind == 1).any() else None
         if x:
             pairs.append(np.stack([np.minimum(x["sig"], x["node"]), np.maximum(x["sig"], x["node"])]))
         if (kind == 2).any():
             x = unpacked([batch.filter(pa.array(kind == 2))], {"sig": np.int64, "node": np.int64})
             members.append(np.stack([x["node"], x["sig"]]))
-    x = unpacked(cold, {"sig": np.uint64, "node": np.int64, "n": np.uint32})
-    order = np.lexsort((x["n"], x["sig"]))
-    sig, node, n = x["sig"][order], x["node"][order], x["n"][order].astype(np.int64)
+    sig, node, n = (np.concatenate(c) for c in zip(*cold, strict=True)) if cold else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    order = np.argsort(sig.astype(U) << U(32) | n)
+    sig, node, n = sig[order], node[order], n[order].astype(np.int64)
     cut = runs(sig)
     count = np.diff(cut)
     group = np.repeat(np.arange(len(count)), count)
@@ -275,7 +298,7 @@ def _met(batches, s: Similarity):
         i, j = np.minimum(at, middle), np.maximum(at, middle)
         some = near(i, j)
         pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, some])
-        members.append(np.stack([node[at], sig[at].astype(np.int64)]))
+        members.append(np.stack([node[at], sig[at].astype(np.int64) | 1 << 62 | bucket << 32]))
     if pairs and sum(p.shape[1] for p in pairs):
         found = np.concatenate(pairs, 1)
         found = found[:, np.unique(mix(found[0].astype(U)) + found[1].astype(U), return_index=True)[1]]
@@ -291,26 +314,65 @@ def linked(a: np.ndarray, b: np.ndarray, s: Similarity) -> bool:
     return both * s.den >= s.num * (len(a) + len(b) - both)
 
 
+def _squeezed(batches):
+    squeeze = zstandard.ZstdCompressor(1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(r or b"") for r in batch.column(1).to_pylist()], pa.binary())], names=["row", "raw"])
+
+
+def _plain(column) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor()
+    return [expand.decompress(r) for r in column.to_pylist()]
+
+
 def _verified(batches, s: Similarity):
     """(a, b, raw_a, raw_b) to the pairs that link."""
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         found = []
-        for lo in range(0, len(a), 256):
-            one, two = Sets(left[lo : lo + 256], s.words), Sets(right[lo : lo + 256], s.words)
-            found += [(a[lo + k], b[lo + k]) for k in range(len(one.n)) if linked(one.of(k), two.of(k), s)]
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            one, two = Sets(_plain(part.column(2)), s.words), Sets(_plain(part.column(3)), s.words)
+            found += [(a[k], b[k]) for k in range(len(one.n)) if linked(one.of(k), two.of(k), s)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _tokens(batches, size: int):
     for batch in batches:
-        cls = batch.column(0).to_pylist()
-        for some, raws in sliced(cls, batch.column(1).to_pylist()):
+        for some, raws in sliced(batch.column(0).to_pylist(), _plain(batch.column(1))):
             sets = Sets(raws, size)
             yield pa.RecordBatch.from_pydict({"cls": pa.array(some, pa.int64()), "token": pa.array([sets.of(k).tobytes() for k in range(len(some))], pa.binary())})
 
 
+def sketch(token: np.ndarray) -> bytes:
+    """A bit for each of about twice as many places as the set has shingles: whether an odd number of them falls there."""
+    bits = 1 << max(6, int(2 * len(token) - 1).bit_length())
+    return np.packbits((np.bincount((token & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Places where two sketches differ: sets differ in as many shingles or more. The longer sketch is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, size), 0), np.bitwise_xor.reduce(y.reshape(-1, size), 0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sketches(batches, size: int):
+    for batch in batches:
+        for some, raws in sliced(batch.column(0).to_pylist(), _plain(batch.column(1))):
+            sets = Sets(raws, size)
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(some, pa.int64()), "n": pa.array(sets.n), "raw": pa.array([sketch(sets.of(k)) for k in range(len(some))], pa.binary())})
+
+
+def _possible(batches, s: Similarity):
+    """Pairs that their sketches don't rule out."""
+    for batch in batches:
+        a, b, n, m = (batch.column(c).to_pylist() for c in ("raw_a", "raw_b", "n_a", "n_b"))
+        good = [(s.num + s.den) * least_difference(a[k], b[k]) <= (s.den - s.num) * (n[k] + m[k]) for k in range(len(a))]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def _scanned(batches, folder: str, s: Similarity):
     """Sets against every block of the odd ones, by the block's inverted index; links that join what this task hasn't joined yet."""
     blocks = [uri for uri, _ in list_files(folder, ".parquet")]
@@ -375,8 +437,21 @@ def components_of(df: DataFrame, similarity: Similarity = Similarity(), id_col:
     pairs = written(pairs, "jaccard-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(members.select("cls")).distinct()
     chosen = classes.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row")).join(needed, "cls")
-    held = written(docs.select("row", "raw").join(chosen, "row").groupBy("cls").agg(F.first("raw").alias("raw")), "jaccard-texts")
-    links = written(arrow_map(_with_texts(pairs, held), lambda b: _verified(b, s), "a long, b long"), "jaccard-links")
+    # texts go through the exchanges compressed; repeated rows leave one
+    texts_of = arrow_map(docs.select("row", "raw"), _squeezed, "row long, raw binary").join(chosen, "row").dropDuplicates(["row"])
+    held = written(texts_of.select("cls", "raw"), "jaccard-texts")
+    seen = written(arrow_map(held, lambda b: _sketches(b, s.words), "cls long, n long, raw binary"), "jaccard-sketches")
+    side = lambda c: seen.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("raw").alias(f"raw_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b", "n_a", "n_b")
+    pairs = written(arrow_map(both, lambda b: _possible(b, s), "a long, b long"), "jaccard-possible")
+    # first each set's pair with the least partner, then the pairs whose ends aren't connected yet
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(arrow_map(_with_texts(first, held), lambda b: _verified(b, s), "a long, b long"), "jaccard-links")
+    label = components(links)
+    at = lambda c, n: label.select(F.col("node").alias(c), F.col("label").alias(n))
+    apart = pairs.join(at("a", "of_a"), "a", "left").join(at("b", "of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    apart = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = links.union(written(arrow_map(_with_texts(apart, held), lambda b: _verified(b, s), "a long, b long"), "jaccard-links"))
     label = components(links)
     # members of frequent signatures that the stars left outside the main component
     within = written(members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "jaccard-members")

@@ -83,3 +83,13 @@ def test_components(spark):
         up[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for p in links if p[0] != p[1] for x in p}
+
+
+def test_sketches_never_overstate_a_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        pool = rng.integers(0, 2**56, 400).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 390))) for _ in range(2))
+        assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
