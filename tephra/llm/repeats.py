@@ -68,9 +68,9 @@ def _local(rows: list, make, buckets: int, n: int):
         return
     hash_, row, flags, more = make(rows)
     known = np.flatnonzero(flags[0] > 0)
-    docs, blobs = by_row(row[known], (flags[1][known].astype(np.uint32) << np.uint32(2)) | flags[0][known].astype(np.uint32))
-    base = {name: pa.array([b""] * len(docs), pa.binary()) for name in more}
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket_of(mix(docs.astype(U)), buckets), pa.int32()), **base, "row": pa.array([d.tobytes() for d in docs], pa.binary()), "place": pa.array(blobs, pa.binary()), "known": pa.array([True] * len(docs), pa.bool_())})
+    sent = _places(row[known], (flags[1][known].astype(np.uint32) << np.uint32(2)) | flags[0][known].astype(np.uint32), buckets)
+    empty = [pa.array([b""] * sent.num_rows, pa.binary()) for _ in more]
+    yield pa.RecordBatch.from_arrays([sent.column(0), *empty, *sent.columns[1:], pa.array([True] * sent.num_rows, pa.bool_())], names=["bucket", *more, "row", "place", "known"])
     some = _first(hash_, *more.values())
     batch = packed(bucket_of(hash_[some], buckets), {**{k: v[some] for k, v in more.items()}, "row": row[some], "place": flags[1][some].astype(np.uint32)})
     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * batch.num_rows, pa.bool_())], names=[*batch.schema.names, "known"])
@@ -138,10 +138,9 @@ def _send_long(batches, n: int, k: int, buckets: int, most: int):
             at, q = least(words, n, k)
             flag = np.zeros(len(words.hash), np.uint8)
             for j, number in enumerate(some):
-                for blob in survivors[number]:
-                    value = np.frombuffer(blob, np.uint32)
-                    place = words.off[j] + (value >> np.uint32(2)).astype(np.int64)
-                    np.bitwise_or.at(flag, place, (value & np.uint32(3)).astype(np.uint8))
+                value = np.frombuffer(survivors[number], np.uint32)
+                place = words.off[j] + (value >> np.uint32(2)).astype(np.int64)
+                np.bitwise_or.at(flag, place, (value & np.uint32(3)).astype(np.uint8))
             offset = q - at
             take = (flag[q] & 1 > 0) & (offset >= k) | (flag[q] & 2 > 0) & (offset <= n - 2 * k)
             if 2 * k > n:
@@ -161,22 +160,46 @@ def _send_long(batches, n: int, k: int, buckets: int, most: int):
     yield from _local(rows, make, buckets, n)
 
 
-def _meet(batches, sided: bool):
-    """A bucket: which of its windows are repeated; (row, places) out."""
+def _meet(batches, sided: bool, buckets: int):
+    """A bucket: which of its windows are repeated; their places out."""
     kept = []
     for batch in batches:
         known = np.array(batch.column("known").to_pylist(), bool)
-        if known.any():
-            passed = batch.filter(pa.array(known))
-            yield pa.RecordBatch.from_pydict({"row": pa.array([int.from_bytes(r, "little", signed=True) for r in passed.column("row").to_pylist()], pa.int64()), "places": passed.column("place")})
+        yield batch.filter(pa.array(known)).select(["bucket", "row", "place"])
         kept.append(batch.filter(pa.array(~known)))
     kinds = {"hash": np.uint64, **({"left": np.uint32, "right": np.uint32} if sided else {}), "row": np.int64, "place": np.uint32}
     x = unpacked(kept, kinds)
     flags = _sides(x["hash"], x["left"], x["right"]) if sided else _again(x["hash"]).astype(np.uint8)
     some = np.flatnonzero(flags)
-    docs, blobs = by_row(x["row"][some], (x["place"][some] << np.uint32(2)) | flags[some].astype(np.uint32))
+    yield _places(x["row"][some], (x["place"][some] << np.uint32(2)) | flags[some].astype(np.uint32), buckets)
+
+
+def _places(row: np.ndarray, value: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places by the bucket of their row key: (bucket, pairs of row keys and numbers of places, the places)."""
+    docs, blobs = by_row(row, value)
+    bucket = bucket_of(mix(docs.astype(U)), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cut = runs(bucket[order])
+    cols: list[list] = [[], [], []]
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        mine = order[i:j].tolist()
+        cols[0].append(int(bucket[mine[0]]))
+        cols[1].append(np.stack([docs[mine], [len(blobs[k]) // 4 for k in mine]]).astype(np.int64).tobytes())
+        cols[2].append(b"".join([blobs[k] for k in mine]))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "row", "place"])
+
+
+def _gathered(batches):
+    """A bucket's row keys, each with all its places."""
+    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for batch in batches:
+        for head, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            docs, n = np.frombuffer(head, np.int64).reshape(2, -1)
+            rows.append(np.repeat(docs, n))
+            values.append(np.frombuffer(body, np.uint32))
+    docs, blobs = by_row(np.concatenate(rows), np.concatenate(values))
     for at in range(0, len(docs), 5000):
-        yield pa.RecordBatch.from_pydict({"row": pa.array(docs[at : at + 5000], pa.int64()), "places": pa.array(blobs[at : at + 5000], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 5000], pa.int64()), pa.array(blobs[at : at + 5000], pa.binary())], names=["row", "places"])
 
 
 def _remove(batches, n: int, digests: bool):
@@ -188,7 +211,7 @@ def _remove(batches, n: int, digests: bool):
                 words, gone = raw.split(), 0
                 if places[number]:
                     step = np.zeros(len(words) + 1, np.int32)
-                    p = np.unique(np.frombuffer(b"".join(places[number]), np.uint32) >> np.uint32(2)).astype(np.int64)
+                    p = np.unique(np.frombuffer(places[number], np.uint32) >> np.uint32(2)).astype(np.int64)
                     np.add.at(step, p, 1)
                     np.add.at(step, p + n, -1)
                     keep = np.cumsum(step[:-1]) == 0
@@ -217,10 +240,10 @@ def remove_repeats(df: DataFrame, n: int = 35, id_col: str = "doc_id", text_col:
     k, buckets = lengths(n), shuffle_partitions(spark)
     body = "hash binary, {}row binary, place binary, known boolean"
     short = arrow_map(docs.select("row", "raw"), lambda b: _send_short(b, n, k, buckets, held), "bucket int, " + body.format("left binary, right binary, "))
-    survivors = written(arrow_map(dealt(short, buckets), lambda b: _meet(b, True), "row long, places binary"), "repeats-short")
-    together = survivors.groupBy("row").agg(F.collect_list("places").alias("places"))
+    survivors = written(arrow_map(dealt(short, buckets), lambda b: _meet(b, True, buckets), "bucket int, row binary, place binary"), "repeats-short")
+    together = arrow_map(dealt(survivors, buckets), _gathered, "row long, places binary")
     long = arrow_map(docs.select("row", "raw").join(together, "row"), lambda b: _send_long(b, n, k, buckets, held), "bucket int, " + body.format(""))
-    found = written(arrow_map(dealt(long, buckets), lambda b: _meet(b, False), "row long, places binary"), "repeats-long")
-    places = found.groupBy("row").agg(F.collect_list("places").alias("places"))
+    found = written(arrow_map(dealt(long, buckets), lambda b: _meet(b, False, buckets), "bucket int, row binary, place binary"), "repeats-long")
+    places = arrow_map(dealt(found, buckets), _gathered, "row long, places binary")
     joined = docs.join(places, "row", "left").select("doc_id", "raw", "places")
     return arrow_map(joined, lambda b: _remove(b, n, digests), f"doc_id {kind}, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "kept string"))
