@@ -52,8 +52,12 @@ def covering(paths: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def even_sample(df: DataFrame, order: str, most: int) -> DataFrame:
-    """Rows floor(i n / most) of the order, if there are more than `most`; positions come from a distributed sort."""
-    numbered = df.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-    n = numbered.agg(F.count("*").alias("__all"))
-    at = F.floor((F.col("__n") * most + F.col("__all") - 1) / F.col("__all"))
-    return numbered.join(F.broadcast(n)).where((F.col("__all") <= most) | (F.floor(at * F.col("__all") / most) == F.col("__n")) & (at < most)).drop("__n", "__all")
+    """Rows floor(i n / most) of the order for i from 0, if there are more than `most`; all rows otherwise."""
+    from tephra.plans.tables import numbered
+
+    rows = numbered(df, order, name="__n")
+    n = df.count()
+    if n <= most:
+        return rows.drop("__n")
+    at = F.floor((F.col("__n") * most + n - 1) / n)
+    return rows.where((F.floor(at * n / most) == F.col("__n")) & (at < most)).drop("__n")

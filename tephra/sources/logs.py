@@ -104,9 +104,9 @@ def load_mappings(spark: SparkSession, path: str) -> DataFrame:
 
 def write_mappings(df: DataFrame, path: str, metrics_only: bool = False, fmt: str = "parquet") -> None:
     """Mappings by length, numbered from 1, metrics rounded to 6 places (perc_diag 2); CSV paths are 1-based text."""
-    from pyspark.sql import Window
+    from tephra.plans.tables import numbered
 
-    out = df.withColumn("mapping_id", F.row_number().over(Window.orderBy("length", "path")).cast("long"))
+    out = numbered(df.drop("mapping_id"), "length", "path", name="mapping_id").withColumn("mapping_id", F.col("mapping_id") + 1)
     places = {"norm_dtw": 6, "dtw_ratio": 6, "perc_diag": 2, "dtw_warp_eff": 6, "corr_coef": 6, "perc_age_overlap": 2}
     out = out.withColumns({c: F.round(c, n) for c, n in places.items() if c in out.columns})
     if metrics_only:
