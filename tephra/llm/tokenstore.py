@@ -136,7 +136,10 @@ def write_tokens(
     from tokenizers import Tokenizer
 
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    sample = docs.select(F.expr("substring(raw, 1, 16384)").alias("raw"), F.xxhash64("doc_id").alias("h")).orderBy("h", "raw").limit(sample_docs)
+    # first the hashes alone, then the texts of those below the bound: no task sends the driver more than it needs
+    least = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_docs)
+    bound = least.agg(F.max("h")).head()[0]
+    sample = docs.where(F.xxhash64("doc_id") <= F.lit(bound if bound is not None else 0)).select(F.expr("substring(raw, 1, 16384)").alias("raw")).limit(sample_docs)
     encoder = WordEncoder(tokenizer_path, width)
     trained = _dictionary([x[:16384] for x in encoder.encode([(r.raw or b"").decode("utf-8", "ignore").encode() for r in sample.collect()], end_id)], dictionary_bytes)
     digest = hashlib.sha256(trained).hexdigest()
