@@ -60,7 +60,7 @@ def _reach(start: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     while not new.isEmpty():
         step = new.withColumnRenamed("key", "src").join(links, [*by, "src"]).select(*by, F.col("dst").alias("key")).distinct()
         new = written(step.join(seen, [*by, "key"], "left_anti"), "reach")
-        seen = written(seen.unionByName(new), "reach")
+        seen = seen.unionByName(new)
     return seen
 
 
