@@ -187,11 +187,6 @@ def special_segments(spark, d):
     return graph.special(p, graph.edges(p, ["pair"]), ["pair"])
 
 
-@query(f"with recursive {_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back")
-def on_complete_paths(spark, d):
-    return graph.on_complete_paths(neighbour_pairs(spark, d), ["pair"])
-
-
 # nations as boundaries: regions are cores, each with the next one
 
 
@@ -210,6 +205,11 @@ pairs as (select x.r as pair, x.b0 as a_b0, x.b1 as a_b1, y.b0 as b_b0, y.b1 as
 _REGION_EDGES = _REGIONS + _EDGES[len(_PAIRS) :] + _KINDS[len(_EDGES) :]
 
 
+@query(f"with recursive {_REGION_EDGES}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back")
+def on_complete_paths(spark, d):
+    return graph.on_complete_paths(region_pairs(spark, d), ["pair"])
+
+
 @query(f"with recursive {_REGION_EDGES}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, path, length from w join kinds using (pair, key) where is_bottom")
 def enumerate_paths(spark, d):
     return graph.complete_paths(region_pairs(spark, d), ["pair"])
