@@ -9,11 +9,16 @@ being what the tree gives its spelling.
 
 The counts come from all training texts: words are counted, sorted over partitions, and spelt from there. What a partition holds of a
 beginning is all there is of it, unless it also begins the partition's first or last word; so rare beginnings end where they are counted.
+
+The support that a state needs is the same for any input, and the tree is never in one place: states lie in buckets by their last
+characters, so that a state and all shorter ones that it is compared with or falls back on are in one bucket (those of one character of
+an alphabet, and the empty ones, in all). Each distinct word asks the buckets for its characters' probabilities.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -22,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, dealt, mix, packed, runs, shuffle_partitions, sliced, texts, written
+from .common import U, Words, arrow_map, bucket_of, dealt, mix, packed, runs, shuffle_partitions, sliced, texts, unpacked, written
 
 START, END_OF_WORD, END = "\x02", "\x03", "\x04"
 DEPTH = 4
 SYMBOLS = 0x110000 + 2
 HELD = 300_000
+#: From this character on (scripts of many signs) the last character alone says the bucket of a state; before it, the last two.
+WIDE = "\u3000"
 
 
 def states_of(word: str, at: int) -> list[str]:
@@ -40,7 +47,7 @@ def states_of(word: str, at: int) -> list[str]:
 
 
 def _words(batches):
-    """(word, count), summed over what a task holds."""
+    """(word, count in training texts), summed over what a task holds; words of held-out texts alone have count 0."""
     held: dict[int, list] = {}
 
     def tell():
@@ -48,9 +55,10 @@ def _words(batches):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for _, raws in sliced([None] * batch.num_rows, [r or b"" for r in batch.column(0).to_pylist()]):
+        for some, raws in sliced(batch.column(1).to_pylist(), [r or b"" for r in batch.column(0).to_pylist()]):
             words = Words(raws, lower=True)
-            key, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+            key, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
+            n = np.bincount(at, ~np.array(some, bool)[words.doc()], len(key)).astype(np.int64)
             for h, k, m in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
                 if (row := held.get(h)) is not None:
                     row[1] += m
@@ -63,38 +71,71 @@ def _words(batches):
         yield tell()
 
 
-def _spelt(batches, least: int):
-    """(state, next, n) of a run of sorted (word, count): rare beginnings that lie in this partition alone are left out."""
-    short: dict[tuple[str, str], int] = defaultdict(int)
-    long: dict[tuple[str, str], int] = defaultdict(int)
-    total: dict[str, int] = defaultdict(int)
-    first = last = None
+def _common(a: str, b: str) -> int:
+    k = 0
+    for x, y in zip(a, b):  # noqa: B905
+        if x != y:
+            break
+        k += 1
+    return k
+
+
+def _begun(batches, least: int):
+    """(raw, word, n, most) of a run of sorted (word, count): beginnings of over `most` characters occur fewer than `least` times.
+
+    They are no other word's, since that would be a neighbour; of the run's first and last words the neighbours aren't known.
+    """
+    held, before = None, 0
     for batch in batches:
         for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             word = raw.decode("utf-8", "replace") + END_OF_WORD
-            first = word if first is None else first
-            if last is not None and len(total) > 200_000:  # beginnings that no later word has are done
-                _prune(total, long, least, word, first)
-            last = word
-            for at, symbol in enumerate(word):
-                states = states_of(word, at)
-                total[states[0]] += n
-                long[states[0], symbol] += n
-                for state in states[1:]:
-                    short[state, symbol] += n
-    _prune(total, long, least, last or "", first or "")
-    rows = [(s, x, n) for table in (short, long) for (s, x), n in table.items()]
-    for lo in range(0, len(rows), 50_000):
-        part = rows[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64() if k == 2 else pa.string()) for k in range(3)], names=["state", "next", "n"])
-
-
-def _prune(total: dict, long: dict, least: int, *open_words: str) -> None:
-    gone = {s for s, n in total.items() if n < least and not any(w.startswith(s[1:]) for w in open_words)}
-    for s in gone:
-        del total[s]
-    for key in [k for k in long if k[0] in gone]:
-        del long[key]
+            if held is None:
+                before = len(word)
+            else:
+                after = _common(held[1], word)
+                yield *held, len(held[1]) if held[2] >= least else max(before, after)
+                before = after
+            held = raw, word, n
+    if held is not None:
+        yield *held, len(held[1])
+
+
+def _spelt(batches, least: int):
+    """(state, next, n) of a run of sorted (word, count): rare beginnings that lie in this partition alone are left out."""
+    short: dict[tuple[str, str], int] = defaultdict(int)
+    long: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+
+    def tell(rows: list):
+        for lo in range(0, len(rows), 50_000):
+            part = rows[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64() if k == 2 else pa.string()) for k in range(3)], names=["state", "next", "n"])
+
+    def done(*open_words: str) -> list:  # beginnings that no later word and no other partition has
+        rows = []
+        for s in [s for s in long if not any(w.startswith(s[1:]) for w in open_words)]:
+            found = long.pop(s)
+            if sum(found.values()) >= least:
+                rows += [(s, x, n) for x, n in found.items()]
+        return rows
+
+    first = last = ""
+    for _, word, n, most in _begun(batches, least):
+        if not n:
+            continue
+        first = first or word
+        if len(long) > 200_000:
+            yield from tell(done(last, first))
+        if len(short) > 1_000_000:
+            yield from tell([(s, x, n) for (s, x), n in short.items()])
+            short.clear()
+        last = word
+        for at, symbol in enumerate(word):
+            if at <= most:
+                long[START + word[:at]][symbol] += n
+            for k in range(max(0, at - DEPTH), at + 1):
+                short[word[k:at], symbol] += n
+    yield from tell(done(last, first))
+    yield from tell([(s, x, n) for s, found in long.items() for x, n in found.items()] + [(s, x, n) for (s, x), n in short.items()])
 
 
 class SuffixTree:
@@ -143,10 +184,11 @@ class SuffixTree:
             return ""
         return next((body[k:] for k in range(1, len(body)) if body[k:] in kept), "")
 
-    def symbol(self, word: str, at: int) -> float:
+    def symbol(self, word: str, at: int, whole: bool = True) -> float:
+        """log10 probability of character `at`. Unless whole, the word's beginning is cut off, so not a state."""
         log, begun = self.log, word[:at]
         state = START + begun
-        if state not in log:
+        if not whole or state not in log:
             state = next(begun[k:] for k in range(max(0, at - DEPTH), at + 1) if begun[k:] in log)
         off, x = 0.0, word[at]
         while state is not None:
@@ -167,41 +209,140 @@ class SuffixTree:
         return found
 
 
-# --- scoring -----------------------------------------------------------------------------------
+# --- spelling ----------------------------------------------------------------------------------
 
-_NAMES = ["bucket", "hash", "rows", "at", "row", "n_tokens", "n_known", "base", "score", "spelt", "rare"]
-_TYPES = "bucket int, hash binary, rows binary, at binary, row long, n_tokens long, n_known long, base double, score double, spelt double, rare long"
-_SUM_TYPES = "row long, m long, n_tokens long, n_known long, base double, score double, spelt double, rare long"
-_FIELDS = ["m", "n_tokens", "n_known", "base", "score", "spelt", "rare"]
-_RECORD = np.dtype([("row", "<i8"), *[(c, "<f8") for c in _FIELDS]])  # counts are whole numbers below 2^53
-_ARROW = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "spelt": pa.float64(), "rare": pa.int64()}
+_ASKED = "bucket int, state string, next array<string>, n array<long>, asked array<string>, at binary, word binary, count binary"
+_ASKED_NAMES = ["bucket", "state", "next", "n", "asked", "at", "word", "count"]
+_WORD = {"word": U, "n": np.int64, "spelt": np.float64}
 
 
-def _hashed(batches, tree, n_tokens: int, kinds: int, buckets: int):
-    """Each training word's hash, count, log10 probability and that of its spelling."""
-    tree = tree.value
-    for batch in batches:
-        raws = batch.column(0).to_pylist()
-        words = Words(raws)  # lowered already; one word each
-        n = np.asarray(batch.column(1), np.int64)
-        spelt = np.array([tree.score(r.decode("utf-8", "replace") + END_OF_WORD) for r in raws])
-        whole = np.log10(n + kinds * 10.0**spelt) - math.log10(n_tokens + kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket_of(words.hash, buckets)), pa.array(words.hash.astype(np.int64)), batch.column(1), pa.array(whole), pa.array(spelt)], names=["bucket", "word", "n", "whole", "letters"])
+def _everywhere(state: str) -> bool:
+    return state in ("", START) or len(state) == 1 and state < WIDE
+
 
+def _state_bucket(state: str, buckets: int) -> int:
+    return zlib.crc32((state[-2:] if state[-1:] < WIDE else state[-1:]).encode()) % buckets
 
-def _scored(batches, tree, frequent, n_tokens: int, ends: int, kinds: int, buckets: int):
-    """For each document a row of what is known of it here, and, by bucket, its words that aren't frequent.
 
-    A training text's words all have counts. Those of a held-out text may have none, so the sum of their spellings goes along, from which
-    the counted words' part is taken off again.
+def _state_buckets(state: Column, buckets: int) -> Column:
+    """_state_bucket as a column; all buckets for states that are everywhere."""
+    last = F.substring(state, -1, 1)
+    own = F.crc32(F.when(last < WIDE, F.substring(state, -2, 2)).otherwise(last).cast("binary")) % buckets
+    all_ = state.isin("", START) | ((F.length(state) == 1) & (state < WIDE))
+    return F.when(all_, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(own.cast("int")))
+
+
+def _questions(batches, least: int, buckets: int):
+    """By bucket: what is asked for (a mark: START or END; the characters before; the character), and which words ask for it.
+
+    After START stands the whole beginning; where it is too rare to be a state, the last few characters stand after END instead.
     """
-    tree, (hot, hot_n, hot_whole) = tree.value, frequent.value
-    p_end = 10 ** tree.score(END)
+    asked: dict[str, int] = {}
+    at, raws, sizes, counts = [], [], [], []
+
+    def tell():
+        words = Words(raws)
+        bucket = np.empty(len(asked), np.int64)
+        for q, k in asked.items():
+            state = q[:-1] if q[0] == START else q[1:-1]
+            bucket[k] = zlib.crc32(q.encode()) % buckets if _everywhere(state) else _state_bucket(state, buckets)
+        name, place, size = list(asked), np.array(at), np.array(sizes)
+        word = np.repeat(words.hash, size)
+        count = np.zeros(len(place), np.int64)
+        count[np.cumsum(size) - size] = counts
+        order = np.argsort(bucket[place].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+        place, word, count = place[order], word[order], count[order]
+        cut = runs(bucket[place])
+        cols: list[list] = [[] for _ in range(5)]
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            used, index = np.unique(place[i:j], return_inverse=True)
+            for c, v in zip(cols, (int(bucket[place[i]]), [name[k] for k in used.tolist()], index.astype(np.uint32).tobytes(), word[i:j].tobytes(), count[i:j].tobytes()), strict=True):
+                c.append(v)
+        nothing = [pa.nulls(len(cols[0]), t) for t in (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *nothing, pa.array(cols[1], pa.list_(pa.string())), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=_ASKED_NAMES)
+
+    for raw, word, n, most in _begun(batches, least):
+        raws.append(raw)
+        sizes.append(len(word))
+        counts.append(n)
+        for k in range(len(word)):
+            q = START + word[: k + 1] if k <= most else END + word[max(0, k - DEPTH) : k + 1]
+            at.append(asked.setdefault(q, len(asked)))
+        if len(at) > 1_000_000:
+            yield tell()
+            asked.clear()
+            at, raws, sizes, counts = [], [], [], []
+    if at:
+        yield tell()
+
+
+def _spellings(batches, least: int, divergence: float, ends: int, buckets: int):
+    """A bucket's states, then its questions: sums of log10 probabilities by word, packed by the word's bucket."""
+    counts: dict[str, dict[str, int]] = defaultdict(dict)
+    tree, held, size = None, [], 0
+    known: dict[str, float] = {}
+
+    def tell():
+        word, n, spelt = (np.concatenate(c) for c in zip(*held, strict=True))
+        return packed(bucket_of(word, buckets), {"word": word, "n": n, "spelt": spelt})
+
+    for batch in batches:
+        cols = [batch.column(k) for k in range(1, 8)]
+        for k in range(batch.num_rows):
+            if cols[0][k].is_valid:
+                counts[cols[0][k].as_py()] = dict(zip(cols[1][k].as_py(), cols[2][k].as_py(), strict=True))
+                continue
+            if tree is None:
+                counts[START][END] = counts[""][END] = ends
+                tree = SuffixTree(counts, least, divergence)
+                counts = {}
+            p = []
+            for q in cols[3][k].as_py():
+                if (found := known.get(q)) is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    found = known[q] = tree.symbol(q[1:], len(q) - 2, q[0] == START)
+                p.append(found)
+            place, word, n = (np.frombuffer(cols[c][k].as_py(), t) for c, t in ((4, np.uint32), (5, U), (6, np.int64)))
+            cut = runs(word)[:-1]
+            held.append((word[cut], np.add.reduceat(n, cut), np.add.reduceat(np.array(p)[place], cut)))
+            size += len(cut)
+            if size > 500_000:
+                yield tell()
+                held, size = [], 0
+    if held:
+        yield tell()
+
+
+def _hashed(batches, n_tokens: int, kinds: int, buckets: int):
+    """Each word's hash, count and log10 probability, in the bucket of its hash."""
+    found = unpacked(batches, _WORD)
+    word, at = np.unique(found["word"], return_inverse=True)
+    n = np.rint(np.bincount(at, found["n"], len(word)))
+    spelt = np.bincount(at, found["spelt"], len(word))
+    whole = np.where(n > 0, np.log10(np.maximum(n, 1) + kinds * 10.0**spelt), math.log10(kinds) + spelt) - math.log10(n_tokens + kinds)
+    bucket, n = bucket_of(word, buckets), n.astype(np.int64)
+    for lo in range(0, len(word), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in (bucket, word.astype(np.int64), n, whole)], names=["bucket", "word", "n", "whole"])
+
+
+# --- scoring -----------------------------------------------------------------------------------
+
+_NAMES = ["bucket", "hash", "rows", "at", "row", "n_tokens", "n_known", "base", "score"]
+_TYPES = "bucket int, hash binary, rows binary, at binary, row long, n_tokens long, n_known long, base double, score double"
+_SUM_TYPES = "row long, m long, n_tokens long, n_known long, base double, score double"
+_FIELDS = ["m", "n_tokens", "n_known", "base", "score"]
+_RECORD = np.dtype([("row", "<i8"), *[(c, "<f8") for c in _FIELDS]])  # counts are whole numbers below 2^53
+_ARROW = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+
+
+def _scored(batches, p_end: float, frequent, n_tokens: int, ends: int, kinds: int, buckets: int):
+    """For each document a row of what is known of it here, and, by bucket, its words that aren't frequent."""
+    hot, hot_n, hot_whole = frequent.value
     end_score = math.log10((ends + max(kinds, 1) * p_end) / (n_tokens + max(kinds, 1)))
     norm = math.log10(n_tokens + kinds + 1)
     for batch in batches:
-        held = batch.column(2).to_pylist()
-        for some, raws in sliced(list(zip(batch.column(0).to_pylist(), held, strict=True)), [r or b"" for r in batch.column(1).to_pylist()]):
+        for some, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
             words = Words(raws, lower=True)
             doc, m = words.doc(), len(raws)
             at = np.minimum(np.searchsorted(hot, words.hash), max(len(hot) - 1, 0))
@@ -211,23 +352,16 @@ def _scored(batches, tree, frequent, n_tokens: int, ends: int, kinds: int, bucke
             known = np.bincount(doc[is_hot], minlength=m) + (ends > 0)
             rare = np.flatnonzero(~is_hot)
             owner = doc[rare]
-            out = np.array([h for _, h in some])
-            spelt = np.zeros(m)
-            for k in np.flatnonzero(out).tolist():
-                mine = rare[owner == k] if m < 64 else rare[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")]
-                spelt[k] = math.fsum(tree.word(words.word(j).lower()) for j in mine.tolist())
-            row = np.array([r for r, _ in some], np.int64)
+            row = np.array(some, np.int64)
             empty = pa.array([b""] * m, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket_of(mix(row.astype(U)), buckets)), empty, empty, empty, *[pa.array(x) for x in (row, words.n + 1, known.astype(np.int64), base, score, spelt, np.where(out, np.bincount(owner, minlength=m), 0))]], names=_NAMES
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mix(row.astype(U)), buckets)), empty, empty, empty, *[pa.array(x) for x in (row, words.n + 1, known.astype(np.int64), base, score)]], names=_NAMES)
             hash_, bucket = words.hash[rare], bucket_of(words.hash[rare], buckets)
             order = np.argsort(bucket, kind="stable")
             cut = runs(bucket[order])
             cols: list[list] = [[] for _ in range(4)]
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 used, index = np.unique(owner[order[i:j]], return_inverse=True)
-                for c, v in zip(cols, (int(bucket[order[i]]), hash_[order[i:j]].tobytes(), (row[used] << 1 | out[used]).tobytes(), index.astype(np.uint16 if m <= 1 << 16 else np.uint32).tobytes() + (b"\2" if m <= 1 << 16 else b"\4")), strict=True):
+                for c, v in zip(cols, (int(bucket[order[i]]), hash_[order[i:j]].tobytes(), row[used].tobytes(), index.astype(np.uint16 if m <= 1 << 16 else np.uint32).tobytes() + (b"\2" if m <= 1 << 16 else b"\4")), strict=True):
                     c.append(v)
             nothing = [pa.nulls(len(cols[0]), t) for t in (pa.int64(), *_ARROW.values())]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *nothing], names=_NAMES)
@@ -262,7 +396,7 @@ def _answered(batches, buckets: int):
 
     for batch in batches:
         is_word = pc.is_valid(batch.column("word"))
-        words.append(batch.filter(is_word).select(["word", "n", "whole", "letters"]))
+        words.append(batch.filter(is_word).select(["word", "n", "whole"]))
         rest = batch.filter(pc.invert(is_word))
         docs = rest.filter(pc.is_valid(rest.column("row")))
         if docs.num_rows:
@@ -271,7 +405,7 @@ def _answered(batches, buckets: int):
     column = lambda k: np.concatenate([np.asarray(b.column(k)) for b in words]) if words else np.zeros(0)
     word = column(0).astype(np.int64).astype(U)
     order = np.argsort(word)
-    word, base, whole, letters = word[order], np.log10(column(1)[order] + 1.0), column(2)[order], column(3)[order]
+    word, base, whole = word[order], np.log10(column(1)[order] + 1.0), column(2)[order]
     for batch in asked:
         for k in range(batch.num_rows if len(word) else 0):
             at = batch.column(2)[k].as_py()
@@ -280,10 +414,8 @@ def _answered(batches, buckets: int):
             where = np.minimum(np.searchsorted(word, hash_), len(word) - 1)
             found = word[where] == hash_
             where, at = where[found], at[found]
-            n = np.bincount(at, minlength=len(rows))
-            out = rows & 1 > 0
-            sums = [np.bincount(at, x[where], len(rows)) for x in (base, whole, letters)]
-            held.append(_record(rows >> 1, n_known=n, base=sums[0], score=sums[1], spelt=np.where(out, -sums[2], 0.0), rare=np.where(out, -n, 0)))
+            n, *sums = [np.bincount(at, x[where], len(rows)) for x in (base > 0, base, whole)]
+            held.append(_record(rows, n_known=n, base=sums[0], score=sums[1]))
             size += len(rows)
             if size > 500_000:
                 yield tell()
@@ -296,55 +428,52 @@ def _summed(batches):
     found = _by_row([np.frombuffer(r, _RECORD) for batch in batches for r in batch.column(1).to_pylist()])
     for lo in range(0, len(found), 20_000):
         part = found[lo : lo + 20_000]
-        whole = {"m", "n_tokens", "n_known", "rare"}
+        whole = {"m", "n_tokens", "n_known"}
         yield pa.RecordBatch.from_arrays([pa.array(part["row"]), *[pa.array(np.rint(part[c]).astype(np.int64) if c in whole else part[c]) for c in _FIELDS]], names=["row", *_FIELDS])
 
 
-def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 100, divergence: float = 10.0, most_states: int = 1_000_000) -> DataFrame:
+def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 100, divergence: float = 10.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df.
 
     Tokens are the words (A-Z lowered) and one end. Counts are of all rows that aren't held out (a null held_out counts as no). base_score
     adds log10((c + 1) / (N + (V + 1))) over tokens; score is the model's log10 probability of the token sequence. A null text is
     empty: its only token is the end. Repeated rows each get a row; other columns are left out; an empty table gives none.
 
-    A state needs max(least, training characters / most_states) occurrences, so that at most most_states beginnings, and as many states
-    of each shorter length, can be kept: that bounds what the workers get. Words that occur more often than every half a millionth token,
-    so fewer than 500,000, are looked up in a broadcast; the other words' counts are asked for in their buckets.
+    A state needs `least` occurrences and a divergence (count x nats) of over `divergence`, whatever the size of the input. Words that occur
+    more often than every half a millionth token, so fewer than 500,000, are looked up in a broadcast; the other words' counts are asked
+    for in their buckets.
     """
     spark = df.sparkSession
     kind, buckets = dict(df.dtypes)[id_col], shuffle_partitions(spark)
     out = F.coalesce(held_out, F.lit(False)).alias("held_out")
     docs = texts(df, id_col, text_col, out)
-    train = docs.where(~F.col("held_out"))
-    counted = written(arrow_map(train.select("raw"), _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total, kinds, letters = counted.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * (F.length("word") + 1))).head()
-    ends = train.count()
+    counted = written(arrow_map(docs.select("raw", "held_out"), _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    total, kinds = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
+    ends = docs.where(~F.col("held_out")).count()
     n_tokens, kinds = (total or 0) + ends, int(kinds + (ends > 0))
-    least = max(least, (letters or 0) // most_states)
     ordered = counted.repartitionByRange(buckets, "word").sortWithinPartitions("word")
-    spelt = arrow_map(ordered, lambda b: _spelt(b, least), "state string, next string, n long").groupBy("state", "next").agg(F.sum("n").alias("n"))
-    spelt = written(spelt, "lm-states")
-    often = spelt.groupBy("state").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("state")
-    states: dict[str, dict[str, int]] = defaultdict(dict)
-    for state, symbol, n in zip(*spelt.join(often, "state").select("state", "next", "n").toArrow().to_pydict().values(), strict=True):
-        states[state][symbol] = n
-    states[START][END] = states[""][END] = ends
-    tree = spark.sparkContext.broadcast(SuffixTree(states, least, divergence))
-    hashed = written(arrow_map(counted, lambda b: _hashed(b, tree, n_tokens, kinds, buckets), "bucket int, word long, n long, whole double, letters double"), "lm-hashes")
+    spelt = arrow_map(ordered, lambda b: _spelt(b, least), "state string, next string, n long").repartition(buckets, "state").groupBy("state", "next").agg(F.sum("n").alias("n"))
+    states = spelt.groupBy("state").agg(F.collect_list("next").alias("next"), F.collect_list("n").alias("n"), F.sum("n").alias("all")).where(F.col("all") >= least).drop("all")
+    states = written(states, "lm-states")
+    first = {r.state: dict(zip(r.next, r.n, strict=True)) for r in states.where(F.col("state").isin("", START)).collect()}
+    first = {s: first.get(s, {}) | {END: ends} for s in ("", START)}
+    p_end = 10 ** SuffixTree(first, least, divergence).score(END)
+    asked = arrow_map(ordered, lambda b: _questions(b, least, buckets), _ASKED)
+    both = states.select(F.explode(_state_buckets(F.col("state"), buckets)).alias("bucket"), "state", "next", "n").unionByName(asked, allowMissingColumns=True)
+    letters = arrow_map(dealt(both, buckets).sortWithinPartitions(F.col("state").isNull()), lambda b: _spellings(b, least, divergence, ends, buckets), "bucket int, word binary, n binary, spelt binary")
+    hashed = written(arrow_map(dealt(letters, buckets), lambda b: _hashed(b, n_tokens, max(kinds, 1), buckets), "bucket int, word long, n long, whole double"), "lm-hashes")
     often = n_tokens // 500_000
     top = hashed.where(F.col("n") > often).select("word", "n", "whole").toArrow()
     hot = np.asarray(top.column(0), np.int64).astype(U)
     order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], np.asarray(top.column(1), np.int64)[order], np.asarray(top.column(2), np.float64)[order]))
     row = F.shiftright(F.xxhash64("doc_id", "raw"), 1).alias("row")
-    asked = arrow_map(docs.select(row, "raw", "held_out"), lambda b: _scored(b, tree, frequent, n_tokens, ends, kinds, buckets), _TYPES)
+    asked = arrow_map(docs.select(row, "raw"), lambda b: _scored(b, p_end, frequent, n_tokens, ends, kinds, buckets), _TYPES)
     both = asked.unionByName(hashed.where(F.col("n") <= often), allowMissingColumns=True)
     found = arrow_map(dealt(both, buckets), lambda b: _answered(b, buckets), "bucket int, sums binary")
     # equal rows come together: each has the sums of all, divided again
     sums = written(arrow_map(dealt(found, buckets), _summed, _SUM_TYPES), "lm-sums")
     ids = docs.select("doc_id", "held_out", row)
-    unseen = math.log10(max(kinds, 1) / (n_tokens + max(kinds, 1)))
-    score = (F.col("score") + F.col("spelt") + F.col("rare") * F.lit(unseen)) / F.col("m")
     return ids.join(sums, "row").select(
-        "doc_id", "held_out", (F.col("n_tokens") / F.col("m")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("m")).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), score.alias("score")
+        "doc_id", "held_out", (F.col("n_tokens") / F.col("m")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("m")).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score")
     )

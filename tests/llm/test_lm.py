@@ -74,3 +74,31 @@ def test_sorted_partitions_lose_no_frequent_beginning(spark):
     whole = lambda w, c: math.log10((c + v * 10 ** tree.score(w)) / (n + v))
     want = {d: math.fsum(whole(w + lm.END_OF_WORD, count[w]) for w in tokens(t)) + whole(lm.END, ends) for d, t in rows}
     assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
+def test_support_is_the_same_for_large_input_and_any_script(spark):
+    rng = random.Random(5)
+    signs = ["漢字仮名交文", "παράδειγμα", "😀😁😂", "letters"]
+    word = lambda: "".join(rng.choice(s) for s in [rng.choice(signs)] * rng.randrange(1, 7))
+    rows = [(k, " ".join(word() for _ in range(150))) for k in range(40)] + [(100 + k, "commonword " * 50_000) for k in range(26)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    held = lambda d: d % 7 == 2
+    got = lm.score_texts(df, F.col("doc_id") % 7 == 2, least=6, divergence=1.0).collect()
+    count, c = Counter(), {}
+    for d, t in rows:
+        if not held(d):
+            count.update(tokens(t))
+    assert sum(n * (len(w.encode()) + 1) for w, n in count.items()) > 11_000_000  # eleven and more for each of a million states
+    for w, n in count.items():
+        for at, x in enumerate(w + lm.END_OF_WORD):
+            for s in lm.states_of(w, at):
+                c.setdefault(s, Counter())[x] += n
+    ends = sum(not held(d) for d, _ in rows)
+    c[lm.START][lm.END] = c[""][lm.END] = ends
+    tree = lm.SuffixTree({s: x for s, x in c.items() if sum(x.values()) >= 6}, 6, 1.0)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    whole = {w: math.log10(count[w] + v * 10 ** tree.score(w + lm.END_OF_WORD)) - math.log10(n + v) for d, t in rows for w in set(tokens(t))}
+    end = math.log10((ends + v * 10 ** tree.score(lm.END)) / (n + v))
+    want = {d: math.fsum(whole[w] for w in tokens(t)) + end for d, t in rows}
+    assert any(not count[w] for d, t in rows for w in tokens(t))
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 * abs(want[r.doc_id]) for r in got)
