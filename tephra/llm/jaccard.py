@@ -114,7 +114,7 @@ def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray | None) -> t
             found = np.unique(_deletions(sets.of(k), 1, 2 if apart[k] > 1 else 1)) if apart[k] else _deletions(sets.of(k), 1, 0)[:1]
             sig.append(found)
             doc.append(np.full(len(found), k))
-    small = sum(map(len, sig))
+    small = upper = sum(map(len, sig))
     owner = np.repeat(np.arange(len(n)), n)
     own = np.maximum(_band(n), 4)
     for lower in (0, 1):  # the band of its size, and the one below for smaller partners
@@ -131,15 +131,14 @@ def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray | None) -> t
         first = cut[:-1]
         sig.append(mix(value + mix(part[first] + (band[o[first]].astype(U) << U(40)))) & SIG)
         doc.append(o[first])
+        upper += 0 if lower else len(first)
     sig, doc = np.concatenate(sig), np.concatenate(doc)
     if frequent is None:
         return sig, doc, np.zeros(len(sig), bool)
     hot = np.isin(sig, frequent, assume_unique=False) if len(frequent) else np.zeros(len(sig), bool)
     keep = [np.arange(small)]
     # the first H + 1 segments of each set and band, frequent ones last
-    at, own_doc = np.arange(small, len(sig)), doc[small:]
-    jump = np.flatnonzero(own_doc[1:] < own_doc[:-1])
-    for a, b in ((small, small + (jump[0] + 1 if len(jump) else len(own_doc))), (small + (jump[0] + 1 if len(jump) else len(own_doc)), len(sig))):
+    for a, b in ((small, upper), (upper, len(sig))):
         for lo in range(int(doc[a]) if b > a else 0, int(doc[b - 1]) + 1 if b > a else 0, 256):
             i, j = a + np.searchsorted(doc[a:b], (lo, lo + 256))
             order = np.argsort((doc[i:j] - lo).astype(U) << U(56) | hot[i:j].astype(U) << U(55) | sig[i:j])

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tephra.llm import components, jaccard
@@ -93,3 +94,24 @@ def test_sketches_never_overstate_a_difference():
         pool = rng.integers(0, 2**56, 400).astype(np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 390))) for _ in range(2))
         assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_a_set_indexes_the_same_alone_as_among_others():
+    rng = random.Random(8)
+    texts = [words_text(rng, n + 4, 10**6).encode() for n in (3, 9, 12, 17, 17, 20, 36, 70, 130, 17)]
+    none = np.zeros(0, np.uint64)
+    of = lambda raws: jaccard.signatures(jaccard.Sets(raws, 5), 3, 4, none)
+    sig, doc, _ = of(texts)
+    for k, text in enumerate(texts):
+        assert sorted(of([text])[0].tolist()) == sorted(sig[doc == k].tolist())
+    assert len(of([texts[3]])[0]) == 2 * 6  # H + 1 of each band
+
+
+def test_links_at_the_border_with_one_row_a_partition(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):  # 17 and 15 shingles that share 14
+        w = words_text(rng, 21, 10**6).split()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:18], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")
+    assert run(df) == brute(rows)
