@@ -54,7 +54,7 @@ def corpus(seed, docs=150):
         text = hashed(t)
         for i, x in items:
             item = hashed(x)
-            if len(item) >= 8 and distance(item, text) <= int(0.1 * len(item)):
+            if item and distance(item, text) <= int(0.1 * len(item)):
                 planted.add((d, i))
     return items, rows, planted
 
@@ -71,3 +71,25 @@ def test_recall_and_precision_against_brute_force(spark, odd_docs, no_docs):
     assert parts == set(got)
     assert dc.find_leaks(no_docs, bench).collect() == [] == dc.find_leaks(odd_docs, bench.limit(0)).collect()
     assert dc.find_leaks(odd_docs, bench).collect() == []
+
+
+def test_recall_at_the_most_edits_by_length():
+    """Exactly 10 % of an item's words edited, for items of 10 to 400 words."""
+    rng = random.Random(11)
+    for size, n in ((10, 60), (12, 40), (20, 40), (40, 30), (60, 20), (100, 15), (200, 10), (400, 6)):
+        texts = [words_text(rng, size, 3000) for _ in range(n)]
+        items = dc.Items(list(range(n)), [t.encode() for t in texts], dc.Search())
+        docs = [" ".join(words_text(rng, 30, 3000).split() + edited(rng, t.split(), size // 10) + words_text(rng, 30, 3000).split()).encode() for t in texts]
+        found = dc._matches(docs, items)
+        assert sum((k, k) in found for k in range(n)) >= 0.9 * n, size
+
+
+def test_documents_with_items_go_and_others_keep_their_columns(spark):
+    rng = random.Random(2)
+    item, short = words_text(rng, 20, 3000), "two words"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, short), (3, None)], "item_id long, text string")
+    rows = [(1, words_text(rng, 40, 3000), "a"), (2, "x " + item + " y", "b"), (None, None, "c"), (3, "", "d"), (4, "it has Two, words here", "e"), (1, "again", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, raw string")
+    kept = dc.without_leaks(df, bench)
+    assert kept.columns == df.columns and sorted(r.raw for r in kept.collect()) == ["a", "a", "c", "d"]
+    assert sorted((r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()) == [(2, 1), (2, 1), (4, 2)]
