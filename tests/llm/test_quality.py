@@ -43,6 +43,45 @@ def test_lines_go_and_clean_documents_stay(spark):
     assert got[4].cleaned == prose and got[4].n_dup_lines == 1
 
 
+def verdict(text):
+    """kept and cleaned, rule by rule and line by line, plainly."""
+    rules, good = quality.QualityRules(), []
+    n = len(plain_words(text or ""))
+    seen = set()
+    for line in (text or "").split("\n"):
+        w = plain_words(line)
+        if not w:
+            good.append(line)
+            continue
+        again, low = line in seen and len(w) >= 3, "".join(c.lower() if c.isascii() else c for c in line)
+        seen.add(line)
+        ends = bool(re.search(r"[.!?…。！？।؟][\"')\]”’»」]*[\x20\x09-\x0D]*$", line))
+        notice = any(x in low for x in rules.notices)
+        separators = line.count(" | ") + line.count(" > ") + line.count(" » ") + line.count(" / ")
+        symbols = sum(c in "#*$%&|<>" for c in line)
+        marks = line.count("!") + line.count("?")
+        stutter = sum(a == b for a, b in zip(w, w[1:]))
+        if again or not ends or notice or separators >= max(3, 0.2 * len(w)) or symbols > 0.5 * len(w) or marks > 0.5 * max(len(w), 4) or len(w) >= 6 and stutter > 0.3 * len(w):
+            continue
+        good.append(line)
+    left = len(plain_words("\n".join(good)))
+    return not base(text)[-1] and left >= max(0.6 * n, 20), "\n".join(good)
+
+
+def test_verdict_against_brute_force(spark, odd_docs):
+    rng = random.Random(6)
+    line = lambda: rng.choice([
+        words_text(rng, rng.randrange(1, 20), 5000) + rng.choice([".", "", "!", '."', "…", "?)", " .  "]), "Home", "a | b | c | d.", "Tous droits réservés.", "ALL RIGHTS reserved.",
+        "te " * rng.randrange(1, 9) + "te.", "x$$$ y%%% z.", "wow! wow! wow!", "", "  ", "same line over here.",
+    ])
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 14)))) for k in range(400)]
+    rows += [(500, " ".join(f"w{k}" for k in range(30)) + ".\n" + " ".join(f"v{k}" for k in range(19))), (501, " ".join(f"w{k}" for k in range(25)) + ".\n" + " ".join(f"v{k}" for k in range(19)))]
+    df = odd_docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.kept, r.cleaned) for r in quality.assess(df).collect()), key=str)
+    assert got == sorted(((r.doc_id, *verdict(r.text)) for r in df.collect()), key=str)
+    assert 20 < sum(k for _, k, _ in got) < 380
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbzZ \t\n\x0b\x1c\x85é　日"), max_size=40), max_size=6))
 def test_words_are_those_of_the_pattern(some):
