@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed together; bounds the memory of a worker.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset and the master is local, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: tables between stages need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tephra-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,8 +50,41 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *more)
 
 
+def row_key(*columns: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes that tell a row apart by these columns: 128 bits together."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+
+
+#: What this worker keeps beside a task's own data; each is called at the end of a partition.
+AT_END: list[Callable[[], None]] = []
+
+
+@functools.cache
+def _trim() -> Callable:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
+def release() -> None:
+    """Caches and freed memory go back, so that a worker that serves many tasks holds no more than one that serves its first."""
+    for forget in AT_END:
+        forget()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow; at the end of a partition its worker gives its memory back."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def sliced(ids: list, raws: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
@@ -81,8 +118,8 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U) + U(seed * 1_000_003)) * U(GOLDEN))
 
 
-_BYTE = seeds(256, 1)
-_LOWERED = np.array([_BYTE[b + 32] if 65 <= b <= 90 else _BYTE[b] for b in range(256)], dtype=U)
+_BYTE = [seeds(256, 1), seeds(256, 2)]
+_LOWERED = [np.array([t[b + 32] if 65 <= b <= 90 else t[b] for b in range(256)], dtype=U) for t in _BYTE]
 _IS_WORD = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _P = 0x2545F4914F6CDD1D
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
@@ -101,14 +138,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
 class Words:
     """The words ([^\\x20\\x09-\\x0D]+) of some texts.
 
-    hash: 64 bits a word (a polynomial over per-byte random values, mixed); off: where each text's words begin;
-    start, end: byte places in buf, which holds the texts joined by newlines.
+    hash: 64 bits a word (a polynomial over per-byte random values, mixed; check=1 takes other values, so that both together are 128
+    bits); off: where each text's words begin; start, end: byte places in buf, which holds the texts joined by newlines.
     """
 
-    def __init__(self, raws: list[bytes], lower: bool = False):
+    def __init__(self, raws: list[bytes], lower: bool = False, check: int = 0):
         self.buf = b"\n".join(raws)
         whole = np.frombuffer(self.buf, np.uint8)
-        table = _LOWERED if lower else _BYTE
+        table = (_LOWERED if lower else _BYTE)[check]
         hashes, starts, ends = [], [], []
         at = 0
         while at < len(whole):
@@ -164,10 +201,6 @@ def runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
 
 
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-
 # --- files in the shared folder ----------------------------------------------------------------
 
 
@@ -249,16 +282,12 @@ def unpacked(batches: Iterable[pa.RecordBatch], kinds: dict[str, type]) -> dict[
     return {k: np.frombuffer(b"".join(v), kinds[k]) for k, v in parts.items()}
 
 
+def buckets_for(spark: SparkSession, docs: DataFrame, column: str = "raw", each: int = 64 << 20) -> int:
+    """Buckets of about `each` bytes of text, at least as many as there are shuffle partitions: what one holds doesn't grow with the input."""
+    size = docs.agg(F.sum(F.octet_length(column))).head()[0] or 0
+    return max(shuffle_partitions(spark), -(-size // each))
+
+
 def dealt(df: DataFrame, buckets: int) -> DataFrame:
     """Every bucket in a task of its own."""
     return df.repartitionById(buckets, F.col("bucket"))
-
-
-def by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The values of each row key, as bytes."""
-    order = np.argsort(row, kind="stable")
-    row, value = row[order], value[order]
-    cut = runs(row)
-    if not len(row):
-        return row, []
-    return row[cut[:-1]], [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, dealt, list_files, mix, open_file, packed, runs, seeds, shuffle_partitions, sliced, texts, unpacked, work_path, written
+from .common import U, Words, arrow_map, bucket_of, dealt, list_files, mix, open_file, packed, row_key, runs, seeds, shuffle_partitions, sliced, texts, unpacked, work_path, written
 from .components import components
 
 TOKEN = U(2**56 - 1)
@@ -47,7 +47,7 @@ class Similarity:
     words: int = 5
     frequent: int = 10
     group: int = 200
-    held: int = 1_500_000
+    held: int = 500_000
 
 
 class Sets:
@@ -155,11 +155,10 @@ def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray | None) -> t
 
 def _classes(batches, size: int):
     for batch in batches:
-        ids, rows, raws = batch.column(0), batch.column(1), [r or b"" for r in batch.column(2).to_pylist()]
-        for some, part in sliced(list(range(batch.num_rows)), raws):
+        for some, part in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(3).to_pylist()]):
             sets = Sets(part, size)
-            take = pa.array(some)
-            yield pa.RecordBatch.from_arrays([ids.take(take), rows.take(take), pa.array(sets.n), pa.array(sets.cls, mask=sets.n == 0)], names=["doc_id", "row", "n", "cls"])
+            held = [batch.column(k).take(pa.array(some)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(sets.n), pa.array(sets.cls, mask=sets.n == 0)], names=["doc_id", "row", "row2", "n", "cls"])
 
 
 def _counted(batches, s: Similarity):
@@ -316,7 +315,7 @@ def linked(a: np.ndarray, b: np.ndarray, s: Similarity) -> bool:
 def _squeezed(batches):
     squeeze = zstandard.ZstdCompressor(1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(r or b"") for r in batch.column(1).to_pylist()], pa.binary())], names=["row", "raw"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(r or b"") for r in batch.column(2).to_pylist()], pa.binary())], names=["row", "row2", "raw"])
 
 
 def _plain(column) -> list[bytes]:
@@ -421,23 +420,41 @@ def components_of(df: DataFrame, similarity: Similarity = Similarity(), id_col:
 
     Texts are lowered (A-Z) and cut into words; a set holds the distinct runs of similarity.words words, or all words of a shorter text
     as one; null and empty texts have none and are alone. component_id is the least id that links reach (nulls count as the largest).
-    Repeated rows and equal ids each get a row; other columns are left out; an empty table gives none. Shingles are compared by 56-bit
-    and equal sets by 64-bit hashes.
+    Repeated rows and equal ids each get a row; other columns are left out; an empty table gives none. Whole texts are taken, however
+    long. Shingles are compared by 56-bit and equal sets by 64-bit hashes.
     """
+    return _labelled(df, similarity, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def representatives(df: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay when of each component one goes on: the one of the least id (nulls count as the largest; of equal ids the
+    one of the least hash of its text). Texts without words link with nothing and stay, but of rows equal in id and text one stays."""
+    found = written(_labelled(df, similarity, id_col, text_col).select("doc_id", "row", "row2", "of"), "jaccard-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "row2")
+    kept = found.where("of is not null").groupBy("of").agg(F.min(order).alias("k")).select("k.row", "k.row2").union(found.where("of is null").select("row", "row2")).distinct()
+    kept = kept.select(F.col("row").alias("__row"), F.col("row2").alias("__row2"))
+    row, row2 = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("binary"))
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__of"), row.alias("__row"), row2.alias("__row2"))
+    return source.join(kept, ["__row", "__row2"]).dropDuplicates(["__row", "__row2"]).select("__of.*")
+
+
+def _labelled(df: DataFrame, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, row2, n, cls, of, component): each row's class and component; `of` is null for texts without words."""
     spark = df.sparkSession
     s, buckets = similarity, shuffle_partitions(spark)
     kind = dict(df.dtypes)[id_col]
-    docs = texts(df, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "raw"))
-    classes = written(arrow_map(docs.select("doc_id", "row", "raw"), lambda b: _classes(b, s.words), f"doc_id {kind}, row long, n long, cls long"), "jaccard-classes")
+    row, row2 = row_key(F.col("doc_id"), F.col("raw"))
+    docs = texts(df, id_col, text_col).withColumn("row", row).withColumn("row2", row2)
+    classes = written(arrow_map(docs.select("doc_id", "row", "row2", "raw"), lambda b: _classes(b, s.words), f"doc_id {kind}, row long, row2 long, n long, cls long"), "jaccard-classes")
     frequent = _frequent(spark, docs, s)
-    found = written(dealt(arrow_map(docs.select("raw"), lambda b: _indexed(b, s, frequent, buckets), _COLUMNS), buckets).mapInArrow(lambda b: _met(b, s), "a long, b long, sig long"), "jaccard-candidates")
+    found = written(arrow_map(dealt(arrow_map(docs.select("raw"), lambda b: _indexed(b, s, frequent, buckets), _COLUMNS), buckets), lambda b: _met(b, s), "a long, b long, sig long"), "jaccard-candidates")
     pairs = found.where("a is not null").select("a", "b").distinct()
     members = found.where("a is null").select("sig", F.col("b").alias("cls"))
     pairs = written(pairs, "jaccard-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(members.select("cls")).distinct()
-    chosen = classes.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row")).join(needed, "cls")
+    chosen = classes.where("cls is not null").groupBy("cls").agg(F.min(F.struct("row", "row2")).alias("r")).join(needed, "cls").select("cls", "r.row", "r.row2")
     # texts go through the exchanges compressed; repeated rows leave one
-    texts_of = arrow_map(docs.select("row", "raw"), _squeezed, "row long, raw binary").join(chosen, "row").dropDuplicates(["row"])
+    texts_of = arrow_map(docs.select("row", "row2", "raw"), _squeezed, "row long, row2 long, raw binary").join(chosen, ["row", "row2"]).dropDuplicates(["row", "row2"])
     held = written(texts_of.select("cls", "raw"), "jaccard-texts")
     seen = written(arrow_map(held, lambda b: _sketches(b, s.words), "cls long, n long, raw binary"), "jaccard-sketches")
     side = lambda c: seen.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("raw").alias(f"raw_{c}"))
@@ -467,10 +484,10 @@ def components_of(df: DataFrame, similarity: Similarity = Similarity(), id_col:
     named = classes.where("cls is not null").groupBy("cls").agg(least.alias("id")).join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "id")
     group = written(named, "jaccard-labels")
     low = group.groupBy("label").agg(F.min("id").alias("id"))
-    of = group.select("cls", "label").join(low, "label").select(F.col("cls").alias("of"), F.col("id.doc_id").alias("component"))
+    of = group.select("cls", "label").join(low, "label").select("cls", F.col("label").alias("of"), F.col("id.doc_id").alias("component"))
     of = written(of, "jaccard-components")
-    alone = F.when(F.col("cls").isNull(), F.xxhash64("row")).otherwise(F.col("cls"))  # the empty ones are no group
-    return classes.withColumn("of", alone).join(of, "of", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    empty = classes.where("cls is null").select("*", F.lit(None).cast("long").alias("of"), F.lit(None).cast(kind).alias("component"))
+    return classes.where("cls is not null").join(of, "cls").select(*empty.columns).unionByName(empty)
 
 
 def _frequent(spark: SparkSession, docs: DataFrame, s: Similarity):

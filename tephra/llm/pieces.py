@@ -15,19 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, sliced, texts
+from .common import AT_END, arrow_map, sliced, texts
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class PieceModel:
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most_bytes: int = 32 << 20):
         import ahocorasick
         import sentencepiece
 
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most, self.end_id = most, sp.eos_id()
+        self.most_bytes, self.end_id = most_bytes, sp.eos_id()
         special = {k for k in range(sp.get_piece_size()) if sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k)}
         self.id = {sp.id_to_piece(k): k for k in range(sp.get_piece_size()) if k not in special}
         self.score = {p: sp.get_score(k) for p, k in self.id.items()}
@@ -48,7 +48,14 @@ class PieceModel:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+        AT_END.append(self.forget)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.apart.clear()
+        self.held = 0
 
     def _merged(self, symbols: str) -> list[str]:
         """The definition, for a few characters: join the pair of the best score, leftmost first, until none is a piece."""
@@ -96,20 +103,23 @@ class PieceModel:
             out.extend([k] if k is not None else [self.byte[b] for b in t.encode()])
         return out
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+    def _chunk(self, chunk: str) -> bytes:
         """Cut where two characters are together in no piece, as before an end mark: the parts are encoded, and kept, one by one."""
         inner = self.inner
         cuts = [0, *[k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in inner], len(chunk)]
         if len(cuts) > 2:
-            parts = [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
-            made = [self.known.get(p) or self._part(p) for p in parts]
-            self.known[chunk] = whole = (b" ".join([m[0] for m in made]), b"".join([m[1] for m in made]))
-            return whole
+            get = self.known.get
+            return self._keep(chunk, b" ".join([get(p) or self._part(p) for p in (chunk[a:b] for a, b in zip(cuts, cuts[1:]))]))
         return self._part(chunk)
 
-    def _part(self, part: str) -> tuple[bytes, bytes]:
-        ids = self.ids(part)
-        made = self.known[part] = (" ".join(map(str, ids)).encode(), b"".join([self.value[k] for k in ids]))
+    def _part(self, part: str) -> bytes:
+        return self._keep(part, " ".join(map(str, self.ids(part))).encode())
+
+    def _keep(self, part: str, made: bytes) -> bytes:
+        """made, remembered: a text of over a thousand characters is not worth it. Entries and pairs take some 200 bytes beside their own."""
+        if len(part) < 1000:
+            self.known[part] = made
+            self.held += 200 + len(part) + len(made)
         return made
 
     @staticmethod
@@ -120,16 +130,12 @@ class PieceModel:
             return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
         return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids with the end id as decimal numbers joined by a space, and what they decode to."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.apart) > self.most:
-            self.apart.clear()
+    def encode(self, text: str) -> bytes:
+        """The ids with the end id as decimal numbers joined by a space."""
+        if self.held + 250 * len(self.apart) > self.most_bytes:
+            self.forget()
         get, make = self.known.get, self._chunk
-        made = [get(c) or make(c) for c in self.chunks(text)]
-        decoded = b"".join([m[1] for m in made])
-        return b" ".join([*[m[0] for m in made], str(self.end_id).encode()]), decoded[1:] if decoded[:1] == b" " else decoded
+        return b" ".join([*[get(c) or make(c) for c in self.chunks(text)], str(self.end_id).encode()])
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode for any ids: white space for its mark, bytes joined to characters, no space for the dummy prefix."""
@@ -149,20 +155,25 @@ def _encode(batches, model_path: str, digests: bool, names: list[str]):
     model = _MODEL.get(model_path) or _MODEL.setdefault(model_path, PieceModel(model_path))
     for batch in batches:
         for ids, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
-            made = [model.encode(r.decode()) for r in raws]
-            n = pa.array([a.count(b" ") + 1 for a, _ in made], pa.int64())
-            if digests:
-                cols = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in made], pa.string()) for k in (0, 1)]
-            else:
-                cols = [pa.array([np.array(a.split(), np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([b.decode() for _, b in made], pa.string())]
+            n, coded, decoded = [], [], []
+            for raw in raws:  # one text at a time: only its digests or its ids stay
+                made = model.encode(raw.decode())
+                numbers = list(map(int, made.split()))
+                text = model.decode(numbers)
+                n.append(len(numbers))
+                coded.append(hashlib.sha256(made).hexdigest() if digests else np.array(numbers, np.int32))
+                decoded.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+            n = pa.array(n, pa.int64())
+            cols = [pa.array(coded, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), n, *cols], names=names)
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with digests (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of df.
 
-    ids end with the end id; a null or empty text has no other. decoded is what the ids decode to. Other columns are left out; null ids
-    and equal rows stay. Nothing is shuffled.
+    ids end with the end id; a null or empty text has no other. decoded is what the ids themselves decode to. Other columns are left out;
+    null ids and equal rows stay; an empty table stays empty. A text is encoded and decoded whole, however long; what a worker remembers
+    of words and pairs is bounded in bytes and ends with the partition. Nothing is shuffled.
     """
     kind = dict(df.dtypes)[id_col]
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")

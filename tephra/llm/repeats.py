@@ -10,13 +10,14 @@ passage costs a task no more than a row from each other task.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, by_row, dealt, mix, packed, runs, seeds, shuffle_partitions, sliced, texts, unpacked, written
+from .common import U, Words, arrow_map, bucket_of, buckets_for, dealt, mix, row_key, runs, seeds, sliced, texts, written
 
 _PLACE = 28
 
@@ -45,10 +46,13 @@ def least(words: Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (low & U((1 << _PLACE) - 1)).astype(np.int64)
 
 
-def _again(key: np.ndarray) -> np.ndarray:
-    """Which values occur twice or more."""
-    order = np.argsort(key)
-    cut = runs(key[order])
+def _again(key: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
+    """Which values (with their checks) occur twice or more."""
+    order = np.argsort(key) if check is None else np.lexsort((check, key))
+    change = key[order][1:] != key[order][:-1]
+    if check is not None:
+        change |= check[order][1:] != check[order][:-1]
+    cut = np.concatenate(([0], np.flatnonzero(change) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
     out = np.zeros(len(key), bool)
     out[order] = np.repeat(np.diff(cut) > 1, np.diff(cut))
     return out
@@ -56,24 +60,40 @@ def _again(key: np.ndarray) -> np.ndarray:
 
 def _first(*keys: np.ndarray) -> np.ndarray:
     """A place of each distinct combination."""
-    key = keys[0].copy()
-    for k in keys[1:]:
-        key = mix(key ^ mix(k.astype(U)))
-    return np.unique(key, return_index=True)[1]
+    order = np.lexsort(keys)
+    change = np.zeros(max(len(order) - 1, 0), bool)
+    for k in keys:
+        change |= k[order][1:] != k[order][:-1]
+    return order[np.concatenate(([True], change))] if len(order) else order
 
 
-def _local(rows: list, make, buckets: int, n: int):
-    """Sends what a task has gathered: a row for each bucket, and rows of bucket -1 for what is known here to be repeated."""
+def _local(rows: list, make, keys: list, buckets: int):
+    """Sends what a task has gathered: a row for each bucket, and rows marked as known for what is repeated here already.
+
+    keys: pairs of row hashes of the texts that `rows` numbers. A row of a bucket holds the keys of its texts once, and each window's
+    number among them.
+    """
     if not rows:
         return
-    hash_, row, flags, more = make(rows)
-    known = np.flatnonzero(flags[0] > 0)
-    sent = _places(row[known], (flags[1][known].astype(np.uint32) << np.uint32(2)) | flags[0][known].astype(np.uint32), buckets)
-    empty = [pa.array([b""] * sent.num_rows, pa.binary()) for _ in more]
-    yield pa.RecordBatch.from_arrays([sent.column(0), *empty, *sent.columns[1:], pa.array([True] * sent.num_rows, pa.bool_())], names=["bucket", *more, "row", "place", "known"])
-    some = _first(hash_, *more.values())
-    batch = packed(bucket_of(hash_[some], buckets), {**{k: v[some] for k, v in more.items()}, "row": row[some], "place": flags[1][some].astype(np.uint32)})
-    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * batch.num_rows, pa.bool_())], names=[*batch.schema.names, "known"])
+    key = np.array(keys, np.int64).reshape(-1, 2)
+    doc, place, flags, more = make(rows)
+    known = np.flatnonzero(flags)
+    sent = _places(key, doc[known], (place[known].astype(np.uint32) << np.uint32(2)) | flags[known].astype(np.uint32), buckets)
+    nothing = pa.array([b""] * sent.num_rows, pa.binary())
+    yield pa.RecordBatch.from_arrays([*sent.columns, *[nothing] * (len(more) + 1), pa.array([True] * sent.num_rows, pa.bool_())], names=["bucket", "row", "place", *more, "at", "known"])
+    some = _first(*more.values())
+    bucket = bucket_of(more["hash"][some], buckets)
+    order = np.argsort(bucket, kind="stable")
+    some, bucket = some[order], bucket[order]
+    cut = runs(bucket)
+    cols: list[list] = [[] for _ in range(4 + len(more))]
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        here = some[i:j]
+        used, at = np.unique(doc[here], return_inverse=True)
+        values = (int(bucket[i]), key[used].tobytes(), place[here].astype(np.uint32).tobytes(), *[m[here].tobytes() for m in more.values()], at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
+        for c, v in zip(cols, values, strict=True):
+            c.append(v)
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.array([False] * len(cols[0]), pa.bool_())], names=["bucket", "row", "place", *more, "at", "known"])
 
 
 def _sides(hash_: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -89,12 +109,13 @@ def _send_short(batches, n: int, k: int, buckets: int, most: int):
     """Levels 1 and 2, a task's side."""
 
     def make(rows):
-        hash_, left, right, row, place = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return hash_, row, (_sides(hash_, left, right), place), {"hash": hash_, "left": left, "right": right}
+        hash_, left, right, doc, place = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return doc, place, _sides(hash_, left, right), {"hash": hash_, "left": left, "right": right}
 
-    rows, held = [], 0
+    rows, keys, held = [], [], 0
     for batch in batches:
-        for ids, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for some, raws in sliced(names, [r or b"" for r in batch.column(2).to_pylist()]):
             words = Words(raws)
             _, q = least(words, n, k)
             q = np.unique(q)
@@ -113,27 +134,27 @@ def _send_short(batches, n: int, k: int, buckets: int, most: int):
                 right = double[q].astype(np.uint32)
             else:
                 left = right = np.zeros(len(q), np.uint32)
-            rows.append((short[q], left, right, np.array(ids, np.int64)[doc], q - words.off[doc]))
+            rows.append((short[q], left, right, doc + len(keys), q - words.off[doc]))
+            keys += some
             held += len(q)
             if held > most:
-                yield from _local(rows, make, buckets, n)
-                rows, held = [], 0
-    yield from _local(rows, make, buckets, n)
+                yield from _local(rows, make, keys, buckets)
+                rows, keys, held = [], [], 0
+    yield from _local(rows, make, keys, buckets)
 
 
 def _send_long(batches, n: int, k: int, buckets: int, most: int):
-    """Level 3, a task's side: (row, raw, survivors) in."""
+    """Level 3, a task's side: (row, row2, raw, survivors) in. Windows are compared by 128 bits."""
 
     def make(rows):
-        hash_, row, place = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return hash_, row, (_again(hash_).astype(np.uint8), place), {"hash": hash_}
+        hash_, check, doc, place = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return doc, place, _again(hash_, check).astype(np.uint8), {"hash": hash_, "check": check}
 
-    rows, held = [], 0
+    rows, keys, held = [], [], 0
     for batch in batches:
-        survivors = batch.column(2).to_pylist()
-        numbers = list(range(batch.num_rows))
-        keys = batch.column(0).to_pylist()
-        for some, raws in sliced(numbers, [r or b"" for r in batch.column(1).to_pylist()]):
+        survivors = batch.column(3).to_pylist()
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(2).to_pylist()]):
             words = Words(raws)
             at, q = least(words, n, k)
             flag = np.zeros(len(words.hash), np.uint8)
@@ -148,102 +169,128 @@ def _send_long(batches, n: int, k: int, buckets: int, most: int):
             p = at[take]
             if not len(p):
                 continue
-            full = np.zeros(len(words.hash), U)
-            gram, where = words.grams(n)
-            full[where] = gram
+            full = []
+            for w in (words, Words(raws, check=1)):
+                gram, where = w.grams(n)
+                hash_ = np.zeros(len(w.hash), U)
+                hash_[where] = gram
+                full.append(hash_[p])
             doc = words.doc()[p]
-            rows.append((full[p], np.array([keys[i] for i in some], np.int64)[doc], p - words.off[doc]))
+            rows.append((*full, doc + len(keys), p - words.off[doc]))
+            keys += [names[k] for k in some]
             held += len(p)
             if held > most:
-                yield from _local(rows, make, buckets, n)
-                rows, held = [], 0
-    yield from _local(rows, make, buckets, n)
+                yield from _local(rows, make, keys, buckets)
+                rows, keys, held = [], [], 0
+    yield from _local(rows, make, keys, buckets)
 
 
-def _meet(batches, sided: bool, buckets: int):
+def _meet(batches, kinds: dict[str, type], buckets: int):
     """A bucket: which of its windows are repeated; their places out."""
-    kept = []
+    keys, docs, size = [], [], 0
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in (*kinds, "place")}
     for batch in batches:
         known = np.array(batch.column("known").to_pylist(), bool)
         yield batch.filter(pa.array(known)).select(["bucket", "row", "place"])
-        kept.append(batch.filter(pa.array(~known)))
-    kinds = {"hash": np.uint64, **({"left": np.uint32, "right": np.uint32} if sided else {}), "row": np.int64, "place": np.uint32}
-    x = unpacked(kept, kinds)
-    flags = _sides(x["hash"], x["left"], x["right"]) if sided else _again(x["hash"]).astype(np.uint8)
+        rest = batch.filter(pa.array(~known))
+        for k in range(rest.num_rows):
+            key, at = np.frombuffer(rest.column("row")[k].as_py(), np.int64).reshape(-1, 2), rest.column("at")[k].as_py()
+            for c, kind in (*kinds.items(), ("place", np.uint32)):
+                parts[c].append(np.frombuffer(rest.column(c)[k].as_py(), kind))
+            docs.append(np.frombuffer(at, np.uint16 if len(at) == 2 * len(parts["place"][-1]) else np.uint32).astype(np.int64) + size)
+            keys.append(key)
+            size += len(key)
+    if not docs:
+        return
+    x = {c: np.concatenate(v) for c, v in parts.items()}
+    flags = _sides(x["hash"], x["left"], x["right"]) if "left" in x else _again(x["hash"], x["check"]).astype(np.uint8)
     some = np.flatnonzero(flags)
-    yield _places(x["row"][some], (x["place"][some] << np.uint32(2)) | flags[some].astype(np.uint32), buckets)
+    yield _places(np.concatenate(keys), np.concatenate(docs)[some], (x["place"][some] << np.uint32(2)) | flags[some].astype(np.uint32), buckets)
 
 
-def _places(row: np.ndarray, value: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Places by the bucket of their row key: (bucket, pairs of row keys and numbers of places, the places)."""
-    docs, blobs = by_row(row, value)
-    bucket = bucket_of(mix(docs.astype(U)), buckets)
+def _places(key: np.ndarray, doc: np.ndarray, value: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places by the bucket of their text: (bucket, keys of texts and numbers of places, the places). doc numbers the rows of key."""
+    order = np.argsort(doc, kind="stable")
+    doc, value = doc[order], value[order]
+    cut = runs(doc)
+    docs, count = doc[cut[:-1]], np.diff(cut)
+    bucket = bucket_of(mix(key[docs, 0].astype(U)), buckets)
     order = np.argsort(bucket, kind="stable")
-    cut = runs(bucket[order])
+    edge = runs(bucket[order])
     cols: list[list] = [[], [], []]
-    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        mine = order[i:j].tolist()
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        mine = order[i:j]
         cols[0].append(int(bucket[mine[0]]))
-        cols[1].append(np.stack([docs[mine], [len(blobs[k]) // 4 for k in mine]]).astype(np.int64).tobytes())
-        cols[2].append(b"".join([blobs[k] for k in mine]))
+        cols[1].append(np.concatenate((key[docs[mine]], count[mine, None]), 1).astype(np.int64).tobytes())
+        cols[2].append(b"".join([value[cut[k] : cut[k + 1]].tobytes() for k in mine.tolist()]))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "row", "place"])
 
 
 def _gathered(batches):
-    """A bucket's row keys, each with all its places."""
-    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    """A bucket's texts, each with all its places."""
+    heads, values = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint32)]
     for batch in batches:
         for head, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            docs, n = np.frombuffer(head, np.int64).reshape(2, -1)
-            rows.append(np.repeat(docs, n))
+            heads.append(np.frombuffer(head, np.int64).reshape(-1, 3))
             values.append(np.frombuffer(body, np.uint32))
-    docs, blobs = by_row(np.concatenate(rows), np.concatenate(values))
-    for at in range(0, len(docs), 5000):
-        yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 5000], pa.int64()), pa.array(blobs[at : at + 5000], pa.binary())], names=["row", "places"])
+    head, value = np.concatenate(heads), np.concatenate(values)
+    end = np.cumsum(head[:, 2])
+    order = np.lexsort((head[:, 1], head[:, 0]))
+    head, begin, end = head[order], (end - head[:, 2])[order].tolist(), end[order].tolist()
+    cut = np.concatenate(([0], np.flatnonzero((head[1:, :2] != head[:-1, :2]).any(1)) + 1, [len(head)])).tolist() if len(head) else [0]
+    for at in range(0, len(cut) - 1, 5000):
+        some = list(zip(cut[at : at + 5000], cut[at + 1 : at + 5001]))
+        blobs = [b"".join([value[begin[k] : end[k]].tobytes() for k in range(i, j)]) for i, j in some]
+        first = [i for i, _ in some]
+        yield pa.RecordBatch.from_arrays([pa.array(head[first, 0]), pa.array(head[first, 1]), pa.array(blobs, pa.binary())], names=["row", "row2", "places"])
+
+
+def _kept(raw: bytes, places: bytes | None, n: int, digests: bool) -> tuple:
+    words = raw.split()
+    if not places:
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest() if digests else raw.decode()
+    step = np.zeros(len(words) + 1, np.int32)
+    p = np.unique(np.frombuffer(places, np.uint32) >> np.uint32(2)).astype(np.int64)
+    np.add.at(step, p, 1)
+    np.add.at(step, p + n, -1)
+    keep = np.cumsum(step[:-1]) == 0
+    kept = b" ".join([w for w, good in zip(words, keep.tolist(), strict=True) if good])
+    return len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest() if digests else kept.decode()
 
 
 def _remove(batches, n: int, digests: bool):
+    """(doc_id, raw, places[, carried])"""
     for batch in batches:
         places = batch.column(2).to_pylist()
         for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(1).to_pylist()]):
-            out = []
-            for number, raw in zip(some, raws, strict=True):
-                words, gone = raw.split(), 0
-                if places[number]:
-                    step = np.zeros(len(words) + 1, np.int32)
-                    p = np.unique(np.frombuffer(places[number], np.uint32) >> np.uint32(2)).astype(np.int64)
-                    np.add.at(step, p, 1)
-                    np.add.at(step, p + n, -1)
-                    keep = np.cumsum(step[:-1]) == 0
-                    gone = int(len(words) - keep.sum())
-                    kept = b" ".join([w for w, good in zip(words, keep.tolist(), strict=True) if good])
-                else:
-                    kept = b" ".join(words) if digests else raw
-                out.append((len(words), gone, hashlib.sha256(kept).hexdigest() if digests else kept.decode()))
-            n_words, removed, last = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some)), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept"]
-            )
-
-
-def remove_repeats(df: DataFrame, n: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, held: int = 1_500_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept), or kept_sha256 instead of kept with digests; a row for each row of df.
+            n_words, removed, last = zip(*[_kept(raw, places[k], n, digests) for k, raw in zip(some, raws, strict=True)], strict=True)
+            held = [batch.column(k).take(pa.array(some)) for k in (0, *range(3, batch.num_columns))]
+            cols = [held[0], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string()), *held[1:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept", "carried"][: len(cols)])
+
+
+def remove_repeats(df: DataFrame, n: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, carry: Sequence[str] = (), held: int = 500_000) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept[, carried]), or kept_sha256 instead of kept with digests; a row for each row of df.
 
     Every word goes that is covered by a window of n words whose sequence also starts anywhere else, in the same text or another; all
     occurrences go. kept is the text itself where nothing went, else the rest joined by single spaces; kept_sha256 is always of the words
-    left, joined by single spaces. Null texts count as empty and stay empty; repeated rows repeat each other's windows; other columns are
-    left out; an empty table stays empty. A task sends on its windows when it holds `held` of them.
+    left, joined by single spaces; carried holds the columns named in carry, as they are. Null texts count as empty and stay empty;
+    repeated rows repeat each other's windows; other columns are left out; an empty table stays empty. Whole texts are taken, however
+    long. Windows are compared by two independent 64-bit hashes. A task sends on its windows when it holds `held` of them; a bucket is of
+    about 64 MB of text.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
-    docs = texts(df, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "raw"))
-    k, buckets = lengths(n), shuffle_partitions(spark)
-    body = "hash binary, {}row binary, place binary, known boolean"
-    short = arrow_map(docs.select("row", "raw"), lambda b: _send_short(b, n, k, buckets, held), "bucket int, " + body.format("left binary, right binary, "))
-    survivors = written(arrow_map(dealt(short, buckets), lambda b: _meet(b, True, buckets), "bucket int, row binary, place binary"), "repeats-short")
-    together = arrow_map(dealt(survivors, buckets), _gathered, "row long, places binary")
-    long = arrow_map(docs.select("row", "raw").join(together, "row"), lambda b: _send_long(b, n, k, buckets, held), "bucket int, " + body.format(""))
-    found = written(arrow_map(dealt(long, buckets), lambda b: _meet(b, False, buckets), "bucket int, row binary, place binary"), "repeats-long")
-    places = arrow_map(dealt(found, buckets), _gathered, "row long, places binary")
-    joined = docs.join(places, "row", "left").select("doc_id", "raw", "places")
-    return arrow_map(joined, lambda b: _remove(b, n, digests), f"doc_id {kind}, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "kept string"))
+    row, row2 = row_key(F.col("doc_id"), F.col("raw"))
+    docs = texts(df, id_col, text_col, *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else [])).withColumn("row", row).withColumn("row2", row2)
+    k, buckets = lengths(n), buckets_for(spark, docs)
+    body = "bucket int, row binary, place binary, hash binary, {} at binary, known boolean"
+    met = "bucket int, row binary, place binary"
+    short = arrow_map(docs.select("row", "row2", "raw"), lambda b: _send_short(b, n, k, buckets, held), body.format("left binary, right binary,"))
+    survivors = written(arrow_map(dealt(short, buckets), lambda b: _meet(b, {"hash": U, "left": np.uint32, "right": np.uint32}, buckets), met), "repeats-short")
+    together = arrow_map(dealt(survivors, buckets), _gathered, "row long, row2 long, places binary")
+    long = arrow_map(docs.select("row", "row2", "raw").join(together, ["row", "row2"]), lambda b: _send_long(b, n, k, buckets, held), body.format("check binary,"))
+    found = written(arrow_map(dealt(long, buckets), lambda b: _meet(b, {"hash": U, "check": U}, buckets), met), "repeats-long")
+    places = arrow_map(dealt(found, buckets), _gathered, "row long, row2 long, places binary")
+    joined = docs.join(places, ["row", "row2"], "left").select("doc_id", "raw", "places", *(["carried"] if carry else []))
+    return arrow_map(joined, lambda b: _remove(b, n, digests), f"doc_id {kind}, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "kept string") + (f", carried {dict(docs.dtypes)['carried']}" if carry else ""))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, open_file, shuffle_partitions, sliced, texts, work_path, write_file, written
+from .common import AT_END, arrow_map, open_file, shuffle_partitions, sliced, texts, work_path, write_file, written
 
 MAGIC = b"TPHTOK01"
 _HEAD = struct.Struct("<8sI32s")
@@ -34,11 +34,12 @@ class WordEncoder:
     lowers them anyway), except where a special token's string could arise.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 700_000):
+    def __init__(self, path: str, dtype: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most, self.known = Tokenizer.from_file(path), dtype, most, {}
+        AT_END.append(self.known.clear)
 
     @staticmethod
     def _words(raw: bytes) -> list[bytes]:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 
 from .conftest import words_text
 
@@ -17,7 +18,7 @@ def test_stages_catch_what_is_planted_and_keep_the_rest(spark, tmp_path):
     rows = list(clean)
     rows += [(100, clean[0][1]), (101, clean[1][1] + " end"), (102, "too short"), (103, " ".join(["BUY!!"] * 60)), (104, None), (105, "")]
     rows += [(200 + k, sentences(rng, 80) + "\n" + passage + ".\n" + sentences(rng, 50)) for k in range(3)]
-    rows += [(300, sentences(rng, 60) + "\n" + item + "\n" + sentences(rng, 60)), (301, sentences(rng, 90)), (301, sentences(rng, 90))]
+    rows += [(300, sentences(rng, 60) + "\n" + item + ".\n" + sentences(rng, 60)), (301, sentences(rng, 90)), (301, sentences(rng, 90))]
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -37,3 +38,26 @@ def test_stages_catch_what_is_planted_and_keep_the_rest(spark, tmp_path):
     assert seen[3] == [d for d in seen[2] if d != 300] and seen[4] == seen[3]
     whole = cp.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == seen[4]
+
+
+def test_stages_over_odd_tables(spark, tmp_path):
+    """Null and shared ids, repeated rows, extra columns that clash, and an empty table."""
+    rng = random.Random(9)
+    a, b, c, d = (sentences(rng, 60) for _ in range(4))
+    rows = [(5, a), (301, a), (301, b), (None, c), (None, d), (None, d), (7, None), (8, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cleaned string, kept string, row long, __row int, carried string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, 2, "z") for i, t in rows], schema)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == cp.COLUMNS
+        out.write.parquet(f"{tmp_path}/{k}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{k}"))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns
+        if k < 4:
+            docs = seen[-1].withColumn("cleaned", F.lit("x")).withColumn("places", F.lit(1))
+    assert sorted((str(r.doc_id), r.text) for r in seen[0].collect()) == sorted((str(i), t) for i, t in rows[:6])
+    want = sorted([("5", a), ("301", b), ("None", c), ("None", d)])
+    assert sorted((str(r.doc_id), r.text) for r in seen[1].collect()) == want == sorted((str(r.doc_id), r.text) for r in seen[3].collect())

@@ -53,16 +53,15 @@ def test_words_encode_as_whole_texts(some):
 
 
 def check_pieces(model, text):
-    ids, decoded = model.encode(text)
-    ids = list(map(int, ids.split()))
+    ids = list(map(int, model.encode(text).split()))
     assert ids == model.library.encode(text, add_eos=True), text
-    assert decoded.decode() == model.library.decode(ids) == model.decode(ids), text
+    assert model.library.decode(ids) == model.decode(ids), text
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(st.sampled_from("abetionhs ▁.\n1é"), max_size=80)))
 def test_pieces_equal_the_library(text):
-    check_pieces(test_pieces_equal_the_library.__dict__.setdefault("model", pieces.PieceModel(PIECES, 200)), text)
+    check_pieces(test_pieces_equal_the_library.__dict__.setdefault("model", pieces.PieceModel(PIECES, 20_000)), text)
 
 
 def test_pieces_over_tables(spark, odd_docs, no_docs):
