@@ -15,45 +15,45 @@ from tephra.llm import common, decontaminate, jaccard, pieces, quality, repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _row(df: DataFrame) -> DataFrame:
-    """With a number of its own for each row, so that repeated ids stay apart: a stage's input is a table, read the same way each time."""
-    return df.withColumn("__row", F.xxhash64("doc_id", "text"))
-
-
-def _replaced(docs: DataFrame, new: DataFrame, column: str) -> DataFrame:
-    """docs with the texts of new (__row, column)."""
-    joined = _row(docs).join(new.dropDuplicates(["__row"]), "__row").withColumn("text", F.col(column))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _documents(found: DataFrame, text: str) -> DataFrame:
+    """(doc_id, text column, carried) as documents."""
+    return found.select("doc_id", F.col(text).alias("text"), "carried.lang", "carried.source", F.length(text).cast("long").alias("n_chars"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail a rule are taken out; documents that the base rules or the loss of text reject go."""
-    found = quality.assess(_row(docs), id_col="__row").where("kept").select(F.col("doc_id").alias("__row"), "cleaned")
-    return _replaced(docs, found, "cleaned")
+    """Lines that fail a rule are taken out; documents that the base rules or the loss of text reject go, null and empty texts among them.
+
+    Null and shared ids and repeated rows are judged row by row; columns that documents doesn't have are left out; an empty table stays empty.
+    """
+    return _documents(quality.assess(docs, carry=["lang", "source"]).where("kept"), "cleaned")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of Jaccard links stays: the one of the least id. Documents without words are no copies."""
-    found = common.written(jaccard.components_of(docs), "pipeline-components")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each component of Jaccard links stays: the one of the least id (nulls count as the largest, ties go by the text).
+
+    Rows are told apart by id and text, so rows that share an id, or have none, stay or go each for itself. Texts without words are no
+    copies, but of rows equal in id and text one stays. Columns that documents doesn't have are left out; an empty table stays empty.
+    """
+    return jaccard.representatives(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur elsewhere are taken out; documents that lose all words go."""
-    found = repeats.remove_repeats(_row(docs), 35, id_col="__row").where("n_words > n_removed").select(F.col("doc_id").alias("__row"), "kept")
-    return _replaced(docs, found, "kept")
+    """Passages of 35 words or more that occur elsewhere are taken out; documents without words, or left without any, go.
+
+    Null and shared ids and repeated rows are taken row by row; columns that documents doesn't have are left out; an empty table stays empty.
+    """
+    found = repeats.remove_repeats(docs, 35, carry=["lang", "source"])
+    return _documents(found.where("n_words > n_removed"), "kept")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
-    return _row(docs).join(leaks, "__row", "left_anti").select(*COLUMNS)
+    """Documents that hold a benchmark item go; null and empty texts hold none. Each row is judged for itself; columns that documents
+    doesn't have are left out; an empty table stays empty."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), columns=COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) by the public piece vocabulary, with an end id."""
+    """(doc_id, n_tokens, ids, decoded) by the public piece vocabulary, with an end id; a null or empty text has no other id. A row for each row."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
