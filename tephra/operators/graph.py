@@ -24,12 +24,14 @@ def segments(picks: DataFrame, log: DataFrame, core: str = "core_id", depth: str
     return point.unionByName(interval)
 
 
-def segment_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every segment of a with every one of b but point with point; each side is one core's segments, tens of rows, which are checked."""
-    side = lambda s, c: s.select(*[F.col(x).alias(f"{c}_{x}") for x in ("seg_id", "b0", "b1", "start_idx", "end_idx", "is_point")])
-    if b.limit(20_001).count() > 20_000:
-        raise ValueError("over 20,000 segments in one core")
-    return side(a, "a").join(F.broadcast(side(b, "b")), ~(F.col("a_is_point") & F.col("b_is_point"))).withColumn("key", F.concat_ws(",", "a_seg_id", "b_seg_id"))
+def segment_pairs(a: DataFrame, b: DataFrame, by: str | None = None) -> DataFrame:
+    """Every segment of a with every one of b but point with point, for each value of `by` (or of two cores): what an alignment of two
+    cores is made of. Joined on `by`, so that every pair of cores is a group of its own and neither side is broadcast."""
+    on = by or "__pair"
+    a, b = (s if by else s.withColumn(on, F.lit(0)) for s in (a, b))
+    side = lambda s, c: s.select(on, *[F.col(x).alias(f"{c}_{x}") for x in ("seg_id", "b0", "b1", "start_idx", "end_idx", "is_point")])
+    out = side(a, "a").join(side(b, "b"), on).where(~(F.col("a_is_point") & F.col("b_is_point"))).withColumn("key", F.concat_ws(",", "a_seg_id", "b_seg_id"))
+    return out if by else out.drop(on)
 
 
 def edges(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -56,8 +58,11 @@ def _reach(start: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     from tephra.plans.tables import written
 
     seen = written(start.select(*by, "key").distinct(), "reach")
-    new = seen
+    new, rounds = seen, 0
     while not new.isEmpty():
+        rounds += 1
+        if rounds % 16 == 0:  # one table again, so that the plan stays short
+            seen = written(seen, "reach")
         step = new.withColumnRenamed("key", "src").join(links, [*by, "src"]).select(*by, F.col("dst").alias("key")).distinct()
         new = written(step.join(seen, [*by, "key"], "left_anti"), "reach")
         seen = seen.unionByName(new)
@@ -98,13 +103,17 @@ def count_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return done.groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("n_paths"))
 
 
-def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: int | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
-    """(by, path, length): paths "key|key|..." from tops to bottoms.
+#: Segment pairs that begin at both tops and are not their points alone: the first steps where a path may only start there.
+FIRST_STEPS = ("1,0", "1,1", "0,1")
+
+
+def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: int | None = None, most: int | None = None, seed: int = 0, starts: Sequence[str] | None = None) -> DataFrame:
+    """(by, path, length): paths "key|key|..." from tops (only those keys that starts names, if it names any) to bottoms.
 
     A level (sum of a pair's end boundaries) is done when all lower ones are; then, of the paths that end in each pair, those of the
     shortest_levels least lengths stay, and at most `most` of them in a seeded order. Without both limits every path is found.
     """
-    from tephra.plans.tables import written
+    from tephra.plans.tables import work_path, written
 
     by = list(by)
     links = edges(pairs, by)
@@ -112,11 +121,15 @@ def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: in
     level = pairs.select(*by, F.col("key"), (F.col("a_b1") + F.col("b_b1")).alias("level"))
     node = written(kind.join(level, [*by, "key"]), "nodes")
     links = written(links.join(node.select(*by, F.col("key").alias("dst"), F.col("level").alias("to_level")), [*by, "dst"]), "edges")
-    waiting = written(node.where("is_top").select(*by, F.col("key").alias("last"), "level", F.col("key").alias("path"), F.lit(1).alias("length")), "paths")
+    # paths wait in a table by level; each level is read once and its successors are appended
+    spark = pairs.sparkSession
+    store = work_path(spark, "waiting")
+    waiting = node.where("is_top").where(F.col("key").isin(list(starts)) if starts else F.lit(True)).select(*by, F.col("key").alias("last"), F.col("key").alias("path"), F.lit(1).alias("length"), "level")
+    schema = waiting.schema
+    waiting.write.partitionBy("level").parquet(store)
     ended = []
     for (now,) in node.select("level").distinct().orderBy("level").collect():  # as many as boundaries in two cores
-        here = waiting.where(F.col("level") == now)
-        ranked = here
+        ranked = spark.read.schema(schema).parquet(store).where(F.col("level") == now)
         w = Window.partitionBy(*by, "last")
         if shortest_levels is not None:
             ranked = ranked.withColumn("__r", F.dense_rank().over(w.orderBy("length"))).where(F.col("__r") <= shortest_levels).drop("__r")
@@ -125,9 +138,9 @@ def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: in
         ranked = written(ranked.join(node.select(*by, F.col("key").alias("last"), "is_bottom"), [*by, "last"]), "paths")
         ended.append(ranked.where("is_bottom").select(*by, "path", "length"))
         more = ranked.where("not is_bottom").select(*by, F.col("last").alias("src"), "path", "length").join(links, [*by, "src"])
-        more = more.select(*by, F.col("dst").alias("last"), F.col("to_level").alias("level"), F.concat_ws("|", "path", "dst").alias("path"), (F.col("length") + 1).alias("length"))
-        waiting = written(waiting.where(F.col("level") > now).unionByName(more), "paths")
-    out = ended[0] if ended else waiting.select(*by, "path", "length").limit(0)
+        more = more.select(*by, F.col("dst").alias("last"), F.concat_ws("|", "path", "dst").alias("path"), (F.col("length") + 1).alias("length"), F.col("to_level").alias("level"))
+        more.write.mode("append").partitionBy("level").parquet(store)
+    out = ended[0] if ended else spark.createDataFrame([], schema).select(*by, "path", "length")
     for x in ended[1:]:
         out = out.unionByName(x)
     return out
@@ -137,3 +150,45 @@ def depth_gaps(intervals: DataFrame, by: Sequence[str], start: str, end: str) ->
     """Ranges that no interval covers, between the first and the last: (by, gap_start, gap_end)."""
     w = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     return intervals.withColumn("__hi", F.max(end).over(w)).where(F.col(start) > F.col("__hi")).select(*by, F.col("__hi").alias("gap_start"), F.col(start).alias("gap_end"))
+
+
+def chain_breaks(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Why paths break off, one row for each pair of segments: (by, key, kind, n_in, n_out, level, from_top, to_bottom, is_complete).
+
+    kind: top, bottom, dead_end, orphan or inner; level: the sum of the boundaries where it ends, so that of the pairs with from_top but
+    without to_bottom those of the largest levels are as deep as broken chains come.
+    """
+    from tephra.plans.tables import written
+
+    by = list(by)
+    links = written(edges(pairs, by), "edges")
+    kind = written(special(pairs, links, by), "kinds")
+    ahead = _reach(kind.where("is_top"), links, by).withColumn("from_top", F.lit(True))
+    back = _reach(kind.where("is_bottom"), links.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")), by).withColumn("to_bottom", F.lit(True))
+    n_in = links.groupBy(*by, F.col("dst").alias("key")).agg(F.count("*").alias("n_in"))
+    n_out = links.groupBy(*by, F.col("src").alias("key")).agg(F.count("*").alias("n_out"))
+    out = kind.join(pairs.select(*by, "key", (F.col("a_b1") + F.col("b_b1")).alias("level")), [*by, "key"])
+    for more in (n_in, n_out, ahead, back):
+        out = out.join(more, [*by, "key"], "left")
+    name = F.when(F.col("is_top"), "top").when(F.col("is_bottom"), "bottom").when(F.col("dead_end"), "dead_end").when(F.col("orphan"), "orphan").otherwise("inner")
+    top, bottom = F.coalesce("from_top", F.lit(False)), F.coalesce("to_bottom", F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(*by, "key", name.alias("kind"), zero("n_in"), zero("n_out"), "level", top.alias("from_top"), bottom.alias("to_bottom"), (top & bottom).alias("is_complete"))
+
+
+def cap_paths(paths: DataFrame, most: int, by: Sequence[str] = (), seed: int = 0, complete: str = "is_complete") -> DataFrame:
+    """All complete paths and, of the others, `most` of each group in a seeded order."""
+    w = Window.partitionBy(*by, complete).orderBy(F.xxhash64("path", F.lit(seed)), "path")
+    return paths.withColumn("__r", F.row_number().over(w)).where(F.col(complete) | (F.col("__r") <= most)).drop("__r")
+
+
+def dedup_paths(paths: DataFrame, by: Sequence[str] = (), path: str = "path", id_col: str = "mapping_id") -> DataFrame:
+    """(by, path, mapping_id, n): every path once, with its least id and how often it was there."""
+    return paths.groupBy(*by, path).agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
+
+
+def thirds(log: DataFrame, core: str = "core_id", depth: str = "depth") -> DataFrame:
+    """Picks for cores without any: at a third and at two thirds of their rows."""
+    w = Window.partitionBy(core)
+    at = log.withColumn("__k", F.row_number().over(w.orderBy(depth)) - 1).withColumn("__n", F.count("*").over(w))
+    return at.where((F.col("__k") == F.floor(F.col("__n") / 3)) | (F.col("__k") == F.floor(2 * F.col("__n") / 3))).select(core, depth)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tephra.functions.columns import clean_bed
@@ -47,7 +47,7 @@ def matching_pairs(a: DataFrame, b: DataFrame, bed: str = "bed", datum: str = "d
 def covering(paths: DataFrame, required: DataFrame) -> DataFrame:
     """Mappings (mapping_id, datum) that have all required datums (datum); if there are none, those with most of them."""
     needed = required.select("datum").distinct()
-    hits = paths.select("mapping_id", "datum").distinct().join(F.broadcast(needed), "datum").groupBy("mapping_id").agg(F.count("*").alias("n_covered"))
+    hits = paths.select("mapping_id", "datum").distinct().join(needed, "datum").groupBy("mapping_id").agg(F.count("*").alias("n_covered"))
     return hits.join(F.broadcast(hits.agg(F.max("n_covered").alias("m")))).where("n_covered = m").drop("m")
 
 
@@ -61,3 +61,67 @@ def even_sample(df: DataFrame, order: str, most: int) -> DataFrame:
         return rows.drop("__n")
     at = F.floor((F.col("__n") * most + n - 1) / n)
     return rows.where((F.floor(at * n / most) == F.col("__n")) & (at < most)).drop("__n")
+
+
+def path_ends(paths: DataFrame, path: str = "path", by: str = "mapping_id") -> DataFrame:
+    """(mapping_id, a, b): the pairs of boundaries that a path "a,b|a,b" of segment numbers comes through: where its steps begin and end.
+
+    Segment 2 i is boundary i itself and 2 i + 1 lies between boundaries i and i + 1.
+    """
+    step = paths.select(by, F.explode(F.split(path, r"\|")).alias("__s")).select(by, F.split("__s", ",").alias("__s"))
+    seg = step.select(by, F.col("__s")[0].cast("int").alias("x"), F.col("__s")[1].cast("int").alias("y"))
+    begin = seg.select(by, F.shiftright("x", 1).alias("a"), F.shiftright("y", 1).alias("b"))
+    return begin.union(seg.select(by, F.shiftright(F.col("x") + 1, 1), F.shiftright(F.col("y") + 1, 1))).distinct()
+
+
+def boundary_mappings(mappings: DataFrame, beds_a: DataFrame, beds_b: DataFrame, weights: Mapping[str, float], top: int, valid: DataFrame | None = None, needed: tuple = ("corr_coef", "perc_diag", "perc_age_overlap")) -> DataFrame:
+    """The `top` best mappings among those that join the named beds of both cores, with n_covered, score and ranking_datums 1 .. top.
+
+    beds: (b, bed), the names of boundaries; pairs of boundaries with the same name, cleaned of question marks, are to be joined (those in
+    valid (a, b) only, if given). Mappings through all of them compete; if there are none, those through most of them, and of these the
+    ones with most segments. Without any pair of names every mapping competes, as do shorter and longer ones.
+    """
+    pairs = matching_pairs(beds_a, beds_b, datum="b").select("a", "b").distinct()
+    if valid is not None:
+        pairs = pairs.join(valid.select("a", "b").distinct(), ["a", "b"])
+    hits = path_ends(mappings).join(pairs, ["a", "b"]).groupBy("mapping_id").agg(F.count("*").alias("n_covered"))
+    out = mappings.join(hits, "mapping_id", "left").fillna(0, ["n_covered"])
+    most, all_ = out.agg(F.max("n_covered").alias("__m")), pairs.agg(F.count("*").alias("__all"))
+    out = out.join(F.broadcast(most)).where("n_covered = __m").join(F.broadcast(all_))  # one row each
+    longest = out.agg(F.max("length").alias("__long"))
+    out = out.join(F.broadcast(longest)).where("__m = __all or length = __long").drop("__m", "__all", "__long")
+    return best_mappings(out, weights, top, shortest=False, needed=needed).withColumnRenamed("ranking", "ranking_datums")
+
+
+def by_metric(df: DataFrame, metric: str, tie: str = "mapping_id", first: int | None = None) -> DataFrame:
+    """Rows by ascending metric, unknown ones last; `first` frames of them where only so many are drawn."""
+    out = df.orderBy(F.col(metric).asc_nulls_last(), tie)
+    return out if first is None else out.limit(first)
+
+
+def best_datum(ranked: DataFrame, value: str) -> DataFrame:
+    """The value of the mapping that ranks first among those through the named beds; no row if none does."""
+    return ranked.where("ranking_datums = 1").select(value)
+
+
+def is_within(p: Column, q: Column) -> Column:
+    """Whether all steps of one path are steps of the other."""
+    return (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
+
+
+def largest_paths(paths: DataFrame, by: str = "mapping_id", path: str = "path") -> DataFrame:
+    """Paths ("a,b|a,b") whose steps are no proper part of another's, and of equal ones that of the least id.
+
+    A path can only lie in one that has all its steps: candidates share its rarest step, and are counted step by step, so that no two
+    paths meet that share nothing.
+    """
+    from tephra.plans.tables import written
+
+    steps = written(paths.select(by, F.explode(F.array_distinct(F.split(path, r"\|"))).alias("__s")), "steps")
+    size = steps.groupBy(by).agg(F.count("*").alias("__n"))
+    often = steps.groupBy("__s").agg(F.count("*").alias("__f"))
+    rare = steps.join(often, "__s").groupBy(by).agg(F.min(F.struct("__f", "__s"))["__s"].alias("__s")).join(size, by)
+    other = steps.join(size, by).select(F.col(by).alias("__o"), "__s", F.col("__n").alias("__m"))
+    able = rare.join(other, "__s").where((F.col("__m") > F.col("__n")) | ((F.col("__m") == F.col("__n")) & (F.col("__o") < F.col(by)))).select(by, "__o", "__n")
+    shared = able.join(steps, by).join(steps.select(F.col(by).alias("__o"), "__s"), ["__o", "__s"]).groupBy(by, "__o", "__n").count()
+    return paths.join(shared.where("count = __n").select(by).distinct(), by, "left_anti")

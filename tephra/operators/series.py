@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,18 @@ def brackets(log: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return log.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"))
 
 
+def _last(value: Column | str, by: Sequence[str], *order: Column) -> Column:
+    """The last known value so far in the given order. A frame that grows at its end is kept up row by row; one that shrinks at its start
+    would be read anew for each row, so that looking ahead is looking back in the opposite order."""
+    return F.last(value, True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _carried(both: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Nodes and questions (__at, __side 0 or 1, __node) with the nearest node at or before (__lo) and at or after (__hi) each."""
+    at, side = F.col("__at"), F.col("__side")
+    return both.withColumn("__lo", _last("__node", by, at.asc(), side.asc())).withColumn("__hi", _last("__node", by, at.desc(), side.asc()))
+
+
 def interpolate(points: DataFrame, log: DataFrame, by: Sequence[str], at: str, x: str, y: str, clamp: bool = False) -> DataFrame:
     """points with the series' value at `at`: linear between neighbours, null (or, with clamp, the end's value) outside.
 
@@ -65,9 +78,7 @@ def interpolate(points: DataFrame, log: DataFrame, by: Sequence[str], at: str, x
     nodes = log.select(*by, F.col(x).cast("double").alias("__at"), F.lit(0).alias("__side"), node.alias("__node"), *[F.lit(None).alias(c) for c in points.columns if c not in by])
     asked = points.select(*by, F.col(at).cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__node"), *[F.col(c) for c in points.columns if c not in by])
     both = nodes.unionByName(asked)
-    before = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy("__at", F.col("__side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("__lo", F.last("__node", True).over(before)).withColumn("__hi", F.first("__node", True).over(after)).where("__side = 1")
+    both = _carried(both, by).where("__side = 1")
     lo, hi = F.col("__lo"), F.col("__hi")
     inside = F.when(lo["x"] == F.col("__at"), lo["y"]).when(lo.isNull() | hi.isNull(), None).otherwise(lerp(F.col("__at"), lo["x"], hi["x"], lo["y"], hi["y"]))
     value = F.when(lo.isNull(), hi["y"]).when(hi.isNull(), lo["y"]).otherwise(inside) if clamp else inside
@@ -102,9 +113,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     one = right.groupBy(*by, on).agg(F.max(value).alias("__v")).select(*by, F.col(on).cast("double").alias("__at"), F.lit(0).alias("__side"), F.struct(F.col(on).cast("double").alias("x"), F.col("__v").alias("y")).alias("__node"), *[F.lit(None).alias(c) for c in left.columns if c not in by])
     two = left.select(*by, F.col(on).cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__node"), *[c for c in left.columns if c not in by])
     both = one.unionByName(two)
-    w = Window.partitionBy(*by)
-    both = both.withColumn("__lo", F.last("__node", True).over(w.orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__hi", F.first("__node", True).over(w.orderBy("__at", F.col("__side").desc()).rowsBetween(0, Window.unboundedFollowing))).where("__side = 1")
+    both = _carried(both, by).where("__side = 1")
     down, up = F.col("__at") - F.col("__lo.x"), F.col("__hi.x") - F.col("__at")
     pick = F.when(down.isNotNull() & (up.isNull() | (down <= up)), F.when(down <= tolerance, F.col("__lo.y"))).otherwise(F.when(up <= tolerance, F.col("__hi.y")))
     return both.select(*left.columns, pick.alias(value))
@@ -120,9 +129,7 @@ def nearest_index(points: DataFrame, log: DataFrame, by: Sequence[str], at: str,
 def outer_fill(a: DataFrame, b: DataFrame, by: Sequence[str], depth: str, columns: Sequence[str]) -> DataFrame:
     """Full outer join on depth; gaps are filled from above, then from below."""
     joined = a.join(b, [*by, depth], "full")
-    w = Window.partitionBy(*by).orderBy(depth)
-    down, up = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return joined.withColumns({c: F.coalesce(F.last(c, True).over(down), F.first(c, True).over(up)) for c in columns})
+    return joined.withColumns({c: F.coalesce(_last(c, by, F.col(depth).asc()), _last(c, by, F.col(depth).desc())) for c in columns})
 
 
 def gap_islands(log: DataFrame, by: Sequence[str], index: str, value: str) -> DataFrame:
@@ -138,10 +145,8 @@ def blend_gaps(log: DataFrame, by: Sequence[str], index: str, value: str, predic
 
     adjusted = line + (1 - 2 |x - 1/2|) (predicted - line), x being the place between the neighbours; outer gaps keep their predictions.
     """
-    w = Window.partitionBy(*by).orderBy(index)
     node = F.when(F.col(value).isNotNull(), F.struct(F.col(index).cast("double").alias("x"), F.col(value).alias("y")))
-    lo, hi = F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(node, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = log.withColumn("__lo", lo).withColumn("__hi", hi)
+    out = log.withColumn("__lo", _last(node, by, F.col(index).asc())).withColumn("__hi", _last(node, by, F.col(index).desc()))
     x = (F.col(index) - F.col("__lo.x")) / (F.col("__hi.x") - F.col("__lo.x"))
     line = F.col("__lo.y") + x * (F.col("__hi.y") - F.col("__lo.y"))
     blended = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), F.col(predicted)).otherwise(line + (1 - 2 * F.abs(x - 0.5)) * (F.col(predicted) - line))
@@ -158,3 +163,25 @@ def quantile_fence(df: DataFrame, by: Sequence[str], value: str, low: float, hig
 def bounding_box(pixels: DataFrame, by: Sequence[str], row: str, col: str, value: str, limit: float) -> DataFrame:
     """Least and largest row and column of the pixels above the limit; groups without any are left out."""
     return pixels.where(F.col(value) > limit).groupBy(*by).agg(F.min(row).alias("row0"), F.max(row).alias("row1"), F.min(col).alias("col0"), F.max(col).alias("col1"))
+
+
+def trim(pixels: DataFrame, by: Sequence[str], row: str, col: str, value: str, limit: float) -> DataFrame:
+    """The pixels inside the bounding box of those above the limit, rows and columns counted from its corner; images without any are left out."""
+    box = bounding_box(pixels, by, row, col, value, limit)
+    inside = pixels.join(box, list(by)).where(F.col(row).between(F.col("row0"), F.col("row1")) & F.col(col).between(F.col("col0"), F.col("col1")))
+    return inside.withColumn(row, F.col(row) - F.col("row0")).withColumn(col, F.col(col) - F.col("col0")).drop("row0", "row1", "col0", "col1")
+
+
+def thresholds(log: DataFrame, rules: Mapping[str, tuple[str, float, int]], by: Sequence[str], order: str, apply_to_all: Sequence[str] = ()) -> DataFrame:
+    """Each column of rules loses the values that its (operator, limit, buffer) rules out; what a column of apply_to_all rules out, all lose."""
+    near = {c: F.max(F.coalesce(threshold(c, op, limit), F.lit(False)).cast("int")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-buffer, buffer)) == 1 for c, (op, limit, buffer) in rules.items()}
+    out = log.withColumns({f"__bad_{c}": n for c, n in near.items()})
+    bad = lambda c: functools.reduce(lambda x, y: x | y, [F.col(f"__bad_{k}") for k in {c, *apply_to_all}])
+    return out.withColumns({c: F.when(bad(c), None).otherwise(F.col(c)) for c in rules}).drop(*[f"__bad_{c}" for c in rules])
+
+
+def null_ends(log: DataFrame, columns: Sequence[str], by: Sequence[str], order: str, n: int) -> DataFrame:
+    """The first and last n rows of each series lose the columns' values."""
+    first, last = (F.row_number().over(Window.partitionBy(*by).orderBy(o)) for o in (F.col(order).asc(), F.col(order).desc()))
+    out = log.withColumn("__end", (first <= n) | (last <= n))
+    return out.withColumns({c: F.when(F.col("__end"), None).otherwise(F.col(c)) for c in columns}).drop("__end")

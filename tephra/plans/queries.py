@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tephra.functions import columns as C
 from tephra.operators import agemodel, correlate, graph, imaging, rank, series, stats, synth
+from tephra.plans import correlation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,11 +64,12 @@ def rgb_two_of_three(spark, d):
 _LERP = "case when lo.depth = g.x then lo.v when hi.depth is null or lo.depth is null then {out} else lo.v + (g.x - lo.depth) / (hi.depth - lo.depth) * (hi.v - lo.v) end"
 
 
-@query(f"""with {LOG}, s as (select core_id, min(depth) as lo, max(depth) as hi from log group by all),
-g as (select core_id, lo + k * 25.0 as x from (select core_id, lo, unnest(range(cast(ceil((hi - lo) / 25.0) as bigint) + 1)) as k from s))
+@query(f"""with {LOG}, z as (select count(distinct core_id) * 0.5 as step from log), s as (select core_id, min(depth) as lo, max(depth) as hi, any_value(step) as step from log, z group by all),
+g as (select core_id, lo + k * step as x from (select core_id, lo, step, unnest(range(cast(ceil((hi - lo) / step) as bigint) + 1)) as k from s))
 select g.core_id, g.x as depth, {_LERP.format(out="null")} as v from g asof left join log lo on g.core_id = lo.core_id and g.x >= lo.depth asof left join log hi on g.core_id = hi.core_id and g.x <= hi.depth""")
 def uniform_resample(spark, d):
-    return series.resample_uniform(log(spark, d), ["core_id"], "depth", "v", 25.0)
+    x = log(spark, d)  # ids are dealt to all cores: with a step of half their number the grid has about two places an event
+    return series.resample_uniform(x, ["core_id"], "depth", "v", x.select("core_id").distinct().count() * 0.5)
 
 
 @query(f"""with {LOG}, s as (select core_id, kind, min(depth) as lo, max(depth) as hi, count(*) as n from log group by all),
@@ -136,8 +138,9 @@ def quantile_fence(spark, d):
 # --- segments, pairs and their graph -----------------------------------------------------------
 
 
-def picks(spark, d):
-    return log(spark, d).where("kind = 'signup'").select("core_id", "depth")
+def picks(spark, d, above: float | None = None):
+    x = log(spark, d).where("kind = 'signup'")
+    return (x if above is None else x.where(F.col("v") > above)).select("core_id", "depth")
 
 
 _SEGMENTS = f"""{LOG}, b0 as (select distinct core_id, d from (select core_id, 0.0::double as d from log union all select core_id, max(depth) from log group by all union all select core_id, depth from log where kind = 'signup')),
@@ -153,11 +156,11 @@ def segments(spark, d):
     return out.select("core_id", "seg_id", "b0", "b1", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), "is_point")
 
 
-def neighbour_pairs(spark, d):
-    """Pairs of segments of each core and the next one."""
-    s = graph.segments(picks(spark, d), log(spark, d))
-    side = lambda c, k: s.select((F.col("core_id") + k).alias("pair"), *[F.col(x).alias(f"{c}_{x}") for x in ("seg_id", "b0", "b1", "start_idx", "end_idx", "is_point")])
-    return side("a", 0).join(side("b", -1), "pair").where("not (a_is_point and b_is_point)").withColumn("key", F.concat_ws(",", "a_seg_id", "b_seg_id"))
+def neighbour_pairs(spark, d, above: float | None = None):
+    """Pairs of segments of each core and the next one; boundaries are its signups (those of a value above `above`)."""
+    x, p = log(spark, d), picks(spark, d, above)
+    s = graph.segments(p, x)
+    return graph.segment_pairs(s.withColumnRenamed("core_id", "pair"), s.withColumn("pair", F.col("core_id") - 1), "pair")
 
 
 _PAIRS = f"""{_SEGMENTS}, pairs as (select a.core_id as pair, a.seg_id as a_seg_id, b.seg_id as b_seg_id, a.b0 as a_b0, a.b1 as a_b1, b.b0 as b_b0, b.b1 as b_b1, concat(a.seg_id, ',', b.seg_id) as key
@@ -187,43 +190,36 @@ def special_segments(spark, d):
     return graph.special(p, graph.edges(p, ["pair"]), ["pair"])
 
 
-# nations as boundaries: regions are cores, each with the next one
+#: Paths grow as the Delannoy numbers of the boundaries, so those of path queries are signups of a high value: one or two a core.
+HIGH = 90.0
 
 
-def region_pairs(spark, d):
-    n = table(spark, d, "nation")
-    b = n.select("n_regionkey", (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).cast("int").alias("b0"), F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("nxt"))
-    s = b.select("n_regionkey", F.col("b0"), F.col("b0").alias("b1")).unionByName(b.where("nxt is not null").select("n_regionkey", "b0", (F.col("b0") + 1).alias("b1")))
-    one = s.select(F.col("n_regionkey").alias("pair"), F.col("b0").alias("a_b0"), F.col("b1").alias("a_b1"))
-    two = s.select((F.col("n_regionkey") - 1).alias("pair"), F.col("b0").alias("b_b0"), F.col("b1").alias("b_b1"))
-    return one.join(two, "pair").where("a_b1 > a_b0 or b_b1 > b_b0").withColumn("key", F.concat(F.col("a_b0") + F.col("a_b1"), F.lit(","), F.col("b_b0") + F.col("b_b1")))
+def core_pairs(spark, d):
+    return neighbour_pairs(spark, d, HIGH)
 
 
-_REGIONS = """b as (select n_regionkey as r, cast(row_number() over w - 1 as int) as b0, lead(n_nationkey) over w as nxt from nation window w as (partition by n_regionkey order by n_nationkey)),
-s as (select r, b0, b0 as b1 from b union all select r, b0, b0 + 1 from b where nxt is not null),
-pairs as (select x.r as pair, x.b0 as a_b0, x.b1 as a_b1, y.b0 as b_b0, y.b1 as b_b1, concat(x.b0 + x.b1, ',', y.b0 + y.b1) as key from s x join s y on y.r = x.r + 1 where x.b1 > x.b0 or y.b1 > y.b0)"""
-_REGION_EDGES = _REGIONS + _EDGES[len(_PAIRS) :] + _KINDS[len(_EDGES) :]
+_CORE_KINDS = _KINDS.replace("from log where kind = 'signup'), r as", f"from log where kind = 'signup' and v > {HIGH}), r as").replace("from log where kind = 'signup')),", f"from log where kind = 'signup' and v > {HIGH})),")
 
 
-@query(f"with recursive {_REGION_EDGES}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back")
+@query(f"with recursive {_CORE_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back")
 def on_complete_paths(spark, d):
-    return graph.on_complete_paths(region_pairs(spark, d), ["pair"])
+    return graph.on_complete_paths(core_pairs(spark, d), ["pair"])
 
 
-@query(f"with recursive {_REGION_EDGES}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, path, length from w join kinds using (pair, key) where is_bottom")
+@query(f"with recursive {_CORE_KINDS}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, path, length from w join kinds using (pair, key) where is_bottom")
 def enumerate_paths(spark, d):
-    return graph.complete_paths(region_pairs(spark, d), ["pair"])
+    return graph.complete_paths(core_pairs(spark, d), ["pair"])
 
 
-@query(f"with recursive {_REGION_EDGES}, w as (select pair, key, 1 as length from kinds where is_top union all select w.pair, dst, length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, cast(count(*) as decimal(38, 0)) as n_paths from w join kinds using (pair, key) where is_bottom group by all")
+@query(f"with recursive {_CORE_KINDS}, w as (select pair, key, 1 as length from kinds where is_top union all select w.pair, dst, length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, cast(count(*) as decimal(38, 0)) as n_paths from w join kinds using (pair, key) where is_bottom group by all")
 def count_paths(spark, d):
-    return graph.count_paths(region_pairs(spark, d), ["pair"])
+    return graph.count_paths(core_pairs(spark, d), ["pair"])
 
 
-@query(f"""with recursive {_REGION_EDGES}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)),
-done as (select w.pair, w.key, path, length from w join kinds using (pair, key) where is_bottom), r as (select *, dense_rank() over (partition by pair, key order by length) as r from done) select pair, path, length from r where r <= 1""")
+@query(f"""with recursive {_CORE_KINDS}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)),
+done as (select w.pair, w.key, path, length from w join kinds using (pair, key) where is_bottom), ranked as (select *, dense_rank() over (partition by pair, key order by length) as k from done) select pair, path, length from ranked where k <= 1""")
 def shortest_paths(spark, d):
-    return graph.complete_paths(region_pairs(spark, d), ["pair"], shortest_levels=1)
+    return graph.complete_paths(core_pairs(spark, d), ["pair"], shortest_levels=1)
 
 
 @query("""with x as (select l_suppkey, cast(extract('epoch' from l_shipdate) as bigint) // 86400 as s, cast(l_quantity as bigint) as q from lineitem), m as (select *, max(s + q) over (partition by l_suppkey order by s, s + q rows between unbounded preceding and 1 preceding) as hi from x)
@@ -235,12 +231,14 @@ def depth_gaps(spark, d):
 
 # --- warping -----------------------------------------------------------------------------------
 
-_ARRAYS = f"{LOG}, p as (select a.core_id as id, a.x as a, b.x as b from (select core_id, list(v order by idx) filter (where kind = 'click') as x from log group by all) a join (select core_id, list(v order by idx) filter (where kind = 'click') as x from log group by all) b on b.core_id = a.core_id + 1)"
+_ARRAYS = f"{LOG}, x as (select core_id, kind, list(v order by idx) as x from log group by all), p as (select concat(a.core_id, '/', a.kind) as id, a.x as a, b.x as b from x a join x b on b.core_id = a.core_id + 1 and b.kind = a.kind)"
 
 
-def click_pairs(spark, d):
-    x = log(spark, d).where("kind = 'click'").groupBy("core_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("x"))
-    return x.select(F.col("core_id").alias("id"), F.col("x").alias("a")).join(x.select((F.col("core_id") - 1).alias("id"), F.col("x").alias("b")), "id")
+def kind_pairs(spark, d):
+    """The logs of each kind of every core and the next one."""
+    x = log(spark, d).groupBy("core_id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("x"))
+    a, b = (x.select((F.col("core_id") - k).alias("core_id"), "kind", F.col("x").alias(c)) for c, k in (("a", 0), ("b", 1)))
+    return a.join(b, ["core_id", "kind"]).select(F.concat_ws("/", "core_id", "kind").alias("id"), "a", "b")
 
 
 @query(f"""with recursive {_ARRAYS}, d(id, i, r) as (select id, 1, list_transform(range(1, len(b) + 1), lambda j: list_sum(list_transform(range(1, j + 1), lambda k: abs(a[1] - b[k])))) from p
@@ -248,21 +246,24 @@ union all select p.id, d.i + 1, list_reduce(list_transform(range(1, len(b) + 1),
 lambda acc, e: list_append(acc, least(e[1], abs(p.a[d.i + 1] - p.b[len(acc) + 1]) + acc[len(acc)]))) from d join p using (id) where d.i < len(p.a))
 select id, round(r[len(r)], 6) as distance from d where i = (select len(a) from p p2 where p2.id = d.id)""")
 def dtw_distance(spark, d):
-    return click_pairs(spark, d).select("id", F.round(C.dtw_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+    return kind_pairs(spark, d).select("id", F.round(C.dtw_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 @query()
 def dtw_metrics(spark, d):
-    return correlate.align_arrays(click_pairs(spark, d), "a", "b").select("id", "distance", *correlate.METRICS)
+    return correlate.align_arrays(kind_pairs(spark, d), "a", "b").select("id", "distance", *correlate.METRICS)
 
 
 @query()
 def dtw_segment_pairs(spark, d):
     """Every segment pair of neighbouring cores, aligned in Arrow batches."""
     x = log(spark, d).groupBy("core_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("x"))
-    p = neighbour_pairs(spark, d).join(x.select(F.col("core_id").alias("pair"), F.col("x").alias("xa")), "pair").join(x.select((F.col("core_id") - 1).alias("pair"), F.col("x").alias("xb")), "pair")
-    cut = lambda c: F.slice(f"x{c}", F.col(f"{c}_start_idx").cast("int") + 1, (F.col(f"{c}_end_idx") - F.col(f"{c}_start_idx") + 1).cast("int"))  # noqa: E731  both ends belong to it
-    return correlate.align_arrays(p.select("pair", "key", cut("a").alias("a"), cut("b").alias("b")), "a", "b", band=0.25).select("pair", "key", "distance", *correlate.METRICS)
+    cut = F.slice("x", F.col("start_idx").cast("int") + 1, (F.col("end_idx") - F.col("start_idx") + 1).cast("int"))  # both ends belong to it
+    s = graph.segments(picks(spark, d), log(spark, d)).join(x, "core_id").select("core_id", "seg_id", cut.alias("v"))  # cut first: a pair carries its own values only
+    p = neighbour_pairs(spark, d).join(s.select(F.col("core_id").alias("pair"), F.col("seg_id").alias("a_seg_id"), F.col("v").alias("a")), ["pair", "a_seg_id"])
+    p = p.join(s.select((F.col("core_id") - 1).alias("pair"), F.col("seg_id").alias("b_seg_id"), F.col("v").alias("b")), ["pair", "b_seg_id"])
+    p = p.select("pair", "key", "a", "b", F.concat_ws("/", "pair", "key").alias("deal"))
+    return correlate.align_arrays(p, "a", "b", band=0.25, spread="deal").select("pair", "key", "distance", *correlate.METRICS)
 
 
 # --- ages --------------------------------------------------------------------------------------
@@ -426,9 +427,9 @@ def constraint_subsets(spark, d):
     return stats.constraint_subsets(spark, 10)
 
 
-@query("select p_brand, mapping_id, path from (select p_brand, p_type, min(p_partkey) as mapping_id, p_type as path from part group by all)")
+@query("select p_brand, p_type as path, min(p_partkey) as mapping_id, count(*) as n from part group by all")
 def dedup_paths(spark, d):
-    return table(spark, d, "part").groupBy("p_brand", F.col("p_type").alias("path")).agg(F.min("p_partkey").alias("mapping_id")).select("p_brand", "mapping_id", "path")
+    return graph.dedup_paths(table(spark, d, "part").select("p_brand", F.col("p_type").alias("path"), F.col("p_partkey").alias("mapping_id")), ["p_brand"])
 
 
 # --- images and synthetic cores ----------------------------------------------------------------
@@ -473,5 +474,169 @@ def segment_pool(spark, d):
     return synth.segment_pool(log(spark, d).where("kind = 'signup'"), ["core_id"], "depth", "idx")
 
 
+# --- whole correlations, diagnosis, sweeps -----------------------------------------------------
+
+
+def _sides(spark, d):
+    x, p = log(spark, d).select("core_id", "idx", "depth", "v"), picks(spark, d, HIGH)
+    move = lambda t, k: t.withColumn("pair", F.col("core_id") - k).drop("core_id")
+    return move(x, 0), move(p, 0), move(x, 1), move(p, 1)
+
+
+@query()
+def core_mappings(spark, d):
+    """Every core and the next one, end to end: shortest complete paths with their metrics."""
+    return correlation.correlate_pairs(*_sides(spark, d), shortest_levels=1, most_paths=50).mappings
+
+
+@query(f"""with recursive {_CORE_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst),
+i as (select pair, dst as key, count(*) as n_in from edges group by all), o as (select pair, src as key, count(*) as n_out from edges group by all)
+select pair, key, case when is_top then 'top' when is_bottom then 'bottom' when dead_end then 'dead_end' when orphan then 'orphan' else 'inner' end as kind, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out, a_b1 + b_b1 as level,
+(pair, key) in (select (pair, key) from ahead) as from_top, (pair, key) in (select (pair, key) from back) as to_bottom, (pair, key) in (select (pair, key) from ahead) and (pair, key) in (select (pair, key) from back) as is_complete
+from kinds join pairs using (pair, key) left join i using (pair, key) left join o using (pair, key)""")
+def chain_breaks(spark, d):
+    return graph.chain_breaks(core_pairs(spark, d), ["pair"])
+
+
+@query("""with m as (select o_custkey as mapping_id, list_sort(list(distinct o_orderpriority || o_orderstatus)) as s from orders group by all)
+select mapping_id, array_to_string(s, '|') as path from m a where not exists (select 1 from m b where b.mapping_id <> a.mapping_id and list_has_all(b.s, a.s) and (len(b.s) > len(a.s) or b.mapping_id < a.mapping_id))""")
+def largest_paths(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("mapping_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat("o_orderpriority", "o_orderstatus"))), "|").alias("path"))
+    return rank.largest_paths(o)
+
+
+@query("""with c as (select distinct s_nationkey, s_suppkey as i, s_acctbal as age from supplier), h as (select n_nationkey as s_nationkey, unnest([-500.0, 1000.0, 4000.0, 7000.0]) + n_nationkey as age from nation),
+k as (select c.s_nationkey, c.i, count(h.age) as k from c left join h on h.s_nationkey = c.s_nationkey and h.age <= c.age group by all)
+select a.s_nationkey, a.i, b.i as j, case when abs(a.k - b.k) > 1 then null else a.i + b.i end as d from k a join k b using (s_nationkey)""")
+def infeasible_cells(spark, d):
+    c = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("age"))
+    h = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.explode(F.transform(F.array(*[F.lit(x) for x in (-500.0, 1000.0, 4000.0, 7000.0)]), lambda x: x + F.col("n_nationkey"))).alias("age"))
+    b = c.withColumnRenamed("i", "j")
+    cells = c.select("s_nationkey", "i").join(b.select("s_nationkey", "j"), "s_nationkey").withColumn("d", F.col("i") + F.col("j"))
+    return agemodel.infeasible(cells, c, b, h, ["s_nationkey"])
+
+
+@query("""with z as (select count(*) as n0, avg(p_retailprice) as m0, var_samp(p_retailprice) as v0, stddev_pop(p_retailprice) as s0 from part), s as (select p_brand, p_size, count(*) as n, avg(p_retailprice) as m, var_samp(p_retailprice) as v from part group by all),
+t as (select p_brand, p_size, case when n = 1 then (m - m0) / s0 else (m - m0) / sqrt(((n - 1) * v + (n0 - 1) * v0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)) end as t from s, z)
+select p_size, round(avg(t), 6) as mean, count(t) as n from t group by all""")
+def level_mean_t(spark, d):
+    p = table(spark, d, "part")
+    return stats.level_means(stats.t_and_cohens_d(p, p, ["p_brand", "p_size"], "p_retailprice"), [], "p_size").select("p_size", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""with e as (select unnest([900.0, 1100.0, 1300.0, 1500.0, 1700.0]) as a, unnest([1100.0, 1300.0, 1500.0, 1700.0, 2000.0]) as b, unnest([0, 1, 2, 3, 4]) as bin), n as (select p_brand, count(p_retailprice) as n from part group by all)
+select n.p_brand, cast(bin as int) as bin, round(100.0 * count(p_retailprice) / any_value(n), 6) as pct from n cross join e left join part p on p.p_brand = n.p_brand and p_retailprice >= a and (p_retailprice < b or bin = 4 and p_retailprice = b) group by n.p_brand, bin""")
+def histogram_edges(spark, d):
+    out = stats.histogram_at(table(spark, d, "part"), ["p_brand"], "p_retailprice", [900.0, 1100.0, 1300.0, 1500.0, 1700.0, 2000.0])
+    return out.select("p_brand", "bin", F.round("pct", 6).alias("pct"))
+
+
+@query("""with h as (select s_nationkey, cast(floor(s_acctbal / 1000) as int) as b, count(*) as c from supplier group by all), t as (select *, sum(c) over (partition by s_nationkey) as n from h),
+e as (select s_nationkey, b, cast(round_even(100.0 * c / n * 200 / 100, 0) as int) as k from t)
+select s_nationkey, round(1000 * (b + (j - 0.5) / k), 6) as value from (select *, unnest(range(1, k + 1)) as j from e)""")
+def histogram_values(spark, d):
+    h = table(spark, d, "supplier").groupBy("s_nationkey", F.floor(F.col("s_acctbal") / 1000).cast("int").alias("b")).agg(F.count("*").alias("c"))
+    h = h.withColumn("pct", 100.0 * F.col("c") / F.sum("c").over(Window.partitionBy("s_nationkey"))).withColumns({"lo": F.col("b") * 1000.0, "width": F.lit(1000.0), "n": F.lit(200)})
+    return stats.histogram_values(h, ["s_nationkey"], "lo", "width", "pct", "n").select("s_nationkey", F.round("value", 6).alias("value"))
+
+
+@query("""with s as (select p_brand, count(*) as n, avg(p_retailprice) as m, stddev_pop(p_retailprice) as s from part group by all), g as (select p_brand, avg(power((p_retailprice - m) / nullif(s, 0), 3)) as g from part join s using (p_brand) group by all),
+d as (select *, case when s > 0 and g is not null and pi() / 2 * power(abs(g), 2.0 / 3) / (power(abs(g), 2.0 / 3) + power((4 - pi()) / 2, 2.0 / 3)) < 1 then sqrt(pi() / 2 * power(abs(g), 2.0 / 3) / (power(abs(g), 2.0 / 3) + power((4 - pi()) / 2, 2.0 / 3))) * sign(g) else 0 end as d from s join g using (p_brand))
+select p_brand, n, round(m - s / sqrt(1 - 2 * d * d / pi()) * d * sqrt(2 / pi()), 5) as loc, round(s / sqrt(1 - 2 * d * d / pi()), 5) as scale, round(d / sqrt(1 - d * d), 5) as shape from d""")
+def skew_normal(spark, d):
+    out = stats.skew_normal_fit(table(spark, d, "part"), ["p_brand"], "p_retailprice")
+    return out.select("p_brand", "n", *[F.round(c, 5).alias(c) for c in ("loc", "scale", "shape")])
+
+
+@query("""with p as (select l_suppkey as core_id, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber) as row, l_quantity as r, l_extendedprice as g from lineitem),
+b as (select *, max(case when r > 45 then 1 else 0 end) over (partition by core_id order by row rows between 1 preceding and 1 following) as br, max(case when g < 2000 then 1 else 0 end) over (partition by core_id order by row rows between 2 preceding and 2 following) as bg from p)
+select core_id, row, case when br = 1 or bg = 1 then null else r end as r, case when bg = 1 then null else g end as g from b""")
+def nested_thresholds(spark, d):
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("core_id"), F.row_number().over(w).cast("long").alias("row"), F.col("l_quantity").alias("r"), F.col("l_extendedprice").alias("g"))
+    return series.thresholds(p, {"r": (">", 45.0, 1), "g": ("<", 2000.0, 2)}, ["core_id"], "row", ["g"])
+
+
+@query(f"with {LOG} select core_id, idx, case when idx < 3 or idx >= count(*) over (partition by core_id) - 3 then null else v end as v from log")
+def null_ends(spark, d):
+    return series.null_ends(log(spark, d).select("core_id", "idx", "v"), ["v"], ["core_id"], "idx", 3)
+
+
+def image(spark, d):
+    """The vectors of each label as the scan lines of a picture."""
+    e = table(spark, d, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int").alias("row"), "embedding")
+    return e.select("label", "row", F.posexplode("embedding").alias("col", "v"))
+
+
+_IMAGE = "e as (select label, cast(row_number() over (partition by label order by vec_id) - 1 as int) as row, embedding from embeddings), px as (select label, row, unnest(embedding) as v, unnest(range(64))::int as col from e)"
+
+
+@query(f"with {_IMAGE}, b as (select label, min(row) as r0, max(row) as r1, min(col) as c0, max(col) as c1 from px where v > 0.2 group by all) select label, row - r0 as row, col - c0 as col, v from px join b using (label) where row between r0 and r1 and col between c0 and c1")
+def trimmed_images(spark, d):
+    return series.trim(image(spark, d), ["label"], "row", "col", "v", 0.2)
+
+
+@query(f"with {_IMAGE}, b as (select label, min(col) as c0, max(col) as c1 from px where v >= 0.3 group by all), m as (select label, max(row) as hi from px group by all) select label, row - 1 as row, col - c0 as col, v from px join b using (label) join m using (label) where col between c0 and c1 and row >= 1 and row <= hi - 2")
+def cropped_images(spark, d):
+    return imaging.crop_rows(imaging.crop_sides(image(spark, d), ["label"], "col", "v", 0.3), ["label"], "row", 1, 2)
+
+
+@query(f"""with {_IMAGE}, t as (select label, row, avg(v) as mean, stddev_pop(v) as std from px where col >= 16 and col < 48 group by all), m as (select *, max(case when mean < -0.03 then 1 else 0 end) over (partition by label order by row rows between 2 preceding and 2 following) as bad from t)
+select label, row, round(case when bad = 0 then mean end, 6) as mean, round(case when bad = 0 then std end, 6) as std from m""")
+def brightness_trace(spark, d):
+    out = imaging.brightness_trace(image(spark, d), ["label"], 0.25, 0.75, -0.03, 1.0, 0.5)
+    return out.select("label", "row", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"""with {_IMAGE}, a as (select label as pair, * exclude (label) from px), b as (select label - 1 as pair, row, v, col from px where col < 48), h as (select a.pair, max(a.row) + 1 as h from a group by all),
+n as (select pair, row, col as c, v from b), w as (select pair, row, k as col, v from a join (select k, k * 64 // 48 as col from (select unnest(range(48)) as k)) using (col))
+select w.pair, row, cast(w.col as int) as col, v from w join h using (pair) where pair in (select pair from b) and row < h - 2 union all select n.pair, row + h - 2, c, v from n join h using (pair)""")
+def stitched_images(spark, d):
+    x = image(spark, d).select(F.col("label").alias("pair"), "row", "col", "v")
+    return imaging.stitched_image(x, x.withColumn("pair", F.col("pair") - 1).where("col < 48"), ["pair"], 2)
+
+
+@query(f"""with {LOG}, s as (select core_id // 5 as chain, core_id, count(*) as n from log group by all), p as (select *, row_number() over w as k, lead(core_id) over w is null as last, sum(n - case when core_id = (select min(core_id) from s t where t.chain = s.chain) then 0 else 2 end) over w as top from s window w as (partition by chain order by core_id)),
+q as (select *, top - (n - case when k = 1 then 0 else 2 end) as base from p)
+select chain, core_id, cast(base + idx - case when k = 1 then 0 else 2 end as bigint) as idx, case when not last and idx >= n - 2 then null else v end as v from log join q using (core_id) where k = 1 or idx >= 2""")
+def chained_sections(spark, d):
+    x = log(spark, d).select(F.floor(F.col("core_id") / 5).alias("chain"), "core_id", F.col("idx").cast("long").alias("idx"), "v")
+    return imaging.chained_sections(x, ["chain"], "core_id", "idx", ["v"], buffer=2)
+
+
+@query(f"""with {LOG}, s as (select *, row_number() over (partition by core_id order by top) as seg, count(*) over (partition by core_id) as n from (select core_id, depth as top, lead(depth) over (partition by core_id order by depth) as bottom from log where kind = 'signup') where bottom is not null)
+select s.core_id, cast(s.seg as int) as seg, bottom - top as length, count(l.v) as n, round(sum(l.v), 6) as total from s join log l on l.core_id = s.core_id and l.depth >= top and l.depth < bottom where n <= 2 or (s.seg > 1 and s.seg < n) group by all""")
+def pool_slices(spark, d):
+    x = log(spark, d)
+    out = synth.pool_slices(x.where("kind = 'signup'").select("core_id", "depth", F.lit(2).alias("category")), x)
+    return out.select("core_id", "seg", "length", F.size("values").cast("long").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, y: a + y["v"]), 6).alias("total"))
+
+
+@query()
+def synthetic_fits(spark, d):
+    """Null distribution of the correlation over synthetic pairs drawn from the pool of all cores."""
+    x = log(spark, d)
+    pool = synth.pool_slices(x.where("kind = 'signup' and v > 50").select("core_id", "depth", F.lit(1).alias("category")), x)
+    pool = pool.withColumn("seg", F.col("core_id").cast("long") * 100_000 + F.col("seg")).drop("core_id")
+    target = float(x.agg(F.max("depth")).head()[0] or 0.0)
+    return correlation.synthetic_fits(pool, 5, target, target, shortest_levels=1, most_paths=20)[0]
+
+
+@query("select case when r then 'restricted_age' else 'loose_age' end || '/' || m as scenario, r as restricted, m as mask, cast(bit_count(m) as int) as size from (select unnest(range(1, (1 << (select count(*)::int from region)))) as m), (select unnest([true, false]) as r)")
+def sweep_scenarios(spark, d):
+    c = table(spark, d, "region").select((F.col("r_regionkey") * 100.0).alias("depth"), (F.col("r_regionkey") * 1000.0).alias("age"))
+    return synth.scenarios(c).select("scenario", "restricted", "mask", "size")
+
+
+@query(f"with {LOG} select core_id, idx, round(idx * 150.0 / max(idx) over (partition by core_id), 9) as depth from log")
+def pixel_depths(spark, d):
+    return imaging.pixel_depths(log(spark, d).select("core_id", "idx"), ["core_id"], "idx", 150.0).select("core_id", "idx", F.round("depth", 9).alias("depth"))
+
+
+@query("select p_partkey as mapping_id, p_retailprice / 1000 as norm_dtw from part order by norm_dtw, mapping_id limit 40")
+def first_frames(spark, d):
+    return rank.by_metric(mappings(spark, d).select("mapping_id", "norm_dtw"), "norm_dtw", first=40)  # an animation of 40 frames
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(_write(df, tag))
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); one of our own where it is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: tables between stages need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tephra-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/tephra/{tag}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/tephra/{tag}-{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame, tag: str) -> str:
+    path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:

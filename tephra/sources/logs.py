@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,11 @@ def load_mappings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mappings(df: DataFrame, path: str, metrics_only: bool = False, fmt: str = "parquet") -> None:
-    """Mappings by length, numbered from 1, metrics rounded to 6 places (perc_diag 2); CSV paths are 1-based text."""
+    """Mappings by length and first segments, numbered from 1, metrics rounded to 6 places (perc_diag 2); CSV paths are 1-based text."""
     from tephra.plans.tables import numbered
 
-    out = numbered(df.drop("mapping_id"), "length", "path", name="mapping_id").withColumn("mapping_id", F.col("mapping_id") + 1)
+    first = F.col("path")[0] if "path" in df.columns and dict(df.dtypes)["path"].startswith("array") else F.substring_index("path", "|", 1)
+    out = numbered(df.drop("mapping_id").withColumn("__first", first), "length", "__first", "path", name="mapping_id").drop("__first").withColumn("mapping_id", F.col("mapping_id") + 1)
     places = {"norm_dtw": 6, "dtw_ratio": 6, "perc_diag": 2, "dtw_warp_eff": 6, "corr_coef": 6, "perc_age_overlap": 2}
     out = out.withColumns({c: F.round(c, n) for c, n in places.items() if c in out.columns})
     if metrics_only:
@@ -131,3 +133,59 @@ def upsert_picks(old: DataFrame, new: DataFrame) -> DataFrame:
     """New picks (depth, category) with what the old ones at exactly their depth had besides, by category and depth."""
     more = old.drop("category")
     return new.join(more, "depth", "left").orderBy("category", "depth")
+
+
+def load_depth_ages(spark: SparkSession, path: str) -> DataFrame:
+    """(depth, est_age, pos, neg) from the first four columns of an age model's file, whatever their names; rows without a depth are left out."""
+    raw = read_csv(spark, path)
+    names = ["depth", "est_age", "pos", "neg"]
+    if len(raw.columns) < 4:
+        raise ValueError(f"{path} has fewer than four columns")
+    return raw.select(*[_number(raw, c).alias(n) for c, n in zip(raw.columns[:4], names, strict=True)]).where("depth is not null")
+
+
+def load_core(spark: SparkSession, paths: Mapping[str, str], columns: Mapping[str, str], core_id: str, picks: str | None = None, categories: int | Sequence[int] | None = None, **how) -> tuple[DataFrame, DataFrame | None]:
+    """A core's logs on one grid and its picks (None without a file of them)."""
+    return load_log(spark, paths, columns, core_id, **how), load_picks(spark, picks, core_id, categories) if picks else None
+
+
+def clean_picks(raw: DataFrame, depth: str = "depth", category: str = "category") -> DataFrame:
+    """Picks in order of category and depth; rows whose depth or category is no number are left out."""
+    out = raw.withColumns({depth: F.expr(f"try_cast(`{depth}` as double)"), category: F.expr(f"try_cast(`{category}` as int)")})
+    return out.where(F.col(depth).isNotNull() & ~F.isnan(depth) & F.col(category).isNotNull()).orderBy(category, depth)
+
+
+def load_images(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, row, col, r, g, b) of the pixels of all pictures that Java's ImageIO reads (bmp, jpg, png); grey ones have r = g = b. Other
+    files are left out."""
+    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    px = i.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
+    byte = lambda c: F.conv(F.hex(F.expr(f"substring(data, k * nChannels + least({c}, nChannels - 1) + 1, 1)")), 16, 10).cast("int")
+    return px.select("origin", F.floor(F.col("k") / F.col("width")).cast("int").alias("row"), (F.col("k") % F.col("width")).cast("int").alias("col"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+
+
+def load_scans(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[float, Sequence[Sequence[float]]]], force: bool = False) -> DataFrame:
+    """(file, z, row, col, v) of medical images: parse gives a file's position along the scan and its rows of values.
+
+    Readers of such formats aren't part of this library, so parse is the caller's. A file it raises on fails the job, or is left out if force.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    z, rows = parse(data)
+                except Exception:
+                    if force:
+                        continue
+                    raise
+                for k, row in enumerate(rows):
+                    n = len(row)
+                    yield pa.RecordBatch.from_pydict({"file": [file] * n, "z": pa.array([float(z)] * n, pa.float64()), "row": pa.array([k] * n, pa.int32()), "col": pa.array(range(n), pa.int32()), "v": pa.array([float(v) for v in row], pa.float64())})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, z double, row int, col int, v double")
+
+
+def write_log(log: DataFrame, path: str, columns: Mapping[str, str], order: str = "depth") -> None:
+    """A log as one CSV table in order of depth: columns maps those of log to the file's names; unknown values are empty."""
+    log.select(*[F.col(a).alias(b) for a, b in columns.items()]).orderBy(columns[order]).write.mode("overwrite").option("header", True).csv(path)
