@@ -1,479 +1,515 @@
-"""Language model scoring with a probabilistic suffix tree over the characters of words.
+"""Language model scoring with a probabilistic suffix tree over words.
 
-A text is a sequence of tokens: words (each spelt out and closed by END_OF_WORD), then one END. A state of the tree is a string of the
-characters before the next one, within the token: the whole beginning of the token (with START before it), or its last few characters.
-States are kept if they occur often enough and their next-character distribution diverges from that of the next shorter state; the
-longest kept state scores each character, smoothed by the shorter ones down to a uniform distribution of all characters. A whole token
-is the longest state of all: with its count c of the N training tokens, V of them distinct, its probability is (c + V p) / (N + V), p
-being what the tree gives its spelling.
+A text is a sequence of tokens: its words, then END. A state of the tree is a suffix of the token history, of one or two tokens (START
+stands before the first), and the empty one. A state needs `least` occurrences; it has the next tokens that follow it twice or more and in
+at least `share` of its occurrences, and it is kept if its distribution diverges from that of the next shorter kept state by more than
+`divergence` nats over all its occurrences. The longest kept state scores a token:
 
-The counts come from all training texts: words are counted, sorted over partitions, and spelt from there. What a partition holds of a
-beginning is all there is of it, unless it also begins the partition's first or last word; so rare beginnings end where they are counted.
+    p(x | s) = c(s, x) / (n(s) + mu) + rest(s) p(x | shorter state),    p(x | empty) = (c(x) + V / (V + 1)) / (N + V)
 
-The support that a state needs is the same for any input, and the tree is never in one place: states lie in buckets by their last
-characters, so that a state and all shorter ones that it is compared with or falls back on are in one bucket (those of one character of
-an alphabet, and the empty ones, in all). Each distinct word asks the buckets for its characters' probabilities.
+where c(s, x) counts the next tokens that s has and rest(s) is what they leave of 1. The rules are the same at every size of the input.
+
+The tree is never in one place. All states that end with a word, and all tokens that follow it, are in the bucket of that word: counts,
+divergence tests and scores come from there. Of a word (or pair of words) that follows itself around too often for a bucket, the "wide"
+ones, next tokens are counted beforehand with pre-aggregation; its tokens are spread over buckets by the word before (or by text and
+place), and each of these buckets is told the counts. The empty state's counts of frequent words, fewer than 500,000, are broadcast; rare
+tokens pass through the bucket of their own word first, which knows its count.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, dealt, mix, packed, runs, shuffle_partitions, sliced, texts, unpacked, written
+from .common import U, Words, arrow_map, bucket_of, buckets_for, dealt, mix, row_key, runs, seeds, sliced, texts, written
 
-START, END_OF_WORD, END = "\x02", "\x03", "\x04"
-DEPTH = 4
-SYMBOLS = 0x110000 + 2
+START, END = seeds(2, 77)
+_PAIR, _SUB = seeds(2, 78)
+FREQUENT = 500_000
 HELD = 300_000
-#: From this character on (scripts of many signs) the last character alone says the bucket of a state; before it, the last two.
-WIDE = "\u3000"
-
-
-def states_of(word: str, at: int) -> list[str]:
-    """The states before character `at`, longest first: the whole beginning, then the last DEPTH characters and fewer."""
-    begun = word[:at]
-    return [START + begun, *[begun[at - d :] for d in range(min(DEPTH, at), -1, -1)]]
-
-
-# --- counting ----------------------------------------------------------------------------------
 
 
-def _words(batches):
-    """(word, count in training texts), summed over what a task holds; words of held-out texts alone have count 0."""
-    held: dict[int, list] = {}
+@dataclass(frozen=True)
+class Tree:
+    """The rules of the tree. wide: occurrences of a context from which on its tokens are spread over buckets (the result is the same)."""
 
-    def tell():
-        rows = list(held.values())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
+    least: int = 100
+    share: float = 0.001
+    divergence: float = 10.0
+    mu: float = 2.0
+    wide: int = 2_000_000
 
-    for batch in batches:
-        for some, raws in sliced(batch.column(1).to_pylist(), [r or b"" for r in batch.column(0).to_pylist()]):
-            words = Words(raws, lower=True)
-            key, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
-            n = np.bincount(at, ~np.array(some, bool)[words.doc()], len(key)).astype(np.int64)
-            for h, k, m in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
-                if (row := held.get(h)) is not None:
-                    row[1] += m
-                else:
-                    held[h] = [words.word(k).lower(), m]
-            if len(held) > HELD:
-                yield tell()
-                held.clear()
-    if held:
-        yield tell()
-
-
-def _common(a: str, b: str) -> int:
-    k = 0
-    for x, y in zip(a, b):  # noqa: B905
-        if x != y:
-            break
-        k += 1
-    return k
-
-
-def _begun(batches, least: int):
-    """(raw, word, n, most) of a run of sorted (word, count): beginnings of over `most` characters occur fewer than `least` times.
-
-    They are no other word's, since that would be a neighbour; of the run's first and last words the neighbours aren't known.
-    """
-    held, before = None, 0
-    for batch in batches:
-        for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            word = raw.decode("utf-8", "replace") + END_OF_WORD
-            if held is None:
-                before = len(word)
-            else:
-                after = _common(held[1], word)
-                yield *held, len(held[1]) if held[2] >= least else max(before, after)
-                before = after
-            held = raw, word, n
-    if held is not None:
-        yield *held, len(held[1])
 
+def pair_of(w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """The context of two tokens."""
+    return mix(w1 + mix(w2 ^ _PAIR))
 
-def _spelt(batches, least: int):
-    """(state, next, n) of a run of sorted (word, count): rare beginnings that lie in this partition alone are left out."""
-    short: dict[tuple[str, str], int] = defaultdict(int)
-    long: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
 
-    def tell(rows: list):
-        for lo in range(0, len(rows), 50_000):
-            part = rows[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64() if k == 2 else pa.string()) for k in range(3)], names=["state", "next", "n"])
+@dataclass
+class Tokens:
+    """All tokens of some texts: x, the two before it, and the text of each."""
 
-    def done(*open_words: str) -> list:  # beginnings that no later word and no other partition has
-        rows = []
-        for s in [s for s in long if not any(w.startswith(s[1:]) for w in open_words)]:
-            found = long.pop(s)
-            if sum(found.values()) >= least:
-                rows += [(s, x, n) for x, n in found.items()]
-        return rows
-
-    first = last = ""
-    for _, word, n, most in _begun(batches, least):
-        if not n:
-            continue
-        first = first or word
-        if len(long) > 200_000:
-            yield from tell(done(last, first))
-        if len(short) > 1_000_000:
-            yield from tell([(s, x, n) for (s, x), n in short.items()])
-            short.clear()
-        last = word
-        for at, symbol in enumerate(word):
-            if at <= most:
-                long[START + word[:at]][symbol] += n
-            for k in range(max(0, at - DEPTH), at + 1):
-                short[word[k:at], symbol] += n
-    yield from tell(done(last, first))
-    yield from tell([(s, x, n) for s, found in long.items() for x, n in found.items()] + [(s, x, n) for (s, x), n in short.items()])
-
-
-class SuffixTree:
-    """Kept states with their counts; score(token) is its log10 probability."""
-
-    def __init__(self, counts: dict[str, dict[str, int]], least: int, divergence: float):
-        kept: dict[str, dict[str, int]] = {"": counts.get("", {})}
-        for state in sorted(counts, key=lambda s: (len(s.lstrip(START)), s.startswith(START))):
-            if not state or (n := sum(counts[state].values())) < least:
-                continue
-            parent = kept[self._shorter(state, kept)]
-            m = sum(parent.values())
-            # count x KL divergence (nats) of the state's distribution from that of the next shorter kept state
-            gain = sum(c * math.log(c * m / (n * max(parent.get(x, 0), 0.5))) for x, c in counts[state].items())
-            if gain > divergence or state == START:
-                kept[state] = counts[state]
-        self.log: dict[str, dict[str, float]] = {}
-        self.rest: dict[str, tuple[float, str | None]] = {}
-        plain: dict[str, dict[str, float]] = {}
-        for state in sorted(kept, key=lambda s: (len(s.lstrip(START)), s.startswith(START))):
-            own = kept[state]
-            n, kinds = sum(own.values()), max(len(own), 1)
-            shorter = None if state == "" else self._shorter(state, kept)
-            below = (lambda x: 1 / SYMBOLS) if shorter is None else (lambda x, s=shorter: self._plain(x, s, plain))
-            self.rest[state] = (kinds / (n + kinds), shorter)
-            plain[state] = {x: (c + kinds * below(x)) / (n + kinds) for x, c in own.items()}
-            self.log[state] = {x: math.log10(p) for x, p in plain[state].items()}
-        self.known: dict[bytes, float] = {}
-
-    def _plain(self, symbol: str, state: str | None, plain: dict) -> float:
-        part = 1.0
-        while state is not None:
-            if (p := plain[state].get(symbol)) is not None:
-                return part * p
-            share, state = self.rest[state]
-            part *= share
-        return part / SYMBOLS
+    x: np.ndarray
+    w1: np.ndarray
+    w2: np.ndarray
+    doc: np.ndarray
 
     @staticmethod
-    def _shorter(state: str, kept) -> str:
-        body = state[1:] if state.startswith(START) else state
-        if state.startswith(START):
-            for d in range(min(DEPTH, len(body)), 0, -1):
-                if body[len(body) - d :] in kept:
-                    return body[len(body) - d :]
-            return ""
-        return next((body[k:] for k in range(1, len(body)) if body[k:] in kept), "")
-
-    def symbol(self, word: str, at: int, whole: bool = True) -> float:
-        """log10 probability of character `at`. Unless whole, the word's beginning is cut off, so not a state."""
-        log, begun = self.log, word[:at]
-        state = START + begun
-        if not whole or state not in log:
-            state = next(begun[k:] for k in range(max(0, at - DEPTH), at + 1) if begun[k:] in log)
-        off, x = 0.0, word[at]
-        while state is not None:
-            if (found := self.log[state].get(x)) is not None:
-                return off + found
-            share, state = self.rest[state]
-            off += math.log10(share)
-        return off - math.log10(SYMBOLS)
-
-    def score(self, token: str) -> float:
-        return math.fsum(self.symbol(token, k) for k in range(len(token)))
-
-    def word(self, raw: bytes) -> float:
-        if (found := self.known.get(raw)) is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[raw] = self.score(raw.decode("utf-8", "replace") + END_OF_WORD)
-        return found
-
-
-# --- spelling ----------------------------------------------------------------------------------
-
-_ASKED = "bucket int, state string, next array<string>, n array<long>, asked array<string>, at binary, word binary, count binary"
-_ASKED_NAMES = ["bucket", "state", "next", "n", "asked", "at", "word", "count"]
-_WORD = {"word": U, "n": np.int64, "spelt": np.float64}
-
-
-def _everywhere(state: str) -> bool:
-    return state in ("", START) or len(state) == 1 and state < WIDE
-
-
-def _state_bucket(state: str, buckets: int) -> int:
-    return zlib.crc32((state[-2:] if state[-1:] < WIDE else state[-1:]).encode()) % buckets
+    def of(raws: list[bytes]) -> Tokens:
+        words = Words(raws, lower=True)
+        size = words.n + 1
+        x = np.full(int(size.sum()), END)
+        x[np.arange(len(words.hash)) + words.doc()] = words.hash
+        doc = np.repeat(np.arange(len(raws)), size)
+        w1, w2 = np.full(len(x), START), np.full(len(x), START)
+        w1[1:] = np.where(doc[1:] == doc[:-1], x[:-1], START)
+        w2[2:] = np.where(doc[2:] == doc[:-2], x[:-2], START)
+        return Tokens(x, w1, w2, doc)
+
+
+def _lookup(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of each key in a sorted table, -1 for those that aren't there."""
+    if not len(table):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return np.where(table[at] == key, at, -1)
 
 
-def _state_buckets(state: Column, buckets: int) -> Column:
-    """_state_bucket as a column; all buckets for states that are everywhere."""
-    last = F.substring(state, -1, 1)
-    own = F.crc32(F.when(last < WIDE, F.substring(state, -2, 2)).otherwise(last).cast("binary")) % buckets
-    all_ = state.isin("", START) | ((F.length(state) == 1) & (state < WIDE))
-    return F.when(all_, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(own.cast("int")))
+# --- counting ----------------------------------------------------------------------------------
 
 
-def _questions(batches, least: int, buckets: int):
-    """By bucket: what is asked for (a mark: START or END; the characters before; the character), and which words ask for it.
+def _counts(batches) -> Iterator[pa.RecordBatch]:
+    """(word, n in training texts), summed over what a task holds; words of held-out texts alone have 0."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
-    After START stands the whole beginning; where it is too rare to be a state, the last few characters stand after END instead.
-    """
-    asked: dict[str, int] = {}
-    at, raws, sizes, counts = [], [], [], []
-
-    def tell():
-        words = Words(raws)
-        bucket = np.empty(len(asked), np.int64)
-        for q, k in asked.items():
-            state = q[:-1] if q[0] == START else q[1:-1]
-            bucket[k] = zlib.crc32(q.encode()) % buckets if _everywhere(state) else _state_bucket(state, buckets)
-        name, place, size = list(asked), np.array(at), np.array(sizes)
-        word = np.repeat(words.hash, size)
-        count = np.zeros(len(place), np.int64)
-        count[np.cumsum(size) - size] = counts
-        order = np.argsort(bucket[place].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
-        place, word, count = place[order], word[order], count[order]
-        cut = runs(bucket[place])
-        cols: list[list] = [[] for _ in range(5)]
-        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            used, index = np.unique(place[i:j], return_inverse=True)
-            for c, v in zip(cols, (int(bucket[place[i]]), [name[k] for k in used.tolist()], index.astype(np.uint32).tobytes(), word[i:j].tobytes(), count[i:j].tobytes()), strict=True):
-                c.append(v)
-        nothing = [pa.nulls(len(cols[0]), t) for t in (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *nothing, pa.array(cols[1], pa.list_(pa.string())), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=_ASKED_NAMES)
-
-    for raw, word, n, most in _begun(batches, least):
-        raws.append(raw)
-        sizes.append(len(word))
-        counts.append(n)
-        for k in range(len(word)):
-            q = START + word[: k + 1] if k <= most else END + word[max(0, k - DEPTH) : k + 1]
-            at.append(asked.setdefault(q, len(asked)))
-        if len(at) > 1_000_000:
-            yield tell()
-            asked.clear()
-            at, raws, sizes, counts = [], [], [], []
-    if at:
-        yield tell()
-
-
-def _spellings(batches, least: int, divergence: float, ends: int, buckets: int):
-    """A bucket's states, then its questions: sums of log10 probabilities by word, packed by the word's bucket."""
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    tree, held, size = None, [], 0
-    known: dict[str, float] = {}
-
-    def tell():
-        word, n, spelt = (np.concatenate(c) for c in zip(*held, strict=True))
-        return packed(bucket_of(word, buckets), {"word": word, "n": n, "spelt": spelt})
+    def summed():
+        key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
 
     for batch in batches:
-        cols = [batch.column(k) for k in range(1, 8)]
-        for k in range(batch.num_rows):
-            if cols[0][k].is_valid:
-                counts[cols[0][k].as_py()] = dict(zip(cols[1][k].as_py(), cols[2][k].as_py(), strict=True))
-                continue
-            if tree is None:
-                counts[START][END] = counts[""][END] = ends
-                tree = SuffixTree(counts, least, divergence)
-                counts = {}
-            p = []
-            for q in cols[3][k].as_py():
-                if (found := known.get(q)) is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    found = known[q] = tree.symbol(q[1:], len(q) - 2, q[0] == START)
-                p.append(found)
-            place, word, n = (np.frombuffer(cols[c][k].as_py(), t) for c, t in ((4, np.uint32), (5, U), (6, np.int64)))
-            cut = runs(word)[:-1]
-            held.append((word[cut], np.add.reduceat(n, cut), np.add.reduceat(np.array(p)[place], cut)))
-            size += len(cut)
-            if size > 500_000:
-                yield tell()
-                held, size = [], 0
+        for some, raws in sliced(batch.column(1).to_pylist(), [r or b"" for r in batch.column(0).to_pylist()]):
+            t = Tokens.of(raws)
+            key, at = np.unique(t.x, return_inverse=True)
+            held.append((key, np.bincount(at, ~np.array(some, bool)[t.doc], len(key)).astype(np.int64)))
+            size += len(key)
+            if size > 2 * HELD:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["word", "n"])
+                    held, size = [], 0
     if held:
-        yield tell()
-
-
-def _hashed(batches, n_tokens: int, kinds: int, buckets: int):
-    """Each word's hash, count and log10 probability, in the bucket of its hash."""
-    found = unpacked(batches, _WORD)
-    word, at = np.unique(found["word"], return_inverse=True)
-    n = np.rint(np.bincount(at, found["n"], len(word)))
-    spelt = np.bincount(at, found["spelt"], len(word))
-    whole = np.where(n > 0, np.log10(np.maximum(n, 1) + kinds * 10.0**spelt), math.log10(kinds) + spelt) - math.log10(n_tokens + kinds)
-    bucket, n = bucket_of(word, buckets), n.astype(np.int64)
-    for lo in range(0, len(word), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in (bucket, word.astype(np.int64), n, whole)], names=["bucket", "word", "n", "whole"])
-
+        key, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["word", "n"])
 
-# --- scoring -----------------------------------------------------------------------------------
 
-_NAMES = ["bucket", "hash", "rows", "at", "row", "n_tokens", "n_known", "base", "score"]
-_TYPES = "bucket int, hash binary, rows binary, at binary, row long, n_tokens long, n_known long, base double, score double"
-_SUM_TYPES = "row long, m long, n_tokens long, n_known long, base double, score double"
-_FIELDS = ["m", "n_tokens", "n_known", "base", "score"]
-_RECORD = np.dtype([("row", "<i8"), *[(c, "<f8") for c in _FIELDS]])  # counts are whole numbers below 2^53
-_ARROW = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-
-
-def _scored(batches, p_end: float, frequent, n_tokens: int, ends: int, kinds: int, buckets: int):
-    """For each document a row of what is known of it here, and, by bucket, its words that aren't frequent."""
-    hot, hot_n, hot_whole = frequent.value
-    end_score = math.log10((ends + max(kinds, 1) * p_end) / (n_tokens + max(kinds, 1)))
-    norm = math.log10(n_tokens + kinds + 1)
+def _next_counts(batches, wide, level: int) -> Iterator[pa.RecordBatch]:
+    """(ctx, x, n): what follows wide contexts of `level` tokens in training texts."""
+    wide = wide.value
     for batch in batches:
-        for some, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
-            words = Words(raws, lower=True)
-            doc, m = words.doc(), len(raws)
-            at = np.minimum(np.searchsorted(hot, words.hash), max(len(hot) - 1, 0))
-            is_hot = hot[at] == words.hash if len(hot) else np.zeros(len(words.hash), bool)
-            base = np.bincount(doc, np.log10(hot_n[at] + 1.0) * is_hot if len(hot) else np.zeros(len(doc)), m) - (words.n + 1) * norm + math.log10(ends + 1)
-            score = np.bincount(doc, hot_whole[at] * is_hot if len(hot) else np.zeros(len(doc)), m) + end_score
-            known = np.bincount(doc[is_hot], minlength=m) + (ends > 0)
-            rare = np.flatnonzero(~is_hot)
-            owner = doc[rare]
-            row = np.array(some, np.int64)
-            empty = pa.array([b""] * m, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(mix(row.astype(U)), buckets)), empty, empty, empty, *[pa.array(x) for x in (row, words.n + 1, known.astype(np.int64), base, score)]], names=_NAMES)
-            hash_, bucket = words.hash[rare], bucket_of(words.hash[rare], buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = runs(bucket[order])
-            cols: list[list] = [[] for _ in range(4)]
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                used, index = np.unique(owner[order[i:j]], return_inverse=True)
-                for c, v in zip(cols, (int(bucket[order[i]]), hash_[order[i:j]].tobytes(), row[used].tobytes(), index.astype(np.uint16 if m <= 1 << 16 else np.uint32).tobytes() + (b"\2" if m <= 1 << 16 else b"\4")), strict=True):
-                    c.append(v)
-            nothing = [pa.nulls(len(cols[0]), t) for t in (pa.int64(), *_ARROW.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *nothing], names=_NAMES)
-
-
-def _by_row(records: list[np.ndarray]) -> np.ndarray:
-    """Records added up by their row key."""
-    all_ = np.concatenate(records) if records else np.zeros(0, _RECORD)
-    row, at = np.unique(all_["row"], return_inverse=True)
-    out = np.zeros(len(row), _RECORD)
-    out["row"] = row
-    for c in _FIELDS:
-        out[c] = np.bincount(at, all_[c], len(row))
-    return out
-
-
-def _record(row, **values) -> np.ndarray:
-    out = np.zeros(len(row), _RECORD)
-    out["row"] = row
-    for c, v in values.items():
-        out[c] = v
+        for some, raws in sliced(batch.column(1).to_pylist(), [r or b"" for r in batch.column(0).to_pylist()]):
+            t = Tokens.of(raws)
+            ctx = t.w1 if level == 1 else pair_of(t.w2, t.w1)
+            use = (_lookup(wide, ctx) >= 0) & ~np.array(some, bool)[t.doc]
+            if level == 2:
+                use &= t.w1 != START
+            ctx, x = ctx[use], t.x[use]
+            order = np.lexsort((x, ctx))
+            ctx, x = ctx[order], x[order]
+            change = np.flatnonzero((ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])) + 1
+            cut = np.concatenate(([0], change, [len(x)])) if len(x) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[cut[:-1]].astype(np.int64)), pa.array(x[cut[:-1]].astype(np.int64)), pa.array(np.diff(cut))], names=["ctx", "x", "n"])
+
+
+# --- buckets -----------------------------------------------------------------------------------
+
+_FIELDS = ("key", "n", "k1", "run", "k2", "x", "c", "doc", "train", "target")
+_SCHEMA = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
+#: kinds of rows: tokens of the bucket of their context; rare tokens in the bucket of their word; counts of wide contexts; counts of words
+_TOKENS, _RARE, _WIDE, _WORDS = range(4)
+
+
+def _row(bucket: int, kind: int, **fields) -> tuple:
+    return (bucket, kind, *[fields[f].tobytes() if f in fields else b"" for f in _FIELDS])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * (2 + len(_FIELDS))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=["bucket", "kind", *_FIELDS])
+
+
+def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cut = runs(bucket[order])
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(bucket[order[i]]), order[i:j]
+
+
+def _packed(bucket: np.ndarray, kind: int, keys: np.ndarray, doc: np.ndarray, train: np.ndarray, w1: np.ndarray, ctx2: np.ndarray, x: np.ndarray, c: np.ndarray | None, target: np.ndarray | None = None) -> list[tuple]:
+    """Rows of tokens: those of a bucket together, sorted by context; a text's key and a context once in each row."""
+    rows = []
+    for b, here in _grouped(bucket):
+        here = here[np.lexsort((ctx2[here], w1[here]))]
+        cut = runs(w1[here])
+        used, at = np.unique(doc[here], return_inverse=True)
+        wide = len(used) > 1 << 16
+        fields = {"key": keys[used], "n": np.array([len(here)]), "k1": w1[here][cut[:-1]], "run": np.diff(cut).astype(np.uint32), "k2": ctx2[here] if kind == _RARE else ctx2[here].astype(np.uint32), "x": x[here]}
+        fields |= {"doc": at.astype(np.uint32 if wide else np.uint16), "train": np.packbits(train[used])}
+        fields |= {f: v[here] for f, v in (("c", c), ("target", target)) if v is not None}
+        rows.append(_row(b, kind, **fields))
+    return rows
+
+
+def _unpacked(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+    get = lambda f, t: np.frombuffer(batch.column(f)[k].as_py(), t)
+    n = int(get("n", np.int64)[0])
+    rare = batch.column("kind")[k].as_py() == _RARE
+    doc = batch.column("doc")[k].as_py()
+    key = get("key", np.int64).reshape(-1, 2)
+    at = np.frombuffer(doc, np.uint16 if len(doc) == 2 * n else np.uint32).astype(np.int64)
+    return {
+        "key": key, "doc": at, "train": np.unpackbits(get("train", np.uint8))[: len(key)].astype(bool)[at], "w1": np.repeat(get("k1", U), get("run", np.uint32)),
+        "ctx2": get("k2", U if rare else np.uint32).astype(U), "x": get("x", U) if len(batch.column("x")[k].as_py()) == 8 * n else get("x", np.uint32).astype(U), "c": get("c", np.float32) if len(batch.column("c")[k].as_py()) else np.full(n, -1, np.float32), "target": get("target", np.int32),
+    }
+
+
+_SUMS = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_tokens", "<i4"), ("n_known", "<i4"), ("base", "<f8"), ("score", "<f8")])
+
+
+def _sums(keys: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_known=None, base=None, score=None) -> pa.RecordBatch:
+    """What is known of some texts, by the bucket of their key. doc numbers the rows of keys for each value."""
+    used, at = np.unique(doc, return_inverse=True)
+    out = np.zeros(len(used), _SUMS)
+    out["a"], out["b"] = keys[used].T if len(used) else (0, 0)
+    for name, value in (("n_tokens", n_tokens), ("n_known", n_known), ("base", base), ("score", score)):
+        if value is not None:
+            out[name] = np.bincount(at, value, len(used))
+    rows = [(b, out[here].tobytes()) for b, here in _grouped(bucket_of(mix(out["a"].astype(U)), buckets))]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "sums"])
+
+
+@dataclass
+class Known:
+    """What every task knows: frequent words with their counts, wide contexts with theirs, and the corpus' numbers."""
+
+    word: np.ndarray
+    count: np.ndarray
+    wide1: np.ndarray
+    wide1_n: np.ndarray
+    wide2: np.ndarray
+    wide2_n: np.ndarray
+    n: int
+    v: int
+    ends: int
+    often: int
+    tree: Tree
+    buckets: int
+
+    def empty(self, c: np.ndarray) -> np.ndarray:
+        """The empty state's probability of tokens with these counts."""
+        return (c + self.v / (self.v + 1)) / (self.n + max(self.v, 1))
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1.0) / (self.n + self.v + 1))
+
+    def parts(self, n: np.ndarray) -> np.ndarray:
+        """Buckets of a wide context."""
+        return np.minimum(self.buckets, -(-n // self.tree.wide)).astype(U)
+
+    def targets(self, t: Tokens, ctx2: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The bucket of each token's context; -1 where no state is possible."""
+        at = _lookup(self.word, t.w1)
+        n1 = np.where(t.w1 == START, self.ends, np.where(at >= 0, self.count[np.maximum(at, 0)] if len(self.count) else 0, self.often))
+        bucket = bucket_of(mix(t.w1), self.buckets)
+        one = _lookup(self.wide1, t.w1)
+        some = np.flatnonzero(one >= 0)
+        if len(some):
+            bucket[some] = sub_bucket(t.w1[some], mix(t.w2[some]) % self.parts(self.wide1_n[one[some]]), self.buckets)
+            two = np.where(t.w1 != START, _lookup(self.wide2, ctx2), -1)
+            some = np.flatnonzero(two >= 0)
+            place = mix(keys[t.doc[some], 0].astype(U) + some.astype(U))
+            bucket[some] = sub_bucket(ctx2[some], place % self.parts(self.wide2_n[two[some]]), self.buckets) if len(some) else bucket[some]
+        return np.where(n1 >= self.tree.least, bucket, -1).astype(np.int32)
+
+
+def sub_bucket(ctx: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(mix(ctx + mix(sub.astype(U) ^ _SUB)), buckets)
+
+
+def _questions(batches, known, rare: bool):
+    """Tokens to buckets: rare ones to that of their word, others to that of their context. Where no state is possible, and for what else
+    the task knows itself, sums (bucket, sums) in place of tokens: those rows have kind null."""
+    known: Known = known.value
+    for batch in batches:
+        held = batch.column(3).to_pylist()
+        rows = np.stack([np.asarray(batch.column(k)) for k in (0, 1)], 1) if batch.num_rows else np.zeros((0, 2), np.int64)
+        for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(2).to_pylist()]):
+            t, keys, train = Tokens.of(raws), rows[some], ~np.array([held[k] for k in some], bool)
+            at = _lookup(known.word, t.x)
+            take = np.flatnonzero(at < 0) if rare else np.flatnonzero(at >= 0)
+            ctx2 = pair_of(t.w2, t.w1)
+            target = known.targets(t, ctx2, keys)[take]
+            part = Tokens(t.x[take], t.w1[take], t.w2[take], t.doc[take])
+            if rare:
+                out = _packed(bucket_of(part.x, known.buckets), _RARE, keys, part.doc, train, part.w1, ctx2[take], part.x, None, target)
+                yield _with_sums(_batch(out), None)
+                continue
+            c = known.count[at[take]]
+            direct = target < 0
+            n = np.bincount(t.doc, minlength=len(keys))
+            score = np.bincount(part.doc[direct], np.log10(known.empty(c[direct])), len(keys))
+            sums = _sums(keys, np.arange(len(keys)), known.buckets, n, np.bincount(part.doc, c > 0, len(keys)), np.bincount(part.doc, known.base(c), len(keys)), score)
+            go = np.flatnonzero(~direct)
+            out = _packed(target[go], _TOKENS, keys, part.doc[go], train, part.w1[go], ctx2[take][go], at[take][go].astype(np.uint32), None)  # frequent words by their number, which stands for their count
+            yield _with_sums(_batch(out), sums)
+
+
+def _with_sums(tokens: pa.RecordBatch, sums: pa.RecordBatch | None) -> pa.RecordBatch:
+    """Rows of tokens, and rows of kind -1 with sums in the field key."""
+    if sums is None or not sums.num_rows:
+        return tokens
+    n = sums.num_rows
+    empty = pa.array([b""] * n, pa.binary())
+    more = pa.RecordBatch.from_arrays([sums.column(0), pa.array([-1] * n, pa.int32()), sums.column(1), *[empty] * (len(_FIELDS) - 1)], names=tokens.schema.names)
+    return pa.Table.from_batches([tokens, more]).combine_chunks().to_batches()[0]
+
+
+def _own_words(batches, known):
+    """The bucket of rare words: their counts go on with the tokens to their contexts, or into sums where no state is possible."""
+    known: Known = known.value
+    words, counts, asked = [np.zeros(0, U)], [np.zeros(0, np.int64)], []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch.column("kind")[k].as_py() == _WORDS:
+                words.append(np.frombuffer(batch.column("x")[k].as_py(), U))
+                counts.append(np.frombuffer(batch.column("c")[k].as_py(), np.int64))
+            else:
+                asked.append((batch, k))
+    word, count = np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(word)
+    word, count = word[order], count[order]
+    for batch, k in asked:
+        t = _unpacked(batch, k)
+        at = _lookup(word, t["x"])
+        c = np.where(at >= 0, count[np.maximum(at, 0)] if len(count) else 0, 0)
+        direct = t["target"] < 0
+        score = np.where(direct, np.log10(known.empty(c)), 0.0)
+        sums = _sums(t["key"], t["doc"], known.buckets, None, c > 0, known.base(c), score)
+        go = np.flatnonzero(~direct)
+        train = np.zeros(len(t["key"]), bool)
+        train[t["doc"][t["train"]]] = True
+        out = _packed(t["target"][go], _TOKENS, t["key"], t["doc"][go], train, t["w1"][go], t["ctx2"][go], t["x"][go], c[go].astype(np.float32))
+        yield _with_sums(_batch(out), sums)
+
+
+def _told(batches, known, pairs):
+    """Counts of wide contexts (ctx, level, n, x, c, c0 arrays) to the buckets of their tokens. pairs: wide pairs by their last word."""
+    known: Known = known.value
+    last, of = pairs.value
+    for batch in batches:
+        rows = []
+        for ctx, level, x, c, c0 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            key = np.array([ctx], np.int64).astype(U)
+            places = set()
+            where = (known.wide1, known.wide1_n) if level == 1 else (known.wide2, known.wide2_n)
+            n = where[1][_lookup(where[0], key)]
+            spread = [(key, n)]
+            if level == 1:
+                spread += [(of[k : k + 1], known.wide2_n[_lookup(known.wide2, of[k : k + 1])]) for k in range(*np.searchsorted(last, (key[0], key[0] + U(1))))]
+            for s, m in spread:
+                sub = np.arange(int(known.parts(m)[0]))
+                places |= set(sub_bucket(np.repeat(s, len(sub)), sub, known.buckets).tolist())
+            fields = {"k1": key, "n": n, "run": np.array([level]), "x": np.array(x, np.int64).astype(U), "c": np.array(c, np.float64), "k2": np.array(c0, np.float64)}
+            rows += [_row(b, _WIDE, **fields) for b in sorted(places)]
+        yield _batch(rows)
+
+
+def _states(ctx: np.ndarray, x: np.ndarray, train: np.ndarray, p: np.ndarray, tree: Tree, wide: dict[int, tuple]) -> np.ndarray:
+    """p(x | state) for tokens x behind contexts, p being what the shorter states give them; wide: (n, x, c, p of the shorter) of contexts
+    that are counted elsewhere."""
+    order = np.lexsort((x, ctx))
+    ctx, x, train, p = ctx[order], x[order], train[order], p[order]
+    cut = np.concatenate(([0], np.flatnonzero((ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])) + 1, [len(x)]))
+    first = cut[:-1]
+    c = np.add.reduceat(train.astype(np.int64), first)  # of each (context, next token)
+    group = runs(ctx[first])
+    begin, size = group[:-1], np.diff(group)
+    n = np.add.reduceat(c, begin)
+    of = np.repeat(np.arange(len(begin)), size)
+    have = (c >= 2) & (c >= tree.share * n[of]) & (n[of] >= tree.least)
+    own = np.where(have, c, 0)
+    rest = 1 - np.add.reduceat(own, begin) / (n + tree.mu)
+    new = own / (n[of] + tree.mu) + rest[of] * p[first]
+    gain = np.add.reduceat(np.where(have, own * np.log(np.where(have, new / p[first], 1.0)), 0.0), begin)
+    new = np.where((gain > tree.divergence)[of], new, p[first])
+    for k in np.flatnonzero(np.isin(ctx[first[begin]], np.array(list(wide), U))).tolist() if wide else ():
+        m, xs, cs, before = wide[int(ctx[first[begin[k]]])]
+        here = slice(begin[k], begin[k] + size[k])
+        left = 1 - cs.sum() / (m + tree.mu)
+        if (cs * np.log((cs / (m + tree.mu) + left * before) / before)).sum() <= tree.divergence:
+            new[here] = p[first[here]]
+            continue
+        at = _lookup(xs, x[first[here]])
+        new[here] = np.where(at >= 0, cs[np.maximum(at, 0)] if len(cs) else 0.0, 0.0) / (m + tree.mu) + left * p[first[here]]
+    out = np.empty(len(x))
+    out[order] = np.repeat(new, np.diff(cut))
     return out
 
 
-def _answered(batches, buckets: int):
-    """A bucket's documents, and its questions with the answers of its words (they come in any order), as packed sums by document."""
-    asked, words, held, size = [], [], [], 0
-
-    def tell():
-        found = _by_row(held)
-        return packed(bucket_of(mix(found["row"].astype(U)), buckets), {"sums": found})
-
+def _scored(batches, known):
+    """A bucket of contexts: its tokens' probabilities, summed by text."""
+    known: Known = known.value
+    tree = known.tree
+    keys, parts, size = [], [], 0
+    told: dict[tuple[int, int], tuple] = {}
     for batch in batches:
-        is_word = pc.is_valid(batch.column("word"))
-        words.append(batch.filter(is_word).select(["word", "n", "whole"]))
-        rest = batch.filter(pc.invert(is_word))
-        docs = rest.filter(pc.is_valid(rest.column("row")))
-        if docs.num_rows:
-            held.append(_record(np.asarray(docs.column("row")), m=1, **{c: np.asarray(docs.column(c)) for c in _FIELDS[1:]}))
-        asked.append(rest.filter(pc.is_null(rest.column("row"))).select(["hash", "rows", "at"]))
-    column = lambda k: np.concatenate([np.asarray(b.column(k)) for b in words]) if words else np.zeros(0)
-    word = column(0).astype(np.int64).astype(U)
-    order = np.argsort(word)
-    word, base, whole = word[order], np.log10(column(1)[order] + 1.0), column(2)[order]
-    for batch in asked:
-        for k in range(batch.num_rows if len(word) else 0):
-            at = batch.column(2)[k].as_py()
-            at = np.frombuffer(at[:-1], np.uint16 if at[-1] == 2 else np.uint32)
-            hash_, rows = np.frombuffer(batch.column(0)[k].as_py(), U), np.frombuffer(batch.column(1)[k].as_py(), np.int64)
-            where = np.minimum(np.searchsorted(word, hash_), len(word) - 1)
-            found = word[where] == hash_
-            where, at = where[found], at[found]
-            n, *sums = [np.bincount(at, x[where], len(rows)) for x in (base > 0, base, whole)]
-            held.append(_record(rows, n_known=n, base=sums[0], score=sums[1]))
-            size += len(rows)
-            if size > 500_000:
-                yield tell()
-                held, size = [], 0
-    yield tell()
+        for k in range(batch.num_rows):
+            if batch.column("kind")[k].as_py() == _WIDE:
+                get = lambda f, t, batch=batch, k=k: np.frombuffer(batch.column(f)[k].as_py(), t)
+                x = get("x", U)
+                order = np.argsort(x)
+                told[int(get("run", np.int64)[0]), int(get("k1", U)[0])] = (int(get("n", np.int64)[0]), x[order], get("c", np.float64)[order], get("k2", np.float64)[order])
+                continue
+            t = _unpacked(batch, k)
+            frequent = t["c"] < 0
+            c = np.where(frequent, known.count[np.where(frequent, t["x"], 0).astype(np.int64)] if len(known.count) else 0, t["c"])
+            x = np.where(frequent, known.word[np.where(frequent, t["x"], 0).astype(np.int64)] if len(known.word) else t["x"], t["x"])
+            keys.append(t["key"])
+            parts.append((t["w1"], t["ctx2"] & U(0xFFFFFFFF), x, c, t["doc"] + size, t["train"]))
+            size += len(t["key"])
+    if not parts:
+        return
+    w1, ctx2, x, c, doc, train = (np.concatenate(z) for z in zip(*parts, strict=True))
+    parts.clear()
+    p = known.empty(c)
+    wide1 = {k: (n, xs, cs, known.empty(c0)) for (level, k), (n, xs, cs, c0) in told.items() if level == 1}
+    p1 = _states(w1, x, train, p, tree, wide1)
+    second = np.flatnonzero(w1 != START)
+    if len(second):
+        two = mix(w1[second]) ^ mix(ctx2[second])
+        wide2 = {}
+        for (level, k), (n, xs, cs, c0) in told.items():
+            if level == 2:
+                low = np.array([k], U) & U(0xFFFFFFFF)
+                for w in wide1:  # the pair's last word; its other words' pairs have other numbers
+                    name = int((mix(np.array([w], U)) ^ mix(low))[0])
+                    before = known.empty(c0)
+                    m, xs1, cs1, b1 = wide1[w]
+                    left = 1 - cs1.sum() / (m + tree.mu)
+                    if (cs1 * np.log((cs1 / (m + tree.mu) + left * b1) / b1)).sum() > tree.divergence:
+                        at = _lookup(xs1, xs)
+                        before = np.where(at >= 0, cs1[np.maximum(at, 0)] if len(cs1) else 0.0, 0.0) / (m + tree.mu) + left * before
+                    wide2[name] = (n, xs, cs, before)
+        p1[second] = _states(two, x[second], train[second], p1[second], tree, wide2)
+    yield _sums(np.concatenate(keys), doc, known.buckets, score=np.log10(p1))
 
 
 def _summed(batches):
-    """A bucket's documents with all their sums."""
-    found = _by_row([np.frombuffer(r, _RECORD) for batch in batches for r in batch.column(1).to_pylist()])
-    for lo in range(0, len(found), 20_000):
-        part = found[lo : lo + 20_000]
-        whole = {"m", "n_tokens", "n_known"}
-        yield pa.RecordBatch.from_arrays([pa.array(part["row"]), *[pa.array(np.rint(part[c]).astype(np.int64) if c in whole else part[c]) for c in _FIELDS]], names=["row", *_FIELDS])
+    """A bucket's texts with all their sums; of each how many sums of tokens there are, which is the number of equal rows."""
+    parts = [np.frombuffer(r, _SUMS) for batch in batches for r in batch.column(1).to_pylist()]
+    all_ = np.concatenate(parts) if parts else np.zeros(0, _SUMS)
+    order = np.lexsort((all_["b"], all_["a"]))
+    all_ = all_[order]
+    cut = np.concatenate(([0], np.flatnonzero((all_["a"][1:] != all_["a"][:-1]) | (all_["b"][1:] != all_["b"][:-1])) + 1, [len(all_)])) if len(all_) else np.zeros(1, np.int64)
+    first = cut[:-1]
+    add = lambda c, t: np.add.reduceat(all_[c].astype(t), first) if len(first) else np.zeros(0, t)
+    m = np.add.reduceat((all_["n_tokens"] > 0).astype(np.int64), first) if len(first) else first
+    cols = [all_["a"][first], all_["b"][first], m, add("n_tokens", np.int64), add("n_known", np.int64), add("base", float), add("score", float)]
+    for lo in range(0, len(first), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in cols], names=["row", "row2", "m", "n_tokens", "n_known", "base", "score"])
+
+
+def _word_rows(batches, buckets: int):
+    """Counts of rare words, packed by bucket."""
+    for batch in batches:
+        word, n = np.asarray(batch.column(0)).astype(U), np.asarray(batch.column(1))
+        yield _batch([_row(b, _WORDS, x=word[here], c=n[here]) for b, here in _grouped(bucket_of(word, buckets))])
 
 
-def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 100, divergence: float = 10.0) -> DataFrame:
+def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df.
 
     Tokens are the words (A-Z lowered) and one end. Counts are of all rows that aren't held out (a null held_out counts as no). base_score
-    adds log10((c + 1) / (N + (V + 1))) over tokens; score is the model's log10 probability of the token sequence. A null text is
-    empty: its only token is the end. Repeated rows each get a row; other columns are left out; an empty table gives none.
-
-    A state needs `least` occurrences and a divergence (count x nats) of over `divergence`, whatever the size of the input. Words that occur
-    more often than every half a millionth token, so fewer than 500,000, are looked up in a broadcast; the other words' counts are asked
-    for in their buckets.
+    adds log10((c + 1) / (N + (V + 1))) over tokens; score is the tree's log10 probability of the token sequence, any unknown word being
+    one token more than the V known ones. A null text is empty: its only token is the end. Whole texts are scored, however long. Repeated
+    rows each get a row; other columns are left out; an empty table gives none. Words and contexts are compared by 64-bit hashes, next
+    words within a pair's bucket by 32 bits of the pair.
     """
     spark = df.sparkSession
-    kind, buckets = dict(df.dtypes)[id_col], shuffle_partitions(spark)
+    kind = dict(df.dtypes)[id_col]
     out = F.coalesce(held_out, F.lit(False)).alias("held_out")
-    docs = texts(df, id_col, text_col, out)
-    counted = written(arrow_map(docs.select("raw", "held_out"), _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total, kinds = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
-    ends = docs.where(~F.col("held_out")).count()
-    n_tokens, kinds = (total or 0) + ends, int(kinds + (ends > 0))
-    ordered = counted.repartitionByRange(buckets, "word").sortWithinPartitions("word")
-    spelt = arrow_map(ordered, lambda b: _spelt(b, least), "state string, next string, n long").repartition(buckets, "state").groupBy("state", "next").agg(F.sum("n").alias("n"))
-    states = spelt.groupBy("state").agg(F.collect_list("next").alias("next"), F.collect_list("n").alias("n"), F.sum("n").alias("all")).where(F.col("all") >= least).drop("all")
-    states = written(states, "lm-states")
-    first = {r.state: dict(zip(r.next, r.n, strict=True)) for r in states.where(F.col("state").isin("", START)).collect()}
-    first = {s: first.get(s, {}) | {END: ends} for s in ("", START)}
-    p_end = 10 ** SuffixTree(first, least, divergence).score(END)
-    asked = arrow_map(ordered, lambda b: _questions(b, least, buckets), _ASKED)
-    both = states.select(F.explode(_state_buckets(F.col("state"), buckets)).alias("bucket"), "state", "next", "n").unionByName(asked, allowMissingColumns=True)
-    letters = arrow_map(dealt(both, buckets).sortWithinPartitions(F.col("state").isNull()), lambda b: _spellings(b, least, divergence, ends, buckets), "bucket int, word binary, n binary, spelt binary")
-    hashed = written(arrow_map(dealt(letters, buckets), lambda b: _hashed(b, n_tokens, max(kinds, 1), buckets), "bucket int, word long, n long, whole double"), "lm-hashes")
-    often = n_tokens // 500_000
-    top = hashed.where(F.col("n") > often).select("word", "n", "whole").toArrow()
-    hot = np.asarray(top.column(0), np.int64).astype(U)
-    order = np.argsort(hot)
-    frequent = spark.sparkContext.broadcast((hot[order], np.asarray(top.column(1), np.int64)[order], np.asarray(top.column(2), np.float64)[order]))
-    row = F.shiftright(F.xxhash64("doc_id", "raw"), 1).alias("row")
-    asked = arrow_map(docs.select(row, "raw"), lambda b: _scored(b, p_end, frequent, n_tokens, ends, kinds, buckets), _TYPES)
-    both = asked.unionByName(hashed.where(F.col("n") <= often), allowMissingColumns=True)
-    found = arrow_map(dealt(both, buckets), lambda b: _answered(b, buckets), "bucket int, sums binary")
-    # equal rows come together: each has the sums of all, divided again
-    sums = written(arrow_map(dealt(found, buckets), _summed, _SUM_TYPES), "lm-sums")
-    ids = docs.select("doc_id", "held_out", row)
-    return ids.join(sums, "row").select(
-        "doc_id", "held_out", (F.col("n_tokens") / F.col("m")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("m")).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score")
-    )
+    row, row2 = row_key(F.col("doc_id"), F.col("raw"))
+    docs = texts(df, id_col, text_col, out).withColumn("row", row).withColumn("row2", row2)
+    buckets = buckets_for(spark, docs, each=32 << 20)
+    counted = written(arrow_map(docs.select("raw", "held_out"), _counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    total, v = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
+    total = total or 0
+    often = total // FREQUENT
+    cap = max(tree.wide, total // 1_000_000)  # so there are at most a million wide contexts
+    tree = Tree(tree.least, tree.share, tree.divergence, tree.mu, cap)
+
+    def table(rows) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.asarray(rows.column(0), np.int64).astype(U), np.asarray(rows.column(1), np.int64)
+        order = np.argsort(key)
+        return key[order], n[order]
+
+    word, count = table(counted.where(F.col("n") > often).toArrow())
+    ends = int(count[_lookup(word, np.array([END]))][0]) if len(word) and _lookup(word, np.array([END]))[0] >= 0 else int((counted.where(F.col("word") == int(np.int64(END.astype(np.int64)))).agg(F.sum("n")).head()[0]) or 0)
+    is_wide = (count > cap) & (word != END)
+    w1, w1_n = word[is_wide], count[is_wide]
+    if ends > cap:
+        w1, w1_n = np.append(w1, START), np.append(w1_n, ends)
+        order = np.argsort(w1)
+        w1, w1_n = w1[order], w1_n[order]
+    w2 = w2_n = last = np.zeros(0, U)
+    w2_n = w2_n.astype(np.int64)
+    counts = []
+
+    def following(keys: np.ndarray, level: int) -> DataFrame:
+        held = spark.sparkContext.broadcast(keys)
+        some = arrow_map(docs.select("raw", "held_out"), lambda b: _next_counts(b, held, level), "ctx long, x long, n long")
+        return written(some.groupBy("ctx", "x").agg(F.sum("n").alias("n")), "lm-next")
+
+    def kept(pairs: DataFrame, keys: np.ndarray, n: np.ndarray, level: int) -> DataFrame:
+        size = spark.createDataFrame([(int(k), int(m)) for k, m in zip(keys.astype(np.int64), n, strict=True)], "ctx long, m long")
+        some = pairs.join(F.broadcast(size), "ctx").where((F.col("n") >= 2) & (F.col("n") >= F.col("m") * tree.share))  # at most a million contexts
+        some = some.join(counted.select(F.col("word").alias("x"), F.col("n").alias("c0")), "x")
+        of = F.array_sort(F.collect_list(F.struct("x", "n", "c0")))  # at most 1 / share of them
+        some = some.groupBy("ctx").agg(of.alias("e"))
+        return size.join(some, "ctx", "left").select("ctx", F.lit(level).alias("level"), *[F.coalesce(F.col(f"e.{c}"), F.array().cast("array<long>")).alias(c) for c in ("x", "n", "c0")])
+
+    if len(w1):
+        pairs = following(w1, 1)
+        counts.append(kept(pairs, w1, w1_n, 1))
+        often_pairs = pairs.where(F.col("n") > cap).toArrow()  # fewer than total / cap
+        a, b, n = (np.asarray(often_pairs.column(k), np.int64) for k in range(3))
+        a, b = a.astype(U), b.astype(U)
+        use = b != END
+        if use.any():
+            w2, last, w2_n = pair_of(a[use], b[use]), b[use], n[use]
+            order = np.argsort(w2)
+            w2, last, w2_n = w2[order], last[order], w2_n[order]
+            counts.append(kept(following(w2, 2), w2, w2_n, 2))
+    order = np.argsort(last)
+    pairs_of = spark.sparkContext.broadcast((last[order], w2[order]))
+    known = spark.sparkContext.broadcast(Known(word, count, w1, w1_n, w2, w2_n, total, int(v), ends, int(often), tree, buckets))
+    source = docs.select("row", "row2", "raw", "held_out")
+    rare = arrow_map(source, lambda b: _questions(b, known, True), _SCHEMA)
+    words = arrow_map(counted.where(F.col("n") <= often), lambda b: _word_rows(b, buckets), _SCHEMA)
+    forwarded = arrow_map(dealt(rare.unionByName(words), buckets), lambda b: _own_words(b, known), _SCHEMA)
+    asked = written(arrow_map(source, lambda b: _questions(b, known, False), _SCHEMA).unionByName(forwarded), "lm-tokens")
+    both = asked.where("kind >= 0")
+    for more in counts:
+        both = both.unionByName(arrow_map(more, lambda b: _told(b, known, pairs_of), _SCHEMA))
+    scores = arrow_map(dealt(both, buckets), lambda b: _scored(b, known), "bucket int, sums binary")
+    sums = scores.unionByName(asked.where("kind = -1").select("bucket", F.col("key").alias("sums")))
+    found = written(arrow_map(dealt(sums, buckets), _summed, "row long, row2 long, m long, n_tokens long, n_known long, base double, score double"), "lm-sums")
+    ids = docs.select("doc_id", "held_out", "row", "row2")
+    share = lambda c: F.col(c) / F.col("m")  # noqa: E731  equal rows have the sums of all
+    return ids.join(found, ["row", "row2"]).select("doc_id", "held_out", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), share("base").alias("base_score"), share("score").alias("score"))

@@ -1,8 +1,9 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tephra.llm import lm
@@ -14,91 +15,113 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def base(rows, held):
-    count = Counter(w for d, t in rows if not held(d) for w in tokens(t))
-    ends = sum(not held(d) for d, _ in rows)
-    n, v = sum(count.values()) + ends, len(count) + (ends > 0)
-    out = []
-    for d, t in rows:
-        w = tokens(t)
-        c = [count[x] for x in w] + [ends]
-        out.append((d, held(d), len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 1) / (n + v + 1)) for x in c), 6)))
-    return sorted(out, key=str)
+class Plain:
+    """The tree by its definition, over words: every state in one dictionary, every distribution whole."""
 
+    def __init__(self, rows, held, tree):
+        self.tree, self.count, self.next = tree, Counter(), defaultdict(Counter)
+        for d, t in rows:
+            if not held(d):
+                history = []
+                for x in [*tokens(t), None]:
+                    self.count[x] += 1
+                    for s in self.suffixes(history)[1:]:
+                        self.next[s][x] += 1
+                    history.append(x)
+        self.n, self.v = sum(self.count.values()), len(self.count)
+        self.kept = {(): True}
+        for s in sorted(self.next, key=len):
+            n, have = sum(self.next[s].values()), self.have(s)
+            gain = sum(c * math.log(self.p(x, s, True) / self.p(x, s[1:])) for x, c in have.items())
+            self.kept[s] = n >= tree.least and gain > tree.divergence
 
-def test_base_over_odd_documents(spark, odd_docs, no_docs):
+    @staticmethod
+    def suffixes(history):
+        """The empty one, that of one token and that of two, oldest first; a text's first token has START alone before it."""
+        return [(), ("<s>",)] if not history else [(), (history[-1],), (history[-2] if len(history) > 1 else "<s>", history[-1])]
+
+    def have(self, s):
+        n = sum(self.next[s].values())
+        return {x: c for x, c in self.next[s].items() if c >= 2 and c >= self.tree.share * n} if n >= self.tree.least else {}
+
+    def p(self, x, s, as_kept=False):
+        if not s:
+            return (self.count[x] + self.v / (self.v + 1)) / (self.n + max(self.v, 1))
+        shorter = self.p(x, s[1:])
+        if not (as_kept or self.kept.get(s)):
+            return shorter
+        n, have = sum(self.next[s].values()), self.have(s)
+        return have.get(x, 0) / (n + self.tree.mu) + (1 - sum(have.values()) / (n + self.tree.mu)) * shorter
+
+    def score(self, text):
+        history, total = [], 0.0
+        for x in [*tokens(text), None]:
+            total += math.log10(self.p(x, self.suffixes(history)[-1]))
+            history.append(x)
+        return total
+
+    def row(self, d, t, held):
+        c = [self.count[x] for x in [*tokens(t), None]]
+        return d, held(d), len(c), sum(k > 0 for k in c), self.n, sum(math.log10((k + 1) / (self.n + self.v + 1)) for k in c), self.score(t)
+
+
+def check(df, rows, held, condition, tree):
+    plain = Plain(rows, held, tree)
+    got = sorted((tuple(r) for r in lm.score_texts(df, condition, tree=tree).collect()), key=str)
+    want = sorted((plain.row(d, t, held) for d, t in rows), key=str)
+    assert len(got) == len(want)
+    by = defaultdict(list)
+    for r in want:
+        by[r[:5]].append(r)
+    for r in got:
+        near = min(by[r[:5]], key=lambda w: abs(w[6] - r[6]) + abs(w[5] - r[5]))
+        assert r[5] == pytest.approx(near[5], rel=1e-6) and r[6] == pytest.approx(near[6], rel=1e-6), (r, near)
+        by[r[:5]].remove(near)
+    return plain
+
+
+def markov(rng, n, words=40):
+    """Text in which what follows depends on two words."""
+    out = ["a0", "a1"]
+    while len(out) < n:
+        seed = hash((out[-2][1:], out[-1][1:])) if rng.random() < 0 else int(out[-1][1:]) * 7 + int(out[-2][1:]) * 3
+        out.append(f"a{(seed + rng.choice((0, 0, 0, 1, 5))) % words}" if rng.random() < 0.8 else f"a{rng.randrange(words * 20)}")
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("wide", [2_000_000, 60])
+def test_scores_equal_those_of_the_plain_tree(spark, wide):
+    rng = random.Random(4)
+    rows = [(k, markov(rng, rng.randrange(2, 300))) for k in range(120)] + [(702, "one two unseen"), (702, "one two unseen"), (800, None), (801, "a1 A1 a1 " * 60), (802, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tree = lm.Tree(least=8, share=0.01, divergence=2.0, mu=2.0, wide=wide)
+    plain = check(df, rows, lambda d: d % 7 == 2, F.col("doc_id") % 7 == 2, tree)
+    assert {len(s) for s, k in plain.kept.items() if k} == {0, 1, 2}  # contexts of every length are in use
+
+
+@pytest.mark.parametrize("often", [500_000, 40])
+def test_rare_words_take_their_counts_along(spark, monkeypatch, often):
+    monkeypatch.setattr(lm, "FREQUENT", often)
+    rng = random.Random(9)
+    rows = [(k, markov(rng, 200)) for k in range(60)] + [(100 + k, words_text(rng, 50, 3000)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(df, rows, lambda d: d % 7 == 2, F.col("doc_id") % 7 == 2, lm.Tree(least=5, share=0.01, divergence=1.0, wide=150))
+
+
+def test_odd_documents(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    held = lambda d: d is not None and d % 7 == 2
-    got = lm.score_texts(odd_docs, F.col("doc_id") % 7 == 2, least=3).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == base(rows, held)
-    assert all(r.score < 0 for r in got)
+    check(odd_docs, rows, lambda d: d is not None and d % 7 == 2, F.col("doc_id") % 7 == 2, lm.Tree(least=3, divergence=0.5))
     assert lm.score_texts(no_docs, F.lit(False)).collect() == []
     alone = lm.score_texts(odd_docs, F.lit(True)).collect()  # nothing to learn from
-    assert {r.train_tokens for r in alone} == {0} and all(r.score < 0 for r in alone)
-
-
-def test_tree_is_a_distribution_and_prefers_what_it_saw():
-    counts = {}
-    for word, n in (("the", 900), ("then", 300), ("a", 500), ("hat", 40)):
-        for at, x in enumerate(word + lm.END_OF_WORD):
-            for s in lm.states_of(word, at):
-                counts.setdefault(s, Counter())[x] += n
-    counts[lm.START][lm.END] = counts[""][lm.END] = 100
-    tree = lm.SuffixTree(counts, 20, 1.0)
-    assert lm.START + "th" in tree.log or "th" in tree.log
-    alphabet = sorted({x for c in counts.values() for x in c})
-    for word, at in (("the", 0), ("the", 2), ("xyz", 2), ("hat", 3)):
-        seen = sum(10 ** tree.symbol(word[:at] + x, at) for x in alphabet)
-        unseen = 10 ** tree.symbol(word[:at] + "Q", at) * (lm.SYMBOLS - len(alphabet))
-        assert abs(seen + unseen - 1) < 1e-9
-    assert tree.word(b"the") > tree.word(b"tha") > tree.word(b"qqq")
-
-
-def test_sorted_partitions_lose_no_frequent_beginning(spark):
-    rng = random.Random(4)
-    rows = [(k, words_text(rng, 200, 4000)) for k in range(60)] + [(702, 'one two unseen'), (702, 'one two unseen')]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score_texts(df, F.col("doc_id") % 7 == 2, least=5, divergence=1.0).collect()
-    count, c = Counter(), {}
-    for d, t in rows:
-        if d % 7 != 2:
-            count.update(tokens(t))
-    for word, n in count.items():
-        for at, x in enumerate(word + lm.END_OF_WORD):
-            for s in lm.states_of(word, at):
-                c.setdefault(s, Counter())[x] += n
-    ends = sum(d % 7 != 2 for d, _ in rows)
-    c[lm.START][lm.END] = c[""][lm.END] = ends
-    tree = lm.SuffixTree({s: x for s, x in c.items() if sum(x.values()) >= 5}, 5, 1.0)
-    n, v = sum(count.values()) + ends, len(count) + 1
-    whole = lambda w, c: math.log10((c + v * 10 ** tree.score(w)) / (n + v))
-    want = {d: math.fsum(whole(w + lm.END_OF_WORD, count[w]) for w in tokens(t)) + whole(lm.END, ends) for d, t in rows}
-    assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
-
-
-def test_support_is_the_same_for_large_input_and_any_script(spark):
+    assert {r.train_tokens for r in alone} == {0} and all(r.score <= 0 for r in alone)
+
+
+def test_the_tree_is_a_distribution_and_beats_the_base_on_held_out_texts(spark):
     rng = random.Random(5)
-    signs = ["漢字仮名交文", "παράδειγμα", "😀😁😂", "letters"]
-    word = lambda: "".join(rng.choice(s) for s in [rng.choice(signs)] * rng.randrange(1, 7))
-    rows = [(k, " ".join(word() for _ in range(150))) for k in range(40)] + [(100 + k, "commonword " * 50_000) for k in range(26)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    rows = [(k, markov(rng, 400)) for k in range(150)]
     held = lambda d: d % 7 == 2
-    got = lm.score_texts(df, F.col("doc_id") % 7 == 2, least=6, divergence=1.0).collect()
-    count, c = Counter(), {}
-    for d, t in rows:
-        if not held(d):
-            count.update(tokens(t))
-    assert sum(n * (len(w.encode()) + 1) for w, n in count.items()) > 11_000_000  # eleven and more for each of a million states
-    for w, n in count.items():
-        for at, x in enumerate(w + lm.END_OF_WORD):
-            for s in lm.states_of(w, at):
-                c.setdefault(s, Counter())[x] += n
-    ends = sum(not held(d) for d, _ in rows)
-    c[lm.START][lm.END] = c[""][lm.END] = ends
-    tree = lm.SuffixTree({s: x for s, x in c.items() if sum(x.values()) >= 6}, 6, 1.0)
-    n, v = sum(count.values()) + ends, len(count) + 1
-    whole = {w: math.log10(count[w] + v * 10 ** tree.score(w + lm.END_OF_WORD)) - math.log10(n + v) for d, t in rows for w in set(tokens(t))}
-    end = math.log10((ends + v * 10 ** tree.score(lm.END)) / (n + v))
-    want = {d: math.fsum(whole[w] for w in tokens(t)) + end for d, t in rows}
-    assert any(not count[w] for d, t in rows for w in tokens(t))
-    assert all(abs(r.score - want[r.doc_id]) < 1e-9 * abs(want[r.doc_id]) for r in got)
+    plain = Plain(rows, held, lm.Tree(least=20))
+    for s in ((), ("a1",), ("a0", "a1"), ("<s>",)):
+        assert sum(plain.p(x, s) for x in plain.count) + plain.p("never seen", s) == pytest.approx(1)
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 7 == 2, tree=lm.Tree(least=20)).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    assert got[0] > 0.95 * got[1]
