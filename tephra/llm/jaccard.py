@@ -1,11 +1,10 @@
 """Exact Jaccard links between documents' shingle sets, by a partition of the token universe.
 
 Equal sets are one class; what follows works on classes. The universe of shingle hashes is cut into segments, as many as suit a band of
-set sizes. Two sets r and t of Jaccard similarity s differ in (1 - s) / (1 + s) * (|r| + |t|) shingles at most, so in no more segments
-than that; hence, with H the most of it for r and any t, some H + 1 non-empty segments of r always hold one that t has unchanged. Both
-sides index their first H + 1 segments in one global order (then the first unchanged one is among those of both). The order is the cost
-allocation: segments that many sets share come last and are skipped wherever H + 1 others are left. Sets of at most SMALL shingles are
-one segment, indexed with its one-deletion neighbourhood (and the two-deletion one where sizes differ by two).
+set sizes. Two sets r and t of Jaccard similarity s differ in (1 - s) / (1 + s) * (|r| + |t|) shingles at most; H is the most of it for
+r and any t. A set is looked up by whole segments and by segments with their one-deletion neighbourhoods, allotted by cost so that they
+cover H + 1 differences (see _allotted): segments that many sets share are left out wherever others are enough. Sets of at most SMALL
+shingles are one segment, indexed with its one-deletion neighbourhood (and the two-deletion one where sizes differ by two).
 
 Segments that very many sets index anyway lead to stars instead of pairs: each set meets the segment's leader only. Sets that a star
 leaves outside the segment's main component are compared, in blocks, with all sets of such segments, by an inverted index. Every
@@ -29,7 +28,7 @@ from .components import components
 TOKEN = U(2**56 - 1)
 SIG = U(2**55 - 1)
 SMALL = 8
-#: So many frequent segments are told to the workers at most (24 bytes each).
+#: About so many frequent signatures are told to the workers at most (24 bytes each).
 MOST_FREQUENT = 500_000
 BLOCK = 2000
 
@@ -99,9 +98,56 @@ def _deletions(token: np.ndarray, tag: int, depth: int) -> np.ndarray:
     return mix(np.concatenate(out)) & SIG
 
 
+def _segments(sets: Sets, band: np.ndarray, use: np.ndarray):
+    """The segments of some sets in a band: (signature, set, size), and of segments of several tokens each one-deletion signature with the
+    segment's number. The band cuts the universe into 2^band segments (four times as many for small bands), so that a set has many more
+    non-empty ones than linked sets can differ in."""
+    owner = np.repeat(np.arange(len(sets.n)), sets.n)
+    pick = np.flatnonzero(use[owner])
+    token, o = sets.token[pick], owner[pick]
+    parts = np.where(band <= 6, 4 << band, 1 << band)[o].astype(U)
+    part = (token >> U(24)) * parts >> U(32)
+    cut = runs(o.astype(U) << U(32) | part)
+    first = cut[:-1]
+    mixed = mix(token + U(77))
+    value = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, U)
+    place = mix(part[first] + (band[o[first]].astype(U) << U(40)))
+    size = np.diff(cut)
+    of = np.repeat(np.arange(len(first)), size)
+    several = np.flatnonzero(size[of] > 1)
+    fewer = mix(value[of[several]] - mixed[several] + place[of[several]]) & SIG
+    return mix(value + place) & SIG, o[first], size, fewer, of[several]
+
+
+def _allotted(sig, doc, size, fewer, of, apart: np.ndarray, frequent: np.ndarray):
+    """What each set indexes of its segments, (signature, set, whether it is frequent): the cheapest of three ways that cover H + 1 differences.
+
+    A segment looked up whole covers one difference, with its one-deletion neighbourhood two, left out none. (1) H + 1 whole segments that
+    aren't frequent, the first in one global order. (2) All segments that aren't frequent, with their neighbourhoods; those of which
+    nothing is frequent count twice. (3) The frequent segments as well, as members of stars.
+
+    A set of way 1 meets any other in the least segment that both have unchanged: it is among the first H + 1 of the one and at least among
+    all of the other. A set of way 2 or 3 has a segment that differs by at most one token less than it is counted for, and the other set,
+    of way 2 or 3 too, has that signature: were its segment frequent with the token more, so would be all its deletions, and with them the
+    segment here.
+    """
+    hot, hot_fewer = np.isin(sig, frequent), np.isin(fewer, frequent)
+    m = len(apart)
+    spoilt = np.bincount(of[hot_fewer], minlength=len(sig)).astype(bool)
+    cold = np.bincount(doc[~hot], minlength=m)
+    covered = cold + np.bincount(doc[(size > 1) & ~hot & ~spoilt], minlength=m)
+    way = np.where(cold > apart, 1, np.where(covered > apart, 2, 3))
+    order = np.lexsort((sig, hot, doc))
+    begin = runs(doc[order])
+    rank = np.empty(len(sig), np.int64)
+    rank[order] = np.arange(len(sig)) - np.repeat(begin[:-1], np.diff(begin))
+    whole = np.flatnonzero(np.where(way[doc] == 1, rank <= apart[doc], ~hot | (way[doc] == 3)))
+    part = np.flatnonzero((way[doc[of]] > 1) & ~hot[of] & ~hot_fewer)
+    return np.concatenate((sig[whole], fewer[part])), np.concatenate((doc[whole], doc[of[part]])), np.concatenate((hot[whole], np.zeros(len(part), bool)))
+
+
 def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, set, whether it is frequent) of what each set indexes; with frequent None, of all it could index."""
-    sig, doc = [], []
     n = sets.n
     if not len(sets.token):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -109,45 +155,28 @@ def signatures(sets: Sets, num: int, den: int, frequent: np.ndarray | None) -> t
     least = -(-n * num // den)
     apart = ((den - num) * (n + reach)) // (den + num)  # H
     largest = SMALL * den // num
+    sig, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for k in np.flatnonzero((n > 0) & (least <= SMALL)).tolist():
         if n[k] <= largest:
             found = np.unique(_deletions(sets.of(k), 1, 2 if apart[k] > 1 else 1)) if apart[k] else _deletions(sets.of(k), 1, 0)[:1]
             sig.append(found)
             doc.append(np.full(len(found), k))
-    small = upper = sum(map(len, sig))
-    owner = np.repeat(np.arange(len(n)), n)
+    hot = [np.isin(np.concatenate(sig), frequent if frequent is not None else [])]
     own = np.maximum(_band(n), 4)
     for lower in (0, 1):  # the band of its size, and the one below for smaller partners
-        band = own - lower
-        use = (n > SMALL) if not lower else (least <= 1 << np.maximum(own - 1, 0)) & (own > 4) & (n > SMALL)
-        pick = np.flatnonzero(use[owner])
-        if not len(pick):
+        use = (n > SMALL) & (not lower or (least <= 1 << np.maximum(own - 1, 0)) & (own > 4))
+        if not use.any():
             continue
-        token, o = sets.token[pick], owner[pick]
-        parts = np.where(1 << band <= 64, 1 << 20, 1 << band)[o].astype(U)
-        part = (token >> U(24)) * parts >> U(32)
-        cut = runs(o.astype(U) << U(32) | part)
-        value = np.add.reduceat(mix(token + U(77)), cut[:-1]) if len(cut) > 1 else np.zeros(0, U)
-        first = cut[:-1]
-        sig.append(mix(value + mix(part[first] + (band[o[first]].astype(U) << U(40)))) & SIG)
-        doc.append(o[first])
-        upper += 0 if lower else len(first)
-    sig, doc = np.concatenate(sig), np.concatenate(doc)
-    if frequent is None:
-        return sig, doc, np.zeros(len(sig), bool)
-    hot = np.isin(sig, frequent, assume_unique=False) if len(frequent) else np.zeros(len(sig), bool)
-    keep = [np.arange(small)]
-    # the first H + 1 segments of each set and band, frequent ones last
-    for a, b in ((small, upper), (upper, len(sig))):
-        for lo in range(int(doc[a]) if b > a else 0, int(doc[b - 1]) + 1 if b > a else 0, 256):
-            i, j = a + np.searchsorted(doc[a:b], (lo, lo + 256))
-            order = np.argsort((doc[i:j] - lo).astype(U) << U(56) | hot[i:j].astype(U) << U(55) | sig[i:j])
-            d = doc[i:j][order]
-            begin = runs(d)[:-1]
-            rank = np.arange(len(d)) - np.repeat(begin, np.diff(np.append(begin, len(d))))
-            keep.append(i + order[rank <= apart[d]])
-    keep = np.concatenate(keep)
-    return sig[keep], doc[keep], hot[keep]
+        found, of, size, fewer, seg = _segments(sets, own - lower, use)
+        if frequent is None:
+            found, of = np.concatenate((found, fewer)), np.concatenate((of, of[seg]))
+            hot.append(np.zeros(len(found), bool))
+        else:
+            found, of, h = _allotted(found, of, size, fewer, seg, apart, frequent)
+            hot.append(h)
+        sig.append(found)
+        doc.append(of)
+    return np.concatenate(sig), np.concatenate(doc), np.concatenate(hot)
 
 
 # --- passes over the texts ---------------------------------------------------------------------
@@ -497,7 +526,7 @@ def _frequent(spark: SparkSession, docs: DataFrame, s: Similarity):
     top = written(top.select("sig", "sets", "l.lead", "l.lead_n"), "jaccard-frequent")
     if (many := top.count()) > MOST_FREQUENT:
         cut = top.approxQuantile("sets", [1 - MOST_FREQUENT / many], 0.001)[0]
-        top = top.where(F.col("sets") > cut).limit(MOST_FREQUENT)
+        top = top.where(F.col("sets") > cut)  # so whoever shares less than a frequent one is frequent too
     rows = top.select("sig", "lead", "lead_n").toArrow()
     sig = np.asarray(rows.column(0), np.int64).astype(U)
     order = np.argsort(sig)

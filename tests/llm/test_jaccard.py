@@ -115,3 +115,39 @@ def test_links_at_the_border_with_one_row_a_partition(spark):
         rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:18], "other"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")
     assert run(df) == brute(rows)
+
+
+def test_linked_sets_share_a_signature_whatever_is_frequent():
+    """Every pair at the border meets, also where whole segments are frequent and their neighbourhoods take over."""
+    rng = np.random.default_rng(3)
+    ways = set()
+    for trial in range(1500):
+        n = int(rng.choice((9, 12, 16, 17, 24, 33, 40, 64, 70, 120, 250)))
+        pool = np.unique(rng.integers(0, 2**56, 2 * n).astype(np.uint64))
+        rng.shuffle(pool)
+        one = pool[:n]
+        gone, more = int(rng.integers(0, n // 7 + 1)), int(rng.integers(0, n // 7 + 1))
+        two = np.concatenate((one[gone:], pool[n : n + more]))
+        if 4 * (n - gone) < 3 * (n + more):
+            continue
+
+        def sets(*some):
+            out = jaccard.Sets.__new__(jaccard.Sets)
+            out.n = np.array([len(x) for x in some])
+            out.token = np.concatenate([np.sort(x) for x in some])
+            out.off = np.concatenate(([0], np.cumsum(out.n)))
+            return out
+
+        both = sets(one, two)
+        every, doc, _ = jaccard.signatures(both, 3, 4, None)
+        # a segment that is frequent makes all its one-deletion signatures frequent
+        hot = set()
+        for band in range(4, 10):
+            sig, of, size, fewer, seg = jaccard._segments(both, np.full(2, band), both.n > 8)
+            chosen = rng.random(len(sig)) < rng.choice((0.0, 0.3, 0.6, 0.9))
+            hot |= set(sig[chosen].tolist()) | set(fewer[chosen[seg]].tolist())
+        frequent = np.array(sorted(hot), np.uint64)
+        sig, doc, is_hot = jaccard.signatures(both, 3, 4, frequent)
+        assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (n, gone, more)
+        ways.add((bool(is_hot.any()), len(sig) > len(np.unique(sig)) and bool((np.bincount(doc) > n).any())))
+    assert len(ways) > 1
