@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: numpy draws from urns of fewer balls than this; larger tables are dealt in several draws.
+#: numpy draws from urns of fewer balls than this.
 URN = 10**9
 
 
@@ -21,35 +21,46 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (k < rows % shards) for k in range(shards)], np.int64)
 
 
+def draw(rng: np.random.Generator, urn: np.ndarray, n: int, most: int = URN) -> np.ndarray:
+    """How many balls of each colour n draws without replacement take (multivariate hypergeometric, exactly, from urns of any size).
+
+    Beyond numpy's range every ball is first taken or not by a coin of n / N, which gives binomial counts; the surplus, some roots of n,
+    is then put back, or what lacks is taken, ball by ball: places drawn evenly among those that are taken (or not), each once.
+    """
+    total = int(urn.sum())
+    if total < most:
+        return rng.multivariate_hypergeometric(urn, n, method="marginals")
+    taken = rng.binomial(urn, n / total)
+    extra = int(taken.sum()) - n
+    from_ = taken if extra > 0 else urn - taken
+    places = np.zeros(0, np.int64)
+    while len(places) < abs(extra):  # each place at most once: repeated ones are drawn again
+        more = rng.integers(0, int(from_.sum()), abs(extra) - len(places))
+        places = np.concatenate((places, np.setdiff1d(more, places)))
+    moved = np.bincount(np.searchsorted(np.cumsum(from_), places, "right"), minlength=len(urn))
+    return taken - moved if extra > 0 else taken + moved
+
+
 def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
     """Rows of each source for each shard, as a uniform permutation of all rows would send them."""
     rng = np.random.default_rng(seed)
     left = sizes.astype(np.int64).copy()
     out = np.zeros((len(counts), len(sizes)), np.int64)
     for k, n in enumerate(counts):
-        if left.sum() < URN:
-            out[k] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        else:  # shard by shard; beyond numpy's range by the normal approximation, held to what is possible
-            need, rest = n, int(left.sum())
-            for s, have in enumerate(left.tolist()):
-                rest -= have
-                low, high = max(0, need - rest), min(have, need)
-                share = have / max(have + rest, 1)
-                spread = (need * share * (1 - share) * (have + rest - need) / max(have + rest - 1, 1)) ** 0.5
-                out[k, s] = min(high, max(low, round(rng.normal(need * share, spread))))
-                need -= int(out[k, s])
+        out[k] = draw(rng, left, n)
         left -= out[k]
     return out
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, rows_per_source: int = 50_000, most_sources: int = 2000, rows_per_block: int = 100_000) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, rows_per_source: int = 5_000, most_sources: int = 50_000, rows_per_block: int = 20_000) -> DataFrame:
     """df with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard), in a uniformly random order.
 
     Rows per shard differ by one at most. The same rows, shards and seed give the same result, however they are partitioned. Rows that
     are equal in all columns take their places among each other at will, which shows in nothing. Nulls are values like any other; an
     empty table stays empty. Columns of df named shard or slot are replaced; no other name can clash.
 
-    The driver draws the matrix from one count a source: at most most_sources x shards numbers. All rows are exchanged twice.
+    The driver draws the matrix from one count a source: at most most_sources x shards numbers. All rows are exchanged twice; long texts
+    are moved as they are.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")

@@ -40,6 +40,20 @@ def test_huge_tables_keep_their_margins():
     assert (drawn.sum(1) == counts).all() and (drawn.sum(0) == sizes).all() and drawn.min() >= 0
 
 
+def test_draws_from_large_urns_are_those_of_small_ones():
+    """The way for urns beyond numpy's range, on a small urn: margins, means and variances of the hypergeometric distribution."""
+    urn, n = np.array([40, 0, 7, 53]), 30
+    drawn = np.array([sharding.draw(np.random.default_rng(seed), urn, n, most=1) for seed in range(6000)])
+    assert (drawn.sum(1) == n).all() and (drawn >= 0).all() and (drawn <= urn).all()
+    share = urn / urn.sum()
+    assert abs(drawn.mean(0) - n * share).max() < 0.1
+    assert abs(drawn.var(0) - n * share * (1 - share) * (100 - n) / 99).max() < 0.25
+    exact = np.array([sharding.draw(np.random.default_rng(seed), urn, n) for seed in range(6000)])
+    for k in (0, 2, 3):
+        a, b = (np.bincount(x[:, k], minlength=60) / 6000 for x in (drawn, exact))
+        assert abs(a - b).sum() / 2 < 0.05
+
+
 def test_places_are_uniform(spark):
     rows = sharding.shuffle_into_shards(spark.range(4000), 4, seed=5, rows_per_source=300, rows_per_block=200).collect()
     early = Counter(r.shard for r in rows if r.id < 2000)
