@@ -41,9 +41,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_pages(table(spark, sf_dir, "pages"))
-    back = warc.read_warc(spark, folder, payload=False)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as long)")  # noqa: E731  behind urn:page:
-    return back.select(page("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    # responses are read whole, of revisits the headers alone
+    read = warc.read_warc(spark, folder, payload=False, digest=True).where("record_type = 'response'").select("record_id", F.col("payload_length").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to")
+    again = warc.read_warc(spark, folder, payload=False).where("record_type = 'revisit'").select("record_id", F.col("http_length").alias("payload_bytes"), F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", "refers_to")
+    return read.unionByName(again).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

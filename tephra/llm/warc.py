@@ -22,7 +22,7 @@ from .common import arrow_map, list_files, open_file, shuffle_partitions, work_p
 GZIP, SKIP_LENGTHS = b"\x1f\x8b\x08", b"sl"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type"}
-SCHEMA = ", ".join(f"{k} string" for k in FIELDS) + ", content_length long, http_length long, payload binary, file string, offset long"
+SCHEMA = ", ".join(f"{k} string" for k in FIELDS) + ", content_length long, http_length long, payload binary, payload_length long, payload_sha1 string, file string, offset long"
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 
 
@@ -80,7 +80,7 @@ def write_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     out. Other columns are left out. An empty table gives a folder without records.
 
     Payloads are compared by SHA-1 and length. The largest id of each payload is found by a pre-aggregated sum; payloads that over a
-    thousandth of the rows share, at most a thousand of them, are looked up in a broadcast, so that no task gets all rows of one payload.
+    50,000th of the repeated rows share, at most 50,000 of them, are looked up in a broadcast, so that no task gets all rows of one payload.
     """
     spark = df.sparkSession
     folder = folder or work_path(spark, "warc")
@@ -89,8 +89,8 @@ def write_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         rows.where(F.octet_length("raw") >= min_bytes).groupBy("key", F.octet_length("raw").alias("size")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-groups"
     )
     many = first.agg(F.sum("n")).head()[0] or 0
-    hot = first.where(F.col("n") > max(1000, many // 1000)).select("key", "size", F.col("first").alias("hot_first"))
-    cold = first.where(F.col("n") <= max(1000, many // 1000)).select(F.col("key").alias("cold_key"), F.col("size").alias("cold_size"), "first")
+    hot = first.where(F.col("n") > max(1000, many // 50_000)).select("key", "size", F.col("first").alias("hot_first"))
+    cold = first.where(F.col("n") <= max(1000, many // 50_000)).select(F.col("key").alias("cold_key"), F.col("size").alias("cold_size"), "first")
     found = rows.withColumn("size", F.octet_length("raw")).join(F.broadcast(hot), ["key", "size"], "left")
     # a hot row needs no second lookup: a key of its own keeps it from meeting the others of its payload
     own = F.when(F.col("hot_first").isNull(), F.col("key")).otherwise(F.concat(F.col("key"), F.xxhash64("page_id", "url").cast("string").cast("binary")))
@@ -169,7 +169,7 @@ def _unquoted(value: str | None) -> str | None:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.payload = options.get("path"), options.get("payload", "true").lower() == "true"
+        self.path, self.payload, self.digest = options.get("path"), options.get("payload", "true").lower() == "true", options.get("digest", "false").lower() == "true"
         self.tests: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters):
@@ -227,9 +227,12 @@ class WarcReader(DataSourceReader):
                             skip = end + 4 if end >= 0 else 0
                         else:
                             skip = 0
-                        if self.payload and values["record_type"] != "revisit":
+                        size = sha1 = None
+                        if (self.payload or self.digest) and values["record_type"] != "revisit":
                             body = m.until(block + length)[block + skip : block + length]
-                        rows.append((*values.values(), length, http, body, uri, at))
+                            size, sha1 = len(body), payload_digest(body) if self.digest else None
+                            body = body if self.payload else None
+                        rows.append((*values.values(), length, http, body, size, sha1, uri, at))
                         held += 300 + len(body or b"")
                         if held > BATCH_BYTES:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -240,7 +243,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(folder); option payload=false leaves payloads null and unread."""
+    """spark.read.format("warc").load(folder); option payload=false leaves payloads null and unread; with digest=true they are read for their
+    length and SHA-1, which the header only claims."""
 
     @classmethod
     def name(cls):
@@ -253,7 +257,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, digest: bool = False) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload)).load(path)
+    return spark.read.format("warc").option("payload", str(payload)).option("digest", str(digest)).load(path)
