@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import U, arrow_map, mix, runs, texts
 
 K = 3
+MOST_LANGUAGES = 10_000
 NONE = "und"
 
 
@@ -43,18 +44,25 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageFilters:
+    """table: 2^bits rows of as many words as the languages need bits for (one byte for up to eight languages)."""
+
     languages: list[str]
     table: np.ndarray
     false_rate: np.ndarray
 
     @staticmethod
-    def build(languages: list[str], gram: np.ndarray, mask: np.ndarray, least_bits: int = 16, most_bits: int = 24) -> LanguageFilters:
-        """About 16 words an n-gram, up to 2^most_bits; beyond that the false positives grow and are still allowed for."""
-        bits = min(most_bits, max(least_bits, int(np.ceil(np.log2(16 * max(len(gram), 1))))))
-        table = np.zeros(1 << bits, np.uint8 if len(languages) <= 8 else U)
+    def build(languages: list[str], gram: np.ndarray, lang: np.ndarray, least_bits: int = 16, most_bytes: int = 1 << 27) -> LanguageFilters:
+        """From pairs of n-gram and language number. About 16 rows an n-gram, up to most_bytes; beyond that the false positives grow and
+        are still allowed for."""
+        kind, wide = (np.uint8, 8) if len(languages) <= 8 else (U, 64)
+        words = max(1, -(-len(languages) // wide))
+        most = int(np.log2(most_bytes / (words * wide // 8)))
+        bits = min(most, max(least_bits, int(np.ceil(np.log2(16 * max(len(np.unique(gram)), 1))))))
+        table = np.zeros((1 << bits, words), kind)
+        bit = np.left_shift(np.ones(len(lang), kind), (lang % wide).astype(kind))
         for k in range(K):
-            np.bitwise_or.at(table, LanguageFilters._places(gram, k, bits), mask.astype(table.dtype))
-        fill = np.array([np.mean(table >> table.dtype.type(b) & table.dtype.type(1)) for b in range(len(languages))])
+            np.bitwise_or.at(table, (LanguageFilters._places(gram, k, bits), lang // wide), bit)
+        fill = np.array([np.mean(table[:, b // wide] >> kind(b % wide) & kind(1)) for b in range(len(languages))])
         return LanguageFilters(languages, table, fill**K)
 
     @staticmethod
@@ -62,23 +70,44 @@ class LanguageFilters:
         return (mix(gram + U(k * 0x3C6EF372FE94F82B & (2**64 - 1))) >> U(64 - bits)).astype(np.int64)
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it, as bits."""
+        """For each n-gram the languages that contain it, as bits of a row of words."""
         bits = len(self.table).bit_length() - 1
         out = self.table[self._places(gram, 0, bits)]
         for k in range(1, K):
             out &= self.table[self._places(gram, k, bits)]
         return out
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """The language of the largest corrected count (the first by name of equals) and its part of all counts; NONE and 0 without letters."""
-        gram = grams(text)
-        if not len(gram) or not self.languages:
+    def predict(self, text: str, piece: int = 1 << 20) -> tuple[str, float]:
+        """The language of the largest corrected count (the first by name of equals) and its part of all counts; NONE and 0 without letters.
+
+        A long text is counted in pieces, so that its n-grams are never in memory together; two characters join one piece to the next.
+        """
+        hits, total = np.zeros(len(self.languages)), 0
+        kind = self.table.dtype.type
+        wide = 8 * self.table.dtype.itemsize
+        for gram in text_grams(text, piece):
+            total += len(gram)
+            if not self.languages:
+                continue
+            found = self.masks(gram)
+            hits += [np.count_nonzero(found[:, b // wide] & kind(1 << b % wide)) for b in range(len(hits))]
+        if not total or not self.languages:
             return NONE, 0.0
-        found = self.masks(gram)
-        hits = np.array([np.count_nonzero(found & found.dtype.type(1 << b)) for b in range(len(self.languages))])
-        counts = np.maximum(0, (hits - len(gram) * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
-        best, total = int(np.argmax(counts)), counts.sum()
-        return self.languages[best], float(counts[best] / total) if total > 0 else 0.0
+        counts = np.maximum(0, (hits - total * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9))
+        best, all_ = int(np.argmax(counts)), counts.sum()
+        return self.languages[best], float(counts[best] / all_) if all_ > 0 else 0.0
+
+
+def text_grams(text: str, piece: int = 1 << 20):
+    """The n-grams of a text, piece by piece. Pieces are cut before a white space; of a million characters one n-gram, that of two letters
+    on both sides of such a space, isn't counted."""
+    at = 0
+    while at < len(text):
+        to = at + piece
+        while to < len(text) and not text[to].isspace():
+            to += 1
+        yield grams(text[at:to])
+        at = to
 
 
 def _count(batches, languages: list[str]):
@@ -99,17 +128,18 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_pe
     """Filters from the labelled rows of df: about docs_per_language rows of each language (those of the smallest hashes), whole texts.
 
     A language contains an n-gram that it has `least` times or more and, for its length, at least `part` times as often as the language
-    that has it most. Rows without label or text are passed over; without any row the filters know no language. At most 64 languages.
+    that has it most. Rows without label or text are passed over; without any row the filters know no language. Any number of languages;
+    over MOST_LANGUAGES, more than a driver holds counts of, raise.
     """
     known = df.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("raw")).where("lang is not null and raw is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("over 64 languages")
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
-        return LanguageFilters([], np.zeros(1, np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, docs_per_language / counts[lang])])
-    some = known.where(F.pmod(F.xxhash64("raw", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        return LanguageFilters([], np.zeros((1, 1), np.uint8), np.zeros(0))
+    share = df.sparkSession.createDataFrame([(x, docs_per_language / counts[x]) for x in languages], "lang string, share double")
+    some = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("raw", F.lit(5)), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "raw")
     told = arrow_map(some, lambda b: _count(b, languages), "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     rows = told.where(F.col("n") >= least).toArrow()
     gram, lang, n = (np.asarray(rows.column(k)) for k in range(3))
@@ -117,11 +147,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_pe
     order = np.argsort(gram, kind="stable")
     gram, lang, rate = gram[order].astype(U), lang[order], rate[order]
     cut = runs(gram)
-    if not len(gram):
-        return LanguageFilters.build(languages, gram, lang)
-    top = np.repeat(np.maximum.reduceat(rate, cut[:-1]), np.diff(cut))
-    mask = np.where(rate >= part * top, U(1) << lang.astype(U), U(0))
-    return LanguageFilters.build(languages, gram[cut[:-1]], np.bitwise_or.reduceat(mask, cut[:-1]))
+    top = np.repeat(np.maximum.reduceat(rate, cut[:-1]), np.diff(cut)) if len(gram) else rate
+    held = rate >= part * top
+    return LanguageFilters.build(languages, gram[held], lang[held].astype(np.int64))
 
 
 def _predict(batches, filters):

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,14 +15,48 @@ def text(rng, lang, n):
 
 def test_filters_hold_what_was_put_in_and_little_else():
     rng = np.random.default_rng(1)
-    gram, mask = rng.integers(0, 2**62, 5000).astype(np.uint64), rng.integers(1, 8, 5000)
-    f = langid.LanguageFilters.build(["a", "b", "c"], gram, mask)
-    assert (f.masks(gram) & mask == mask).all()
-    other = f.masks(rng.integers(0, 2**62, 100_000).astype(np.uint64))
+    gram, lang = rng.integers(0, 2**62, 8000).astype(np.uint64), rng.integers(0, 3, 8000)
+    f = langid.LanguageFilters.build(["a", "b", "c"], gram, lang)
+    assert (f.masks(gram)[:, 0] >> lang & 1 == 1).all()
+    other = f.masks(rng.integers(0, 2**62, 100_000).astype(np.uint64))[:, 0]
     for b in range(3):
         assert abs(np.mean(other >> b & 1) - f.false_rate[b]) < 0.003
-    small = langid.LanguageFilters.build(["a", "b", "c"], gram, mask, 10, 12)
+    small = langid.LanguageFilters.build(["a", "b", "c"], gram, lang, 10, 1 << 12)
     assert small.false_rate.max() > 0.5
+    lang = rng.integers(0, 130, 8000)
+    wide = langid.LanguageFilters.build([f"l{k:03}" for k in range(130)], gram, lang)
+    assert wide.table.shape[1] == 3 and (wide.masks(gram)[np.arange(8000), lang // 64] >> (lang % 64).astype(np.uint64) & np.uint64(1) == 1).all()
+
+
+def test_predictions_equal_those_of_exact_sets(spark):
+    """The same rule with sets of n-grams instead of filters, and many languages."""
+    rng = random.Random(8)
+    names = [f"l{k:02}" for k in range(70)]
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 4))) for _ in range(9)] for n in names}
+    make = lambda n, m: " ".join("".join(rng.choice(own[n]) for _ in range(rng.randrange(1, 4))) for _ in range(m))
+    rows = [(k, make(names[k % 70], 40), names[k % 70]) for k in range(560)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") >= 280, docs_per_language=10**6, least=2).collect()
+    count = {n: Counter() for n in names}
+    for k, t, n in rows[:280]:
+        count[n].update(langid.grams(t).tolist())
+    count = {n: {g: m for g, m in c.items() if m >= 2} for n, c in count.items()}
+    rate = {n: {g: m / sum(c.values()) for g, m in c.items()} for n, c in count.items()}
+    top = {}
+    for c in rate.values():
+        for g, r in c.items():
+            top[g] = max(top.get(g, 0), r)
+    sets = {n: {g for g, r in c.items() if r >= 0.2 * top[g]} for n, c in rate.items()}
+    texts = dict((k, t) for k, t, _ in rows)
+    best = {k: max(names, key=lambda n: (sum(g in sets[n] for g in langid.grams(t).tolist()), [-ord(x) for x in n])) for k, t in texts.items()}
+    assert sum(r.lang_pred == best[r.doc_id] for r in got) >= 0.99 * len(got)
+
+
+def test_long_texts_are_counted_in_pieces():
+    rng = random.Random(1)
+    long = text(rng, "aa", 4000)
+    whole = np.sort(langid.grams(long))
+    parts = np.sort(np.concatenate(list(langid.text_grams(long, 1000))))
+    assert 0 <= len(whole) - len(parts) <= len(long) // 1000 and np.isin(parts, whole).all()
 
 
 def test_grams():
