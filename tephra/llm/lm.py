@@ -38,7 +38,7 @@ HELD = 300_000
 class Tree:
     """The rules of the tree. wide: occurrences of a context from which on its tokens are spread over buckets (the result is the same)."""
 
-    least: int = 100
+    least: int = 20
     share: float = 0.001
     divergence: float = 10.0
     mu: float = 2.0

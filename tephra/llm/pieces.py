@@ -22,7 +22,7 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class PieceModel:
-    def __init__(self, path: str, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most_bytes: int = 160 << 20):
         import ahocorasick
         import sentencepiece
 

@@ -128,19 +128,22 @@ def write_tokens(
 ) -> TokenStore:
     """Write every text's ids (and end_id after each) in ascending order of doc_id; nulls first, equal ids by text.
 
-    A null or empty text has only the end id. Extra columns are ignored. An empty table gives no files. The dictionary is trained on
-    sample_docs documents at most (those of the smallest hash), of each the first 16 KiB of ids; everything else takes every document.
+    A null or empty text has only the end id. Extra columns are ignored. An empty table gives no files. Whole texts are written, however
+    long. Ids are integers (others raise: the index holds 8 bytes for each). The dictionary, which changes how well frames compress and
+    nothing else, is trained on sample_docs documents at most (those of the smallest hash), of each 16 KiB of text from any place.
     """
     spark = df.sparkSession
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is no column of integers")
     folder = folder or work_path(spark, "tokens")
-    docs = texts(df, id_col, text_col)
+    docs = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     from tokenizers import Tokenizer
 
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     # first the hashes alone, then the texts of those below the bound: no task sends the driver more than it needs
     least = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_docs)
     bound = least.agg(F.max("h")).head()[0]
-    sample = docs.where(F.xxhash64("doc_id") <= F.lit(bound if bound is not None else 0)).select(F.expr("substring(raw, 1, 16384)").alias("raw")).limit(sample_docs)
+    sample = docs.where(F.xxhash64("doc_id") <= F.lit(bound if bound is not None else 0)).select(F.expr("substring(raw, cast(1 + pmod(xxhash64(raw), greatest(octet_length(raw) - 16384, 0) + 1) as int), 16384)").alias("raw")).limit(sample_docs)
     encoder = WordEncoder(tokenizer_path, width)
     trained = _dictionary([x[:16384] for x in encoder.encode([(r.raw or b"").decode("utf-8", "ignore").encode() for r in sample.collect()], end_id)], dictionary_bytes)
     digest = hashlib.sha256(trained).hexdigest()
