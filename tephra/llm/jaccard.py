@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, dealt, list_files, mix, open_file, packed, row_key, runs, seeds, shuffle_partitions, sliced, texts, unpacked, work_path, written
+from .common import U, Words, arrow_map, bucket_of, buckets_for, dealt, list_files, mix, open_file, packed, row_key, runs, seeds, sliced, texts, unpacked, work_path, written
 from .components import components
 
 TOKEN = U(2**56 - 1)
@@ -31,6 +31,7 @@ SMALL = 8
 #: About so many frequent signatures are told to the workers at most (24 bytes each).
 MOST_FREQUENT = 500_000
 BLOCK = 2000
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -470,10 +471,10 @@ def representatives(df: DataFrame, similarity: Similarity = Similarity(), id_col
 def _labelled(df: DataFrame, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, row2, n, cls, of, component): each row's class and component; `of` is null for texts without words."""
     spark = df.sparkSession
-    s, buckets = similarity, shuffle_partitions(spark)
-    kind = dict(df.dtypes)[id_col]
+    s, kind = similarity, dict(df.dtypes)[id_col]
     row, row2 = row_key(F.col("doc_id"), F.col("raw"))
     docs = texts(df, id_col, text_col).withColumn("row", row).withColumn("row2", row2)
+    buckets = buckets_for(spark, docs)
     classes = written(arrow_map(docs.select("doc_id", "row", "row2", "raw"), lambda b: _classes(b, s.words), f"doc_id {kind}, row long, row2 long, n long, cls long"), "jaccard-classes")
     frequent = _frequent(spark, docs, s)
     found = written(arrow_map(dealt(arrow_map(docs.select("raw"), lambda b: _indexed(b, s, frequent, buckets), _COLUMNS), buckets), lambda b: _met(b, s), "a long, b long, sig long"), "jaccard-candidates")
@@ -502,7 +503,9 @@ def _labelled(df: DataFrame, similarity: Similarity, id_col: str, text_col: str)
     within = written(members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")), "jaccard-members")
     sizes = within.groupBy("sig", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("sig").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("sig", F.col("top.label").alias("main"))
-    odd = within.join(main, "sig").where("label != main").select("cls").distinct()
+    # a signature with very many members is dealt to several tasks
+    salted = within.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    odd = salted.join(main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["sig", "salt"]).where("label != main").select("cls").distinct()
     tokens = lambda of: arrow_map(held.join(of, "cls", "left_semi").select("cls", "raw"), lambda b: _tokens(b, s.words), "cls long, token binary")
     folder = work_path(spark, "jaccard-odd")
     tokens(odd).write.parquet(folder)
