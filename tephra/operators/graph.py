@@ -83,6 +83,17 @@ def on_complete_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return both if not kind.where("is_top").isEmpty() and not kind.where("is_bottom").isEmpty() else kind.select("key")
 
 
+def has_complete_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, complete): whether a bottom can be reached from a top."""
+    by = list(by)
+    links = edges(pairs, by)
+    kind = special(pairs, links, by)
+    ends = _reach(kind.where("is_top"), links, by).join(kind.where("is_bottom").select(*by, "key"), [*by, "key"])
+    if not by:
+        return ends.agg((F.count("*") > 0).alias("complete"))
+    return pairs.select(*by).distinct().join(ends.groupBy(*by).agg(F.lit(True).alias("complete")), by, "left").select(*by, F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
 def count_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_paths decimal(38,0)): ways from tops to bottoms. One sum a step; along every edge the boundaries' sum grows, so it ends."""
     from tephra.plans.tables import written

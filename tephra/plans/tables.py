@@ -21,7 +21,20 @@ def work_path(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir is unset: tables between stages need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tephra-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/tephra/{tag}-{uuid.uuid4().hex}"
+    path = f"{path.rstrip('/')}/tephra/{tag}-{uuid.uuid4().hex}"
+    WORK.append(path)
+    return path
+
+
+#: Work tables of this driver; results are read from them, so they stay until remove_work.
+WORK: list[str] = []
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete the work tables of this driver, when its results are written or no longer needed."""
+    while WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WORK.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _write(df: DataFrame, tag: str) -> str:

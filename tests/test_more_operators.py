@@ -218,3 +218,57 @@ def test_forward_frames_are_linear(spark):
 
     seconds(1000)
     assert seconds(200_000) < 30
+
+
+def test_whole_cores_have_ages_from_top_to_end(spark):
+    c = spark.createDataFrame([("a", 100.0, 1000.0, 5.0, 5.0, True)], "core_id string, depth double, age double, pos_err double, neg_err double, in_seq boolean")
+    p = spark.createDataFrame([("a", 50.0), ("b", 5.0)], "core_id string, depth double")
+    ends = spark.createDataFrame([("a", 200.0), ("b", 20.0)], "core_id string, depth double")
+    got = rows(agemodel.whole_core_ages(p, c, ends), "core_id", "depth", "kind", "est_age")
+    assert got == [("a", 0.0, "top", 0.0), ("a", 50.0, "pick", 500.0), ("a", 200.0, "end", 2000.0), ("b", 0.0, "top", 0.0), ("b", 5.0, "pick", None), ("b", 20.0, "end", None)]
+
+
+def test_work_tables_can_be_removed(spark, tmp_path):
+    from tephra.plans import tables
+
+    df = tables.written(spark.range(3), "some")
+    assert df.count() == 3 and tables.WORK
+    tables.remove_work(spark)
+    assert not tables.WORK
+    with pytest.raises(Exception):
+        df.count()
+
+
+def test_what_is_written_can_be_read(spark, tmp_path):
+    model = spark.createDataFrame([(20.0, 2.0, 0.2, 0.1), (10.0, 1.0, None, 0.1)], "depth double, est_age double, pos double, neg double")
+    logs.write_age_model(model, f"{tmp_path}/m")
+    assert [tuple(r) for r in logs.load_depth_ages(spark, f"{tmp_path}/m").orderBy("depth").collect()] == [(10.0, 1.0, None, 0.1), (20.0, 2.0, 0.2, 0.1)]
+    fit = spark.createDataFrame([("s", 1.0)], "k string, mean double")
+    logs.append_fits(fit, f"{tmp_path}/f")
+    logs.append_fits(fit.withColumn("mean", F.lit(2.0)), f"{tmp_path}/f")
+    assert rows(spark.read.parquet(f"{tmp_path}/f"), "mean") == [(1.0,), (2.0,)]
+    old = spark.createDataFrame([(1.0, 1, "x"), (2.0, 1, "y")], "depth double, category int, bed string")
+    new = spark.createDataFrame([(2.0, 3), (1.5, 1)], "depth double, category int")
+    assert [tuple(r) for r in logs.upsert_picks(old, new).select("depth", "category", "bed").collect()] == [(1.5, 1, None), (2.0, 3, "y")]
+
+
+def test_cleaning_profiles_pools_and_completeness(spark):
+    raw = spark.createDataFrame([("a", float(k), 100.0 if k == 5 else float(k)) for k in range(11)], "core_id string, depth double, v double")
+    got = gapfill.clean_log(raw, "v", ">", 50.0, 1, 20.0, None).orderBy("depth").collect()
+    assert got[-1].depth == 20 and [r.depth for r in got if r.v is None] == [8.0, 10.0, 12.0]
+    px = spark.createDataFrame([("i", k, 1.0 * k, 2.0, 3.0) for k in range(4)], "id string, row int, r double, g double, b double")
+    prof = imaging.bin_profile(px, ["id"], "row", ["r", "g", "b"], 2).orderBy("bin").collect()
+    assert [(p.r, p.g, p.r_std) for p in prof] == [(0.5, 2.0, 0.5), (2.5, 2.0, 0.5)] and prof[0].lum == pytest.approx(0.5 * 0.2126 + 2 * 0.7152 + 3 * 0.0722)
+    even = imaging.bin_profile(px, ["id"], "row", ["r", "g", "b"], 2, target=10.0).agg(F.avg("lum")).head()[0]
+    assert even == pytest.approx(10.0)
+    pool = spark.createDataFrame([(k,) for k in range(4)], "seg int")
+    assert rows(synth.modify_pool(pool, "seg", [1, 9]), "seg") == [(0,), (2,), (3,)]
+    pairs = spark.createDataFrame([(0, "1,1", 0, 1, 0, 1), (0, "3,3", 1, 2, 1, 2), (1, "1,1", 0, 1, 0, 1), (1, "5,5", 2, 3, 2, 3)], "p int, key string, a_b0 int, a_b1 int, b_b0 int, b_b1 int")
+    assert rows(graph.has_complete_paths(pairs, ["p"]), "p", "complete") == [(0, True), (1, False)]
+
+
+@pytest.mark.parametrize("method", ["rf", "xgb"])
+def test_other_learners_fill_every_gap(spark, method):
+    log = spark.createDataFrame([("c", float(k), None if 20 <= k < 30 else math.sin(k / 9), math.sin(k / 9) * 2) for k in range(80)], "core_id string, depth double, v double, f double")
+    out = {int(r.depth): r.filled for r in gapfill.fill_gaps(log, ["f"], method, trees=15, rounds=10).collect()}
+    assert len(out) == 80 and all(abs(out[k] - math.sin(k / 9)) < 0.4 for k in range(20, 30))
