@@ -30,7 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tephra/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tephra/{tag}-{uuid.uuid4().hex}"
+    WORK.append(path)
+    return path
+
+
+#: Work tables and files of this driver; results are read from them, so they stay until remove_work.
+WORK: list[str] = []
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete the work tables of this driver, when its results are written or no longer needed."""
+    while WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WORK.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -248,7 +261,7 @@ def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
     local = _local(uri)
     store, path = (fs.LocalFileSystem(), local) if local is not None else _store(uri)
     info = store.get_file_info(path)
-    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
     head = "file://" if local is not None else uri[: uri.index("://") + 3] + (uri.split("://", 1)[1].split("/", 1)[0] if not uri.startswith("file") else "")
     return sorted((head + x.path if local is not None else f"{head}/{x.path.lstrip('/')}", x.size) for x in found if x.is_file and x.path.endswith(suffix))
 

@@ -59,3 +59,13 @@ def test_empty_table(spark):
 def test_members_hold_their_lengths():
     data = warc.member(b"x" * 1000)
     assert gzip.decompress(data) == b"x" * 1000 and int.from_bytes(data[16:20], "little") == len(data)
+
+
+def test_empty_table_and_digests_of_what_is_in_the_files(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_warc(spark, warc.write_pages(none)).collect() == []
+    df = spark.createDataFrame([(1, "u", "one"), (2, "u", "one"), (3, None, None), (None, "u", "two")], "page_id long, url string, html string")
+    folder = warc.write_pages(df)
+    got = {r.record_id: r for r in warc.read_warc(spark, folder, payload=False, digest=True).where("record_type = 'response'").collect()}
+    assert {k: (r.payload, r.payload_length, r.payload_sha1) for k, r in got.items()} == {f"urn:page:{k}": (None, len(b), warc.payload_digest(b)) for k, b in ((2, b"one"), (3, b""), ("null", b"two"))}
+    assert {r.payload_sha1 for r in warc.read_warc(spark, folder).collect()} == {None}
