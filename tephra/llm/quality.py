@@ -16,6 +16,7 @@ from .common import U, Words, arrow_map, runs, sliced, texts
 #: What ends a sentence, and what may stand behind it.
 END_MARKS = tuple(m.encode() for m in (".", "!", "?", "…", "。", "！", "？", "।", "؟"))
 CLOSING = tuple(m.encode() for m in ('"', "'", ")", "]", "”", "’", "»", "」"))
+INNER_MARKS = tuple(m + b" " for m in END_MARKS)
 #: Words of notices in English, German, French and Spanish that are no part of a text (a parameter of the rules).
 NOTICES = (
     "javascript", "lorem ipsum", "cookie policy", "cookies to", "cookies help", "all rights reserved", "copyright (c)", "terms of use", "terms of service",
@@ -30,8 +31,8 @@ SEPARATORS = (b" | ", b" > ", b" \xc2\xbb ", b" / ")
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Line rules: a line goes if it doesn't end a sentence (a menu, a heading, a table row, a list of tags, code), holds a notice
-    (boilerplate), has over max_line_symbols symbols, max_separators separators or max_line_marks exclamation and question marks a word,
+    """Line rules: a line goes if it doesn't end a sentence (a menu, a heading, a table row, a list of tags, code; one of long_line words
+    or more may break off, if a sentence ends within it), holds a notice (boilerplate), has over max_line_symbols symbols, max_separators separators or max_line_marks exclamation and question marks a word,
     over max_same_neighbours of its words equal to the word before, or repeats an earlier line of at least min_repeat_words words.
     Document rules: fewer than min_words words or over max_repeat_pct percent of words in repeated 8-word windows (the base rules); after
     the line rules less than min_left of the words left, or fewer than min_words."""
@@ -45,11 +46,14 @@ class QualityRules:
     max_same_neighbours: float = 0.3
     min_repeat_words: int = 3
     min_left: float = 0.6
+    long_line: int = 10
     notices: tuple[str, ...] = NOTICES
 
 
-def ends_sentence(line: bytes) -> bool:
+def ends_sentence(line: bytes, n_words: int, rules: QualityRules) -> bool:
     line = line.rstrip()
+    if n_words >= rules.long_line and any(m in line for m in INNER_MARKS):
+        return True
     while line.endswith(CLOSING):
         line = line[: -next(len(c) for c in CLOSING if line.endswith(c))]
     return line.endswith(END_MARKS)
@@ -57,7 +61,7 @@ def ends_sentence(line: bytes) -> bool:
 
 def bad_line(line: bytes, n_words: int, rules: QualityRules, notice: re.Pattern[bytes]) -> bool:
     """Navigation, boilerplate, or symbols, marks and stutter instead of prose."""
-    if not ends_sentence(line) or notice.search(line.lower()):
+    if not ends_sentence(line, n_words, rules) or notice.search(line.lower()):
         return True
     if sum(line.count(s) for s in SEPARATORS) >= max(3, rules.max_separators * n_words) or sum(line.count(s) for s in SYMBOLS) > rules.max_line_symbols * n_words:
         return True
@@ -110,7 +114,7 @@ def judged(raw: bytes, n: int, repeat_words: int, stutters: bool, rules: Quality
         again = line in seen
         dups += again
         seen.add(line)
-        if again and m >= rules.min_repeat_words or (bad_line(line, m, rules, notice) if doubtful else not ends_sentence(line)):
+        if again and m >= rules.min_repeat_words or (bad_line(line, m, rules, notice) if doubtful else not ends_sentence(line, m, rules)):
             continue
         good.append(line)
         left += m

@@ -55,7 +55,8 @@ def verdict(text):
             continue
         again, low = line in seen and len(w) >= 3, "".join(c.lower() if c.isascii() else c for c in line)
         seen.add(line)
-        ends = bool(re.search(r"[.!?…。！？।؟][\"')\]”’»」]*[\x20\x09-\x0D]*$", line))
+        inside = len(w) >= 10 and any(x + " " in line.strip(" \t\n\r\x0b\x0c") for x in ".!?…。！？।؟")
+        ends = inside or bool(re.search(r"[.!?…。！？।؟][\"')\]”’»」]*[\x20\x09-\x0D]*$", line))
         notice = any(x in low for x in rules.notices)
         separators = line.count(" | ") + line.count(" > ") + line.count(" » ") + line.count(" / ")
         symbols = sum(c in "#*$%&|<>" for c in line)
