@@ -68,7 +68,7 @@ def row_key(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
 
 
-#: What this worker keeps beside a task's own data; each is called at the end of a partition.
+#: What this worker keeps beside a task's own data; each is called at the end of a partition, and lets go what that partition didn't use.
 AT_END: list[Callable[[], None]] = []
 
 

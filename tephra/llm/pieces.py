@@ -49,8 +49,14 @@ class PieceModel:
         self.automaton.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
-        self.held = 0
-        AT_END.append(self.forget)
+        self.held, self.used = 0, False
+        AT_END.append(self.rest)
+
+    def rest(self) -> None:
+        """What the next partition of the same work may use stays; another kind of work lets it go."""
+        if not self.used:
+            self.forget()
+        self.used = False
 
     def forget(self) -> None:
         self.known.clear()
@@ -132,6 +138,7 @@ class PieceModel:
 
     def encode(self, text: str) -> bytes:
         """The ids with the end id as decimal numbers joined by a space."""
+        self.used = True
         if self.held + 250 * len(self.apart) > self.most_bytes:
             self.forget()
         get, make = self.known.get, self._chunk
@@ -173,7 +180,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     ids end with the end id; a null or empty text has no other. decoded is what the ids themselves decode to. Other columns are left out;
     null ids and equal rows stay; an empty table stays empty. A text is encoded and decoded whole, however long; what a worker remembers
-    of words and pairs is bounded in bytes and ends with the partition. Nothing is shuffled.
+    of words and pairs is bounded in bytes and let go by the next other work. Nothing is shuffled.
     """
     kind = dict(df.dtypes)[id_col]
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")

@@ -39,7 +39,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most, self.known = Tokenizer.from_file(path), dtype, most, {}
-        AT_END.append(self.known.clear)
+        self.used = False
+        AT_END.append(self.rest)
+
+    def rest(self) -> None:
+        """What the next partition of the same work may use stays; another kind of work lets it go."""
+        if not self.used:
+            self.known.clear()
+        self.used = False
 
     @staticmethod
     def _words(raw: bytes) -> list[bytes]:
@@ -63,6 +70,7 @@ class WordEncoder:
 
     def encode(self, raws: list[bytes], end_id: int) -> list[bytes]:
         """Each text's ids and the end id as little-endian integers."""
+        self.used = True
         split = [self._words(r) for r in raws]
         if len(self.known) > self.most:
             self.known.clear()
