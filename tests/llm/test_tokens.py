@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -43,11 +44,20 @@ def test_digest_and_empty_table(spark, odd_docs, no_docs):
     assert tokenstore.read_tokens(spark, tokenstore.write_tokens(no_docs, WORDS, 2)).collect() == []
 
 
+@functools.cache
+def word_encoders():
+    return tokenstore.WordEncoder(WORDS, "<u2", 50), Tokenizer.from_file(WORDS)
+
+
+@functools.cache
+def small_model():
+    return pieces.PieceModel(PIECES, 20_000)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAéé'sß.,!1<|>endoftx \t\n  İΣ日"), max_size=30), max_size=4))
 def test_words_encode_as_whole_texts(some):
-    encoder = test_words_encode_as_whole_texts.__dict__.setdefault("encoder", tokenstore.WordEncoder(WORDS, "<u2", 50))
-    library = test_words_encode_as_whole_texts.__dict__.setdefault("library", Tokenizer.from_file(WORDS))
+    encoder, library = word_encoders()
     for text, data in zip(some, encoder.encode([t.encode() for t in some], 2), strict=True):
         assert np.frombuffer(data, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
@@ -61,7 +71,7 @@ def check_pieces(model, text):
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(st.sampled_from("abetionhs ▁.\n1é"), max_size=80)))
 def test_pieces_equal_the_library(text):
-    check_pieces(test_pieces_equal_the_library.__dict__.setdefault("model", pieces.PieceModel(PIECES, 20_000)), text)
+    check_pieces(small_model(), text)
 
 
 def test_pieces_over_tables(spark, odd_docs, no_docs):
