@@ -12,25 +12,28 @@ where c(s, x) counts the next tokens that s has and rest(s) is what they leave o
 The tree is never in one place. All states that end with a word, and all tokens that follow it, are in the bucket of that word: counts,
 divergence tests and scores come from there. Of a word (or pair of words) that follows itself around too often for a bucket, the "wide"
 ones, next tokens are counted beforehand with pre-aggregation; its tokens are spread over buckets by the word before (or by text and
-place), and each of these buckets is told the counts. The empty state's counts of frequent words, fewer than 500,000, are broadcast; rare
+place), and each of these buckets is told the counts. The empty state's counts of frequent words, fewer than two million, are broadcast; rare
 tokens pass through the bucket of their own word first, which knows its count.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, buckets_for, dealt, mix, row_key, runs, seeds, sliced, texts, written
+from .common import U, Words, arrow_map, bucket_of, buckets_for, mix, row_key, runs, seeds, sliced, texts, written
 
 START, END = seeds(2, 77)
 _PAIR, _SUB = seeds(2, 78)
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 HELD = 300_000
 
 
@@ -129,14 +132,33 @@ def _next_counts(batches, wide, level: int) -> Iterator[pa.RecordBatch]:
 
 # --- buckets -----------------------------------------------------------------------------------
 
-_FIELDS = ("key", "n", "k1", "run", "k2", "x", "c", "doc", "train", "target")
+_FIELDS = ("key", "n", "w1", "run", "w2", "x", "c", "doc", "train", "target")
 _SCHEMA = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
-#: kinds of rows: tokens of the bucket of their context; rare tokens in the bucket of their word; counts of wide contexts; counts of words
-_TOKENS, _RARE, _WIDE, _WORDS = range(4)
+#: kinds of rows: tokens of the bucket of their context; rare tokens in the bucket of their word; counts of wide contexts; counts of rare
+#: words; sums of texts, which pass through
+_TOKENS, _RARE, _WIDE, _WORDS, _SUM = range(5)
+_NEW = U(1 << 63)
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array's bytes, all first ones together, then all second ones and so on, compressed: small numbers take little more than they say."""
+    values = np.ascontiguousarray(values)
+    return _zstd()[0].compress(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
+
+
+def _expanded(data: bytes, kind) -> np.ndarray:
+    data = _zstd()[1].decompress(data)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+@functools.cache
+def _zstd():
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
 def _row(bucket: int, kind: int, **fields) -> tuple:
-    return (bucket, kind, *[fields[f].tobytes() if f in fields else b"" for f in _FIELDS])
+    return (bucket, kind, *[fields.get(f, b"") for f in _FIELDS])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -151,47 +173,55 @@ def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[i]]), order[i:j]
 
 
-def _packed(bucket: np.ndarray, kind: int, keys: np.ndarray, doc: np.ndarray, train: np.ndarray, w1: np.ndarray, ctx2: np.ndarray, x: np.ndarray, c: np.ndarray | None, target: np.ndarray | None = None) -> list[tuple]:
-    """Rows of tokens: those of a bucket together, sorted by context; a text's key and a context once in each row."""
+# A text is named by its slice (the texts that a task takes together, named by a hash of their keys) and its place there: `doc` is
+# the slice's number in the row's list << 32 | the place. So a text's long key travels once, with its slice.
+
+
+def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray, train: np.ndarray, w1: np.ndarray, w2: np.ndarray, x: np.ndarray, c: np.ndarray | None = None, target: np.ndarray | None = None) -> list[tuple]:
+    """Rows of tokens: those of a bucket together, sorted by context; a word before stands once for all its tokens."""
     rows = []
     for b, here in _grouped(bucket):
-        here = here[np.lexsort((ctx2[here], w1[here]))]
+        here = here[np.lexsort((w2[here], w1[here]))]
         cut = runs(w1[here])
-        used, at = np.unique(doc[here], return_inverse=True)
-        wide = len(used) > 1 << 16
-        fields = {"key": keys[used], "n": np.array([len(here)]), "k1": w1[here][cut[:-1]], "run": np.diff(cut).astype(np.uint32), "k2": ctx2[here] if kind == _RARE else ctx2[here].astype(np.uint32), "x": x[here]}
-        fields |= {"doc": at.astype(np.uint32 if wide else np.uint16), "train": np.packbits(train[used])}
-        fields |= {f: v[here] for f, v in (("c", c), ("target", target)) if v is not None}
+        fields = {"key": slices.tobytes(), "n": len(here).to_bytes(8, "little"), "train": np.packbits(train[here]).tobytes()}
+        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", doc[here]))}
+        fields |= {f: _squeezed(v[here]) for f, v in (("c", c), ("target", target)) if v is not None}
         rows.append(_row(b, kind, **fields))
     return rows
 
 
 def _unpacked(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
-    get = lambda f, t: np.frombuffer(batch.column(f)[k].as_py(), t)
-    n = int(get("n", np.int64)[0])
-    rare = batch.column("kind")[k].as_py() == _RARE
-    doc = batch.column("doc")[k].as_py()
-    key = get("key", np.int64).reshape(-1, 2)
-    at = np.frombuffer(doc, np.uint16 if len(doc) == 2 * n else np.uint32).astype(np.int64)
-    return {
-        "key": key, "doc": at, "train": np.unpackbits(get("train", np.uint8))[: len(key)].astype(bool)[at], "w1": np.repeat(get("k1", U), get("run", np.uint32)),
-        "ctx2": get("k2", U if rare else np.uint32).astype(U), "x": get("x", U) if len(batch.column("x")[k].as_py()) == 8 * n else get("x", np.uint32).astype(U), "c": get("c", np.float32) if len(batch.column("c")[k].as_py()) else np.full(n, -1, np.float32), "target": get("target", np.int32),
-    }
+    raw = {f: batch.column(f)[k].as_py() for f in _FIELDS}
+    n = int.from_bytes(raw["n"], "little")
+    out = {"key": np.frombuffer(raw["key"], U), "doc": _expanded(raw["doc"], np.int64), "train": np.unpackbits(np.frombuffer(raw["train"], np.uint8))[:n].astype(bool), "w1": np.repeat(_expanded(raw["w1"], U), _expanded(raw["run"], np.uint32)), "w2": _expanded(raw["w2"], U), "x": _expanded(raw["x"], U)}
+    return out | {"c": _expanded(raw["c"], np.int64) if raw["c"] else np.full(n, -1), "target": _expanded(raw["target"], np.int32) if raw["target"] else np.zeros(n, np.int32)}
+
+
+def _together(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Rows of tokens as one: slices are numbered through."""
+    slices, at = np.unique(np.concatenate([t["key"] for t in found]), return_inverse=True)
+    begin = 0
+    for t in found:
+        t["doc"] = at[begin + (t["doc"] >> 32)] << 32 | t["doc"] & 0xFFFFFFFF
+        begin += len(t["key"])
+    return {"key": slices, **{f: np.concatenate([t[f] for t in found]) for f in found[0] if f != "key"}}
 
 
-_SUMS = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_tokens", "<i4"), ("n_known", "<i4"), ("base", "<f8"), ("score", "<f8")])
+_SUMS = np.dtype([("place", "<u4"), ("n_tokens", "<i4"), ("n_known", "<i4"), ("base", "<f8"), ("score", "<f8")])
 
 
-def _sums(keys: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_known=None, base=None, score=None) -> pa.RecordBatch:
-    """What is known of some texts, by the bucket of their key. doc numbers the rows of keys for each value."""
+def _sums(slices: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_known=None, base=None, score=None, keys: np.ndarray | None = None) -> list[tuple]:
+    """Rows of what is known of some texts, a row for each slice, by the slice's bucket; with keys also those of the (one) slice's texts."""
     used, at = np.unique(doc, return_inverse=True)
     out = np.zeros(len(used), _SUMS)
-    out["a"], out["b"] = keys[used].T if len(used) else (0, 0)
+    out["place"] = used & 0xFFFFFFFF
     for name, value in (("n_tokens", n_tokens), ("n_known", n_known), ("base", base), ("score", score)):
         if value is not None:
             out[name] = np.bincount(at, value, len(used))
-    rows = [(b, out[here].tobytes()) for b, here in _grouped(bucket_of(mix(out["a"].astype(U)), buckets))]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "sums"])
+    cut = runs(used >> 32)
+    bucket = bucket_of(mix(slices), buckets)
+    more = {"w1": keys.tobytes()} if keys is not None else {}
+    return [_row(int(bucket[k]), _SUM, key=slices[k : k + 1].tobytes(), x=_squeezed(out[i:j]), **more) for k, i, j in zip((used[cut[:-1]] >> 32).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @dataclass
@@ -204,6 +234,8 @@ class Known:
     wide1_n: np.ndarray
     wide2: np.ndarray
     wide2_n: np.ndarray
+    wide2_first: np.ndarray
+    wide2_last: np.ndarray
     n: int
     v: int
     ends: int
@@ -222,7 +254,12 @@ class Known:
         """Buckets of a wide context."""
         return np.minimum(self.buckets, -(-n // self.tree.wide)).astype(U)
 
-    def targets(self, t: Tokens, ctx2: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def code(self, word: np.ndarray) -> np.ndarray:
+        """A frequent word's number, or a rare one's hash."""
+        at = _lookup(self.word, word)
+        return np.where(at >= 0, at.astype(U), word | _NEW)
+
+    def targets(self, t: Tokens, keys: np.ndarray) -> np.ndarray:
         """The bucket of each token's context; -1 where no state is possible."""
         at = _lookup(self.word, t.w1)
         n1 = np.where(t.w1 == START, self.ends, np.where(at >= 0, self.count[np.maximum(at, 0)] if len(self.count) else 0, self.often))
@@ -231,10 +268,12 @@ class Known:
         some = np.flatnonzero(one >= 0)
         if len(some):
             bucket[some] = sub_bucket(t.w1[some], mix(t.w2[some]) % self.parts(self.wide1_n[one[some]]), self.buckets)
-            two = np.where(t.w1 != START, _lookup(self.wide2, ctx2), -1)
-            some = np.flatnonzero(two >= 0)
-            place = mix(keys[t.doc[some], 0].astype(U) + some.astype(U))
-            bucket[some] = sub_bucket(ctx2[some], place % self.parts(self.wide2_n[two[some]]), self.buckets) if len(some) else bucket[some]
+            ctx2 = pair_of(t.w2[some], t.w1[some])
+            two = np.where(t.w1[some] != START, _lookup(self.wide2, ctx2), -1)
+            ctx2, some, two = ctx2[two >= 0], some[two >= 0], two[two >= 0]
+            if len(some):
+                place = mix(keys[t.doc[some], 0].astype(U) + some.astype(U))
+                bucket[some] = sub_bucket(ctx2, place % self.parts(self.wide2_n[two]), self.buckets)
         return np.where(n1 >= self.tree.least, bucket, -1).astype(np.int32)
 
 
@@ -244,40 +283,32 @@ def sub_bucket(ctx: np.ndarray, sub: np.ndarray, buckets: int) -> np.ndarray:
 
 def _questions(batches, known, rare: bool):
     """Tokens to buckets: rare ones to that of their word, others to that of their context. Where no state is possible, and for what else
-    the task knows itself, sums (bucket, sums) in place of tokens: those rows have kind null."""
+    the task knows itself, sums in place of tokens."""
     known: Known = known.value
     for batch in batches:
         held = batch.column(3).to_pylist()
         rows = np.stack([np.asarray(batch.column(k)) for k in (0, 1)], 1) if batch.num_rows else np.zeros((0, 2), np.int64)
         for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(2).to_pylist()]):
             t, keys, train = Tokens.of(raws), rows[some], ~np.array([held[k] for k in some], bool)
+            slices = np.array([mix(np.cumsum(mix(keys.astype(U).ravel() + np.arange(keys.size, dtype=U)))[-1:])[0]], U)
             at = _lookup(known.word, t.x)
             take = np.flatnonzero(at < 0) if rare else np.flatnonzero(at >= 0)
-            ctx2 = pair_of(t.w2, t.w1)
-            target = known.targets(t, ctx2, keys)[take]
-            part = Tokens(t.x[take], t.w1[take], t.w2[take], t.doc[take])
+            target = known.targets(t, keys)[take]
+            doc = t.doc[take]
+            train = train[doc]
             if rare:
-                out = _packed(bucket_of(part.x, known.buckets), _RARE, keys, part.doc, train, part.w1, ctx2[take], part.x, None, target)
-                yield _with_sums(_batch(out), None)
+                go = target >= 0  # no context is told where none is needed
+                w1, w2 = (np.where(go, known.code(w[take]), U(0)) for w in (t.w1, t.w2))
+                x = t.x[take] | _NEW
+                yield _batch(_packed(bucket_of(mix(x), known.buckets), _RARE, slices, doc, train, w1, w2, x, target=target))
                 continue
             c = known.count[at[take]]
             direct = target < 0
             n = np.bincount(t.doc, minlength=len(keys))
-            score = np.bincount(part.doc[direct], np.log10(known.empty(c[direct])), len(keys))
-            sums = _sums(keys, np.arange(len(keys)), known.buckets, n, np.bincount(part.doc, c > 0, len(keys)), np.bincount(part.doc, known.base(c), len(keys)), score)
+            score = np.bincount(doc[direct], np.log10(known.empty(c[direct])), len(keys))
+            sums = _sums(slices, np.arange(len(keys)), known.buckets, n, np.bincount(doc, c > 0, len(keys)), np.bincount(doc, known.base(c), len(keys)), score, keys)
             go = np.flatnonzero(~direct)
-            out = _packed(target[go], _TOKENS, keys, part.doc[go], train, part.w1[go], ctx2[take][go], at[take][go].astype(np.uint32), None)  # frequent words by their number, which stands for their count
-            yield _with_sums(_batch(out), sums)
-
-
-def _with_sums(tokens: pa.RecordBatch, sums: pa.RecordBatch | None) -> pa.RecordBatch:
-    """Rows of tokens, and rows of kind -1 with sums in the field key."""
-    if sums is None or not sums.num_rows:
-        return tokens
-    n = sums.num_rows
-    empty = pa.array([b""] * n, pa.binary())
-    more = pa.RecordBatch.from_arrays([sums.column(0), pa.array([-1] * n, pa.int32()), sums.column(1), *[empty] * (len(_FIELDS) - 1)], names=tokens.schema.names)
-    return pa.Table.from_batches([tokens, more]).combine_chunks().to_batches()[0]
+            yield _batch(sums + _packed(target[go], _TOKENS, slices, doc[go], train[go], known.code(t.w1[take][go]), known.code(t.w2[take][go]), at[take][go].astype(U)))
 
 
 def _own_words(batches, known):
@@ -294,45 +325,41 @@ def _own_words(batches, known):
     word, count = np.concatenate(words), np.concatenate(counts)
     order = np.argsort(word)
     word, count = word[order], count[order]
-    for batch, k in asked:
-        t = _unpacked(batch, k)
+    for lo in range(0, len(asked), 200):  # so many rows together, that those which go on are not small
+        t = _together([_unpacked(batch, k) for batch, k in asked[lo : lo + 200]])
         at = _lookup(word, t["x"])
         c = np.where(at >= 0, count[np.maximum(at, 0)] if len(count) else 0, 0)
-        direct = t["target"] < 0
-        score = np.where(direct, np.log10(known.empty(c)), 0.0)
+        go = np.flatnonzero(t["target"] >= 0)
+        score = np.where(t["target"] < 0, np.log10(known.empty(c)), 0.0)
         sums = _sums(t["key"], t["doc"], known.buckets, None, c > 0, known.base(c), score)
-        go = np.flatnonzero(~direct)
-        train = np.zeros(len(t["key"]), bool)
-        train[t["doc"][t["train"]]] = True
-        out = _packed(t["target"][go], _TOKENS, t["key"], t["doc"][go], train, t["w1"][go], t["ctx2"][go], t["x"][go], c[go].astype(np.float32))
-        yield _with_sums(_batch(out), sums)
+        yield _batch(sums + _packed(t["target"][go], _TOKENS, t["key"], t["doc"][go], t["train"][go], t["w1"][go], t["w2"][go], t["x"][go], c[go]))
 
 
-def _told(batches, known, pairs):
-    """Counts of wide contexts (ctx, level, n, x, c, c0 arrays) to the buckets of their tokens. pairs: wide pairs by their last word."""
+def _told(batches, known):
+    """Counts of wide contexts (ctx, level, x, n, c0 arrays) to the buckets of their tokens. A pair's last word is told wherever it is."""
     known: Known = known.value
-    last, of = pairs.value
     for batch in batches:
         rows = []
         for ctx, level, x, c, c0 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             key = np.array([ctx], np.int64).astype(U)
-            places = set()
-            where = (known.wide1, known.wide1_n) if level == 1 else (known.wide2, known.wide2_n)
-            n = where[1][_lookup(where[0], key)]
-            spread = [(key, n)]
             if level == 1:
-                spread += [(of[k : k + 1], known.wide2_n[_lookup(known.wide2, of[k : k + 1])]) for k in range(*np.searchsorted(last, (key[0], key[0] + U(1))))]
+                spread, w1, w2 = [(key, known.wide1_n[_lookup(known.wide1, key)])], key, np.zeros(1, U)
+                spread += [(known.wide2[k : k + 1], known.wide2_n[k : k + 1]) for k in np.flatnonzero(known.wide2_last == key[0]).tolist()]
+            else:
+                k = int(_lookup(known.wide2, key)[0])
+                spread, w1, w2 = [(key, known.wide2_n[k : k + 1])], known.wide2_last[k : k + 1], known.wide2_first[k : k + 1]
+            places = set()
             for s, m in spread:
                 sub = np.arange(int(known.parts(m)[0]))
                 places |= set(sub_bucket(np.repeat(s, len(sub)), sub, known.buckets).tolist())
-            fields = {"k1": key, "n": n, "run": np.array([level]), "x": np.array(x, np.int64).astype(U), "c": np.array(c, np.float64), "k2": np.array(c0, np.float64)}
-            rows += [_row(b, _WIDE, **fields) for b in sorted(places)]
+            fields = {"w1": known.code(w1), "w2": known.code(w2), "run": np.array([level]), "n": spread[0][1], "x": known.code(np.array(x, np.int64).astype(U)), "c": np.array(c, np.int64), "target": np.array(c0, np.int64)}
+            rows += [_row(b, _WIDE, **{f: v.tobytes() for f, v in fields.items()}) for b in sorted(places)]
         yield _batch(rows)
 
 
 def _states(ctx: np.ndarray, x: np.ndarray, train: np.ndarray, p: np.ndarray, tree: Tree, wide: dict[int, tuple]) -> np.ndarray:
-    """p(x | state) for tokens x behind contexts, p being what the shorter states give them; wide: (n, x, c, p of the shorter) of contexts
-    that are counted elsewhere."""
+    """p(x | state) for tokens x behind contexts, p being what the shorter states give them; wide: ((n, x, c), what the shorter states
+    give those x) of contexts that are counted elsewhere."""
     order = np.lexsort((x, ctx))
     ctx, x, train, p = ctx[order], x[order], train[order], p[order]
     cut = np.concatenate(([0], np.flatnonzero((ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])) + 1, [len(x)]))
@@ -349,87 +376,94 @@ def _states(ctx: np.ndarray, x: np.ndarray, train: np.ndarray, p: np.ndarray, tr
     gain = np.add.reduceat(np.where(have, own * np.log(np.where(have, new / p[first], 1.0)), 0.0), begin)
     new = np.where((gain > tree.divergence)[of], new, p[first])
     for k in np.flatnonzero(np.isin(ctx[first[begin]], np.array(list(wide), U))).tolist() if wide else ():
-        m, xs, cs, before = wide[int(ctx[first[begin[k]]])]
         here = slice(begin[k], begin[k] + size[k])
-        left = 1 - cs.sum() / (m + tree.mu)
-        if (cs * np.log((cs / (m + tree.mu) + left * before) / before)).sum() <= tree.divergence:
-            new[here] = p[first[here]]
-            continue
-        at = _lookup(xs, x[first[here]])
-        new[here] = np.where(at >= 0, cs[np.maximum(at, 0)] if len(cs) else 0.0, 0.0) / (m + tree.mu) + left * p[first[here]]
+        told, before = wide[int(ctx[first[begin[k]]])]
+        new[here] = _beyond(told, before, x[first[here]], p[first[here]], tree)
     out = np.empty(len(x))
     out[order] = np.repeat(new, np.diff(cut))
     return out
 
 
+def _beyond(told: tuple, shorter: np.ndarray, x: np.ndarray, p: np.ndarray, tree: Tree) -> np.ndarray:
+    """p(x | a wide state): told are its (n, next tokens, counts), shorter what the shorter states give those, p what they give x."""
+    n, xs, cs = told
+    left = 1 - cs.sum() / (n + tree.mu)
+    if (cs * np.log((cs / (n + tree.mu) + left * shorter) / shorter)).sum() <= tree.divergence:
+        return p
+    at = _lookup(xs, x)
+    return np.where(at >= 0, cs[np.maximum(at, 0)] if len(cs) else 0.0, 0.0) / (n + tree.mu) + left * p
+
+
 def _scored(batches, known):
-    """A bucket of contexts: its tokens' probabilities, summed by text."""
+    """Buckets of contexts: their tokens' probabilities, summed by text. Sums pass through."""
     known: Known = known.value
     tree = known.tree
-    keys, parts, size = [], [], 0
-    told: dict[tuple[int, int], tuple] = {}
+    packed: dict[int, list[tuple]] = defaultdict(list)
+    all_told: dict[int, dict[tuple, tuple]] = defaultdict(dict)
     for batch in batches:
-        for k in range(batch.num_rows):
-            if batch.column("kind")[k].as_py() == _WIDE:
-                get = lambda f, t, batch=batch, k=k: np.frombuffer(batch.column(f)[k].as_py(), t)
-                x = get("x", U)
-                order = np.argsort(x)
-                told[int(get("run", np.int64)[0]), int(get("k1", U)[0])] = (int(get("n", np.int64)[0]), x[order], get("c", np.float64)[order], get("k2", np.float64)[order])
-                continue
-            t = _unpacked(batch, k)
-            frequent = t["c"] < 0
-            c = np.where(frequent, known.count[np.where(frequent, t["x"], 0).astype(np.int64)] if len(known.count) else 0, t["c"])
-            x = np.where(frequent, known.word[np.where(frequent, t["x"], 0).astype(np.int64)] if len(known.word) else t["x"], t["x"])
-            keys.append(t["key"])
-            parts.append((t["w1"], t["ctx2"] & U(0xFFFFFFFF), x, c, t["doc"] + size, t["train"]))
-            size += len(t["key"])
-    if not parts:
-        return
-    w1, ctx2, x, c, doc, train = (np.concatenate(z) for z in zip(*parts, strict=True))
-    parts.clear()
+        kind, bucket = np.asarray(batch.column("kind")), np.asarray(batch.column("bucket")).tolist()
+        yield batch.filter(pa.array(kind == _SUM)).select(["bucket", "key", "w1", "x"])
+        for k in np.flatnonzero(kind == _WIDE).tolist():
+            get = lambda f, t, batch=batch, k=k: np.frombuffer(batch.column(f)[k].as_py(), t)
+            x = get("x", U)
+            order = np.argsort(x)
+            all_told[bucket[k]][int(get("run", np.int64)[0]), int(get("w1", U)[0]), int(get("w2", U)[0])] = ((int(get("n", np.int64)[0]), x[order], get("c", np.int64)[order]), known.empty(get("target", np.int64)[order]))
+        for k in np.flatnonzero(kind == _TOKENS).tolist():
+            packed[bucket[k]].append((batch.slice(k, 1), 0))
+    for b in sorted(packed):  # one bucket of the task's after the other: the others stay compressed
+        yield _scored_bucket(_together([_unpacked(*row) for row in packed.pop(b)]), all_told.get(b, {}), known, tree)
+
+
+def _scored_bucket(t: dict[str, np.ndarray], told: dict[tuple, tuple], known: Known, tree: Tree) -> pa.RecordBatch:
+    w1, w2, x, doc, train = (t[f] for f in ("w1", "w2", "x", "doc", "train"))
+    number = np.where(t["c"] < 0, x, U(0)).astype(np.int64)
+    c = np.where(t["c"] < 0, known.count[number] if len(known.count) else 0, t["c"])
     p = known.empty(c)
-    wide1 = {k: (n, xs, cs, known.empty(c0)) for (level, k), (n, xs, cs, c0) in told.items() if level == 1}
-    p1 = _states(w1, x, train, p, tree, wide1)
-    second = np.flatnonzero(w1 != START)
+    one = {w: (counts, before) for (level, w, _), (counts, before) in told.items() if level == 1}
+    p1 = _states(w1, x, train, p, tree, one)
+    second = np.flatnonzero(w1 != known.code(np.array([START]))[0])
     if len(second):
-        two = mix(w1[second]) ^ mix(ctx2[second])
-        wide2 = {}
-        for (level, k), (n, xs, cs, c0) in told.items():
-            if level == 2:
-                low = np.array([k], U) & U(0xFFFFFFFF)
-                for w in wide1:  # the pair's last word; its other words' pairs have other numbers
-                    name = int((mix(np.array([w], U)) ^ mix(low))[0])
-                    before = known.empty(c0)
-                    m, xs1, cs1, b1 = wide1[w]
-                    left = 1 - cs1.sum() / (m + tree.mu)
-                    if (cs1 * np.log((cs1 / (m + tree.mu) + left * b1) / b1)).sum() > tree.divergence:
-                        at = _lookup(xs1, xs)
-                        before = np.where(at >= 0, cs1[np.maximum(at, 0)] if len(cs1) else 0.0, 0.0) / (m + tree.mu) + left * before
-                    wide2[name] = (n, xs, cs, before)
-        p1[second] = _states(two, x[second], train[second], p1[second], tree, wide2)
-    yield _sums(np.concatenate(keys), doc, known.buckets, score=np.log10(p1))
+        name = lambda a, b: mix(a) ^ mix(mix(b) + U(1))
+        two = {}
+        for (level, a, b), (counts, before) in told.items():
+            if level == 2:  # what the last word alone gives the pair's next tokens
+                before = _beyond(*one[a], counts[1], before, tree) if a in one else before
+                two[int(name(np.array([a], U), np.array([b], U))[0])] = (counts, before)
+        p1[second] = _states(name(w1[second], w2[second]), x[second], train[second], p1[second], tree, two)
+    rows = _batch(_sums(t["key"], doc, known.buckets, score=np.log10(p1)))
+    return rows.select(["bucket", "key", "w1", "x"])
 
 
 def _summed(batches):
-    """A bucket's texts with all their sums; of each how many sums of tokens there are, which is the number of equal rows."""
-    parts = [np.frombuffer(r, _SUMS) for batch in batches for r in batch.column(1).to_pylist()]
-    all_ = np.concatenate(parts) if parts else np.zeros(0, _SUMS)
-    order = np.lexsort((all_["b"], all_["a"]))
-    all_ = all_[order]
-    cut = np.concatenate(([0], np.flatnonzero((all_["a"][1:] != all_["a"][:-1]) | (all_["b"][1:] != all_["b"][:-1])) + 1, [len(all_)])) if len(all_) else np.zeros(1, np.int64)
-    first = cut[:-1]
-    add = lambda c, t: np.add.reduceat(all_[c].astype(t), first) if len(first) else np.zeros(0, t)
-    m = np.add.reduceat((all_["n_tokens"] > 0).astype(np.int64), first) if len(first) else first
-    cols = [all_["a"][first], all_["b"][first], m, add("n_tokens", np.int64), add("n_known", np.int64), add("base", float), add("score", float)]
-    for lo in range(0, len(first), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in cols], names=["row", "row2", "m", "n_tokens", "n_known", "base", "score"])
+    """A bucket's slices: the sums of each text; of each how many rows of sums name it, which is the number of equal rows."""
+    keys: dict[int, np.ndarray] = {}
+    parts: dict[int, list[np.ndarray]] = defaultdict(list)
+    for batch in batches:
+        for key, names, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            at = int.from_bytes(key, "little")
+            parts[at].append(_expanded(data, _SUMS))
+            if names:
+                keys[at] = np.frombuffer(names, np.int64).reshape(-1, 2)
+    for at, some in parts.items():
+        if at not in keys:
+            raise ValueError("the table is not read the same way twice: write it before it is scored")
+        all_, names = np.concatenate(some), keys[at]
+        add = lambda c, t: np.bincount(all_["place"], all_[c], len(names)).astype(t)  # noqa: B023, E731
+        m = np.bincount(all_["place"], all_["n_tokens"] > 0, len(names)).astype(np.int64)
+        cols = [names[:, 0], names[:, 1], m, np.rint(add("n_tokens", float)).astype(np.int64), np.rint(add("n_known", float)).astype(np.int64), add("base", float), add("score", float)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "row2", "m", "n_tokens", "n_known", "base", "score"])
 
 
 def _word_rows(batches, buckets: int):
     """Counts of rare words, packed by bucket."""
     for batch in batches:
         word, n = np.asarray(batch.column(0)).astype(U), np.asarray(batch.column(1))
-        yield _batch([_row(b, _WORDS, x=word[here], c=n[here]) for b, here in _grouped(bucket_of(word, buckets))])
+        word = word | _NEW
+        yield _batch([_row(b, _WORDS, x=word[here].tobytes(), c=n[here].tobytes()) for b, here in _grouped(bucket_of(mix(word), buckets))])
+
+
+def _to_tasks(df: DataFrame, tasks: int) -> DataFrame:
+    return df.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)))
 
 
 def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree()) -> DataFrame:
@@ -438,15 +472,15 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     Tokens are the words (A-Z lowered) and one end. Counts are of all rows that aren't held out (a null held_out counts as no). base_score
     adds log10((c + 1) / (N + (V + 1))) over tokens; score is the tree's log10 probability of the token sequence, any unknown word being
     one token more than the V known ones. A null text is empty: its only token is the end. Whole texts are scored, however long. Repeated
-    rows each get a row; other columns are left out; an empty table gives none. Words and contexts are compared by 64-bit hashes, next
-    words within a pair's bucket by 32 bits of the pair.
+    rows each get a row; other columns are left out; an empty table gives none. Words and contexts are compared by 64-bit hashes.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     out = F.coalesce(held_out, F.lit(False)).alias("held_out")
     row, row2 = row_key(F.col("doc_id"), F.col("raw"))
     docs = texts(df, id_col, text_col, out).withColumn("row", row).withColumn("row2", row2)
-    buckets = buckets_for(spark, docs, each=32 << 20)
+    tasks = buckets_for(spark, docs, each=32 << 20)
+    buckets = tasks * 8  # a task has eight, one after the other
     counted = written(arrow_map(docs.select("raw", "held_out"), _counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, v = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
     total = total or 0
@@ -467,8 +501,8 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         w1, w1_n = np.append(w1, START), np.append(w1_n, ends)
         order = np.argsort(w1)
         w1, w1_n = w1[order], w1_n[order]
-    w2 = w2_n = last = np.zeros(0, U)
-    w2_n = w2_n.astype(np.int64)
+    w2 = first = last = np.zeros(0, U)
+    w2_n = np.zeros(0, np.int64)
     counts = []
 
     def following(keys: np.ndarray, level: int) -> DataFrame:
@@ -492,24 +526,22 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         a, b = a.astype(U), b.astype(U)
         use = b != END
         if use.any():
-            w2, last, w2_n = pair_of(a[use], b[use]), b[use], n[use]
+            w2, first, last, w2_n = pair_of(a[use], b[use]), a[use], b[use], n[use]
             order = np.argsort(w2)
-            w2, last, w2_n = w2[order], last[order], w2_n[order]
+            w2, first, last, w2_n = w2[order], first[order], last[order], w2_n[order]
             counts.append(kept(following(w2, 2), w2, w2_n, 2))
-    order = np.argsort(last)
-    pairs_of = spark.sparkContext.broadcast((last[order], w2[order]))
-    known = spark.sparkContext.broadcast(Known(word, count, w1, w1_n, w2, w2_n, total, int(v), ends, int(often), tree, buckets))
+    known = spark.sparkContext.broadcast(Known(word, count, w1, w1_n, w2, w2_n, first, last, total, int(v), ends, int(often), tree, buckets))
     source = docs.select("row", "row2", "raw", "held_out")
     rare = arrow_map(source, lambda b: _questions(b, known, True), _SCHEMA)
     words = arrow_map(counted.where(F.col("n") <= often), lambda b: _word_rows(b, buckets), _SCHEMA)
-    forwarded = arrow_map(dealt(rare.unionByName(words), buckets), lambda b: _own_words(b, known), _SCHEMA)
-    asked = written(arrow_map(source, lambda b: _questions(b, known, False), _SCHEMA).unionByName(forwarded), "lm-tokens")
-    both = asked.where("kind >= 0")
+    asked = arrow_map(source, lambda b: _questions(b, known, False), _SCHEMA)
+    asked = asked.unionByName(arrow_map(_to_tasks(rare.unionByName(words), tasks), lambda b: _own_words(b, known), _SCHEMA))
     for more in counts:
-        both = both.unionByName(arrow_map(more, lambda b: _told(b, known, pairs_of), _SCHEMA))
-    scores = arrow_map(dealt(both, buckets), lambda b: _scored(b, known), "bucket int, sums binary")
-    sums = scores.unionByName(asked.where("kind = -1").select("bucket", F.col("key").alias("sums")))
-    found = written(arrow_map(dealt(sums, buckets), _summed, "row long, row2 long, m long, n_tokens long, n_known long, base double, score double"), "lm-sums")
+        asked = asked.unionByName(arrow_map(more, lambda b: _told(b, known), _SCHEMA))
+    sums = arrow_map(_to_tasks(asked, tasks), lambda b: _scored(b, known), "bucket int, key binary, w1 binary, x binary")
+    found = written(arrow_map(_to_tasks(sums, tasks), _summed, "row long, row2 long, m long, n_tokens long, n_known long, base double, score double"), "lm-sums")
+    # equal rows may be in several slices: their sums are added up
+    found = found.groupBy("row", "row2").agg(*[F.sum(c).alias(c) for c in ("m", "n_tokens", "n_known", "base", "score")])
     ids = docs.select("doc_id", "held_out", "row", "row2")
     share = lambda c: F.col(c) / F.col("m")  # noqa: E731  equal rows have the sums of all
     return ids.join(found, ["row", "row2"]).select("doc_id", "held_out", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), share("base").alias("base_score"), share("score").alias("score"))

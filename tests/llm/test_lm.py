@@ -99,7 +99,7 @@ def test_scores_equal_those_of_the_plain_tree(spark, wide):
     assert {len(s) for s, k in plain.kept.items() if k} == {0, 1, 2}  # contexts of every length are in use
 
 
-@pytest.mark.parametrize("often", [500_000, 40])
+@pytest.mark.parametrize("often", [2_000_000, 40])
 def test_rare_words_take_their_counts_along(spark, monkeypatch, often):
     monkeypatch.setattr(lm, "FREQUENT", often)
     rng = random.Random(9)
