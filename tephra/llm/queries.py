@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, jaccard, langid, lm, neighbours, pieces, quality, repeats, sharding, tokenstore, warc
+from . import alignment, codes, decontaminate, jaccard, langid, lm, neighbours, pieces, quality, repeats, sharding, tokenstore, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
     sha = hashlib.sha256(books.text().encode()).hexdigest() if books else None

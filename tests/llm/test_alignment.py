@@ -1,0 +1,95 @@
+import hashlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+
+from tephra.llm import alignment
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def brute(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each text, by the libraries over whole texts and byte ranges."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    byte = {c: k for c, k in alignment._byte_characters().items()}
+    rows, total = [], Counter()
+    for t in texts:
+        ids_a = a.encode(" " + t, add_special_tokens=False).ids if t else []
+        ids_b = b.encode(t) if t else []
+        bytes_a = [bytes(byte[c] for c in a.id_to_token(k)) for k in ids_a]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k in ids_b for p in [b.id_to_piece(k)]]
+        if not t or b"".join(bytes_a) != (" " + t).encode() or b"".join(bytes_b) != (" " + t).encode():
+            rows.append(None)
+            continue
+        spans = []
+        for ids, parts in ((ids_a, bytes_a), (ids_b, bytes_b)):
+            at, out = 0, []
+            for k, p in zip(ids, parts):
+                out.append((at, at + len(p), k))
+                at += len(p)
+            spans.append(out)
+        common = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups, low = [], 0
+        for high in common:
+            groups.append("|".join(",".join(str(k) for s, e, k in side if low <= s and e <= high) for side in spans))
+            low = high
+        links, j = [], 0
+        for s, e, x in spans[0]:
+            while j and spans[1][j][0] > s:
+                j -= 1
+            while spans[1][j][1] <= s:
+                j += 1
+            i = j
+            while i < len(spans[1]) and spans[1][i][0] < e:
+                links.append((x, spans[1][i][2]))
+                i += 1
+        total.update(links)
+        rows.append((len(ids_a), len(ids_b), len(common), links, ";".join(groups)))
+    most = {}
+    for (_, y), n in total.items():
+        most[y] = max(n, most.get(y, 0))
+    return [(0, 0, 0, 0, 0, 0, "") if r is None else (*r[:3], len(r[3]), sum(total[p] == most[p[1]] for p in r[3]), sum(total[p] for p in r[3]), r[4]) for r in rows], total, most
+
+
+@pytest.mark.parametrize("told", [1 << 20, 40, 0])
+def test_against_brute_force(spark, odd_docs, told):
+    rows = odd_docs.collect()
+    want, total, most = brute([r.text for r in rows])
+    got = alignment.align(odd_docs, A, B, told=told).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r.doc_id, *w) for r, w in zip(rows, want)), key=str)
+    if told == 40:
+        pairs = {(r.a, r.b): (r.n, r.best_b) for r in alignment.pair_counts(odd_docs, A, B).collect()}
+        assert pairs == {p: (n, n == most[p[1]]) for p, n in total.items()}
+
+
+def test_long_text_is_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "_STRETCH", 50)
+    aligner = alignment.Aligner(A, B, most_bytes=3000)
+    text = "one  two\n\n three, four.  five\tsix;\r\nx = {\r\r\n} " * 40
+    parts = list(aligner.stretches(text))
+    assert len(parts) > 20 and "".join(parts) == " " + text
+    made = [aligner.written[k] for part in parts for k in aligner.chunks([part])[0].tolist()]
+    assert b";".join(made).decode() == brute([text])[0][0][-1]
+    whole = b";".join(aligner.written[k] for group in alignment._parted(aligner, [b"a b", text.encode(), b""]) for n, _, places in group if n == 1 for k in places.tolist())
+    assert whole == b";".join(made)
+
+
+def test_merge_of_ends():
+    width = {1: 1, 2: 2, 3: 3, 0: 0}
+    assert alignment.merge_ends([2, 1, 3], [3, 1, 2], width, width) == ([([2, 1], [3]), ([3], [1, 2])], [(2, 3), (1, 3), (3, 1), (3, 2)])
+    assert alignment.merge_ends([3, 3], [2, 2, 2], width, width) == ([([3, 3], [2, 2, 2])], [(3, 2), (3, 2), (3, 2), (3, 2)])
+    assert alignment.merge_ends([], [], width, width) == ([], [])
+
+
+def test_empty_table_and_digests(spark, no_docs, odd_docs):
+    assert alignment.align(no_docs, A, B).collect() == []
+    few = odd_docs.limit(30)
+    plain, digests = alignment.align(few, A, B), alignment.align(few, A, B, digests=True)
+    assert digests.columns[-1] == "groups_sha256"
+    want = sorted((str(r.doc_id), hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in plain.collect())
+    assert sorted((str(r.doc_id), r.groups_sha256) for r in digests.collect()) == want
