@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tephra.plans.tables import work_path, written
+
+from . import grid
 from .series import nearest_index
 
 
-def segments(picks: DataFrame, log: DataFrame, core: str = "core_id", depth: str = "depth", index: str = "idx", top_depth: float = 0.0) -> DataFrame:
-    """(core, seg_id, b0, b1, start_idx, end_idx, is_point): boundaries are the picks, the top and the last depth; segment 2 i is boundary i
-    itself and 2 i + 1 the interval to the next."""
-    span = log.groupBy(core).agg(F.max(depth).alias("hi"))
-    ends = span.select(core, F.lit(float(top_depth)).alias("d")).unionByName(span.select(core, F.col("hi").cast("double").alias("d")))
-    all_ = ends.unionByName(picks.select(core, F.col(depth).cast("double").alias("d"))).distinct()
-    at = nearest_index(all_, log, [core], "d", depth, index)
-    w = Window.partitionBy(core).orderBy("d")
-    b = at.select(core, (F.row_number().over(w) - 1).cast("int").alias("b0"), F.col(index).alias("start_idx"), F.lead(index).over(w).alias("next"))
+def boundaries(picks: DataFrame, log: DataFrame, core: str = "core_id", depth: str = "depth", index: str = "idx", top_depth: float = 0.0, top_bottom: bool = True) -> DataFrame:
+    """(core, b, d, index): the picks of a core and, with top_bottom, its top and its last depth, numbered downwards; index is that of the
+    nearest row of its log."""
+    all_ = picks.select(core, F.col(depth).cast("double").alias("d"))
+    if top_bottom:
+        span = log.groupBy(core).agg(F.max(depth).alias("hi"))
+        all_ = all_.unionByName(span.select(core, F.lit(float(top_depth)).alias("d"))).unionByName(span.select(core, F.col("hi").cast("double").alias("d")))
+    at = nearest_index(all_.distinct(), log, [core], "d", depth, index)
+    return at.select(core, (F.row_number().over(Window.partitionBy(core).orderBy("d")) - 1).cast("int").alias("b"), "d", index)
+
+
+def segments(picks: DataFrame, log: DataFrame, core: str = "core_id", depth: str = "depth", index: str = "idx", top_depth: float = 0.0, top_bottom: bool = True) -> DataFrame:
+    """(core, seg_id, b0, b1, start_idx, end_idx, is_point): segment 2 i is boundary i itself and 2 i + 1 the interval to the next."""
+    at = boundaries(picks, log, core, depth, index, top_depth, top_bottom)
+    w = Window.partitionBy(core).orderBy("b")
+    b = at.select(core, F.col("b").alias("b0"), F.col(index).alias("start_idx"), F.lead(index).over(w).alias("next"))
     point = b.select(core, (2 * F.col("b0")).alias("seg_id"), "b0", F.col("b0").alias("b1"), "start_idx", F.col("start_idx").alias("end_idx"), F.lit(True).alias("is_point"))
     interval = b.where("next is not null").select(core, (2 * F.col("b0") + 1).alias("seg_id"), "b0", (F.col("b0") + 1).alias("b1"), "start_idx", F.col("next").alias("end_idx"), F.lit(False).alias("is_point"))
     return point.unionByName(interval)
 
 
 def segment_pairs(a: DataFrame, b: DataFrame, by: str | None = None) -> DataFrame:
-    """Every segment of a with every one of b but point with point, for each value of `by` (or of two cores): what an alignment of two
-    cores is made of. Joined on `by`, so that every pair of cores is a group of its own and neither side is broadcast."""
+    """Every segment of a with every one of b for each value of `by` (or of two cores), but those where both have a single row (points, and
+    intervals between picks that are nearer than the log's step): what an alignment of two cores is made of. Joined on `by`, so that every pair of cores is a group of its own and neither side is broadcast."""
     on = by or "__pair"
     a, b = (s if by else s.withColumn(on, F.lit(0)) for s in (a, b))
     side = lambda s, c: s.select(on, *[F.col(x).alias(f"{c}_{x}") for x in ("seg_id", "b0", "b1", "start_idx", "end_idx", "is_point")])
-    out = side(a, "a").join(side(b, "b"), on).where(~(F.col("a_is_point") & F.col("b_is_point"))).withColumn("key", F.concat_ws(",", "a_seg_id", "b_seg_id"))
+    out = side(a, "a").join(side(b, "b"), on).where((F.col("a_start_idx") < F.col("a_end_idx")) | (F.col("b_start_idx") < F.col("b_end_idx"))).withColumn("key", F.concat_ws(",", "a_seg_id", "b_seg_id"))
     return out if by else out.drop(on)
 
 
@@ -41,120 +51,125 @@ def edges(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pairs.select(*by, "a_b1", "b_b1", F.col("key").alias("src")).join(nxt, [*by, "a_b1", "b_b1"]).where("src != dst").select(*by, "src", "dst")
 
 
-def special(pairs: DataFrame, links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """pairs' keys with is_top, is_bottom, dead_end and orphan."""
+def special(pairs: DataFrame, links: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """pairs' keys with is_top, is_bottom, dead_end and orphan; by the boundaries where pairs begin and end, or by given links."""
     by = list(by)
     last = pairs.groupBy(*by).agg(F.max("a_b1").alias("__ma"), F.max("b_b1").alias("__mb"))
-    out = pairs.join(last, by) if by else pairs.join(F.broadcast(last))
-    out = out.join(links.select(*by, F.col("src").alias("key"), F.lit(True).alias("__succ")).distinct(), [*by, "key"], "left")
-    out = out.join(links.select(*by, F.col("dst").alias("key"), F.lit(True).alias("__pred")).distinct(), [*by, "key"], "left")
+    out = pairs.join(last, by) if by else pairs.join(F.broadcast(last))  # one row
+    if links is None:
+        out = out.join(pairs.select(*by, F.col("a_b0").alias("a_b1"), F.col("b_b0").alias("b_b1"), F.lit(True).alias("__succ")).distinct(), [*by, "a_b1", "b_b1"], "left")
+        out = out.join(pairs.select(*by, F.col("a_b1").alias("a_b0"), F.col("b_b1").alias("b_b0"), F.lit(True).alias("__pred")).distinct(), [*by, "a_b0", "b_b0"], "left")
+    else:
+        out = out.join(links.select(*by, F.col("src").alias("key"), F.lit(True).alias("__succ")).distinct(), [*by, "key"], "left")
+        out = out.join(links.select(*by, F.col("dst").alias("key"), F.lit(True).alias("__pred")).distinct(), [*by, "key"], "left")
     top = (F.col("a_b0") == 0) & (F.col("b_b0") == 0)
     bottom = (F.col("a_b1") == F.col("__ma")) & (F.col("b_b1") == F.col("__mb"))
     return out.select(*by, "key", top.alias("is_top"), bottom.alias("is_bottom"), (F.col("__succ").isNull() & ~bottom).alias("dead_end"), (F.col("__pred").isNull() & ~top).alias("orphan"))
 
 
-def _reach(start: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
-    """Keys that links lead to from start, itself included; a round for each step, on the new keys only."""
-    from tephra.plans.tables import written
-
-    seen = written(start.select(*by, "key").distinct(), "reach")
-    new, rounds = seen, 0
-    while not new.isEmpty():
-        rounds += 1
-        if rounds % 16 == 0:  # one table again, so that the plan stays short
-            seen = written(seen, "reach")
-        step = new.withColumnRenamed("key", "src").join(links, [*by, "src"]).select(*by, F.col("dst").alias("key")).distinct()
-        new = written(step.join(seen, [*by, "key"], "left_anti"), "reach")
-        seen = seen.unionByName(new)
-    return seen
+def _edges(pairs: DataFrame, by: list[str], mask: Column | None = None) -> DataFrame:
+    """pairs as the edges of a grid of boundaries, as a table."""
+    ends = [F.col(c).cast("long").alias(n) for c, n in (("a_b0", "i"), ("b_b0", "j"), ("a_b1", "i2"), ("b_b1", "j2"))]
+    return written(pairs.select(*by, "key", *ends, (F.lit(-1) if mask is None else mask).cast("long").alias("mask")), "grid")
 
 
 def on_complete_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys on a way from a top to a bottom; all keys where there is no top or no bottom."""
     by = list(by)
-    links = edges(pairs, by)
-    kind = special(pairs, links, by)
-    ahead = _reach(kind.where("is_top"), links, by)
-    back = _reach(kind.where("is_bottom"), links.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")), by)
-    both = ahead.join(back, [*by, "key"], "left_semi")
-    if by:
-        without = kind.groupBy(*by).agg(F.max("is_top").alias("t"), F.max("is_bottom").alias("b")).where("not t or not b").select(*by)
-        return both.unionByName(kind.join(without, by, "left_semi").select(*by, "key"))
-    return both if not kind.where("is_top").isEmpty() and not kind.where("is_bottom").isEmpty() else kind.select("key")
+    found = grid.reach(_edges(pairs, by), by)
+    both = found.where("ahead != 0 and back != 0").select(*by, "key")
+    last = found.groupBy(*by).agg(F.max("i2").alias("__mi"), F.max("j2").alias("__mj"))
+    kind = found.join(last, by) if by else found.join(F.broadcast(last))  # one row
+    ends = kind.groupBy(*by).agg(F.max(F.expr("i = 0 and j = 0")).alias("t"), F.max(F.expr("i2 = __mi and j2 = __mj")).alias("b")).where("not t or not b")
+    without = found.join(ends.select(*by), by, "left_semi") if by else found.join(F.broadcast(ends.select(F.lit(1).alias("__none"))))
+    return both.unionByName(without.select(*by, "key"))
 
 
 def has_complete_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, complete): whether a bottom can be reached from a top."""
     by = list(by)
-    links = edges(pairs, by)
-    kind = special(pairs, links, by)
-    ends = _reach(kind.where("is_top"), links, by).join(kind.where("is_bottom").select(*by, "key"), [*by, "key"])
-    if not by:
-        return ends.agg((F.count("*") > 0).alias("complete"))
-    return pairs.select(*by).distinct().join(ends.groupBy(*by).agg(F.lit(True).alias("complete")), by, "left").select(*by, F.coalesce("complete", F.lit(False)).alias("complete"))
+    found = grid.reach(_edges(pairs, by), by)
+    return found.groupBy(*by).agg(F.coalesce(F.max(F.expr("ahead != 0 and back != 0")), F.lit(False)).alias("complete"))
 
 
 def count_paths(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n_paths decimal(38,0)): ways from tops to bottoms. One sum a step; along every edge the boundaries' sum grows, so it ends."""
-    from tephra.plans.tables import written
-
+    """(by, n_paths decimal(38,0), digits): ways from tops to bottoms, in groups that have any; digits has them in full, n_paths is null from
+    10^38 on."""
     by = list(by)
-    links = written(edges(pairs, by), "edges")
-    kind = special(pairs, links, by)
-    bottoms = kind.where("is_bottom").select(*by, "key")
-    front = written(kind.where("is_top").select(*by, "key", F.lit(1).cast("decimal(38,0)").alias("n")), "front")
-    done = None
-    while not front.isEmpty():
-        ended = front.join(bottoms, [*by, "key"], "left_semi")
-        done = ended if done is None else done.unionByName(ended)
-        going = front.join(bottoms, [*by, "key"], "left_anti").withColumnRenamed("key", "src")
-        front = written(going.join(links, [*by, "src"]).groupBy(*by, F.col("dst").alias("key")).agg(F.sum("n").cast("decimal(38,0)").alias("n")), "front")
-    if done is None:
-        return pairs.select(*by, F.lit(0).cast("decimal(38,0)").alias("n_paths")).limit(0)
-    return done.groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("n_paths"))
+    found = grid.ways(_edges(pairs, by), by)
+    return found.select(*by, F.when(F.length("n") <= 38, F.col("n")).cast("decimal(38,0)").alias("n_paths"), F.col("n").alias("digits"))
 
 
 #: Segment pairs that begin at both tops and are not their points alone: the first steps where a path may only start there.
 FIRST_STEPS = ("1,0", "1,1", "0,1")
 
 
-def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: int | None = None, most: int | None = None, seed: int = 0, starts: Sequence[str] | None = None) -> DataFrame:
+def complete_paths(pairs: DataFrame, by: Sequence[str] = (), shortest_levels: int | None = None, most: int | None = None, seed: int = 0, starts: Sequence[str] | None = None, mask: str | None = None) -> DataFrame:
     """(by, path, length): paths "key|key|..." from tops (only those keys that starts names, if it names any) to bottoms.
 
     A level (sum of a pair's end boundaries) is done when all lower ones are; then, of the paths that end in each pair, those of the
-    shortest_levels least lengths stay, and at most `most` of them in a seeded order. Without both limits every path is found.
-    """
-    from tephra.plans.tables import work_path, written
+    shortest_levels least lengths stay and, but at bottoms, at most `most` of them in a seeded order. Without both limits every path is
+    found.
 
+    mask names a long column of pairs whose bits say which of up to 64 searches may use a pair: all are made in one, each path carries the
+    bits of the searches that have it (column mask), and both limits hold for every search by itself.
+    """
     by = list(by)
-    links = edges(pairs, by)
-    kind = special(pairs, links, by)
-    level = pairs.select(*by, F.col("key"), (F.col("a_b1") + F.col("b_b1")).alias("level"))
-    node = written(kind.join(level, [*by, "key"]), "nodes")
-    links = written(links.join(node.select(*by, F.col("key").alias("dst"), F.col("level").alias("to_level")), [*by, "dst"]), "edges")
+    own = mask or "__mask"
+    pairs = pairs if mask else pairs.withColumn(own, F.lit(1).cast("long"))
+    found = grid.reach(_edges(pairs, by, F.col(own)), by)
+    last = found.groupBy(*by).agg(F.max("i2").alias("__mi"), F.max("j2").alias("__mj"))
+    found = found.join(last, by) if by else found.join(F.broadcast(last))  # one row
+    bits = F.col("mask").bitwiseAND(F.col("ahead")).bitwiseAND(F.col("back"))  # what leads nowhere is never begun
+    node = found.select(*by, "key", bits.alias("bits"), "i", "j", "i2", "j2", (F.col("i2") + F.col("j2")).alias("level"), F.expr("i = 0 and j = 0").alias("is_top"), F.expr("i2 = __mi and j2 = __mj").alias("is_bottom"))
+    node = written(node.where("bits != 0"), "nodes")
+    after = node.where("not is_bottom").select(*by, F.col("key").alias("src"), F.col("i2").alias("i"), F.col("j2").alias("j"))
+    links = written(after.join(node.select(*by, "i", "j", F.col("key").alias("dst"), F.col("bits").alias("__to"), F.col("level").alias("to_level")), [*by, "i", "j"]).where("src != dst").drop("i", "j"), "edges")
     # paths wait in a table by level; each level is read once and its successors are appended
     spark = pairs.sparkSession
     store = work_path(spark, "waiting")
-    waiting = node.where("is_top").where(F.col("key").isin(list(starts)) if starts else F.lit(True)).select(*by, F.col("key").alias("last"), F.col("key").alias("path"), F.lit(1).alias("length"), "level")
+    waiting = node.where("is_top").where(F.col("key").isin(list(starts)) if starts else F.lit(True)).select(*by, F.col("key").alias("last"), F.col("key").alias("path"), F.lit(1).alias("length"), "bits", "level")
     schema = waiting.schema
     waiting.write.partitionBy("level").parquet(store)
     ended = []
     for (now,) in node.select("level").distinct().orderBy("level").collect():  # as many as boundaries in two cores
         ranked = spark.read.schema(schema).parquet(store).where(F.col("level") == now)
-        w = Window.partitionBy(*by, "last")
         if shortest_levels is not None:
-            ranked = ranked.withColumn("__r", F.dense_rank().over(w.orderBy("length"))).where(F.col("__r") <= shortest_levels).drop("__r")
+            ranked = _shortest(ranked, [*by, "last"], shortest_levels)
+        ranked = ranked.join(node.select(*by, F.col("key").alias("last"), "is_bottom"), [*by, "last"])
         if most is not None:
-            ranked = ranked.withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64("path", F.lit(seed)), "path"))).where(F.col("__r") <= most).drop("__r")
-        ranked = written(ranked.join(node.select(*by, F.col("key").alias("last"), "is_bottom"), [*by, "last"]), "paths")
-        ended.append(ranked.where("is_bottom").select(*by, "path", "length"))
-        more = ranked.where("not is_bottom").select(*by, F.col("last").alias("src"), "path", "length").join(links, [*by, "src"])
-        more = more.select(*by, F.col("dst").alias("last"), F.concat_ws("|", "path", "dst").alias("path"), (F.col("length") + 1).alias("length"), F.col("to_level").alias("level"))
+            ranked = ranked.where("is_bottom").unionByName(_capped(ranked.where("not is_bottom"), [*by, "last"], most, seed, bool(mask)))
+        ranked = written(ranked, "paths")
+        ended.append(ranked.where("is_bottom").select(*by, "path", "length", "bits"))
+        more = ranked.where("not is_bottom").select(*by, F.col("last").alias("src"), "path", "length", "bits").join(links, [*by, "src"])
+        more = more.withColumn("bits", F.col("bits").bitwiseAND(F.col("__to"))).where("bits != 0")
+        more = more.select(*by, F.col("dst").alias("last"), F.concat_ws("|", "path", "dst").alias("path"), (F.col("length") + 1).alias("length"), "bits", F.col("to_level").alias("level"))
         more.write.mode("append").partitionBy("level").parquet(store)
-    out = ended[0] if ended else spark.createDataFrame([], schema).select(*by, "path", "length")
+    out = ended[0] if ended else spark.createDataFrame([], schema).select(*by, "path", "length", "bits")
     for x in ended[1:]:
         out = out.unionByName(x)
-    return out
+    return out.withColumnRenamed("bits", mask) if mask else out.drop("bits")
+
+
+def _shortest(paths: DataFrame, by: list[str], levels: int) -> DataFrame:
+    """paths without the bits for which `levels` shorter lengths are there: lengths' bits are united, then counted downwards."""
+    held = paths.groupBy(*by, "length").agg(F.bit_or("bits").alias("__m"))
+    before = F.collect_list("__m").over(Window.partitionBy(*by).orderBy("length").rowsBetween(Window.unboundedPreceding, -1))  # a row a length
+    none = F.array_repeat(F.lit(0).cast("long"), levels)
+    # seen[k]: the bits that more than k shorter lengths have
+    step = lambda seen, m: F.transform(seen, lambda x, k: x.bitwiseOR(F.when(k == 0, m).otherwise(F.get(seen, k - 1).bitwiseAND(m))))
+    full = F.get(F.aggregate(before, none, step), F.lit(levels - 1))
+    return paths.join(held.select(*by, "length", full.alias("__full")), [*by, "length"]).withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not("__full"))).where("bits != 0").select(*paths.columns)
+
+
+def _capped(paths: DataFrame, by: list[str], most: int, seed: int, many: bool) -> DataFrame:
+    """At most `most` paths of each group and bit, in a seeded order."""
+    order = (F.xxhash64("path", F.lit(seed)), F.col("path"))
+    if not many:
+        return paths.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= most).drop("__r")
+    each = paths.withColumn("__b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)))
+    each = each.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))).where(F.col("__r") <= most)
+    return each.groupBy(*[c for c in paths.columns if c != "bits"]).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__b"))).alias("bits")).select(*paths.columns)
 
 
 def depth_gaps(intervals: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
@@ -169,20 +184,17 @@ def chain_breaks(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     kind: top, bottom, dead_end, orphan or inner; level: the sum of the boundaries where it ends, so that of the pairs with from_top but
     without to_bottom those of the largest levels are as deep as broken chains come.
     """
-    from tephra.plans.tables import written
-
     by = list(by)
-    links = written(edges(pairs, by), "edges")
-    kind = written(special(pairs, links, by), "kinds")
-    ahead = _reach(kind.where("is_top"), links, by).withColumn("from_top", F.lit(True))
-    back = _reach(kind.where("is_bottom"), links.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")), by).withColumn("to_bottom", F.lit(True))
-    n_in = links.groupBy(*by, F.col("dst").alias("key")).agg(F.count("*").alias("n_in"))
-    n_out = links.groupBy(*by, F.col("src").alias("key")).agg(F.count("*").alias("n_out"))
-    out = kind.join(pairs.select(*by, "key", (F.col("a_b1") + F.col("b_b1")).alias("level")), [*by, "key"])
-    for more in (n_in, n_out, ahead, back):
-        out = out.join(more, [*by, "key"], "left")
+    found = _edges(pairs, by)
+    begins = found.groupBy(*by, F.col("i").alias("i2"), F.col("j").alias("j2")).agg(F.count("*").alias("n_out"))
+    ends = found.groupBy(*by, F.col("i2").alias("i"), F.col("j2").alias("j")).agg(F.count("*").alias("n_in"))
+    last = found.groupBy(*by).agg(F.max("i2").alias("__mi"), F.max("j2").alias("__mj"))
+    out = grid.reach(found, by).join(begins, [*by, "i2", "j2"], "left").join(ends, [*by, "i", "j"], "left")
+    out = out.join(last, by) if by else out.join(F.broadcast(last))  # one row
+    out = out.withColumn("is_top", F.expr("i = 0 and j = 0")).withColumn("is_bottom", F.expr("i2 = __mi and j2 = __mj")).withColumn("level", (F.col("i2") + F.col("j2")).cast("int"))
+    out = out.withColumn("dead_end", F.col("n_out").isNull() & ~F.col("is_bottom")).withColumn("orphan", F.col("n_in").isNull() & ~F.col("is_top"))
     name = F.when(F.col("is_top"), "top").when(F.col("is_bottom"), "bottom").when(F.col("dead_end"), "dead_end").when(F.col("orphan"), "orphan").otherwise("inner")
-    top, bottom = F.coalesce("from_top", F.lit(False)), F.coalesce("to_bottom", F.lit(False))
+    top, bottom = F.col("ahead") != 0, F.col("back") != 0
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(*by, "key", name.alias("kind"), zero("n_in"), zero("n_out"), "level", top.alias("from_top"), bottom.alias("to_bottom"), (top & bottom).alias("is_complete"))
 
