@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import AT_END, arrow_map, sliced, texts, written
+from .common import AT_END, arrow_map, runs, sliced, texts, written
 from .pieces import SPACE
 
 #: Characters of a text that are cut into chunks at a time.
@@ -32,44 +33,49 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def merge_ends(a: list[int], b: list[int], width_a, width_b) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two sequences of ids over the same bytes, by two pointers over their cumulative ends.
+def merge_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, whether both end there) of each link, in order, for the ascending ends of two sequences of tokens over the same bytes.
 
-    Links are the pairs of ids whose byte ranges overlap, in order. Groups are cut where both sequences have a token's end; tokens without
-    bytes join the group that is open and link with nothing.
+    The two are merged: between any two neighbouring ends, of either, lies one token of each, and every overlapping pair of tokens has one
+    such stretch.
     """
-    groups, links, left, right = [], [], [], []
-    i = j = end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and (end_a <= end_b or j == len(b)):
-            begin_a, end_a = end_a, end_a + width_a[a[i]]
-            left.append(a[i])
-            i += 1
-        else:
-            begin_b, end_b = end_b, end_b + width_b[b[j]]
-            right.append(b[j])
-            j += 1
-        if left and right and min(end_a, end_b) > max(begin_a, begin_b):
-            links.append((left[-1], right[-1]))
-        if end_a == end_b and left and right:
-            groups.append((left, right))
-            left, right = [], []
-    if (left or right) and groups:
-        groups[-1][0].extend(left)
-        groups[-1][1].extend(right)
-    return groups, links
+    ends = np.union1d(a, b)
+    at_a, at_b = np.searchsorted(a, ends), np.searchsorted(b, ends)
+    return at_a, at_b, a[at_a] == b[at_b]
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each group begins) of groups written `a1,a2|b1;a3|b2,b3;`: ids and the ascending groups that they lie in."""
+    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)  # behind all of b in earlier groups
+    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    n = len(a) + len(b)
+    ids, mark = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+    ids[place_a], ids[place_b] = a, b
+    mark[place_a[np.flatnonzero(np.diff(group_a, append=-1))]] = ord("|")
+    mark[place_b[np.flatnonzero(np.diff(group_b, append=-1))]] = ord(";")
+    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+    start = np.concatenate(([0], np.cumsum(digits + 1)))
+    out = np.empty(start[-1], np.uint8)
+    out[start[1:] - 1] = mark
+    for k in range(int(digits.max(initial=0))):
+        some = np.flatnonzero(digits > k)
+        out[start[some] + digits[some] - 1 - k] = ord("0") + ids[some] // 10**k % 10
+    first = place_a[np.flatnonzero(np.diff(group_a, prepend=-1))]
+    return out, np.concatenate((start[first], start[-1:]))
 
 
 class Aligner:
     """Chunks of text under a byte-level tokenizer (a, a tokenizers file) and a piece vocabulary (b, a sentencepiece model).
 
     For chunk k: written[k] its groups as text, sizes[k] (tokens of a, of b, groups, links), whole[k] whether both give its bytes back,
-    and pairs[off[k]:off[k + 1]], its links as a << 32 | b.
+    and pairs[off[k]:off[k + 1]], its links as a * size_b + b.
     """
 
     def __init__(self, a_path: str, b_path: str, most_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as f:
@@ -80,8 +86,16 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # in a text their strings are plain text
         byte = _byte_characters()
-        self.bytes_a = {k: bytes([byte[c] for c in t]) if all(c in byte for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
-        n = self.b.get_piece_size()
+        value = {t: bytes([byte[c] for c in t]) for t in said["model"]["vocab"]}
+        self.bytes_a = [b""] * (max(said["model"]["vocab"].values()) + 1)
+        for t, k in said["model"]["vocab"].items():
+            self.bytes_a[k] = value[t]
+        # where every merge makes the next id, the ids are the merges' ranks, and the faster library gives the same tokens
+        merges = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
+        ranked = all(said["model"]["vocab"].get(x + y) == 256 + k for k, (x, y) in enumerate(merges))
+        ranks = {v: k for k, v in enumerate(self.bytes_a) if k < 256 + len(merges)}
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+        n = self.size_b = self.b.get_piece_size()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in ((k, self.b.id_to_piece(k)) for k in range(n))]
         inner = {p[k : k + 2] for p in map(self.b.id_to_piece, range(n)) for k in range(len(p) - 1)}
         if any(x[1] == SPACE != x[0] for x in inner):
@@ -90,11 +104,10 @@ class Aligner:
         joined = "".join({re.escape(x[1]) for x in inner if x[1].isspace() and not x[0].isspace() and x[0] != SPACE})
         self.chunk = re.compile(rf"\s*\S+(?:[{joined}]\s*\S*)*|\s+" if joined else r"\s*\S+|\s+")
         self.cut = re.compile(rf"\S(?=[^\S{joined}])")
-        self.width_a = {k: len(v) for k, v in self.bytes_a.items()}
-        self.width_b = [len(v) for v in self.bytes_b]
+        self.width_a, self.width_b = (np.array([len(v) for v in x]) for x in (self.bytes_a, self.bytes_b))
         self.guard = len(self.b.encode("a"))  # what stands before a chunk keeps the mark of a text's beginning away
         self.most_bytes = most_bytes
-        self.used, self.age = False, 0
+        self.used = False
         self.forget()
         AT_END.append(self.rest)
 
@@ -104,7 +117,7 @@ class Aligner:
         self.sizes = np.zeros((0, 4), np.int64)
         self.whole = np.zeros(0, bool)
         self.pairs, self.off = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.held, self.age = 0, self.age + 1
+        self.held = 0
 
     def rest(self) -> None:
         """What the next partition of the same work may use stays; another kind of work lets it go."""
@@ -112,26 +125,66 @@ class Aligner:
             self.forget()
         self.used = False
 
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row. A very long word goes to the library whose merges don't take the square of its length."""
+        plain = self.fast is not None and max(map(len, text.split()), default=0) < 2000
+        a = self.fast.encode_ordinary(text) if plain else self.a.encode(text, add_special_tokens=False).ids
+        return np.array(a, np.int64), np.array(self.b.encode("a" + text)[self.guard :], np.int64)
+
+    def _tokens(self, chunks: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """(chunks, their ends in bytes, and of each side ids) of the chunks that both tokenizers give back; encoded in a row, by halves where
+        that fails."""
+        text = "".join(chunks)
+        data = text.encode()
+        a, b = self._ids(text)
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        good = b"".join([self.bytes_a[k] for k in a.tolist()]) == data and b"".join([self.bytes_b[k] for k in b.tolist()]) == data
+        if good and np.isin(ends, ends_a).all() and np.isin(ends, ends_b).all():
+            return [(chunks, ends, a, b)]
+        if len(chunks) == 1:
+            return []
+        half = len(chunks) // 2
+        return self._tokens(chunks[:half]) + self._tokens(chunks[half:])
+
     def _learn(self, new: list[str]) -> None:
-        made_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        made_b = [ids[self.guard :] for ids in self.b.encode(["a" + c for c in new], num_threads=1)]
-        sizes, whole, pairs, counts = [], [], [], []
-        for chunk, a, b in zip(new, made_a, made_b, strict=True):
-            data = chunk.encode()
-            good = b"".join([self.bytes_a[k] for k in a]) == data and b"".join([self.bytes_b[k] for k in b]) == data
-            groups, links = merge_ends(a, b, self.width_a, self.width_b) if good else ([], [])
-            text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]).encode()
-            self.place[chunk] = len(self.written)
-            self.written.append(text)
-            sizes.append((len(a), len(b), len(groups), len(links)) if good else (0, 0, 0, 0))
-            whole.append(good)
-            pairs.extend([x << 32 | y for x, y in links])
-            counts.append(len(links))
-            self.held += 300 + len(data) + len(text) + 8 * len(links)
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        self.whole = np.concatenate([self.whole, np.array(whole)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(counts)])
+        # a chunk that ends in white space, a text's last, would run on into the next one's
+        alone = [c for c in new if c[-1].isspace()]
+        rest = [c for c in new if not c[-1].isspace()]
+        blocks = [*([c] for c in alone), *(rest[k : k + 1000] for k in range(0, len(rest), 1000))]
+        known = set()
+        for block in blocks:
+            for chunks, ends, a, b in self._tokens(block):
+                self._keep(chunks, ends, a, b)
+                known.update(chunks)
+        if bad := [c for c in new if c not in known]:
+            for c in bad:
+                self.place[c] = len(self.written)
+                self.written.append(b"")
+                self.held += 300 + len(c)
+            self.sizes = np.concatenate([self.sizes, np.zeros((len(bad), 4), np.int64)])
+            self.whole = np.concatenate([self.whole, np.zeros(len(bad), bool)])
+            self.off = np.concatenate([self.off, np.full(len(bad), self.off[-1])])
+
+    def _keep(self, chunks: list[str], ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """What is remembered of chunks in a row, for all of them at once."""
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        at_a, at_b, both = merge_ends(ends_a, ends_b)
+        common = ends_a[at_a[both]]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        text, begins = group_texts(a, b, group_a, group_b)
+        last = np.searchsorted(common, ends)  # each chunk ends where a group does
+        cuts = np.concatenate(([0], begins[last + 1])).tolist()
+        data = text.tobytes()
+        base = len(self.written)
+        self.place.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self.written.extend([data[x : y - 1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+        counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b, common, np.minimum(ends_a[at_a], ends_b[at_b]))]
+        self.sizes = np.concatenate([self.sizes, np.stack(counts, 1)])
+        self.whole = np.concatenate([self.whole, np.ones(len(chunks), bool)])
+        self.pairs = np.concatenate([self.pairs, a[at_a] * self.size_b + b[at_b]])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(counts[3])])
+        self.held += 300 * len(chunks) + int(ends[-1]) + len(data) + 8 * len(at_a)
 
     def stretches(self, text: str) -> Iterator[str]:
         """The text behind a space in stretches of whole chunks."""
@@ -156,12 +209,18 @@ class Aligner:
 
     def links(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, how often) of chunks, each pair once."""
-        often = np.bincount(places, minlength=len(self.written))
-        seen = np.flatnonzero(often)
+        seen, often = np.unique(places, return_counts=True)
         n = self.off[seen + 1] - self.off[seen]
         at = np.repeat(self.off[seen] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        keys, back = np.unique(self.pairs[at], return_inverse=True)
-        return keys, np.bincount(back, weights=np.repeat(often[seen], n), minlength=len(keys)).astype(np.int64)
+        return summed(self.pairs[at], np.repeat(often, n))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, ascending, with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = runs(keys)[:-1] if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], np.add.reduceat(counts[order], cut) if len(keys) else counts[:0]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -194,132 +253,112 @@ def _parted(aligner: Aligner, raws: list[bytes]) -> Iterator[list[tuple[int, boo
     yield together()
 
 
+def _align(batches, paths: tuple[str, str], digests: bool, arrow: pa.Schema):
+    aligner = _aligner(paths)
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for ids, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
+            done: list[tuple] = []
+            whole, sums, made, links = True, np.zeros(4, np.int64), None, []
+            for k, last, places in (x for group in _parted(aligner, raws) for x in group):
+                whole = whole and bool(raws[k]) and bool(aligner.whole[places].all())
+                if whole:
+                    sums += aligner.sizes[places].sum(0)
+                    text = b";".join(map(aligner.written.__getitem__, places.tolist()))
+                    if made is None:
+                        made = hashlib.sha256(text) if digests else [text]
+                    elif digests:
+                        made.update(b";" + text)
+                    else:
+                        made.append(text)
+                    links.append(aligner.links(places))
+                if last:
+                    if whole:
+                        keys, often = links[0] if len(links) == 1 else summed(*(np.concatenate(x) for x in zip(*links)))
+                        done.append((*sums.tolist(), made.hexdigest() if digests else b";".join(made).decode(), keys.astype("<u8").tobytes(), often.astype("<u4").tobytes()))
+                    else:
+                        done.append((0, 0, 0, 0, "", b"", b""))
+                    whole, sums, made, links = True, np.zeros(4, np.int64), None, []
+            cols = [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, arrow.field(1).type), *(pa.array([d[i] for d in done], arrow.field(i + 2).type) for i in range(7))]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+
+def aligned_texts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups, keys, often) as a table: each text once; keys and often are its distinct links
+    (a * size of b + b) and how often it has each, packed."""
+    paths = (a_path, b_path)
+    schema = f"row long, doc_id {dict(df.dtypes)[id_col]}, n_a long, n_b long, n_groups long, n_links long, {'groups_sha256' if digests else 'groups'} string, keys binary, often binary"
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return written(arrow_map(texts(df, id_col, text_col), lambda batches: _align(batches, paths, digests, arrow), schema), "aligned")
+
+
 #: Pairs that a task counts before it hands them on.
 _PAIRS = 1 << 21
 
 
-def _count(batches, paths: tuple[str, str]):
-    """The pairs of this task's texts with their counts; of a text that isn't given back whole, none."""
-    aligner = _aligner(paths)
+def _count(batches):
+    """The pairs of this task's texts with their counts."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        for _, raws in sliced([None] * batch.num_rows, [r or b"" for r in batch.column(1).to_pylist()]):
-            parts, held, good = [(keys, counts)], [], True
-            for group in _parted(aligner, raws):
-                fine = []
-                for k, last, places in group:
-                    good = good and bool(raws[k]) and bool(aligner.whole[places].all())
-                    if good:
-                        fine.append(places) if last else held.append(aligner.links(places))
-                    if last:
-                        parts.extend(held if good else [])
-                        held, good = [], True
-                if fine:
-                    parts.append(aligner.links(np.concatenate(fine)))
-            keys, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > _PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
-                keys, counts = keys[:0], counts[:0]
+        kinds = {"keys": "<u8", "often": "<u4"}
+        held = [np.frombuffer(b"".join(batch.column(k).to_pylist()), kinds[n]).astype(np.int64) for k, n in enumerate(kinds)]
+        keys, counts = summed(np.concatenate([keys, held[0]]), np.concatenate([counts, held[1]]))
+        if len(keys) > _PAIRS:
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
+            keys, counts = keys[:0], counts[:0]
     if len(keys):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
 
 
-def pair_counts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pair, a, b, n, best_a, best_b) as a table: how many links of all texts join the two ids; whether no pair of its a (b) has more."""
-    paths = (a_path, b_path)
-    found = arrow_map(texts(df, id_col, text_col), lambda batches: _count(batches, paths), "pair long, n long")
-    counts = written(found.groupBy("pair").agg(F.sum("n").alias("n")).select("pair", F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("b"), "n"), "pair-counts")
+def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
+    """(pair, a, b, n, best_a, best_b) as a table: how many links of all aligned texts join the two ids; whether no pair of its a (b) has more."""
+    found = arrow_map(aligned.select("keys", "often"), _count, "pair long, n long")
+    counts = written(found.groupBy("pair").agg(F.sum("n").alias("n")).select("pair", F.expr(f"cast(pair div {size_b} as int)").alias("a"), F.expr(f"cast(pair % {size_b} as int)").alias("b"), "n"), "pair-counts")
     most_a = counts.groupBy("a").agg(F.max("n").alias("most_a"))  # a row for each id of a vocabulary
     most_b = counts.groupBy("b").agg(F.max("n").alias("most_b"))
     joined = counts.join(F.broadcast(most_a), "a").join(F.broadcast(most_b), "b")
     return written(joined.select("pair", "a", "b", "n", (F.col("n") == F.col("most_a")).alias("best_a"), (F.col("n") == F.col("most_b")).alias("best_b")), "pairs")
 
 
-class _Scores:
-    """Of every chunk of an aligner: the sum of the counts of its links, the best ones among them, and the links that told doesn't have."""
-
-    def __init__(self, aligner: Aligner, told: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.aligner, self.told, self.age = aligner, told, -1
-
-    def of(self, places: np.ndarray) -> np.ndarray:
-        """Of each chunk (sum of counts, best links, links not told)."""
-        al = self.aligner
-        if self.age != al.age:
-            self.age, self.sums = al.age, np.zeros((0, 3), np.int64)
-        if (first := len(self.sums)) < len(al.written):
-            keys, n, best = self.told
-            pairs = al.pairs[al.off[first] :]
-            each = np.zeros((len(pairs) + 1, 3), np.int64)
-            each[1:, 2] = 1
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                known = keys[at] == pairs
-                each[1:, 0], each[1:, 1], each[1:, 2] = np.where(known, n[at], 0), known & best[at], ~known
-            total = np.cumsum(each, 0)
-            self.sums = np.concatenate([self.sums, np.diff(total[al.off[first:] - al.off[first]], axis=0)])
-        return self.sums[places]
-
-    def rest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The links of chunks that told doesn't have."""
-        keys, n = self.aligner.links(places)
-        there = np.isin(keys, self.told[0], invert=True, assume_unique=True)
-        return keys[there], n[there]
-
-
-def _align(batches, paths: tuple[str, str], told, digests: bool, arrow: pa.Schema):
-    aligner = _aligner(paths)
-    scores = _Scores(aligner, told.value)
-    row = TaskContext.get().partitionId() << 33
+def _scored(batches, told, names: list[str]):
+    """n_best and count_sum of the links that told has; rest and often, the others."""
+    known, n, best = told.value
+    empty = pa.array([], pa.int64())
     for batch in batches:
-        for ids, raws in sliced(batch.column(0).to_pylist(), [r or b"" for r in batch.column(1).to_pylist()]):
-            out: dict[int, tuple] = {}
-            whole, sums, made, rest = True, np.zeros(7, np.int64), None, []
-            for k, last, places in (x for group in _parted(aligner, raws) for x in group):
-                whole = whole and bool(raws[k]) and bool(aligner.whole[places].all())
-                if whole:
-                    of = scores.of(places)
-                    sums[:4] += aligner.sizes[places].sum(0)
-                    sums[4:] += of.sum(0)
-                    text = b";".join(map(aligner.written.__getitem__, places.tolist()))
-                    if digests:
-                        if made is None:
-                            made = hashlib.sha256(text)
-                        else:
-                            made.update(b";" + text)
-                    else:
-                        made = text if made is None else made + b";" + text
-                    if of[:, 2].any():
-                        rest.append(scores.rest(places[of[:, 2] > 0]))
-                if last:
-                    if whole:
-                        out[k] = (*sums[:4].tolist(), int(sums[5]), int(sums[4]), made.hexdigest() if digests else made.decode(), np.concatenate([p for p, _ in rest]).tolist() if rest else [], np.concatenate([n for _, n in rest]).tolist() if rest else [])
-                    else:
-                        out[k] = (0, 0, 0, 0, 0, 0, "", [], [])
-                    whole, sums, made, rest = True, np.zeros(7, np.int64), None, []
-            done = [out[k] for k in range(len(raws))]
-            cols = [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, arrow.field(1).type), *(pa.array([d[i] for d in done], arrow.field(i + 2).type) for i in range(9))]
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-
-def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, told: int = 1 << 20, pairs: DataFrame | None = None) -> DataFrame:
+        packed = batch.column(batch.num_columns - 2).to_pylist()
+        size = np.array([len(p) // 8 for p in packed], np.int64)
+        keys = np.frombuffer(b"".join(packed), "<u8").astype(np.int64)
+        often = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        there = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        cut = np.concatenate(([0], np.cumsum(size)))
+        total = lambda x, cut=cut: np.diff(np.concatenate(([0], np.cumsum(x)))[cut])
+        sums = total(np.where(there, often * n[at], 0)) if len(known) else np.zeros(len(size), np.int64)
+        bests = total(np.where(there & best[at], often, 0)) if len(known) else np.zeros(len(size), np.int64)
+        lacking = np.concatenate(([0], np.cumsum(total(~there)))).astype(np.int32)
+        more = [pa.ListArray.from_arrays(pa.array(lacking), pa.array(x[~there]) if (~there).any() else empty) for x in (keys, often)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(bests), pa.array(sums), *more], names=names)
+
+
+def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, told: int = 1 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each row of df, with digests groups_sha256 instead of groups.
 
     Space + text is encoded by a, text by b (which adds the space); groups are written `a1,a2|b1;a3|b2,b3`. n_best: links whose pair is
-    the most frequent one of its b id, ties included; count_sum: the counts of all links. pairs are those of pair_counts (by default of
-    df itself).
+    the most frequent one of its b id, ties included; count_sum: the counts of all links.
 
     Null and empty texts, and texts that one of the two doesn't give back byte by byte, have no tokens: zeros and ''. Null ids and equal
     rows stay, each with its row; an empty table stays empty; columns beside those named are left out. Texts are taken whole, in
     stretches of half a million characters; what a worker remembers of chunks is bounded in bytes.
 
-    Texts are read twice: pairs are counted within each task, and then by Spark; the most frequent ones, `told` at most, go to all
-    workers. Links of the others are joined by a shuffle, so the result doesn't depend on `told`.
+    Each text is read once and its distinct links are kept, packed. They are counted within each task, and then by Spark; the most
+    frequent pairs, `told` at most, go to all workers. Links of the others are joined by a shuffle, so the result doesn't depend on `told`.
     """
+    import sentencepiece
+
     spark = df.sparkSession
-    paths = (a_path, b_path)
-    pairs = pair_counts(df, a_path, b_path, id_col, text_col) if pairs is None else pairs
+    aligned = aligned_texts(df, a_path, b_path, id_col, text_col, digests)
+    pairs = pair_counts(aligned, sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size())
     step = F.floor(4 * F.log2("n"))
     sizes = {r.step: r["count"] for r in pairs.groupBy(step.alias("step")).count().collect()}  # some 250 rows at most
     least, room = max(sizes, default=0) + 1, told
@@ -327,22 +366,16 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         if (room := room - sizes[s]) < 0:
             break
         least = s
-    all_told = room >= 0
     known = pairs.where(step >= least).select("pair", "n", "best_b").toArrow().sort_by("pair")
     share = spark.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("pair", "n", "best_b")))
-    kind = dict(df.dtypes)[id_col]
-    last = "groups_sha256" if digests else "groups"
-    schema = f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, {last} string, rest array<long>, often array<long>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    base = spark.createDataFrame([], schema)
-    arrow = to_arrow_schema(base.schema)
-    found = arrow_map(texts(df, id_col, text_col), lambda batches: _align(batches, paths, share, digests, arrow), schema)
-    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", last]
-    if all_told:
+    kept = [c for c in aligned.columns if c not in ("keys", "often")]
+    schema = ", ".join(f"{c} {t}" for c, t in aligned.dtypes if c in kept) + ", n_best long, count_sum long, rest array<long>, times array<long>"
+    found = arrow_map(aligned, lambda batches: _scored(batches, share, [*kept, "n_best", "count_sum", "rest", "times"]), schema)
+    columns = [*kept[1:-1], "n_best", "count_sum", kept[-1]]
+    if room >= 0:
         return found.select(columns)
-    found = written(found, "aligned")
-    links = found.select("row", F.explode(F.arrays_zip("rest", "often")).alias("x")).select("row", F.col("x.rest").alias("pair"), F.col("x.often").alias("often"))
-    more = links.join(pairs, "pair").groupBy("row").agg(F.sum(F.when(F.col("best_b"), F.col("often")).otherwise(0)).alias("best"), F.sum(F.col("often") * F.col("n")).alias("sum"))
+    found = written(found, "scored")
+    links = found.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("pair"), F.col("x.times").alias("times"))
+    more = links.join(pairs, "pair").groupBy("row").agg(F.sum(F.when(F.col("best_b"), F.col("times")).otherwise(0)).alias("best"), F.sum(F.col("times") * F.col("n")).alias("sum"))
     whole = found.join(more, "row", "left").withColumn("n_best", F.col("n_best") + F.coalesce("best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("sum", F.lit(0)))
     return whole.select(columns)

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -63,8 +64,8 @@ def test_against_brute_force(spark, odd_docs, told):
     got = alignment.align(odd_docs, A, B, told=told).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((r.doc_id, *w) for r, w in zip(rows, want)), key=str)
     if told == 40:
-        pairs = {(r.a, r.b): (r.n, r.best_b) for r in alignment.pair_counts(odd_docs, A, B).collect()}
-        assert pairs == {p: (n, n == most[p[1]]) for p, n in total.items()}
+        found = alignment.pair_counts(alignment.aligned_texts(odd_docs, A, B), alignment.Aligner(A, B).size_b).collect()
+        assert {(r.a, r.b): (r.n, r.best_b) for r in found} == {p: (n, n == most[p[1]]) for p, n in total.items()}
 
 
 def test_long_text_is_cut_into_stretches(spark, monkeypatch):
@@ -79,11 +80,23 @@ def test_long_text_is_cut_into_stretches(spark, monkeypatch):
     assert whole == b";".join(made)
 
 
-def test_merge_of_ends():
-    width = {1: 1, 2: 2, 3: 3, 0: 0}
-    assert alignment.merge_ends([2, 1, 3], [3, 1, 2], width, width) == ([([2, 1], [3]), ([3], [1, 2])], [(2, 3), (1, 3), (3, 1), (3, 2)])
-    assert alignment.merge_ends([3, 3], [2, 2, 2], width, width) == ([([3, 3], [2, 2, 2])], [(3, 2), (3, 2), (3, 2), (3, 2)])
-    assert alignment.merge_ends([], [], width, width) == ([], [])
+def test_merge_of_ends_and_groups():
+    ends = lambda *w: np.cumsum(w)
+    links = lambda a, b: [(int(x), int(y), bool(z)) for x, y, z in zip(*alignment.merge_ends(ends(*a), ends(*b)))]
+    assert links([2, 1, 3], [3, 1, 2]) == [(0, 0, False), (1, 0, True), (2, 1, False), (2, 2, True)]
+    assert links([3, 3], [2, 2, 2]) == [(0, 0, False), (0, 1, False), (1, 1, False), (1, 2, True)]
+    text, begins = alignment.group_texts(np.array([7, 1234, 50]), np.array([10, 9, 31999]), np.array([0, 0, 1]), np.array([0, 1, 1]))
+    assert text.tobytes() == b"7,1234|10;50|9,31999;" and begins.tolist() == [0, 10, 21]
+
+
+def test_chunks_that_are_not_given_back(spark):
+    aligner = alignment.Aligner(A, B)
+    words = [f" w{k}" for k in range(40)] + [" a▁b", "\tq", " \ufeff", " last "]
+    places = aligner.chunks(["".join(words)])[0]
+    assert aligner.whole[places].tolist() == ["▁" not in w for w in aligner.chunk.findall("".join(words))]
+    long = " " + "a" * 5000 + " b"
+    made = b";".join(aligner.written[k] for k in aligner.chunks([long])[0].tolist()).decode()
+    assert made == brute([long[1:]])[0][0][-1]
 
 
 def test_empty_table_and_digests(spark, no_docs, odd_docs):
