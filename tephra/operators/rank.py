@@ -112,16 +112,22 @@ def is_within(p: Column, q: Column) -> Column:
 def largest_paths(paths: DataFrame, by: str = "mapping_id", path: str = "path") -> DataFrame:
     """Paths ("a,b|a,b") whose steps are no proper part of another's, and of equal ones that of the least id.
 
-    A path can only lie in one that has all its steps: candidates share its rarest step, and are counted step by step, so that no two
-    paths meet that share nothing.
+    Paths of equal steps are one set. A set can only lie in a larger one that has its two rarest steps, so sets meet under those alone: every
+    set is found by the pairs of its steps that some set has as its rarest two. A signature of 62 bits rules most of what meets out, the
+    steps decide.
     """
     from tephra.plans.tables import written
 
-    steps = written(paths.select(by, F.explode(F.array_distinct(F.split(path, r"\|"))).alias("__s")), "steps")
-    size = steps.groupBy(by).agg(F.count("*").alias("__n"))
-    often = steps.groupBy("__s").agg(F.count("*").alias("__f"))
-    rare = steps.join(often, "__s").groupBy(by).agg(F.min(F.struct("__f", "__s"))["__s"].alias("__s")).join(size, by)
-    other = steps.join(size, by).select(F.col(by).alias("__o"), "__s", F.col("__n").alias("__m"))
-    able = rare.join(other, "__s").where((F.col("__m") > F.col("__n")) | ((F.col("__m") == F.col("__n")) & (F.col("__o") < F.col(by)))).select(by, "__o", "__n")
-    shared = able.join(steps, by).join(steps.select(F.col(by).alias("__o"), "__s"), ["__o", "__s"]).groupBy(by, "__o", "__n").count()
-    return paths.join(shared.where("count = __n").select(by).distinct(), by, "left_anti")
+    steps = F.array_sort(F.array_distinct(F.split(path, r"\|")))
+    named = written(paths.select(by, steps.alias("__s")), "sets")
+    sets = written(named.groupBy("__s").agg(F.min(by).alias("__id")), "sets")
+    often = sets.select(F.explode("__s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
+    ranked = sets.select("__id", F.explode("__s").alias("x")).join(often, "x").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("x"), F.lit(62)).cast("int"))).alias("sig"))
+    ranked = written(ranked.select("__id", "sig", F.transform("r", lambda e: e["x"]).alias("r")), "ranked")
+    small = ranked.select("__id", "sig", "r", F.get("r", F.lit(0)).alias("x"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("y"))
+    ends = F.flatten(F.transform("r", lambda e, k: F.transform(F.slice("r", k + 1, F.size("r")), lambda g: F.struct(e.alias("x"), g.alias("y")))))
+    large = ranked.select(F.col("__id").alias("__of"), F.col("sig").alias("__sig"), F.col("r").alias("__r"), F.explode(ends).alias("e")).select("__of", "__sig", "__r", "e.x", "e.y")
+    large = large.join(small.select("x", "y").distinct(), ["x", "y"], "left_semi")
+    inside = small.join(large, ["x", "y"]).where(F.size("__r") > F.size("r")).where(F.col("sig").bitwiseAND(F.bitwise_not("__sig")) == 0).where(F.size(F.array_except("r", "__r")) == 0)
+    kept = sets.join(inside.select("__id").distinct(), "__id", "left_anti")
+    return paths.join(kept.select(F.col("__id").alias(by)), by, "left_semi")

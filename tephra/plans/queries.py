@@ -164,7 +164,7 @@ def neighbour_pairs(spark, d, above: float | None = None):
 
 
 _PAIRS = f"""{_SEGMENTS}, pairs as (select a.core_id as pair, a.seg_id as a_seg_id, b.seg_id as b_seg_id, a.b0 as a_b0, a.b1 as a_b1, b.b0 as b_b0, b.b1 as b_b1, concat(a.seg_id, ',', b.seg_id) as key
-from seg a join seg b on b.core_id = a.core_id + 1 where not (a.is_point and b.is_point))"""
+from seg a join seg b on b.core_id = a.core_id + 1 where a.start_idx < a.end_idx or b.start_idx < b.end_idx)"""
 _EDGES = _PAIRS + ", edges as materialized (select x.pair, x.key as src, y.key as dst from pairs x join pairs y on x.pair = y.pair and x.a_b1 = y.a_b0 and x.b_b1 = y.b_b0 and x.key <> y.key)"
 _KINDS = (
     _EDGES
@@ -186,11 +186,11 @@ def pair_edges(spark, d):
 
 @query(f"with {_KINDS} select * from kinds")
 def special_segments(spark, d):
-    p = neighbour_pairs(spark, d)
-    return graph.special(p, graph.edges(p, ["pair"]), ["pair"])
+    return graph.special(neighbour_pairs(spark, d), by=["pair"])
 
 
-#: Paths grow as the Delannoy numbers of the boundaries, so those of path queries are signups of a high value: one or two a core.
+#: Paths grow as the Delannoy numbers of the boundaries, so where they are listed one by one boundaries are signups of a high value: one or two
+#: a core. Counts, reachability and diagnosis take all signups.
 HIGH = 90.0
 
 
@@ -201,9 +201,9 @@ def core_pairs(spark, d):
 _CORE_KINDS = _KINDS.replace("from log where kind = 'signup'), r as", f"from log where kind = 'signup' and v > {HIGH}), r as").replace("from log where kind = 'signup')),", f"from log where kind = 'signup' and v > {HIGH})),")
 
 
-@query(f"with recursive {_CORE_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back")
+@query(f"with recursive {_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst) select pair, key from ahead intersect select pair, key from back union select pair, key from kinds where pair in (select pair from kinds group by pair having not bool_or(is_top) or not bool_or(is_bottom))")
 def on_complete_paths(spark, d):
-    return graph.on_complete_paths(core_pairs(spark, d), ["pair"])
+    return graph.on_complete_paths(neighbour_pairs(spark, d), ["pair"])
 
 
 @query(f"with recursive {_CORE_KINDS}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, path, length from w join kinds using (pair, key) where is_bottom")
@@ -211,9 +211,10 @@ def enumerate_paths(spark, d):
     return graph.complete_paths(core_pairs(spark, d), ["pair"])
 
 
-@query(f"with recursive {_CORE_KINDS}, w as (select pair, key, 1 as length from kinds where is_top union all select w.pair, dst, length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)) select w.pair, cast(count(*) as decimal(38, 0)) as n_paths from w join kinds using (pair, key) where is_bottom group by all")
+@query(f"""with recursive {_KINDS}, w as (select pair, key, cast(1 as hugeint) as n from kinds where is_top union all select e.pair, e.dst, cast(sum(w.n) as hugeint) from w join edges e on w.pair = e.pair and w.key = e.src group by e.pair, e.dst)
+select pair, cast(sum(n) as decimal(38, 0)) as n_paths from w join kinds using (pair, key) where is_bottom group by all""")
 def count_paths(spark, d):
-    return graph.count_paths(core_pairs(spark, d), ["pair"])
+    return graph.count_paths(neighbour_pairs(spark, d), ["pair"]).select("pair", "n_paths")
 
 
 @query(f"""with recursive {_CORE_KINDS}, w as (select pair, key, key as path, 1 as length from kinds where is_top union all select w.pair, dst, concat(path, '|', dst), length + 1 from w join edges on w.pair = edges.pair and w.key = src where (w.pair, w.key) not in (select (pair, key) from kinds where is_bottom)),
@@ -386,6 +387,19 @@ def histogram_pct(spark, d):
     return stats.histogram_pct(table(spark, d, "part"), ["p_brand"], "p_retailprice").select("p_brand", "bin", F.round("pct", 6).alias("pct"))
 
 
+_HALF = "x as (select l_returnflag, l_discount * 5 as v from lineitem)"
+
+
+@query(f"""with {_HALF}, s as (select l_returnflag, min(v) as lo, max(v) as hi, count(*) as n, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as iqr from x group by all),
+r as (select *, greatest(10, least(200, ceil(round((hi - lo) / (case when n = 1 or hi = lo then 0.1 when iqr > 0 then 2 * iqr / power(n, 1.0 / 3) else (hi - lo) / greatest(10, least(floor(sqrt(n)), 100)) end), 9))))::int as k from s),
+c as (select l_returnflag, least(cast(floor((v - lo) / ((hi - lo) / k)) as int), k - 1) as bin, count(*) as c from x join r using (l_returnflag) group by all)
+select g.l_returnflag, cast(g.bin as int) as bin, round(100.0 * coalesce(c, 0) / n, 6) as pct from (select l_returnflag, n, unnest(range(k)) as bin from r) g left join c on c.l_returnflag = g.l_returnflag and c.bin = g.bin""")
+def histogram_half(spark, d):
+    """Bins over a range of exactly a half, as a correlation may have."""
+    x = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") * 5).alias("v"))
+    return stats.histogram_pct(x, ["l_returnflag"], "v").select("l_returnflag", "bin", F.round("pct", 6).alias("pct"))
+
+
 @query("""select p_brand, count(p_retailprice) as n, round(avg(p_retailprice), 6) as mean, round(stddev_pop(p_retailprice), 6) as std, round(quantile_cont(p_retailprice, 0.05), 6) as p5, round(quantile_cont(p_retailprice, 0.25), 6) as p25,
 round(quantile_cont(p_retailprice, 0.5), 6) as p50, round(quantile_cont(p_retailprice, 0.75), 6) as p75, round(quantile_cont(p_retailprice, 0.95), 6) as p95 from part group by all""")
 def normal_fit(spark, d):
@@ -485,17 +499,45 @@ def _sides(spark, d):
 
 @query()
 def core_mappings(spark, d):
-    """Every core and the next one, end to end: shortest complete paths with their metrics."""
-    return correlation.correlate_pairs(*_sides(spark, d), shortest_levels=1, most_paths=50).mappings
+    """Every core and the next one, end to end: complete paths of the two least lengths with their metrics."""
+    return correlation.correlate_pairs(*_sides(spark, d)).mappings
+
+
+def _ages(spark, d, x, p, move: int):
+    """(pair, b, age, pos, neg) of a side's boundaries and its dated horizons (pair, age, pos_err, neg_err)."""
+    c = constraints(spark, d).withColumn("pair", F.col("core_id") - move).drop("core_id")
+    bounds = graph.boundaries(p, x, "pair").select("pair", "b", F.col("d").alias("depth"))
+    model = agemodel.interpolate_ages(bounds, c, core="pair", top_pos=75.0, top_neg=75.0).where("est_age is not null").select("pair", "b", F.col("est_age").alias("age"), "pos", "neg")
+    end = lambda f: model.groupBy("pair").agg(f(F.struct("age", "pos", "neg")).alias("e")).select("pair", "e.age", F.col("e.pos").alias("pos_err"), F.col("e.neg").alias("neg_err"))
+    return model, c.where("in_seq").select("pair", "age", "pos_err", "neg_err").unionByName(end(F.min)).unionByName(end(F.max)).distinct()
+
+
+@query()
+def aged_mappings(spark, d):
+    """Every core and the next one under their ages and dated horizons; broken chains are repaired."""
+    log_a, picks_a, log_b, picks_b = _sides(spark, d)
+    (ages_a, h_a), (ages_b, h_b) = _ages(spark, d, log_a, picks_a, 0), _ages(spark, d, log_b, picks_b, 1)
+    return correlation.correlate_pairs(log_a, picks_a, log_b, picks_b, ages=(ages_a, ages_b), horizons=(h_a, h_b)).mappings
+
+
+@query()
+def scenario_fits(spark, d):
+    """The correlation under every part of five constraints on the second core of each pair (31 parts, restricted and loose), searched in one pass."""
+    log_a, picks_a, log_b, picks_b = _sides(spark, d)
+    ages_a, h_a = _ages(spark, d, log_a, picks_a, 0)
+    most = float(log_b.agg(F.max("depth")).head()[0] or 0.0)
+    c = table(spark, d, "region").select(((F.col("r_regionkey") + 1) * (most / 6)).alias("depth"), ((F.col("r_regionkey") + 1) * (most * 10 / 6)).alias("age"), F.lit(500.0).alias("pos_err"), F.lit(500.0).alias("neg_err"))
+    found = correlation.scenario_mappings(log_a, picks_a, log_b, picks_b, ages_a, h_a, synth.scenarios(c))
+    return correlation.sweep_fits(found, "corr_coef")
 
 
-@query(f"""with recursive {_CORE_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst),
+@query(f"""with recursive {_KINDS}, ahead as (select pair, key from kinds where is_top union select edges.pair, dst from ahead join edges on ahead.pair = edges.pair and ahead.key = src), back as (select pair, key from kinds where is_bottom union select edges.pair, src from back join edges on back.pair = edges.pair and back.key = dst),
 i as (select pair, dst as key, count(*) as n_in from edges group by all), o as (select pair, src as key, count(*) as n_out from edges group by all)
 select pair, key, case when is_top then 'top' when is_bottom then 'bottom' when dead_end then 'dead_end' when orphan then 'orphan' else 'inner' end as kind, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out, a_b1 + b_b1 as level,
 (pair, key) in (select (pair, key) from ahead) as from_top, (pair, key) in (select (pair, key) from back) as to_bottom, (pair, key) in (select (pair, key) from ahead) and (pair, key) in (select (pair, key) from back) as is_complete
 from kinds join pairs using (pair, key) left join i using (pair, key) left join o using (pair, key)""")
 def chain_breaks(spark, d):
-    return graph.chain_breaks(core_pairs(spark, d), ["pair"])
+    return graph.chain_breaks(neighbour_pairs(spark, d), ["pair"])
 
 
 @query("""with m as (select o_custkey as mapping_id, list_sort(list(distinct o_orderpriority || o_orderstatus)) as s from orders group by all)
