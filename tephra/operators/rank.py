@@ -109,6 +109,10 @@ def is_within(p: Column, q: Column) -> Column:
     return (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
 
 
+#: Paths of most steps that all others are compared with at first.
+FIRST = 256
+
+
 def largest_paths(paths: DataFrame, by: str = "mapping_id", path: str = "path") -> DataFrame:
     """Paths ("a,b|a,b") whose steps are no proper part of another's, and of equal ones that of the least id.
 
@@ -124,10 +128,14 @@ def largest_paths(paths: DataFrame, by: str = "mapping_id", path: str = "path")
     often = sets.select(F.explode("__s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
     ranked = sets.select("__id", F.explode("__s").alias("x")).join(often, "x").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("x"), F.lit(62)).cast("int"))).alias("sig"))
     ranked = written(ranked.select("__id", "sig", F.transform("r", lambda e: e["x"]).alias("r")), "ranked")
+    # the largest sets hold most others, and what lies in a set that lies in one of them lies in that one, too
+    able = lambda r, sig, of: (F.size(of["r"]) > F.size(r)) & (F.col(sig).bitwiseAND(F.bitwise_not(of["sig"])) == 0) & (F.size(F.array_except(r, of["r"])) == 0)
+    top = ranked.orderBy(F.size("r").desc(), "__id").limit(FIRST).agg(F.collect_list(F.struct("sig", "r")).alias("__top"))
+    ranked = written(ranked.join(F.broadcast(top)).where(~F.exists("__top", lambda of: able("r", "sig", of))).drop("__top"), "ranked")  # one row
     small = ranked.select("__id", "sig", "r", F.get("r", F.lit(0)).alias("x"), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0))).alias("y"))
     ends = F.flatten(F.transform("r", lambda e, k: F.transform(F.slice("r", k + 1, F.size("r")), lambda g: F.struct(e.alias("x"), g.alias("y")))))
     large = ranked.select(F.col("__id").alias("__of"), F.col("sig").alias("__sig"), F.col("r").alias("__r"), F.explode(ends).alias("e")).select("__of", "__sig", "__r", "e.x", "e.y")
     large = large.join(small.select("x", "y").distinct(), ["x", "y"], "left_semi")
     inside = small.join(large, ["x", "y"]).where(F.size("__r") > F.size("r")).where(F.col("sig").bitwiseAND(F.bitwise_not("__sig")) == 0).where(F.size(F.array_except("r", "__r")) == 0)
-    kept = sets.join(inside.select("__id").distinct(), "__id", "left_anti")
+    kept = ranked.join(inside.select("__id").distinct(), "__id", "left_anti")
     return paths.join(kept.select(F.col("__id").alias(by)), by, "left_semi")
