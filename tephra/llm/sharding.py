@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_key, written
+
 #: numpy draws from urns of fewer balls than this.
 URN = 10**9
 
@@ -52,11 +54,34 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
     return out
 
 
+def _numbered(df: DataFrame, seed: int) -> DataFrame:
+    """df with __key: a hash of the row and of its number among the rows that are equal to it.
+
+    Only hashes (128 bits of a row) are exchanged to find repeated rows. Of those one copy is kept with its count, and laid out again under
+    the numbers 0 to count - 1: no task gets all copies of a row, and it doesn't matter how the input is partitioned.
+    """
+    names = df.columns
+    cells = [F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
+    one, two = row_key(F.lit(seed), *cells)
+    keyed = df.withColumn("__k1", one).withColumn("__k2", two)
+    again = written(keyed.groupBy("__k1", "__k2").count().where(F.col("count") > 1).select("__k1", "__k2"), "repeated")
+    key = lambda n: F.xxhash64("__k1", "__k2", n).alias("__key")
+    columns = [F.col(f"`{c}`") for c in names]
+    n = again.count()
+    if not n:
+        return keyed.select(*columns, key(F.lit(0)))
+    again = F.broadcast(again) if n <= 100_000 else again
+    single = keyed.join(again, ["__k1", "__k2"], "left_anti").select(*columns, key(F.lit(0)))
+    copies = keyed.join(again, ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.first(F.struct(*columns)).alias("__row"), F.count("*").alias("__n"))
+    copies = copies.withColumn("__no", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))
+    return single.union(copies.select(*[F.col(f"__row.`{c}`") for c in names], key(F.col("__no"))))
+
+
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, rows_per_source: int = 5_000, most_sources: int = 50_000, rows_per_block: int = 20_000) -> DataFrame:
     """df with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard), in a uniformly random order.
 
     Rows per shard differ by one at most. The same rows, shards and seed give the same result, however they are partitioned. Rows that
-    are equal in all columns take their places among each other at will, which shows in nothing. Nulls are values like any other; an
+    are equal in all columns are numbered and scattered like any others. Nulls are values like any other; an
     empty table stays empty. Columns of df named shard or slot are replaced; no other name can clash.
 
     The driver draws the matrix from one count a source: at most most_sources x shards numbers. All rows are exchanged twice; long texts
@@ -65,11 +90,10 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, rows_per_sour
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     names = df.columns
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes])
     total = df.count()
     sources = int(min(most_sources, max(16, -(-total // rows_per_source))))
     blocks = max(1, -(-total // (shards * rows_per_block)))
-    rows = df.withColumn("__key", key)
+    rows = _numbered(df, seed)
     source = F.pmod(F.xxhash64(F.lit("source"), "__key"), F.lit(sources)).cast("int")
     counted = dict(rows.select(source.alias("s")).groupBy("s").count().collect())  # at most most_sources numbers
     matrix = communication_matrix([counted.get(k, 0) for k in range(sources)], shard_sizes(total, shards), seed)

@@ -60,3 +60,16 @@ def test_places_are_uniform(spark):
     assert all(400 < early[s] < 600 for s in range(4))
     low = [r.id for r in rows if r.slot < 250]
     assert 1800 < np.mean(low) < 2200
+
+
+def test_equal_rows_are_scattered(spark):
+    """200 equal rows among 4,000 reach nearly all shards, and aren't next to each other."""
+    df = spark.range(3800).selectExpr("cast(id as string) as text").union(spark.range(200).selectExpr("'same' as text")).repartition(3)
+    rows = sharding.shuffle_into_shards(df, 40, seed=2, rows_per_source=500, rows_per_block=40).collect()
+    same = sorted((r.shard, r.slot) for r in rows if r.text == "same")
+    assert len({s for s, _ in same}) >= 36
+    assert sum(a[0] == b[0] and b[1] == a[1] + 1 for a, b in zip(same, same[1:])) < 30
+    counts = Counter(r.shard for r in rows)
+    assert set(counts.values()) == {100}
+    for s in range(40):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(100))
