@@ -24,6 +24,8 @@ _SIGNS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + by
 _CLEAN = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
 #: Words of a window: the first for items of up to LONG words, the second for longer ones.
 SIZES, LONG = (8, 16), 40
+#: Items of fewer words are besides cut into one piece more than they may have edits: one piece is whole wherever the edits are.
+SHORT = 12
 CHUNK = 1 << 17
 
 
@@ -124,6 +126,14 @@ class Items:
             self.tables[size] = {(walk, t): Table(h, item, offset) for walk, t, h in walks.hashes(flat, start, reached)}
             inside = np.min([r for r in reached], axis=0) <= np.repeat(begin + long, count)
             exact |= set(some) - set(item[inside].tolist())  # none of whose walks stays within the item
+        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for k, words_ in enumerate(self.words):
+            if self.edits[k] and len(words_) < SHORT:
+                cut = [len(words_) * p // (self.edits[k] + 1) for p in range(self.edits[k] + 2)]
+                for a, b in zip(cut, cut[1:]):
+                    if b > a:
+                        pieces[b - a].append((k, a, int(run_hash(words_[a:b], b - a)[0])))
+        self.pieces = {n: Table(np.array([h for _, _, h in some], U), np.array([k for k, _, _ in some]), np.array([a for _, a, _ in some])) for n, some in pieces.items()}
         self.whole: dict[int, Table] = {}
         for n in sorted({len(self.words[k]) for k in exact}):
             some = [k for k in exact if len(self.words[k]) == n]
@@ -168,9 +178,9 @@ def candidates(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
                 at, item, offset = items.tables[size][walk, t].find(h)
                 if len(at):
                     found.append(np.stack([item.astype(np.int64), at + lo - offset]))
-    for n, table in items.whole.items():
-        at, item, _ = table.find(run_hash(text, n))
-        found.append(np.stack([item.astype(np.int64), at]))
+    for n, table in [*items.whole.items(), *items.pieces.items()]:
+        at, item, offset = table.find(run_hash(text, n))
+        found.append(np.stack([item.astype(np.int64), at - offset]))
     item, begin = np.concatenate(found, 1)
     key = np.unique(item << 40 | begin + (1 << 39))
     item, begin = key >> 40, (key & (1 << 40) - 1) - (1 << 39)

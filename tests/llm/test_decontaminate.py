@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tephra.llm import decontaminate as dc
 from tephra.llm.common import Words
@@ -93,3 +94,18 @@ def test_documents_with_items_go_and_others_keep_their_columns(spark):
     kept = dc.without_leaks(df, bench)
     assert kept.columns == df.columns and sorted(r.raw for r in kept.collect()) == ["a", "a", "c", "d"]
     assert sorted((r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()) == [(2, 1), (2, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("size", [10, 11])
+def test_short_items_with_the_edit_at_every_place(size):
+    """1,000 items of each length, their one edit (another word, a word more or less) at each place in turn: all are found."""
+    rng = random.Random(size)
+    items = [[f"i{rng.randrange(10**6)}" for _ in range(size)] for _ in range(1000)]
+    held = dc.Items(list(range(1000)), [" ".join(x).encode() for x in items], dc.Search())
+    raws = []
+    for k, words in enumerate(items):
+        at, kind = k % size, k // size % 3
+        edited = words[:at] + (["zz"] if kind == 0 else ["zz", words[at]] if kind == 1 else []) + words[at + 1 :]
+        raws.append(" ".join(["before", "that", *edited, "and", "behind"]).encode())
+    found = dc._matches(raws, held)
+    assert {(k, k) for k in range(1000)} <= set(found)
