@@ -446,7 +446,7 @@ def _summed(batches):
                 keys[at] = np.frombuffer(names, np.int64).reshape(-1, 2)
     for at, some in parts.items():
         if at not in keys:
-            raise ValueError("the table is not read the same way twice: write it before it is scored")
+            raise ValueError("the table's partitions hold other rows at the second read: write it before it is scored")
         all_, names = np.concatenate(some), keys[at]
         add = lambda c, t: np.bincount(all_["place"], all_[c], len(names)).astype(t)  # noqa: B023, E731
         m = np.bincount(all_["place"], all_["n_tokens"] > 0, len(names)).astype(np.int64)
@@ -472,7 +472,8 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     Tokens are the words (A-Z lowered) and one end. Counts are of all rows that aren't held out (a null held_out counts as no). base_score
     adds log10((c + 1) / (N + (V + 1))) over tokens; score is the tree's log10 probability of the token sequence, any unknown word being
     one token more than the V known ones. A null text is empty: its only token is the end. Whole texts are scored, however long. Repeated
-    rows each get a row; other columns are left out; an empty table gives none. Words and contexts are compared by 64-bit hashes.
+    rows each get a row; other columns are left out; an empty table gives none. The table is read several times, each partition's rows in
+    any order. Words and contexts are compared by 64-bit hashes.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
@@ -531,7 +532,8 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             w2, first, last, w2_n = w2[order], first[order], last[order], w2_n[order]
             counts.append(kept(following(w2, 2), w2, w2_n, 2))
     known = spark.sparkContext.broadcast(Known(word, count, w1, w1_n, w2, w2_n, first, last, total, int(v), ends, int(often), tree, buckets))
-    source = docs.select("row", "row2", "raw", "held_out")
+    # read twice: sorted, so that a task cuts the same slices however its rows come, also when it runs again
+    source = docs.select("row", "row2", "raw", "held_out").sortWithinPartitions("row", "row2", "held_out")
     rare = arrow_map(source, lambda b: _questions(b, known, True), _SCHEMA)
     words = arrow_map(counted.where(F.col("n") <= often), lambda b: _word_rows(b, buckets), _SCHEMA)
     asked = arrow_map(source, lambda b: _questions(b, known, False), _SCHEMA)

@@ -125,3 +125,19 @@ def test_the_tree_is_a_distribution_and_beats_the_base_on_held_out_texts(spark):
         assert sum(plain.p(x, s) for x in plain.count) + plain.p("never seen", s) == pytest.approx(1)
     got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 7 == 2, tree=lm.Tree(least=20)).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert got[0] > 0.95 * got[1]
+
+
+def test_rows_in_another_order_at_each_read(spark, odd_docs):
+    """Each partition's rows come in another order at every read, as they may out of a shuffle: the scores are the same."""
+    import time
+
+    def shuffled(frames):
+        whole = [f for f in frames]
+        for f in whole:
+            yield f.sample(frac=1, random_state=time.time_ns() % 2**31)
+
+    docs = odd_docs.select("doc_id", "text").repartition(2)
+    moving = docs.mapInPandas(shuffled, "doc_id double, text string").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = F.col("doc_id") % 7 == 2
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6), r.held_out)
+    assert sorted(map(key, lm.score_texts(moving, held).collect())) == sorted(map(key, lm.score_texts(docs, held).collect()))
