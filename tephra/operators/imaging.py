@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,23 +103,56 @@ def brightness_trace(px: DataFrame, by: Sequence[str], start: float, end: float,
     return mask_with_buffer(trace, F.col("mean") < least, ["mean", "std"], by, "row", int(buffer_mm / spacing_mm))
 
 
+def prominences(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, prominences) of a curve's inner peaks, in one pass from either side: a stack holds the points that are higher than all since, each
+    with the lowest point on its way to the one below it. NaN is no ground: it stops nothing and lowers nothing."""
+
+    def lowest(values: np.ndarray) -> np.ndarray:
+        low, stack = values.copy(), []
+        for k, v in enumerate(values.tolist()):
+            if v != v:
+                continue
+            least = v
+            while stack and stack[-1][0] <= v:
+                least = min(least, stack.pop()[1])
+            stack.append((v, least))
+            low[k] = least
+        return low
+
+    y = np.asarray(y, float)
+    if len(y) < 3:
+        return np.zeros(0, np.int64), np.zeros(0)
+    at = 1 + np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]))
+    left, right = lowest(y), lowest(y[::-1])[::-1]
+    return at, y[at] - np.maximum(left[at], right[at])
+
+
+def _extremes(batches, n_by: int, names: list[str]):
+    for batch in batches:
+        row, place, height, found = [], [], [], []
+        for k, (index, value) in enumerate(zip(batch.column(n_by).to_pylist(), batch.column(n_by + 1).to_pylist(), strict=True)):
+            y = np.array([np.nan if v is None else v for v in value], float)
+            at, out = prominences(y)
+            row.extend([k] * len(at))
+            place.extend([index[i] for i in at.tolist()])
+            height.extend(y[at].tolist())
+            found.extend(out.tolist())
+        of = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(n_by)), pa.array(place, batch.schema.field(n_by).type.value_type), pa.array(height, pa.float64()), pa.array(found, pa.float64())], names=names)
+
+
 def extremes(curve: DataFrame, by: Sequence[str], index: str, value: str, prominence: float) -> DataFrame:
     """Peaks of a curve that stand out by `prominence` or more: (by, index, height, prominence, rank by prominence).
 
     A peak's prominence is its height above the higher of the two lowest points on the ways to the next higher ground (or the curve's end)
-    on either side. Every peak is compared with the curve's points on its way, found by an array of the curve: sections of images, of
-    thousands of rows.
+    on either side. A curve (a section of an image, thousands of rows) is one array; the work grows with its length.
     """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(index)
-    all_ = curve.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias("__y"))
-    at = curve.withColumn("__p", F.row_number().over(w)).withColumn("__a", F.lag(value).over(w)).withColumn("__b", F.lead(value).over(w))
-    peaks = at.where((F.col(value) > F.col("__a")) & (F.col(value) >= F.col("__b"))).select(*by, index, F.col(value).alias("__h"), "__p").join(all_, by)
-    start = F.struct(F.col("__h").alias("low"), F.lit(False).alias("done"))
-    step = lambda acc, y: F.when(acc["done"] | (y > F.col("__h")), F.struct(acc["low"].alias("low"), F.lit(True).alias("done"))).otherwise(F.struct(F.least(acc["low"], y).alias("low"), F.lit(False).alias("done")))
-    left = F.aggregate(F.reverse(F.slice("__y", F.lit(1), F.col("__p") - 1)), start, step)["low"]
-    right = F.aggregate(F.slice("__y", F.col("__p") + 1, F.size("__y")), start, step)["low"]
-    found = peaks.select(*by, index, F.col("__h").alias("height"), (F.col("__h") - F.greatest(left, right)).alias("prominence")).where(F.col("prominence") >= prominence)
+    one = F.array_sort(F.collect_list(F.struct(F.col(index), F.col(value).cast("double").alias("__y"))))
+    curves = curve.groupBy(*by).agg(one.alias("__c")).select(*by, F.transform("__c", lambda x: x[index]).alias("__i"), F.transform("__c", lambda x: x["__y"]).alias("__v"))
+    kinds = dict(curve.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + f"`{index}` {kinds[index]}, height double, prominence double"
+    found = curves.mapInArrow(lambda it: _extremes(it, len(by), [*by, index, "height", "prominence"]), schema).where(F.col("prominence") >= prominence)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("prominence").desc(), index)))
 
 

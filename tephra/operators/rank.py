@@ -37,10 +37,12 @@ def best_mappings(df: DataFrame, weights: Mapping[str, float], top: int, shortes
     return best.withColumn("ranking", F.row_number().over(Window.orderBy(F.col("score").desc(), tie)))
 
 
-def matching_pairs(a: DataFrame, b: DataFrame, bed: str = "bed", datum: str = "datum") -> DataFrame:
-    """(bed, a, b): datums of two cores with the same bed name; unnamed ones match nothing."""
+def matching_pairs(a: DataFrame, b: DataFrame, bed: str = "bed", datum: str = "datum", first: bool = False) -> DataFrame:
+    """(bed, a, b): datums of two cores with the same bed name; unnamed ones match nothing. With first each of a meets the first of b only."""
     left = a.select(clean_bed(F.col(bed)).alias("bed"), F.col(datum).alias("a"))
     right = b.select(clean_bed(F.col(bed)).alias("bed"), F.col(datum).alias("b"))
+    if first:
+        right = right.groupBy("bed").agg(F.min("b").alias("b"))
     return left.where("bed != ''").join(right, "bed")
 
 
