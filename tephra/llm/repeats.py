@@ -9,11 +9,13 @@ passage costs a task no more than a row from each other task.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def _send_long(batches, n: int, k: int, buckets: int, most: int):
     for batch in batches:
         survivors = batch.column(3).to_pylist()
         names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(2).to_pylist()]):
+        for some, raws in sliced(list(range(batch.num_rows)), _expand(batch.column(2))):
             words = Words(raws)
             at, q = least(words, n, k)
             flag = np.zeros(len(words.hash), np.uint8)
@@ -258,11 +260,27 @@ def _kept(raw: bytes, places: bytes | None, n: int, digests: bool) -> tuple:
     return len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest() if digests else kept.decode()
 
 
+@functools.cache
+def _zstd():
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def _squeeze(batches, at: int):
+    """Texts compressed one by one: the joins exchange each of them."""
+    for batch in batches:
+        made = pa.array([None if r is None else _zstd()[0].compress(r) for r in batch.column(at).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+
+def _expand(column: pa.Array) -> list[bytes]:
+    return [b"" if z is None else _zstd()[1].decompress(z) for z in column.to_pylist()]
+
+
 def _remove(batches, n: int, digests: bool):
     """(doc_id, raw, places[, carried])"""
     for batch in batches:
         places = batch.column(2).to_pylist()
-        for some, raws in sliced(list(range(batch.num_rows)), [r or b"" for r in batch.column(1).to_pylist()]):
+        for some, raws in sliced(list(range(batch.num_rows)), _expand(batch.column(1))):
             n_words, removed, last = zip(*[_kept(raw, places[k], n, digests) for k, raw in zip(some, raws, strict=True)], strict=True)
             held = [batch.column(k).take(pa.array(some)) for k in (0, *range(3, batch.num_columns))]
             cols = [held[0], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string()), *held[1:]]
@@ -289,6 +307,7 @@ def remove_repeats(df: DataFrame, n: int = 35, id_col: str = "doc_id", text_col:
     short = arrow_map(docs.select("row", "row2", "raw"), lambda b: _send_short(b, n, k, buckets, held), body.format("left binary, right binary,"))
     survivors = written(arrow_map(dealt(short, buckets), lambda b: _meet(b, {"hash": U, "left": np.uint32, "right": np.uint32}, buckets), met), "repeats-short")
     together = arrow_map(dealt(survivors, buckets), _gathered, "row long, row2 long, places binary")
+    docs = arrow_map(docs, lambda b: _squeeze(b, 1), ", ".join(f"{c} {t}" for c, t in docs.dtypes))
     long = arrow_map(docs.select("row", "row2", "raw").join(together, ["row", "row2"]), lambda b: _send_long(b, n, k, buckets, held), body.format("check binary,"))
     found = written(arrow_map(dealt(long, buckets), lambda b: _meet(b, {"hash": U, "check": U}, buckets), met), "repeats-long")
     places = arrow_map(dealt(found, buckets), _gathered, "row long, row2 long, places binary")
