@@ -117,7 +117,7 @@ def compress(df: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4,
 
     Vectors that are null, empty or hold null, NaN or infinite components are left out, and so are those of another length than most
     (of two equally frequent lengths the longer counts). A length that `parts` doesn't divide is cut as evenly as whole numbers allow.
-    Components so large that squared distances would not fit a long are cut to where they do (2^28 / scale for 64 components). Rows with
+    Components so large that squared distances would not fit a long are cut to where they do (2^27 / scale for 64 components). Rows with
     equal ids, null ids and equal rows are all coded; fewer vectors than entries make smaller codebooks; without vectors there are no rows
     and no codebooks. Columns beside those named are left out.
     """
