@@ -34,11 +34,14 @@ class WordEncoder:
     lowers them anyway), except where a special token's string could arise.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 250_000):
+    def __init__(self, path: str, dtype: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most, self.known = Tokenizer.from_file(path), dtype, most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.used = False
         AT_END.append(self.rest)
 
@@ -52,17 +55,29 @@ class WordEncoder:
     def _words(raw: bytes) -> list[bytes]:
         return raw.split() if b"<|" in raw else raw.lower().split()
 
+    @staticmethod
+    def _letters(word: bytes) -> bool:
+        return word.isalpha() or (s := word.decode()).isalpha() and s.lower().isalpha() and max(s) < "ɐ"
+
     def _learn(self, new: set[bytes]) -> None:
         """A plain word with one end mark is two pre-tokens: the word's ids, then the mark's."""
         known, whole, ended = self.known, set(), []
         for w in new:
             core, mark = w[:-1], w[-1:]
-            if mark in (b".", b",", b"!", b"?", b";", b":") and core and (core.isalpha() or (s := core.decode()).isalpha() and s.lower().isalpha() and max(s) < "ɐ"):
+            if mark in (b".", b",", b"!", b"?", b";", b":") and core and self._letters(core):
                 ended.append((w, core, mark))
                 whole.update(x for x in (core, mark) if x not in known)
             else:
                 whole.add(w)
-        todo = list(whole)
+        # words of letters alone are a pre-token each, so that many go through the library in a row and are told apart by their last tokens
+        letters = [w for w in whole if self._letters(w)]
+        for at in range(0, len(letters), 500):
+            some = letters[at : at + 500]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                known.update((w, x.tobytes()) for w, x in zip(some, np.split(ids, ends[:-1]), strict=True))
+        todo = [w for w in whole if w not in known]
         for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, self.dtype).tobytes()
         for w, core, mark in ended:
