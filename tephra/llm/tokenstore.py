@@ -30,11 +30,11 @@ _FOOT = struct.Struct("<QQ8s")
 class WordEncoder:
     """Ids of a tokenizer that drops white space, by word: white space never joins two words' tokens, so a word's ids are looked up.
 
-    At most `most` words are kept; then the table starts anew, which changes no result. ASCII capitals are lowered first (the tokenizer
+    At most `most` words (some 200 bytes each) are kept; then the table starts anew, which changes no result. ASCII capitals are lowered first (the tokenizer
     lowers them anyway), except where a special token's string could arise.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 600_000):
+    def __init__(self, path: str, dtype: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -119,3 +119,37 @@ def test_op10(spark, docs):
         failed = len(w) < 20 or 100 * repeated > 30 * len(w)
         assert got[d][:6] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), repeated, failed)
         assert not (failed and got[d][6])
+
+
+def test_op11(spark, docs):
+    from .test_alignment import brute
+
+    found, _, _ = brute([t or "" for _, t, _ in docs])
+    want = [(d, *f[:6], hashlib.sha256(f[6].encode()).hexdigest() if f[6] else "") for (d, _, _), f in zip(docs, found)]
+    assert rows(spark, "op11_alignment", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256") == sorted(want, key=str)
+
+
+def test_op12(spark, duck):
+    from .test_codes import brute
+
+    vectors = duck.execute(f"select vec_id, embedding, label from '{SF}/embeddings.parquet'").fetchall()
+    coded, books = brute(vectors)
+    sha = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    label, total = {i: y for i, _, y in vectors}, Counter()
+    for i, _, error in coded:
+        total[label[i]] += error
+    want = [(i, code, error, total[label[i]], sha) for i, code, error in coded]
+    assert rows(spark, "op12_vector_codes", "vec_id", "code", "error", "label_error", "codebooks_sha256") == sorted(want, key=str)
+
+
+def test_op13(spark, duck):
+    from .test_neighbours import brute
+
+    vectors = duck.execute(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
+    want, got = brute(vectors, 100), {}
+    for q, rank, i, score in sorted(rows(spark, "op13_neighbours", "query_id", "rank", "vec_id", "score"), key=lambda r: r[:2]):
+        got.setdefault(q, []).append((i, score))
+        assert rank == len(got[q])
+    true = {q: dict(w) for q, w in brute(vectors, 100, len(vectors)).items()}
+    assert set(got) == set(want) and all(len(g) == 10 and all(abs(true[q][i] - s) < 1e-12 for i, s in g) for q, g in got.items())
+    assert sum(len({i for i, _ in w} & {i for i, _ in got[q]}) for q, w in want.items()) >= 0.9 * 10 * len(want)
