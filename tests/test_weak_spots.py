@@ -88,3 +88,32 @@ def test_unknown_segments_are_warned_of(spark):
     pool = spark.createDataFrame([(1,), (2,)], "seg int")
     with pytest.warns(UserWarning, match="7"):
         assert [r.seg for r in synth.modify_pool(pool, "seg", [2, 7]).collect()] == [1]
+
+
+def test_skew_normal_of_largest_likelihood(spark):
+    rng = np.random.default_rng(6)
+    rows, given = [], {"a": (2.0, 1.5, 4.0), "b": (-1.0, 0.3, -2.0), "c": (0.0, 1.0, 0.0)}
+    for g, (loc, scale, shape) in given.items():
+        d = shape / np.sqrt(1 + shape**2)
+        z = d * np.abs(rng.normal(size=4000)) + np.sqrt(1 - d * d) * rng.normal(size=4000)
+        rows += [(g, float(v)) for v in loc + scale * z]
+    df = spark.createDataFrame(rows + [("d", 5.0), ("d", 5.0), ("d", None)], "core string, v double").repartition(3)
+    got = {r.core: r for r in stats.skew_normal_mle(df, ["core"], "v").collect()}
+    assert got["d"].n == 2 and got["d"].loc is None
+    moments = {r.core: r for r in stats.skew_normal_fit(df.where("core != 'd'"), ["core"], "v").collect()}
+    for g in "abc":
+        x, one = np.array([v for h, v in rows if h == g]), np.ones(4000)
+        likelihood = lambda loc, scale, shape: stats.skew_log_likelihood(x, one, np.array([loc, np.log(scale), shape]))[0]  # noqa: B023, E731
+        found = likelihood(got[g].loc, got[g].scale, got[g].shape)
+        start = np.array([got[g].loc, np.log(got[g].scale), got[g].shape])
+        _, best = stats._climb(x, one, start)  # over all values, not over bins
+        assert found >= likelihood(moments[g].loc, moments[g].scale, moments[g].shape) - 0.5 and best - found < 1e-4 * 4000
+    assert abs(got["a"].shape - 4) < 0.8 and abs(got["a"].loc - 2) < 0.1 and abs(got["b"].scale - 0.3) < 0.03
+
+
+def test_gradient_of_the_likelihood():
+    x, w, at = np.array([-30.0, -1.0, 0.2, 3.0]), np.array([1.0, 2.0, 3.0, 1.0]), np.array([0.3, 0.1, 1.7])
+    _, slope = stats.skew_log_likelihood(x, w, at)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert slope[k] == pytest.approx((stats.skew_log_likelihood(x, w, at + step)[0] - stats.skew_log_likelihood(x, w, at - step)[0]) / 2e-6, rel=1e-4)
