@@ -258,6 +258,12 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, digest: bool = False) -> DataFrame:
+    """The records of all .warc and .warc.gz files below path (or of the one file), a row each, with their header fields.
+
+    Header fields that a record lacks are null. Filters on them (equality, lists, beginnings, not null) are tested on the header, and what they
+    rule out isn't inflated. payload=False leaves payloads null and unread; digest=True reads them for their length and SHA-1 all the same.
+    Revisits have no payload. A record that is read is held whole, however long. A folder that isn't there, or has no such files, is empty.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload)).option("digest", str(digest)).load(path)
