@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tephra.functions import columns as C
-from tephra.operators import agemodel, correlate, graph, imaging, rank, series, stats, synth
+from tephra.operators import agemodel, correlate, graph, imaging, longwarp, rank, series, stats, synth
 from tephra.plans import correlation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,6 +267,33 @@ def dtw_segment_pairs(spark, d):
     return correlate.align_arrays(p, "a", "b", band=0.25, spread="deal").select("pair", "key", "distance", *correlate.METRICS)
 
 
+def kind_logs(spark, d):
+    """Every type of event as one long log; each is aligned with the next type in the alphabet: (pair, idx, v) of both sides."""
+    e = table(spark, d, "events")
+    kinds = e.select("event_type").distinct().withColumn("pair", F.row_number().over(Window.orderBy("event_type")).cast("long"))  # a row a type
+    one = e.join(F.broadcast(kinds), "event_type").select("pair", (F.row_number().over(Window.partitionBy("pair").orderBy("event_id")) - 1).alias("idx"), F.col("value").alias("v"))
+    return one, one.withColumn("pair", F.col("pair") - 1)
+
+
+@query("""
+with recursive k as (select event_type, row_number() over (order by event_type) as pair from (select distinct event_type from events)),
+x as (select pair, list(value order by event_id) as v from events join k using (event_type) group by pair),
+p as (select a.pair, a.v as a, b.v as b, len(a.v) as n, len(b.v) as m from x a join x b on b.pair = a.pair + 1),
+w as (select pair, 1 as s, list_transform(range(n + 1), lambda i: case when i = 0 then 0.0::double else 'infinity'::double end) as p2, list_transform(range(n + 1), lambda i: 'infinity'::double) as p1, n, m from p
+union all select w.pair, s + 1, p1, list_transform(range(w.n + 1), lambda i: case when i between greatest(1, s + 1 - w.m) and least(w.n, s) then abs(a[i] - b[s + 1 - i]) + least(p2[i], p1[i], p1[i + 1]) else 'infinity'::double end), w.n, w.m from w join p using (pair) where s < w.n + w.m)
+select pair, n, m, round(p1[n + 1], 6) as distance from w where s = n + m""")
+def long_warps(spark, d):
+    distances, _ = longwarp.warp_long(*kind_logs(spark, d), back=False)
+    return distances.select("pair", "n", "m", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def long_warp_metrics(spark, d):
+    """Quality of the banded alignment of whole long logs, gathered along its path."""
+    one, two = kind_logs(spark, d)
+    return longwarp.warp_metrics(*longwarp.warp_long(one, two, band=0.25), one, two)
+
+
 # --- ages --------------------------------------------------------------------------------------
 
 
