@@ -12,8 +12,9 @@ where c(s, x) counts the next tokens that s has and rest(s) is what they leave o
 The tree is never in one place. All states that end with a word, and all tokens that follow it, are in the bucket of that word: counts,
 divergence tests and scores come from there. Of a word (or pair of words) that follows itself around too often for a bucket, the "wide"
 ones, next tokens are counted beforehand with pre-aggregation; its tokens are spread over buckets by the word before (or by text and
-place), and each of these buckets is told the counts. The empty state's counts of frequent words, fewer than two million, are broadcast; rare
-tokens pass through the bucket of their own word first, which knows its count.
+place), and each of these buckets is told the counts. The empty state's counts of the most frequent words, at most a million, are broadcast;
+rare tokens pass through the bucket of their own word first, which knows its count. A frequent word travels as its rank, so that most take few
+bits.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from .common import U, Words, arrow_map, bucket_of, buckets_for, mix, row_key, r
 
 START, END = seeds(2, 77)
 _PAIR, _SUB = seeds(2, 78)
-FREQUENT = 2_000_000
+FREQUENT = 1_000_000
 HELD = 300_000
+#: Rare tokens that go on together: rows that go on are not small, as each names the slices that it has tokens of.
+TOGETHER = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -69,10 +72,15 @@ class Tokens:
         x = np.full(int(size.sum()), END)
         x[np.arange(len(words.hash)) + words.doc()] = words.hash
         doc = np.repeat(np.arange(len(raws)), size)
-        w1, w2 = np.full(len(x), START), np.full(len(x), START)
-        w1[1:] = np.where(doc[1:] == doc[:-1], x[:-1], START)
-        w2[2:] = np.where(doc[2:] == doc[:-2], x[:-2], START)
-        return Tokens(x, w1, w2, doc)
+        t = Tokens(x, x, x, doc)
+        t.w1, t.w2 = t.before(x, 1, START), t.before(x, 2, START)
+        return t
+
+    def before(self, of: np.ndarray, k: int, none) -> np.ndarray:
+        """What `of` says of the token k places before each in its text."""
+        out = np.full(len(of), none, of.dtype)
+        out[k:] = np.where(self.doc[k:] == self.doc[:-k], of[:-k], none)
+        return out
 
 
 def _lookup(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -138,6 +146,8 @@ _SCHEMA = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 #: words; sums of texts, which pass through
 _TOKENS, _RARE, _WIDE, _WORDS, _SUM = range(5)
 _NEW = U(1 << 63)
+#: The code of words before the last one that are too rare for a state of two tokens.
+_NONE = _NEW
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -183,8 +193,12 @@ def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray,
     for b, here in _grouped(bucket):
         here = here[np.lexsort((w2[here], w1[here]))]
         cut = runs(w1[here])
-        fields = {"key": slices.tobytes(), "n": len(here).to_bytes(8, "little"), "train": np.packbits(train[here]).tobytes()}
-        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", doc[here]))}
+        names, at = slices, doc[here]
+        if len(slices) > 1:  # those that the row has tokens of
+            used, of = np.unique(at >> 32, return_inverse=True)
+            names, at = slices[used], of << 32 | at & 0xFFFFFFFF
+        fields = {"key": names.tobytes(), "n": len(here).to_bytes(8, "little"), "train": np.packbits(train[here]).tobytes()}
+        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", at))}
         fields |= {f: _squeezed(v[here]) for f, v in (("c", c), ("target", target)) if v is not None}
         rows.append(_row(b, kind, **fields))
     return rows
@@ -226,10 +240,12 @@ def _sums(slices: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_kn
 
 @dataclass
 class Known:
-    """What every task knows: frequent words with their counts, wide contexts with theirs, and the corpus' numbers."""
+    """What every task knows: frequent words with their counts and ranks, wide contexts with their counts, and the corpus' numbers."""
 
     word: np.ndarray
     count: np.ndarray
+    rank: np.ndarray
+    ranked: np.ndarray
     wide1: np.ndarray
     wide1_n: np.ndarray
     wide2: np.ndarray
@@ -255,14 +271,24 @@ class Known:
         return np.minimum(self.buckets, -(-n // self.tree.wide)).astype(U)
 
     def code(self, word: np.ndarray) -> np.ndarray:
-        """A frequent word's number, or a rare one's hash."""
-        at = _lookup(self.word, word)
-        return np.where(at >= 0, at.astype(U), word | _NEW)
-
-    def targets(self, t: Tokens, keys: np.ndarray) -> np.ndarray:
-        """The bucket of each token's context; -1 where no state is possible."""
-        at = _lookup(self.word, t.w1)
-        n1 = np.where(t.w1 == START, self.ends, np.where(at >= 0, self.count[np.maximum(at, 0)] if len(self.count) else 0, self.often))
+        """A frequent word's rank, or a rare one's hash."""
+        return self.code_at(_lookup(self.word, word), word)
+
+    def code_at(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, self.rank[np.maximum(at, 0)] if len(self.rank) else U(0), word | _NEW)
+
+    def count_at(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How often a word was seen in training; of a rare one, how often at most."""
+        return np.where(word == START, self.ends, np.where(at >= 0, self.count[np.maximum(at, 0)] if len(self.count) else 0, self.often))
+
+    def codes_before(self, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the two words before each token, at being the tokens' places in the table of words."""
+        at1, at2 = t.before(at, 1, -1), t.before(at, 2, -1)
+        return self.code_at(at1, t.w1), np.where(self.count_at(at2, t.w2) >= self.tree.least, self.code_at(at2, t.w2), _NONE)
+
+    def targets(self, t: Tokens, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The bucket of each token's context; -1 where no state is possible. at: the tokens' places in the table of words."""
+        n1 = self.count_at(t.before(at, 1, -1), t.w1)
         bucket = bucket_of(mix(t.w1), self.buckets)
         one = _lookup(self.wide1, t.w1)
         some = np.flatnonzero(one >= 0)
@@ -293,12 +319,13 @@ def _questions(batches, known, rare: bool):
             slices = np.array([mix(np.cumsum(mix(keys.astype(U).ravel() + np.arange(keys.size, dtype=U)))[-1:])[0]], U)
             at = _lookup(known.word, t.x)
             take = np.flatnonzero(at < 0) if rare else np.flatnonzero(at >= 0)
-            target = known.targets(t, keys)[take]
+            target = known.targets(t, at, keys)[take]
+            before = [w[take] for w in known.codes_before(t, at)]
             doc = t.doc[take]
             train = train[doc]
             if rare:
                 go = target >= 0  # no context is told where none is needed
-                w1, w2 = (np.where(go, known.code(w[take]), U(0)) for w in (t.w1, t.w2))
+                w1, w2 = (np.where(go, w, U(0)) for w in before)
                 x = t.x[take] | _NEW
                 yield _batch(_packed(bucket_of(mix(x), known.buckets), _RARE, slices, doc, train, w1, w2, x, target=target))
                 continue
@@ -308,7 +335,7 @@ def _questions(batches, known, rare: bool):
             score = np.bincount(doc[direct], np.log10(known.empty(c[direct])), len(keys))
             sums = _sums(slices, np.arange(len(keys)), known.buckets, n, np.bincount(doc, c > 0, len(keys)), np.bincount(doc, known.base(c), len(keys)), score, keys)
             go = np.flatnonzero(~direct)
-            yield _batch(sums + _packed(target[go], _TOKENS, slices, doc[go], train[go], known.code(t.w1[take][go]), known.code(t.w2[take][go]), at[take][go].astype(U)))
+            yield _batch(sums + _packed(target[go], _TOKENS, slices, doc[go], train[go], before[0][go], before[1][go], known.rank[at[take][go]]))
 
 
 def _own_words(batches, known):
@@ -325,8 +352,9 @@ def _own_words(batches, known):
     word, count = np.concatenate(words), np.concatenate(counts)
     order = np.argsort(word)
     word, count = word[order], count[order]
-    for lo in range(0, len(asked), 200):  # so many rows together, that those which go on are not small
-        t = _together([_unpacked(batch, k) for batch, k in asked[lo : lo + 200]])
+    size = np.cumsum([0, *[int.from_bytes(batch.column("n")[k].as_py(), "little") for batch, k in asked]])
+    for some in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(size[:-1] // TOGETHER)) + 1) if asked else ():
+        t = _together([_unpacked(*asked[k]) for k in some])
         at = _lookup(word, t["x"])
         c = np.where(at >= 0, count[np.maximum(at, 0)] if len(count) else 0, 0)
         go = np.flatnonzero(t["target"] >= 0)
@@ -410,18 +438,23 @@ def _scored(batches, known):
             all_told[bucket[k]][int(get("run", np.int64)[0]), int(get("w1", U)[0]), int(get("w2", U)[0])] = ((int(get("n", np.int64)[0]), x[order], get("c", np.int64)[order]), known.empty(get("target", np.int64)[order]))
         for k in np.flatnonzero(kind == _TOKENS).tolist():
             packed[bucket[k]].append((batch.slice(k, 1), 0))
+    found = []
     for b in sorted(packed):  # one bucket of the task's after the other: the others stay compressed
-        yield _scored_bucket(_together([_unpacked(*row) for row in packed.pop(b)]), all_told.get(b, {}), known, tree)
+        found.append(_scored_bucket(_together([_unpacked(*row) for row in packed.pop(b)]), all_told.get(b, {}), known, tree))
+    if found:  # a text that several buckets know of has one sum
+        t = _together(found)
+        yield _batch(_sums(t["key"], t["doc"], known.buckets, score=t["score"])).select(["bucket", "key", "w1", "x"])
 
 
-def _scored_bucket(t: dict[str, np.ndarray], told: dict[tuple, tuple], known: Known, tree: Tree) -> pa.RecordBatch:
+def _scored_bucket(t: dict[str, np.ndarray], told: dict[tuple, tuple], known: Known, tree: Tree) -> dict[str, np.ndarray]:
+    """The sums of a bucket's texts."""
     w1, w2, x, doc, train = (t[f] for f in ("w1", "w2", "x", "doc", "train"))
     number = np.where(t["c"] < 0, x, U(0)).astype(np.int64)
-    c = np.where(t["c"] < 0, known.count[number] if len(known.count) else 0, t["c"])
+    c = np.where(t["c"] < 0, known.ranked[number] if len(known.ranked) else 0, t["c"])
     p = known.empty(c)
     one = {w: (counts, before) for (level, w, _), (counts, before) in told.items() if level == 1}
     p1 = _states(w1, x, train, p, tree, one)
-    second = np.flatnonzero(w1 != known.code(np.array([START]))[0])
+    second = np.flatnonzero((w1 != known.code(np.array([START]))[0]) & (w2 != _NONE))
     if len(second):
         name = lambda a, b: mix(a) ^ mix(mix(b) + U(1))
         two = {}
@@ -430,8 +463,8 @@ def _scored_bucket(t: dict[str, np.ndarray], told: dict[tuple, tuple], known: Kn
                 before = _beyond(*one[a], counts[1], before, tree) if a in one else before
                 two[int(name(np.array([a], U), np.array([b], U))[0])] = (counts, before)
         p1[second] = _states(name(w1[second], w2[second]), x[second], train[second], p1[second], tree, two)
-    rows = _batch(_sums(t["key"], doc, known.buckets, score=np.log10(p1)))
-    return rows.select(["bucket", "key", "w1", "x"])
+    doc, at = np.unique(doc, return_inverse=True)
+    return {"key": t["key"], "doc": doc, "score": np.bincount(at, np.log10(p1), len(doc))}
 
 
 def _summed(batches):
@@ -462,6 +495,17 @@ def _word_rows(batches, buckets: int):
         yield _batch([_row(b, _WORDS, x=word[here].tobytes(), c=n[here].tobytes()) for b, here in _grouped(bucket_of(mix(word), buckets))])
 
 
+def _often(counted: DataFrame) -> int:
+    """The count from which on, itself not included, there are at most FREQUENT words."""
+    words, often = 0, 0
+    for n, m in counted.where("n > 0").groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).collect():  # of all tokens' number N: under sqrt(2 N) rows
+        words += m
+        if words > FREQUENT:
+            often = n
+            break
+    return often
+
+
 def _to_tasks(df: DataFrame, tasks: int) -> DataFrame:
     return df.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)))
 
@@ -485,7 +529,7 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     counted = written(arrow_map(docs.select("raw", "held_out"), _counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, v = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
     total = total or 0
-    often = total // FREQUENT
+    often = _often(counted)
     cap = max(tree.wide, total // 1_000_000)  # so there are at most a million wide contexts
     tree = Tree(tree.least, tree.share, tree.divergence, tree.mu, cap)
 
@@ -531,7 +575,10 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             order = np.argsort(w2)
             w2, first, last, w2_n = w2[order], first[order], last[order], w2_n[order]
             counts.append(kept(following(w2, 2), w2, w2_n, 2))
-    known = spark.sparkContext.broadcast(Known(word, count, w1, w1_n, w2, w2_n, first, last, total, int(v), ends, int(often), tree, buckets))
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(word), U)
+    rank[order] = np.arange(len(word), dtype=U)
+    known = spark.sparkContext.broadcast(Known(word, count, rank, count[order], w1, w1_n, w2, w2_n, first, last, total, int(v), ends, int(often), tree, buckets))
     # read twice: sorted, so that a task cuts the same slices however its rows come, also when it runs again
     source = docs.select("row", "row2", "raw", "held_out").sortWithinPartitions("row", "row2", "held_out")
     rare = arrow_map(source, lambda b: _questions(b, known, True), _SCHEMA)

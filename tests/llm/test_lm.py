@@ -141,3 +141,25 @@ def test_rows_in_another_order_at_each_read(spark, odd_docs):
     held = F.col("doc_id") % 7 == 2
     key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6), r.held_out)
     assert sorted(map(key, lm.score_texts(moving, held).collect())) == sorted(map(key, lm.score_texts(docs, held).collect()))
+
+
+def test_as_many_words_are_known_as_the_limit_allows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    counted = lambda *n: spark.createDataFrame(list(enumerate(n)), "word long, n long")
+    assert lm._often(counted(900, 20, 5, 1, 0)) == 0  # a share of all tokens would leave out 20, 5 and 1
+    assert lm._often(counted(900, 20, 5, 4, 3, 3, 1)) == 3
+    assert lm._often(counted(0, 0)) == 0
+
+
+def test_rare_tokens_of_many_slices_go_on_in_few_rows():
+    word = lm.mix(lm.np.arange(300, dtype=lm.U)) | lm._NEW
+    none = lm.np.zeros(0, lm.U)
+    known = lm.Known(none, none.astype(int), none, none.astype(int), none, none.astype(int), none, none.astype(int), none, none, 900, 300, 300, 3, lm.Tree(), 4)
+    asked = []
+    for k in range(300):  # a token of each of so many slices
+        one = lambda v, kind=lm.U: lm.np.array([v], kind)
+        asked += lm._packed(one(0, int), lm._RARE, one(1000 + k), one(0, int), one(1, bool), one(7), one(lm._NONE), word[k : k + 1], target=one(k % 2, lm.np.int32))
+    words = [lm._row(0, lm._WORDS, x=word.tobytes(), c=lm.np.full(300, 3).tobytes())]
+    (made,) = lm._own_words([lm._batch(words + asked)], type("Held", (), {"value": known}))
+    rows = made.filter(lm.pa.array(lm.np.asarray(made.column("kind")) == lm._TOKENS))
+    assert rows.num_rows == 2 and [len(r.as_py()) for r in rows.column("key")] == [8 * 150] * 2
