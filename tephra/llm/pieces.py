@@ -45,8 +45,10 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1:
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
+        self.coded = {p: str(k).encode() for p, k in self.id.items()}
+        self.valued = {str(k).encode(): v for k, v in enumerate(self.value)}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.held, self.used = 0, False
@@ -78,39 +80,41 @@ class PieceModel:
         return parts
 
     def _stay(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if (found := self.apart.get(key)) is None:
-            found = self.apart[key] = self._merged(left + right) == ([left, right] if left else [right])
+        found = self.apart[left, right] = self._merged(left + right) == ([left, right] if left else [right])
         return found
 
     def tokens(self, chunk: str) -> list[str]:
         """The chunk's pieces; characters that no piece has stay as they are."""
-        n, stay = len(chunk), self._stay
-        ending: list[list[int]] = [[] for _ in range(n)]
-        for at, size in self.automaton.iter(chunk):
-            ending[at].append(size)
-        last = [0] * (n + 1)
-        for to in range(1, n + 1):
-            for size in (*sorted(ending[to - 1], reverse=True), 1):
-                at = to - size
-                if stay(chunk[at - last[at] : at], chunk[at:to]):
-                    last[to] = size
-                    break
-        out, to = [], n
-        while to:
-            out.append(chunk[to - last[to] : to])
-            to -= last[to]
+        known, stay = self.apart.get, self._stay
+        last, done = [""] * (len(chunk) + 1), 0  # the token that ends at each place, found up to there
+        for at, (size, piece) in self.automaton.iter(chunk):  # by their ends; the character alone is the last token where none of them is
+            if at < done:
+                continue
+            while done < at:
+                last[done + 1] = chunk[done]
+                done += 1
+            left = last[at + 1 - size]
+            if (found := known((left, piece))) is None:
+                found = stay(left, piece)
+            if found:
+                done = at + 1
+                last[done] = piece
+        while done < len(chunk):
+            last[done + 1] = chunk[done]
+            done += 1
+        out = []
+        while done:
+            out.append(last[done])
+            done -= len(last[done])
         return out[::-1]
 
-    def ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(chunk):
-            k = self.id.get(t)
-            out.extend([k] if k is not None else [self.byte[b] for b in t.encode()])
-        return out
+    def _code(self, token: str) -> bytes:
+        return " ".join([str(self.byte[b]) for b in token.encode()]).encode()
 
     def _chunk(self, chunk: str) -> bytes:
         """Cut where two characters are together in no piece, as before an end mark: the parts are encoded, and kept, one by one."""
+        if chunk[1:].isalnum():  # a word alone has hardly any
+            return self._part(chunk)
         inner = self.inner
         cuts = [0, *[k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in inner], len(chunk)]
         if len(cuts) > 2:
@@ -119,7 +123,8 @@ class PieceModel:
         return self._part(chunk)
 
     def _part(self, part: str) -> bytes:
-        return self._keep(part, " ".join(map(str, self.ids(part))).encode())
+        get, code = self.coded.get, self._code
+        return self._keep(part, b" ".join([get(t) or code(t) for t in self.tokens(part)]))
 
     def _keep(self, part: str, made: bytes) -> bytes:
         """made, remembered: a text of over a thousand characters is not worth it. Entries and pairs take some 200 bytes beside their own."""
@@ -146,13 +151,18 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode for any ids: white space for its mark, bytes joined to characters, no space for the dummy prefix."""
-        data = b"".join([self.value[k] for k in ids])
+        return self.decode_coded([str(k).encode() for k in ids])
+
+    def decode_coded(self, ids: list[bytes]) -> str:
+        """decode for ids as encode has them, decimal numbers."""
         try:
-            text = data.decode()
+            text = b"".join(map(self.valued.__getitem__, ids)).decode()
         except UnicodeDecodeError:
-            return self.library.decode(ids)
-        first = next((k for k in ids if self.value[k]), None)
-        return text[1:] if first is not None and self.value[first][:1] == b" " and first not in self.byte else text
+            return self.library.decode(list(map(int, ids)))
+        if text[:1] != " ":
+            return text
+        first = next(k for k in ids if self.valued[k])
+        return text if int(first) in self.byte else text[1:]
 
 
 _MODEL: dict[str, PieceModel] = {}
@@ -165,10 +175,10 @@ def _encode(batches, model_path: str, digests: bool, names: list[str]):
             n, coded, decoded = [], [], []
             for raw in raws:  # one text at a time: only its digests or its ids stay
                 made = model.encode(raw.decode())
-                numbers = list(map(int, made.split()))
-                text = model.decode(numbers)
+                numbers = made.split()
+                text = model.decode_coded(numbers)
                 n.append(len(numbers))
-                coded.append(hashlib.sha256(made).hexdigest() if digests else np.array(numbers, np.int32))
+                coded.append(hashlib.sha256(made).hexdigest() if digests else np.array(list(map(int, numbers)), np.int32))
                 decoded.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
             n = pa.array(n, pa.int64())
             cols = [pa.array(coded, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]

@@ -83,3 +83,11 @@ def test_pieces_over_tables(spark, odd_docs, no_docs):
     model = pieces.PieceModel(PIECES)
     for ids in ([3 + 0xC3, 3 + 0xA9], [3 + 0xC3, 5000], [2, 1, 5000, 2], [], [29871, 29871]):
         assert model.decode(ids) == library.decode(ids)
+
+
+def test_characters_alone_and_words_alone_cost_no_memory():
+    model = pieces.PieceModel(PIECES)
+    want = model.library.encode("qzxvkwjq9b nation nation, ça")
+    assert model.encode("qzxvkwjq9b nation nation, ça").decode() == " ".join(map(str, [*want, model.end_id]))
+    assert all(len(right) > 1 for _, right in model.apart)  # a character alone is the last token where no longer one is
+    assert "▁nation" in model.known and "," in model.known and "▁qzxvkwjq9b" in model.known
