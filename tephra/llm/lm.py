@@ -35,7 +35,7 @@ from .common import U, Words, arrow_map, bucket_of, buckets_for, mix, row_key, r
 START, END = seeds(2, 77)
 _PAIR, _SUB = seeds(2, 78)
 FREQUENT = 1_000_000
-HELD = 300_000
+HELD = 600_000
 #: Rare tokens that go on together: rows that go on are not small, as each names the slices that it has tokens of.
 TOGETHER = 1 << 19
 
@@ -140,7 +140,7 @@ def _next_counts(batches, wide, level: int) -> Iterator[pa.RecordBatch]:
 
 # --- buckets -----------------------------------------------------------------------------------
 
-_FIELDS = ("key", "n", "w1", "run", "w2", "x", "c", "doc", "train", "target")
+_FIELDS = ("key", "n", "w1", "run", "w2", "x", "c", "doc", "target")
 _SCHEMA = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 #: kinds of rows: tokens of the bucket of their context; rare tokens in the bucket of their word; counts of wide contexts; counts of rare
 #: words; sums of texts, which pass through
@@ -184,7 +184,8 @@ def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 # A text is named by its slice (the texts that a task takes together, named by a hash of their keys) and its place there: `doc` is
-# the slice's number in the row's list << 32 | the place. So a text's long key travels once, with its slice.
+# the slice's number in the row's list << 32 | the place. So a text's long key travels once, with its slice. In a row the last bit says
+# whether the text is one to learn from.
 
 
 def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray, train: np.ndarray, w1: np.ndarray, w2: np.ndarray, x: np.ndarray, c: np.ndarray | None = None, target: np.ndarray | None = None) -> list[tuple]:
@@ -197,8 +198,8 @@ def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray,
         if len(slices) > 1:  # those that the row has tokens of
             used, of = np.unique(at >> 32, return_inverse=True)
             names, at = slices[used], of << 32 | at & 0xFFFFFFFF
-        fields = {"key": names.tobytes(), "n": len(here).to_bytes(8, "little"), "train": np.packbits(train[here]).tobytes()}
-        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", at))}
+        fields = {"key": names.tobytes(), "n": len(here).to_bytes(8, "little")}
+        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", at << 1 | train[here]))}
         fields |= {f: _squeezed(v[here]) for f, v in (("c", c), ("target", target)) if v is not None}
         rows.append(_row(b, kind, **fields))
     return rows
@@ -207,7 +208,8 @@ def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray,
 def _unpacked(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
     raw = {f: batch.column(f)[k].as_py() for f in _FIELDS}
     n = int.from_bytes(raw["n"], "little")
-    out = {"key": np.frombuffer(raw["key"], U), "doc": _expanded(raw["doc"], np.int64), "train": np.unpackbits(np.frombuffer(raw["train"], np.uint8))[:n].astype(bool), "w1": np.repeat(_expanded(raw["w1"], U), _expanded(raw["run"], np.uint32)), "w2": _expanded(raw["w2"], U), "x": _expanded(raw["x"], U)}
+    doc = _expanded(raw["doc"], np.int64)
+    out = {"key": np.frombuffer(raw["key"], U), "doc": doc >> 1, "train": (doc & 1).astype(bool), "w1": np.repeat(_expanded(raw["w1"], U), _expanded(raw["run"], np.uint32)), "w2": _expanded(raw["w2"], U), "x": _expanded(raw["x"], U)}
     return out | {"c": _expanded(raw["c"], np.int64) if raw["c"] else np.full(n, -1), "target": _expanded(raw["target"], np.int32) if raw["target"] else np.zeros(n, np.int32)}
 
 
