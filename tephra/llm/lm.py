@@ -38,6 +38,8 @@ FREQUENT = 1_000_000
 HELD = 600_000
 #: Rare tokens that go on together: rows that go on are not small, as each names the slices that it has tokens of.
 TOGETHER = 1 << 19
+#: Numbers whose bits are laid out at once.
+BITS_OF = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,8 @@ def _lookup(table: np.ndarray, key: np.ndarray) -> np.ndarray:
 # --- counting ----------------------------------------------------------------------------------
 
 
-def _counts(batches) -> Iterator[pa.RecordBatch]:
-    """(word, n in training texts), summed over what a task holds; words of held-out texts alone have 0."""
+def _counts(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, words, counts in training texts), summed over what a task holds; words of held-out texts alone have 0."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -103,6 +105,11 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
         key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         return key, np.bincount(at, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
 
+    def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = bucket_of(key, buckets)  # rises with the word
+        cut = runs(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(_coded(_steps(key, cut[:-1]), cut), pa.binary()), pa.array(_coded(n, cut), pa.binary())], names=["bucket", "word", "n"])
+
     for batch in batches:
         for some, raws in sliced(batch.column(1).to_pylist(), [r or b"" for r in batch.column(0).to_pylist()]):
             t = Tokens.of(raws)
@@ -113,11 +120,23 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
                 held = [summed()]
                 size = len(held[0][0])
                 if size > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["word", "n"])
+                    yield packed(*held[0])
                     held, size = [], 0
     if held:
-        key, n = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["word", "n"])
+        yield packed(*summed())
+
+
+def _counted(batches) -> Iterator[pa.RecordBatch]:
+    """(word, n) of a bucket, each word once."""
+    words, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for word, n in zip(*(batch.column(f).to_pylist() for f in ("word", "n")), strict=True):
+            words.append(np.cumsum(_decoded([word])))
+            counts.append(_decoded([n]).astype(np.int64))
+    word, at = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(word)).astype(np.int64)
+    for k in range(0, len(word), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(word[k : k + (1 << 16)].astype(np.int64)), pa.array(n[k : k + (1 << 16)])], names=["word", "n"])
 
 
 def _next_counts(batches, wide, level: int) -> Iterator[pa.RecordBatch]:
@@ -141,6 +160,7 @@ def _next_counts(batches, wide, level: int) -> Iterator[pa.RecordBatch]:
 # --- buckets -----------------------------------------------------------------------------------
 
 _FIELDS = ("key", "n", "w1", "run", "w2", "x", "c", "doc", "target")
+_SUM_FIELDS = ["bucket", "key", "w1", "doc", "n", "c", "w2", "x"]
 _SCHEMA = "bucket int, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 #: kinds of rows: tokens of the bucket of their context; rare tokens in the bucket of their word; counts of wide contexts; counts of rare
 #: words; sums of texts, which pass through
@@ -148,6 +168,8 @@ _TOKENS, _RARE, _WIDE, _WORDS, _SUM = range(5)
 _NEW = U(1 << 63)
 #: The code of words before the last one that are too rare for a state of two tokens.
 _NONE = _NEW
+#: Stands for _NONE where numbers are coded: it takes no bits.
+_NO_BITS = 65
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -162,6 +184,69 @@ def _expanded(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def _coded(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Whole numbers from 0, as bytes for each of the rows that begin at cut (with their end): how many bits each has, compressed, then the bits
+    below the highest one. Ranks of words fall off so evenly that hardly more is needed than their entropy."""
+    return [row for i, j in _portions(cut) for row in _bits(np.ascontiguousarray(values[cut[i] : cut[j]]).astype(U), cut[i : j + 1] - cut[i])]
+
+
+def _portions(cut: np.ndarray) -> list[tuple[int, int]]:
+    """Rows that begin at cut, by some that have together about BITS_OF numbers."""
+    part = np.flatnonzero(np.diff(cut[:-1] // BITS_OF, prepend=-1)).tolist()
+    return list(zip(part, [*part[1:], len(cut) - 1], strict=True)) if part else []
+
+
+def _bits(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    size = np.minimum(np.frexp(values.astype(np.float64))[1], 64)
+    size -= (size > 0) & (values >> np.maximum(size - 1, 0).astype(U) == 0)  # floats of over 53 bits may round up
+    below = np.where(values == _NONE, 0, np.maximum(size - 1, 0))
+    size = np.where(values == _NONE, _NO_BITS, size).astype(np.uint8)
+    wide = -(-int(below.max(initial=0)) // 8)
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :], axis=1)[np.arange(wide * 8) >= wide * 8 - below[:, None]]
+    at = np.concatenate(([0], np.cumsum(below)))[cut].tolist()
+    out = []
+    for i, j, a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1], at[1:], strict=True):
+        head = _zstd()[0].compress(size[i:j].tobytes())
+        out.append(len(head).to_bytes(4, "little") + head + np.packbits(bits[a:b]).tobytes())
+    return out
+
+
+def _decoded(rows: list[bytes]) -> np.ndarray:
+    """The numbers of rows of `_coded`, one row after the other."""
+    begin = [4 + int.from_bytes(data[:4], "little") for data in rows]
+    sizes = [_zstd()[1].decompress(data[4:b]) for data, b in zip(rows, begin, strict=True)]
+    told = [_numbers(rows[i:j], begin[i:j], sizes[i:j]) for i, j in _portions(np.cumsum([0, *[len(x) for x in sizes]]))]
+    return np.concatenate([np.zeros(0, U), *told])
+
+
+def _numbers(rows: list[bytes], begin: list[int], sizes: list[bytes]) -> np.ndarray:
+    size = np.frombuffer(b"".join(sizes), np.uint8)
+    none = size == _NO_BITS
+    below = np.where(none, 0, np.maximum(size.astype(np.int64) - 1, 0))
+    at = np.concatenate(([0], np.cumsum(below)))[np.cumsum([len(x) for x in sizes])]
+    wide = -(-int(below.max(initial=0)) // 8)
+    bits = np.zeros((len(size), wide * 8), np.uint8)
+    told = [np.unpackbits(np.frombuffer(data, np.uint8)[b:], count=n) for data, b, n in zip(rows, begin, np.diff(at, prepend=0).tolist(), strict=True)]
+    bits[np.arange(wide * 8) >= wide * 8 - below[:, None]] = np.concatenate(told)
+    full = np.zeros((len(size), 8), np.uint8)
+    full[:, 8 - wide :] = np.packbits(bits, axis=1)
+    values = full.view(">u8").reshape(-1).astype(U)
+    return np.where(none, _NONE, np.where(size > 0, values | U(1) << below.astype(U), U(0)))
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Numbers that rise from one place of `first` to the next, as what each adds to the one before."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
+
+
+def _risen(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The numbers of `_steps`."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(steps))))
+
+
 @functools.cache
 def _zstd():
     return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
@@ -190,31 +275,52 @@ def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _packed(bucket: np.ndarray, kind: int, slices: np.ndarray, doc: np.ndarray, train: np.ndarray, w1: np.ndarray, w2: np.ndarray, x: np.ndarray, c: np.ndarray | None = None, target: np.ndarray | None = None) -> list[tuple]:
     """Rows of tokens: those of a bucket together, sorted by context; a word before stands once for all its tokens."""
+    order = np.lexsort((doc, w1, bucket))
+    bucket, doc, train, w1 = bucket[order], doc[order], train[order], w1[order]
+    cut = runs(bucket)
+    run = np.union1d(cut, runs(w1))  # where a word's tokens begin
+    of = np.searchsorted(run, cut)
+    place = doc & 0xFFFFFFFF
+    wide = int(place.max(initial=0)).bit_length()
+    names, at = [slices] * (len(cut) - 1), doc >> 32 << wide | place
+    if len(slices) > 1:  # those that a row has tokens of
+        names = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            used, number = np.unique(doc[i:j] >> 32, return_inverse=True)
+            names.append(slices[used])
+            at[i:j] = number << wide | place[i:j]
+    fields = {"w1": _coded(_steps(w1[run[:-1]], of[:-1]), of), "run": _coded(np.diff(run), of), "doc": _coded(_steps(at, run[:-1]) << 1 | train, cut)}
+    fields |= {f: _coded(v[order], cut) for f, v in (("w2", w2), ("x", x))}
+    fields |= {f: _coded(v[order], cut) for f, v in (("c", c), ("target", None if target is None else target + 1)) if v is not None}
     rows = []
-    for b, here in _grouped(bucket):
-        here = here[np.lexsort((w2[here], w1[here]))]
-        cut = runs(w1[here])
-        names, at = slices, doc[here]
-        if len(slices) > 1:  # those that the row has tokens of
-            used, of = np.unique(at >> 32, return_inverse=True)
-            names, at = slices[used], of << 32 | at & 0xFFFFFFFF
-        fields = {"key": names.tobytes(), "n": len(here).to_bytes(8, "little")}
-        fields |= {f: _squeezed(v) for f, v in (("w1", w1[here][cut[:-1]]), ("run", np.diff(cut).astype(np.uint32)), ("w2", w2[here]), ("x", x[here]), ("doc", at << 1 | train[here]))}
-        fields |= {f: _squeezed(v[here]) for f, v in (("c", c), ("target", target)) if v is not None}
-        rows.append(_row(b, kind, **fields))
+    for k, b in enumerate(bucket[cut[:-1]].tolist()):
+        rows.append(_row(b, kind, key=names[k].tobytes(), n=np.array([cut[k + 1] - cut[k], wide]).tobytes(), **{f: v[k] for f, v in fields.items()}))
     return rows
 
 
-def _unpacked(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
-    raw = {f: batch.column(f)[k].as_py() for f in _FIELDS}
-    n = int.from_bytes(raw["n"], "little")
-    doc = _expanded(raw["doc"], np.int64)
-    out = {"key": np.frombuffer(raw["key"], U), "doc": doc >> 1, "train": (doc & 1).astype(bool), "w1": np.repeat(_expanded(raw["w1"], U), _expanded(raw["run"], np.uint32)), "w2": _expanded(raw["w2"], U), "x": _expanded(raw["x"], U)}
-    return out | {"c": _expanded(raw["c"], np.int64) if raw["c"] else np.full(n, -1), "target": _expanded(raw["target"], np.int32) if raw["target"] else np.zeros(n, np.int32)}
+def _unpacked(rows: list[tuple[pa.RecordBatch, int]]) -> dict[str, np.ndarray]:
+    """Rows of tokens as one: slices are numbered through."""
+    raw = {f: [batch.column(f)[k].as_py() for batch, k in rows] for f in _FIELDS}
+    n, wide = np.array([np.frombuffer(x, np.int64) for x in raw["n"]]).T
+    begin = np.cumsum(n) - n  # where a row's tokens begin
+    run, doc = _decoded(raw["run"]).astype(np.int64), _decoded(raw["doc"]).astype(np.int64)
+    first = np.cumsum(run) - run
+    at, wide = _risen(doc >> 1, first), np.repeat(wide, n)
+    named = [np.frombuffer(x, U) for x in raw["key"]]
+    slices, number = np.unique(np.concatenate(named), return_inverse=True)
+    of = number[np.repeat(np.cumsum([0, *[len(x) for x in named[:-1]]]), n) + (at >> wide)]
+    out = {"key": slices, "doc": of << 32 | at & ((1 << wide) - 1), "train": (doc & 1).astype(bool)}
+    out |= {"w1": np.repeat(_risen(_decoded(raw["w1"]), np.searchsorted(first, begin)), run), "w2": _decoded(raw["w2"]), "x": _decoded(raw["x"])}
+    for f, none in (("c", -1), ("target", 0)):  # rows without them are of tokens that their context's bucket knows the rest of
+        told = np.repeat([bool(x) for x in raw[f]], n)
+        out[f] = np.full(len(told), none)
+        if told.any():
+            out[f][told] = _decoded([x for x in raw[f] if x]).astype(np.int64) - (f == "target")
+    return out
 
 
 def _together(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Rows of tokens as one: slices are numbered through."""
+    """Sums as one: slices are numbered through."""
     slices, at = np.unique(np.concatenate([t["key"] for t in found]), return_inverse=True)
     begin = 0
     for t in found:
@@ -224,20 +330,44 @@ def _together(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 
 _SUMS = np.dtype([("place", "<u4"), ("n_tokens", "<i4"), ("n_known", "<i4"), ("base", "<f8"), ("score", "<f8")])
+#: Sums of scores travel as whole numbers of this many parts of 1: they have fewer bits than floats, and come out the same in any order.
+_PARTS = 2.0**32
 
 
 def _sums(slices: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_known=None, base=None, score=None, keys: np.ndarray | None = None) -> list[tuple]:
     """Rows of what is known of some texts, a row for each slice, by the slice's bucket; with keys also those of the (one) slice's texts."""
     used, at = np.unique(doc, return_inverse=True)
-    out = np.zeros(len(used), _SUMS)
-    out["place"] = used & 0xFFFFFFFF
-    for name, value in (("n_tokens", n_tokens), ("n_known", n_known), ("base", base), ("score", score)):
-        if value is not None:
-            out[name] = np.bincount(at, value, len(used))
     cut = runs(used >> 32)
     bucket = bucket_of(mix(slices), buckets)
-    more = {"w1": keys.tobytes()} if keys is not None else {}
-    return [_row(int(bucket[k]), _SUM, key=slices[k : k + 1].tobytes(), x=_squeezed(out[i:j]), **more) for k, i, j in zip((used[cut[:-1]] >> 32).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    total = lambda v: np.bincount(at, v, len(used))
+    fields = {"doc": _coded(_steps(used & 0xFFFFFFFF, cut[:-1]), cut)}
+    if n_tokens is not None:
+        fields["n"] = _coded(np.rint(total(n_tokens)), cut)
+    if n_known is not None:
+        fields["c"] = _coded(np.rint(total(n_known)), cut)
+    if base is not None:
+        base = total(base)
+        fields["w2"] = [_squeezed(base[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    if score is not None:  # never above 0
+        fields["x"] = _coded(np.rint(np.maximum(-total(score), 0) * _PARTS), cut)
+    if keys is not None:
+        fields["w1"] = [keys.tobytes()]
+    return [_row(int(bucket[s]), _SUM, key=slices[s : s + 1].tobytes(), **{f: v[k] for f, v in fields.items()}) for k, s in enumerate((used[cut[:-1]] >> 32).tolist())]
+
+
+def _summands(doc: bytes, n_tokens: bytes, n_known: bytes, base: bytes, score: bytes) -> np.ndarray:
+    """The numbers of a row of `_sums`."""
+    place = np.cumsum(_decoded([doc]))
+    out = np.zeros(len(place), _SUMS)
+    out["place"] = place
+    for name, data in (("n_tokens", n_tokens), ("n_known", n_known)):
+        if data:
+            out[name] = _decoded([data])
+    if base:
+        out["base"] = _expanded(base, np.float64)
+    if score:
+        out["score"] = -_decoded([score]).astype(np.float64) / _PARTS
+    return out
 
 
 @dataclass
@@ -354,9 +484,9 @@ def _own_words(batches, known):
     word, count = np.concatenate(words), np.concatenate(counts)
     order = np.argsort(word)
     word, count = word[order], count[order]
-    size = np.cumsum([0, *[int.from_bytes(batch.column("n")[k].as_py(), "little") for batch, k in asked]])
+    size = np.cumsum([0, *[np.frombuffer(batch.column("n")[k].as_py(), np.int64)[0] for batch, k in asked]])
     for some in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(size[:-1] // TOGETHER)) + 1) if asked else ():
-        t = _together([_unpacked(*asked[k]) for k in some])
+        t = _unpacked([asked[k] for k in some])
         at = _lookup(word, t["x"])
         c = np.where(at >= 0, count[np.maximum(at, 0)] if len(count) else 0, 0)
         go = np.flatnonzero(t["target"] >= 0)
@@ -432,7 +562,7 @@ def _scored(batches, known):
     all_told: dict[int, dict[tuple, tuple]] = defaultdict(dict)
     for batch in batches:
         kind, bucket = np.asarray(batch.column("kind")), np.asarray(batch.column("bucket")).tolist()
-        yield batch.filter(pa.array(kind == _SUM)).select(["bucket", "key", "w1", "x"])
+        yield batch.filter(pa.array(kind == _SUM)).select(_SUM_FIELDS)
         for k in np.flatnonzero(kind == _WIDE).tolist():
             get = lambda f, t, batch=batch, k=k: np.frombuffer(batch.column(f)[k].as_py(), t)
             x = get("x", U)
@@ -442,10 +572,10 @@ def _scored(batches, known):
             packed[bucket[k]].append((batch.slice(k, 1), 0))
     found = []
     for b in sorted(packed):  # one bucket of the task's after the other: the others stay compressed
-        found.append(_scored_bucket(_together([_unpacked(*row) for row in packed.pop(b)]), all_told.get(b, {}), known, tree))
+        found.append(_scored_bucket(_unpacked(packed.pop(b)), all_told.get(b, {}), known, tree))
     if found:  # a text that several buckets know of has one sum
         t = _together(found)
-        yield _batch(_sums(t["key"], t["doc"], known.buckets, score=t["score"])).select(["bucket", "key", "w1", "x"])
+        yield _batch(_sums(t["key"], t["doc"], known.buckets, score=t["score"])).select(_SUM_FIELDS)
 
 
 def _scored_bucket(t: dict[str, np.ndarray], told: dict[tuple, tuple], known: Known, tree: Tree) -> dict[str, np.ndarray]:
@@ -474,9 +604,9 @@ def _summed(batches):
     keys: dict[int, np.ndarray] = {}
     parts: dict[int, list[np.ndarray]] = defaultdict(list)
     for batch in batches:
-        for key, names, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        for key, names, *data in zip(*(batch.column(f).to_pylist() for f in _SUM_FIELDS[1:]), strict=True):
             at = int.from_bytes(key, "little")
-            parts[at].append(_expanded(data, _SUMS))
+            parts[at].append(_summands(*data))
             if names:
                 keys[at] = np.frombuffer(names, np.int64).reshape(-1, 2)
     for at, some in parts.items():
@@ -528,7 +658,8 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     docs = texts(df, id_col, text_col, out).withColumn("row", row).withColumn("row2", row2)
     tasks = buckets_for(spark, docs, each=32 << 20)
     buckets = tasks * 8  # a task has eight, one after the other
-    counted = written(arrow_map(docs.select("raw", "held_out"), _counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    partly = arrow_map(docs.select("raw", "held_out"), lambda b: _counts(b, tasks), "bucket int, word binary, n binary")
+    counted = written(arrow_map(_to_tasks(partly, tasks), _counted, "word long, n long"), "lm-words")
     total, v = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
     total = total or 0
     often = _often(counted)
@@ -589,7 +720,7 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     asked = asked.unionByName(arrow_map(_to_tasks(rare.unionByName(words), tasks), lambda b: _own_words(b, known), _SCHEMA))
     for more in counts:
         asked = asked.unionByName(arrow_map(more, lambda b: _told(b, known), _SCHEMA))
-    sums = arrow_map(_to_tasks(asked, tasks), lambda b: _scored(b, known), "bucket int, key binary, w1 binary, x binary")
+    sums = arrow_map(_to_tasks(asked, tasks), lambda b: _scored(b, known), "bucket int, " + ", ".join(f"{f} binary" for f in _SUM_FIELDS[1:]))
     found = written(arrow_map(_to_tasks(sums, tasks), _summed, "row long, row2 long, m long, n_tokens long, n_known long, base double, score double"), "lm-sums")
     # equal rows may be in several slices: their sums are added up
     found = found.groupBy("row", "row2").agg(*[F.sum(c).alias(c) for c in ("m", "n_tokens", "n_known", "base", "score")])

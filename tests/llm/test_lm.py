@@ -163,3 +163,34 @@ def test_rare_tokens_of_many_slices_go_on_in_few_rows():
     (made,) = lm._own_words([lm._batch(words + asked)], type("Held", (), {"value": known}))
     rows = made.filter(lm.pa.array(lm.np.asarray(made.column("kind")) == lm._TOKENS))
     assert rows.num_rows == 2 and [len(r.as_py()) for r in rows.column("key")] == [8 * 150] * 2
+
+
+def test_numbers_are_coded_by_their_bits():
+    np = lm.np
+    rng = np.random.default_rng(3)
+    odd = np.array([0, 1, 2, 1 << 63, (1 << 64) - 1, (1 << 63) - 1, (1 << 54) - 1, (1 << 53) + 1, 0], lm.U)
+    for values in (odd, np.zeros(9, lm.U), np.sort(rng.integers(0, 1 << 63, 9)).astype(lm.U), odd[:0]):
+        for cut in ([0, 9], [0, 1, 2, 9], [0, 4, 5, 9]) if len(values) else ([0],):
+            assert (lm._decoded(lm._coded(values, np.array(cut))) == values).all()
+    rank = np.minimum(rng.zipf(1.3, 4000), 1_000_000).astype(lm.U)
+    (row,) = lm._coded(rank, np.array([0, 4000]))
+    assert len(row) < 0.95 * len(lm._squeezed(rank))  # what planes of bytes took
+
+
+def test_tokens_of_a_row_take_few_bytes_and_come_back():
+    np = lm.np
+    rng = np.random.default_rng(5)
+    n = 30_000
+    word = lambda most: np.minimum(rng.zipf(1.2, n), most).astype(lm.U)
+    target, doc, w1, w2, x = rng.integers(0, 8, n), np.sort(rng.integers(0, 1000, n)), word(2000), word(100_000), word(1_000_000)
+    w2[::7] = lm._NONE
+    slices = np.array([11, 7], lm.U)
+    doc = doc | (np.arange(n) % 2 << 32)
+    learn = (doc & 0xFFFFFFFF) % 7 != 2
+    rows = lm._packed(target, lm._TOKENS, slices, doc, learn, w1, w2, x)
+    batch = lm._batch(rows)
+    t = lm._unpacked([(batch, k) for k in range(batch.num_rows)])
+    back = sorted(zip(t["key"][t["doc"] >> 32].tolist(), *(t[f].tolist() for f in ("w1", "w2", "x", "train")), (t["doc"] & 0xFFFFFFFF).tolist()))
+    assert back == sorted(zip(slices[doc >> 32].tolist(), w1.tolist(), w2.tolist(), x.tolist(), learn.tolist(), (doc & 0xFFFFFFFF).tolist()))
+    assert (t["c"] == -1).all() and (t["target"] == 0).all()
+    assert sum(len(f) for r in rows for f in r[2:]) < 5.5 * n
