@@ -233,7 +233,7 @@ def test_scenarios_in_one_pass_equal_one_search_each(spark):
     assert fits == {s: len(r) for s, r in got.items()}
 
 
-@pytest.mark.parametrize("query", [graph.on_complete_paths])
+@pytest.mark.parametrize("query", [graph.on_complete_paths, graph.chain_breaks])
 def test_swept_pairs_are_not_exchanged_again(spark, pairs, query):
     plan = query(spark.createDataFrame(pairs, SCHEMA), ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Exchange" in plan
