@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, arrow_map, bucket_of, buckets_for, mix, row_key, runs, seeds, sliced, texts, written
+from .common import U, Words, arrow_map, bucket_of, mix, row_key, runs, seeds, sliced, texts, written
 
 START, END = seeds(2, 77)
 _PAIR, _SUB = seeds(2, 78)
@@ -38,6 +38,8 @@ FREQUENT = 1_000_000
 HELD = 600_000
 #: Rare tokens that go on together: rows that go on are not small, as each names the slices that it has tokens of.
 TOGETHER = 1 << 19
+#: Bytes of text whose tokens a task gets.
+PER_TASK = 32 << 20
 #: Numbers whose bits are laid out at once.
 BITS_OF = 1 << 17
 
@@ -201,13 +203,17 @@ def _bits(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
     size -= (size > 0) & (values >> np.maximum(size - 1, 0).astype(U) == 0)  # floats of over 53 bits may round up
     below = np.where(values == _NONE, 0, np.maximum(size - 1, 0))
     size = np.where(values == _NONE, _NO_BITS, size).astype(np.uint8)
-    wide = -(-int(below.max(initial=0)) // 8)
-    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :], axis=1)[np.arange(wide * 8) >= wide * 8 - below[:, None]]
-    at = np.concatenate(([0], np.cumsum(below)))[cut].tolist()
+    beyond = below & 7  # bits beyond whole bytes, which are laid out one by one; then the bytes, lowest first
+    bits = np.unpackbits((values >> (below - beyond).astype(U)).astype(np.uint8)[:, None], axis=1)[np.arange(8) >= 8 - beyond[:, None]]
+    at = np.concatenate(([0], np.cumsum(beyond)))[cut].tolist()
+    whole = []
+    for k in range(8, int(below.max(initial=0)) + 1, 8):
+        has = below >= k
+        whole.append(((values[has] >> U(k - 8)).astype(np.uint8), np.concatenate(([0], np.cumsum(has)))[cut].tolist()))
     out = []
-    for i, j, a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1], at[1:], strict=True):
+    for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         head = _zstd()[0].compress(size[i:j].tobytes())
-        out.append(len(head).to_bytes(4, "little") + head + np.packbits(bits[a:b]).tobytes())
+        out.append(b"".join((len(head).to_bytes(4, "little"), head, np.packbits(bits[at[r] : at[r + 1]]).tobytes(), *(v[c[r] : c[r + 1]].tobytes() for v, c in whole))))
     return out
 
 
@@ -223,14 +229,19 @@ def _numbers(rows: list[bytes], begin: list[int], sizes: list[bytes]) -> np.ndar
     size = np.frombuffer(b"".join(sizes), np.uint8)
     none = size == _NO_BITS
     below = np.where(none, 0, np.maximum(size.astype(np.int64) - 1, 0))
-    at = np.concatenate(([0], np.cumsum(below)))[np.cumsum([len(x) for x in sizes])]
-    wide = -(-int(below.max(initial=0)) // 8)
-    bits = np.zeros((len(size), wide * 8), np.uint8)
-    told = [np.unpackbits(np.frombuffer(data, np.uint8)[b:], count=n) for data, b, n in zip(rows, begin, np.diff(at, prepend=0).tolist(), strict=True)]
-    bits[np.arange(wide * 8) >= wide * 8 - below[:, None]] = np.concatenate(told)
-    full = np.zeros((len(size), 8), np.uint8)
-    full[:, 8 - wide :] = np.packbits(bits, axis=1)
-    values = full.view(">u8").reshape(-1).astype(U)
+    cut = np.cumsum([0, *[len(x) for x in sizes]])
+    beyond = below & 7
+    raw = [np.frombuffer(data, np.uint8) for data in rows]
+    told = np.diff(np.concatenate(([0], np.cumsum(beyond)))[cut]).tolist()
+    bits = np.zeros((len(size), 8), np.uint8)
+    bits[np.arange(8) >= 8 - beyond[:, None]] = np.concatenate([np.unpackbits(x[b:], count=n) for x, b, n in zip(raw, begin, told, strict=True)])
+    values = np.packbits(bits, axis=1).reshape(-1).astype(U) << (below - beyond).astype(U)
+    begin = [b + (n + 7) // 8 for b, n in zip(begin, told, strict=True)]
+    for k in range(8, int(below.max(initial=0)) + 1, 8):
+        has = below >= k
+        told = np.diff(np.concatenate(([0], np.cumsum(has)))[cut]).tolist()
+        values[has] |= np.concatenate([x[b : b + n] for x, b, n in zip(raw, begin, told, strict=True)]).astype(U) << U(k - 8)
+        begin = [b + n for b, n in zip(begin, told, strict=True)]
     return np.where(none, _NONE, np.where(size > 0, values | U(1) << below.astype(U), U(0)))
 
 
@@ -330,8 +341,8 @@ def _together(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 
 _SUMS = np.dtype([("place", "<u4"), ("n_tokens", "<i4"), ("n_known", "<i4"), ("base", "<f8"), ("score", "<f8")])
-#: Sums of scores travel as whole numbers of this many parts of 1: they have fewer bits than floats, and come out the same in any order.
-_PARTS = 2.0**32
+#: A task's sum of a text's scores travels as a whole number of this many parts of 1, which has fewer bits than a float: it is off by 3e-8 at most.
+_PARTS = 2.0**24
 
 
 def _sums(slices: np.ndarray, doc: np.ndarray, buckets: int, n_tokens=None, n_known=None, base=None, score=None, keys: np.ndarray | None = None) -> list[tuple]:
@@ -656,8 +667,9 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     out = F.coalesce(held_out, F.lit(False)).alias("held_out")
     row, row2 = row_key(F.col("doc_id"), F.col("raw"))
     docs = texts(df, id_col, text_col, out).withColumn("row", row).withColumn("row2", row2)
-    tasks = buckets_for(spark, docs, each=32 << 20)
-    buckets = tasks * 8  # a task has eight, one after the other
+    size = docs.agg(F.sum(F.octet_length("raw"))).head()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // PER_TASK))  # each knows something of each text: not more than are needed
+    buckets = tasks * 16  # a task has sixteen, one after the other
     partly = arrow_map(docs.select("raw", "held_out"), lambda b: _counts(b, tasks), "bucket int, word binary, n binary")
     counted = written(arrow_map(_to_tasks(partly, tasks), _counted, "word long, n long"), "lm-words")
     total, v = counted.where("n > 0").agg(F.sum("n"), F.count("*")).head()
